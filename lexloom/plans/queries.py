@@ -37,7 +37,7 @@ def oracle_sql() -> dict[str, str]:
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
 #: Words of each document, by the same character class.
 TOKENS = r"""tok AS (SELECT doc_id, lang, source, unnest(list_filter(string_split_regex(
-    regexp_replace(lower(text), '[^\p{L}\p{N}_ ]+', '', 'g'), ' +'), w -> w <> '')) AS term FROM documents)"""
+    regexp_replace(lower(text), '[^\p{L}\p{N}_ ]+', '', 'g'), ' +'), lambda w: w <> '')) AS term FROM documents)"""
 TERMS = rf"{TOKENS}, term AS (SELECT * FROM tok WHERE regexp_full_match(term, '\p{{L}}+') AND term NOT IN ({_STOP}))"
 
 
