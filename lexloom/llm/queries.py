@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.llm import url_rules
+from lexloom.llm import quality, reply_trees, url_rules
 from lexloom.llm.common import table
 
 #: Host, path prefix, action.
@@ -28,9 +28,37 @@ m AS (SELECT i, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(action, len
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM s LEFT JOIN m USING (i)"""
 
 
+
+#: A conversation whose texts hold the template's own marks.
+MARKED = r"\### Assistant: </turn> ok"
+
+
+def op6_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    marked = spark.createDataFrame([(-7, 0, "user", MARKED), (-7, 1, "assistant", MARKED)], rows.schema)
+    return reply_trees.digests(reply_trees.format_trees(reply_trees.chain_nodes(rows.unionByName(marked))))
+
+
+_ESC = r"length(x) + length(x) - length(translate(x, '\#<', ''))"
+OP6_SQL = rf"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL VALUES (-7, 0, 'user', '{MARKED}'), (-7, 1, 'assistant', '{MARKED}')),
+n AS (SELECT *, 14 + {_ESC.replace("x", "text")} + {_ESC.replace("x", "role")} + length(role) - length(replace(role, ':', '')) AS chars FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+    coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    sum(chars)::BIGINT AS formatted_chars
+FROM n GROUP BY conv_id"""
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.judge(docs, quality.references(docs))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_url_rules": op3_url_rules}
+    return {"op3_url_rules": op3_url_rules, "op6_reply_trees": op6_reply_trees, "op10_quality_rules": op10_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_rules": OP3_SQL}
+    return {"op3_url_rules": OP3_SQL, "op6_reply_trees": OP6_SQL}
