@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.llm import quality, reply_trees, url_rules
+from lexloom.llm import packing, quality, reply_trees, secret_scan, url_rules
 from lexloom.llm.common import table
 
 #: Host, path prefix, action.
@@ -56,8 +56,17 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, quality.references(docs))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_frame(table(spark, sf_dir, "documents"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return packing.assign(packing.pieces(docs), docs.count())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_url_rules": op3_url_rules, "op6_reply_trees": op6_reply_trees, "op10_quality_rules": op10_quality_rules}
+    return {f.__name__: f for f in (op3_url_rules, op6_reply_trees, op8_secret_scan, op9_packing, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
