@@ -112,3 +112,21 @@ def partitions_for(spark: SparkSession, rows: int, per_task: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_task))
 
 
+
+
+def frequent(counts: DataFrame, most: int, count: str = "n") -> DataFrame:
+    """At most ``most`` rows of the largest counts, equal counts together.
+
+    A histogram of count classes (eighths of a doubling, a few hundred at
+    most) gives the threshold, so nothing is sorted and the driver sees only
+    the histogram, however many rows there are.
+    """
+    level = F.floor(F.log2(F.col(count)) * 8)
+    classes = counts.groupBy(level.alias("level")).agg(F.count("*").alias("rows"), F.min(count).alias("least")).collect()
+    least, total = None, 0
+    for row in sorted(classes, key=lambda r: -r["level"]):
+        total += row["rows"]
+        if total > most:
+            break
+        least = row["least"]
+    return counts.where(F.lit(False) if least is None else F.col(count) >= least)

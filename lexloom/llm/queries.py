@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.llm import packing, quality, reply_trees, secret_scan, url_rules
+from lexloom.llm import bpe_lexicon, packing, quality, reply_trees, secret_scan, url_rules
 from lexloom.llm.common import table
 
 #: Host, path prefix, action.
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 
 
+def op1_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_lexicon.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"), url_rules.rules_frame(spark, URL_RULES))
 
@@ -66,7 +70,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_url_rules, op6_reply_trees, op8_secret_scan, op9_packing, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_bpe_lexicon, op3_url_rules, op6_reply_trees, op8_secret_scan, op9_packing, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
