@@ -74,7 +74,7 @@ class UnitEncoder:
 
     def plain(self, text: str) -> bytes:
         """The ids of a text without the end token's string."""
-        if text.count(" ") + text.count("\n") != len(text.split()) - 1:
+        if text.replace("\n", " ").split(" ") != text.split():
             return self.unit(text)  # runs of blanks, or other blanks than these
         first, *rest = text.replace("\n", " \n").split(" ")
         return self.unit(first) + b"".join(map(self.memory.__getitem__, rest))
