@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.llm import bpe_lexicon, packing, quality, reply_trees, secret_scan, simhash, url_rules
+from lexloom.llm import bpe_lexicon, packing, phrase_prints, quality, reply_trees, secret_scan, simhash, url_rules
 from lexloom.llm.common import table
 
 #: Host, path prefix, action.
@@ -64,6 +64,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(table(spark, sf_dir, "documents"))
 
 
+def op7_phrase_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_prints.compare_with_next(table(spark, sf_dir, "documents"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_frame(table(spark, sf_dir, "documents"))
 
@@ -74,7 +78,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_lexicon, op3_url_rules, op4_simhash, op6_reply_trees, op8_secret_scan, op9_packing, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_bpe_lexicon, op3_url_rules, op4_simhash, op6_reply_trees, op7_phrase_prints, op8_secret_scan, op9_packing, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
