@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.llm import bpe_lexicon, packing, phrase_prints, quality, reply_trees, secret_scan, simhash, url_rules
+from lexloom.llm import bpe_lexicon, packing, phrase_prints, quality, reply_trees, secret_scan, simhash, toxicity, url_rules
 from lexloom.llm.common import table
 
 #: Host, path prefix, action.
@@ -17,6 +17,11 @@ def op1_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_lexicon.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"), url_rules.rules_frame(spark, URL_RULES))
 
@@ -78,7 +83,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_lexicon, op3_url_rules, op4_simhash, op6_reply_trees, op7_phrase_prints, op8_secret_scan, op9_packing, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_bpe_lexicon, op2_toxicity, op3_url_rules, op4_simhash, op6_reply_trees, op7_phrase_prints, op8_secret_scan, op9_packing, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
