@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.llm import bpe_lexicon, packing, phrase_prints, quality, reply_trees, secret_scan, simhash, toxicity, url_rules
+from lexloom.llm import bpe_lexicon, gru_lm, packing, phrase_prints, quality, reply_trees, secret_scan, simhash, toxicity, url_rules
 from lexloom.llm.common import table
 
 #: Host, path prefix, action.
@@ -38,6 +38,10 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM s L
 
 
 
+def op5_gru_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gru_lm.score(table(spark, sf_dir, "documents"))
+
+
 #: A conversation whose texts hold the template's own marks.
 MARKED = r"\### Assistant: </turn> ok"
 
@@ -83,7 +87,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_lexicon, op2_toxicity, op3_url_rules, op4_simhash, op6_reply_trees, op7_phrase_prints, op8_secret_scan, op9_packing, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_bpe_lexicon, op2_toxicity, op3_url_rules, op4_simhash, op5_gru_lm, op6_reply_trees, op7_phrase_prints, op8_secret_scan, op9_packing, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
