@@ -66,7 +66,7 @@ def _stacked(rules: DataFrame) -> DataFrame:
     return prefixes.join(one, ["hk", "rpath"]).groupBy("hk", F.col("of").alias("key")).agg(F.sort_array(F.collect_list(F.struct("rpath", "rule", "action"))).alias("stack"))
 
 
-def judge(pages: DataFrame, rules: DataFrame, id_column: str = "page_id", default: str = DEFAULT, rows_per_sweep: int = 200_000) -> DataFrame:
+def judge(pages: DataFrame, rules: DataFrame, id_column: str = "page_id", default: str = DEFAULT, rows_per_sweep: int = 10_000) -> DataFrame:
     """``(id, host, path, rule, verdict)`` of every row of ``pages``."""
     host, path = host_and_path(F.col("url"))
     urls = pages.select(F.col(id_column).alias("id"), host.alias("host"), path.alias("path")).groupBy("id", "host", "path").agg(F.count("*").alias("n"))
@@ -81,8 +81,9 @@ def judge(pages: DataFrame, rules: DataFrame, id_column: str = "page_id", defaul
     events = salted.select("hk", "salt", F.col("path").alias("key"), F.lit(1).alias("kind"), "id", "host", F.lit(None).cast(stacks.schema["stack"].dataType).alias("begun"))
     begun = stacks.join(sweeps, "hk").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("sweeps") - 1)))
     begun = begun.select("hk", F.col("salt").cast("bigint").alias("salt"), "key", F.lit(0).alias("kind"), F.lit(None).cast(urls.schema["id"].dataType).alias("id"), F.lit(None).cast("string").alias("host"), F.col("stack").alias("begun"))
-    order = Window.partitionBy("hk", "salt").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    swept = events.unionByName(begun).withColumn("stack", F.last("begun", ignorenulls=True).over(order)).where("kind = 1")
+    sweep = F.concat("hk", F.lit("\u0001"), F.col("salt").cast("string"))  # one key: rows dealt by hk alone would not spread
+    order = Window.partitionBy("sweep").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    swept = events.unionByName(begun).withColumn("sweep", sweep).withColumn("stack", F.last("begun", ignorenulls=True).over(order)).where("kind = 1")
     active = F.filter("stack", lambda r: F.startswith(F.col("key"), r["rpath"]))
     hits = swept.select("id", "host", F.col("key").alias("path"), F.try_element_at(active, F.lit(-1)).alias("hit")).where("hit IS NOT NULL")
     best = F.struct(F.length("hit.rule").alias("len"), F.col("hit.rule").alias("rule"), F.col("hit.action").alias("action"))
