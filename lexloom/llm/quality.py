@@ -137,33 +137,53 @@ def references(docs: DataFrame, common: int = 64, min_share: float = 0.001) -> d
     return out
 
 
-def judge(docs: DataFrame, refs: dict, most_chars: float = 0.33, most_words: float = 0.5, min_chars: int = 200) -> DataFrame:
+def _prepared(refs: dict) -> list:
+    return [(classes, list(words), np.array([*words.values(), max(0, total - sum(words.values()))], dtype=float)) for classes, words, total in refs.values()]
+
+
+def judged(text: str | None, prepared: list, most_chars: float = 0.33, most_words: float = 0.5, min_chars: int = 200) -> dict:
+    """The base counts of a text, its distances (None if too short for any) and whether it is kept."""
+    row = base_counts(text) | {"char_distance": None, "word_distance": None}
+    row["kept"] = not row["base_failed"]
+    if row["kept"] and row["word_chars"] >= min_chars and prepared:
+        raw = text.encode("utf-8", "surrogatepass")
+        classes, words = np.array(class_counts(raw), dtype=float), Counter(raw.lower().split())
+        by_words = []
+        for _, names, ref in prepared:
+            own = [words[w] for w in names]
+            by_words.append(js_distance(np.array([*own, row["n_words"] - sum(own)], dtype=float), ref))
+        row["char_distance"] = min(js_distance(classes, c) for c, _, _ in prepared)
+        row["word_distance"] = min(by_words)
+        row["kept"] = row["char_distance"] <= most_chars and row["word_distance"] <= most_words
+    return row
+
+
+def judge(docs: DataFrame, refs: dict, **limits) -> DataFrame:
     """``(doc_id, the base counts, base_failed, kept, char_distance, word_distance)`` of each row.
 
     ``most_chars`` and ``most_words``: the largest distances that pass.
     ``min_chars``: word characters below which distances don't count.
     """
-    listed = [(classes, list(words), np.array([*words.values(), max(0, total - sum(words.values()))], dtype=float)) for classes, words, total in refs.values()]
-    shared = docs.sparkSession.sparkContext.broadcast(listed)
+    shared = docs.sparkSession.sparkContext.broadcast(_prepared(refs))
     kind = "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean, char_distance double, word_distance double"
-
-    def one(doc_id, text):
-        row = base_counts(text) | {"doc_id": doc_id, "char_distance": None, "word_distance": None}
-        row["kept"] = not row["base_failed"]
-        if row["kept"] and row["word_chars"] >= min_chars and shared.value:
-            raw = text.encode("utf-8", "surrogatepass")
-            classes, words = np.array(class_counts(raw), dtype=float), Counter(raw.lower().split())
-            by_words = []
-            for _, names, ref in shared.value:
-                own = [words[w] for w in names]
-                by_words.append(js_distance(np.array([*own, row["n_words"] - sum(own)], dtype=float), ref))
-            row["char_distance"] = min(js_distance(classes, c) for c, _, _ in shared.value)
-            row["word_distance"] = min(by_words)
-            row["kept"] = row["char_distance"] <= most_chars and row["word_distance"] <= most_words
-        return row
+    names = [k.split()[0] for k in kind.split(", ")]
 
     def run(ids, texts):
-        rows = [one(i, t) for i, t in zip(ids, texts)]
-        return {k.split()[0]: [r[k.split()[0]] for r in rows] for k in kind.split(", ")}
+        rows = [judged(t, shared.value, **limits) | {"doc_id": i} for i, t in zip(ids, texts)]
+        return {k: [r[k] for r in rows] for k in names}
 
     return arrow_map(docs, kind, run, "doc_id", "text")
+
+
+def reject(docs: DataFrame, refs: dict, **limits) -> DataFrame:
+    """``docs`` without the rows that the rules reject, all columns kept."""
+    shared = docs.sparkSession.sparkContext.broadcast(_prepared(refs))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            keep = [judged(t, shared.value, **limits)["kept"] for t in batch.column("text").to_pylist()]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

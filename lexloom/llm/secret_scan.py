@@ -117,3 +117,23 @@ def redact(text: str | None, mark: str = "[secret]", **options) -> str | None:
             out += [text[at:a], mark]
         at = max(at, b)
     return text if not out else "".join([*out, text[at:]])
+
+
+def redact_frame(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with redacted texts, all other columns kept; ``n_chars``, if there, is the new length."""
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            old = batch.column("text").to_pylist()
+            new = [redact(t, **options) for t in old]
+            at = batch.schema.get_field_index("text")
+            batch = batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))
+            at = batch.schema.get_field_index("n_chars")
+            if at >= 0:
+                kept = batch.column(at).to_pylist()
+                lengths = [n if a == b else len(b) for a, b, n in zip(old, new, kept)]
+                batch = batch.set_column(at, batch.schema.field(at), pa.array(lengths, batch.schema.field(at).type))
+            yield batch
+
+    return docs.mapInArrow(run, docs.schema)
