@@ -24,11 +24,16 @@ def tokens(text: Column, sep: str = "") -> Column:
 
 
 def ngrams(words: Column, n: int) -> Column:
-    """Every run of ``n`` neighbours, as arrays."""
+    """Every run of ``n`` neighbours, as arrays.
+
+    Shifted slices are zipped: a lambda that indexes ``words`` would have it
+    computed again for each element.
+    """
     if n == 1:
         return F.transform(words, lambda w: F.array(w))
-    starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.slice(words, i, n))
+    starts = F.greatest(F.size(words) - (n - 1), F.lit(0))
+    shifted = F.arrays_zip(*(F.slice(words, k + 1, starts) for k in range(n)))
+    return F.transform(shifted, lambda z: F.array(*(z[str(k)] for k in range(n))))
 
 
 def admissible(gram: Column, stop_words: tuple[str, ...] = ()) -> Column:

@@ -19,6 +19,32 @@ def term_frequencies(docs: DataFrame, *keep: str, **how) -> DataFrame:
     return term_rows(docs, "doc_id", *keep, **how).groupBy("doc_id", *keep, "term").agg(F.count("*").alias("tf"))
 
 
+def tfidf(bags: DataFrame, n_documents: int) -> DataFrame:
+    """``(term, df, cf, score)``: largest relative frequency times log10 of N / df.  N counts empty documents too."""
+    lengths = bags.groupBy("doc_id").agg(F.sum("tf").alias("len"))
+    rel = bags.join(lengths, "doc_id")
+    stats = rel.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.max(F.col("tf") / F.col("len")).alias("top"))
+    return stats.select("term", "df", "cf", (F.col("top") * F.log10(F.lit(float(n_documents)) / F.col("df"))).alias("score"))
+
+
+def score_threshold(scored: DataFrame, most: int = 5000) -> float:
+    """The score that the 70 % best, ``most`` at most, reach.
+
+    A bounded top-k finds it: the vocabulary is never sorted whole.
+    """
+    v = scored.count()
+    if not v:
+        return 0.0
+    k = min(most, v * 7 // 10, v - 1)
+    return scored.select("score").orderBy(F.desc("score")).limit(k + 1).agg(F.min("score")).first()[0]
+
+
+def above_threshold(scored: DataFrame, least: float, min_df: int = 3, strict: bool = True) -> DataFrame:
+    """Word clouds keep ``score > least, df > 3``; topic models ``score >= least, df >= min_df``."""
+    score, df = F.col("score"), F.col("df")
+    return scored.where((score > least) & (df > min_df) if strict else (score >= least) & (df >= min_df))
+
+
 def top_with_ties(df: DataFrame, value: str, n: int, *by: str) -> DataFrame:
     """Rows whose ``value`` is at least the n-th largest (of each ``by`` group).
 
@@ -29,10 +55,41 @@ def top_with_ties(df: DataFrame, value: str, n: int, *by: str) -> DataFrame:
         ranked = df.withColumn("_rank", F.rank().over(Window.partitionBy(*by).orderBy(F.desc(value))))
         return ranked.where(F.col("_rank") <= n).drop("_rank")
     least = df.select(value).orderBy(F.desc(value)).limit(n).agg(F.min(value).alias("_least"))
-    return df.join(F.broadcast(least), F.col(value) >= F.col("_least"), "inner").drop("_least")
+    return df.join(F.broadcast(least), F.col(value) >= F.col("_least"), "inner").drop("_least")  # one row
+
+
+def most_extreme(df: DataFrame, value: str, n: int, *by: str) -> DataFrame:
+    """Values from the n/2-th largest up, or below the (n/2 + 1)-th smallest (the largest, if there are fewer)."""
+    half, own = n // 2, Window.partitionBy(*by)
+    ranked = df.withColumn("_high", F.rank().over(own.orderBy(F.desc(value)))).withColumn("_low", F.row_number().over(own.orderBy(value)))
+    marked = ranked.withColumn("_edge", F.coalesce(F.max(F.when(F.col("_low") == half + 1, F.col(value))).over(own), F.max(value).over(own)))
+    return marked.where((F.col("_high") <= half) | (F.col(value) < F.col("_edge"))).drop("_high", "_low", "_edge")
 
 
 def word_cloud(docs: DataFrame, n: int = 50, stop_words: tuple[str, ...] = ()) -> DataFrame:
     """The corpus's ``n`` most frequent words, ties kept: ``(term, freq)``."""
     freqs = term_rows(docs, stop_words=stop_words).groupBy("term").agg(F.count("*").alias("freq"))
     return top_with_ties(freqs, "freq", n)
+
+
+def word_cloud_tfidf(docs: DataFrame, n: int = 150, gram: int = 1, stop_words: tuple[str, ...] = ()) -> DataFrame:
+    """The most frequent of the words that tf-idf keeps: ``(term, freq, score)``."""
+    bags = term_frequencies(docs, n=gram, stop_words=stop_words)
+    scored = tfidf(bags, docs.count())
+    kept = above_threshold(scored, score_threshold(scored))
+    return top_with_ties(kept.select("term", F.col("cf").alias("freq"), "score"), "freq", n)
+
+
+def label_clouds(docs: DataFrame, label: str, n: int = 20, stop_words: tuple[str, ...] = ()) -> DataFrame:
+    """``(label, term, freq)``: the most frequent words of each label."""
+    freqs = term_rows(docs, label, stop_words=stop_words).groupBy(F.col(label).alias("label"), "term").agg(F.count("*").alias("freq"))
+    return top_with_ties(freqs, "freq", n, "label")
+
+
+def label_clouds_tfidf(docs: DataFrame, label: str, n: int = 20, gram: int = 1, stop_words: tuple[str, ...] = ()) -> DataFrame:
+    """Of each label's terms that the corpus's tf-idf keeps, those of the largest corpus frequency."""
+    bags = term_frequencies(docs, label, n=gram, stop_words=stop_words)
+    scored = tfidf(bags, docs.count())
+    kept = above_threshold(scored, score_threshold(scored)).select("term", F.col("cf").alias("freq"))
+    own = bags.select(F.col(label).alias("label"), "term").distinct()
+    return top_with_ties(own.join(kept, "term"), "freq", n, "label")

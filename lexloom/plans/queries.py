@@ -1,47 +1,13 @@
-"""The named queries of the driver contract and their SQL counterparts."""
+"""All named queries of the corpus engine."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from lexloom.plans import catalog, geo, phrases, registry, texts, timeline, topics, words  # noqa: F401
 
-from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.operators import frequency
-from lexloom.sources.tables import table
-
-#: The stop words both engines share.
-STOP_WORDS = ("the", "and", "of", "to", "in", "la", "de", "der", "die", "und", "le", "el", "que", "et", "en")
-
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def register(fn):
-        _QUERIES[name] = fn
-        if sql is not None:
-            _SQL[name] = sql
-        return fn
-
-    return register
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+def queries() -> dict[str, registry.Query]:
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
-
-_STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
-#: Words of each document, by the same character class.
-TOKENS = r"""tok AS (SELECT doc_id, lang, source, unnest(list_filter(string_split_regex(
-    regexp_replace(lower(text), '[^\p{L}\p{N}_ ]+', '', 'g'), ' +'), lambda w: w <> '')) AS term FROM documents)"""
-TERMS = rf"{TOKENS}, term AS (SELECT * FROM tok WHERE regexp_full_match(term, '\p{{L}}+') AND term NOT IN ({_STOP}))"
-
-
-@query("wordcloud", f"""WITH {TERMS}, f AS (SELECT term, count(*) AS freq FROM term GROUP BY term)
-    SELECT term, freq FROM (SELECT *, rank() OVER (ORDER BY freq DESC) AS r FROM f) WHERE r <= 50""")
-def wordcloud(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frequency.word_cloud(table(spark, sf_dir, "documents"), 50, STOP_WORDS)
+    return dict(registry.SQL)
