@@ -1,0 +1,141 @@
+"""Queries over places and entities.
+
+The texts name no places, so mentions are made from document ids and nations.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexloom.functions import text as X
+from lexloom.operators import geo, texts
+from lexloom.plans.registry import DATED, TOKEN_LIST, query
+from lexloom.plans.timeline import dated
+from lexloom.sources.tables import table
+
+MENTIONS = f"""{DATED}, place AS (SELECT n_nationkey AS k, n_name AS place, (n_nationkey * 3 - 30)::DOUBLE AS lat, (n_nationkey * 10 - 120)::DOUBLE AS lon FROM nation),
+men AS (SELECT doc_id, place, lat, lon, spot FROM (SELECT doc_id, unnest([(doc_id * 7) % 25, (doc_id * 3 + 1) % 25, (doc_id * 7) % 25]) AS k, unnest([10, 40, 90]) AS spot FROM documents) JOIN place USING (k)),
+pub AS (SELECT doc_id, place FROM documents JOIN place ON k = doc_id % 25), yr AS (SELECT doc_id, year(doc_date)::INT AS year FROM dated),
+link AS (SELECT year, pub.place AS source, m.place AS target, count(*) AS weight, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS docs
+    FROM (SELECT DISTINCT doc_id, place FROM men) m JOIN pub USING (doc_id) JOIN yr USING (doc_id) GROUP BY ALL)"""
+
+
+def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("n_nationkey")
+    return table(spark, sf_dir, "nation").select(k.cast("bigint").alias("k"), F.col("n_name").alias("place"), (k * 3 - 30).cast("double").alias("lat"), (k * 10 - 120).cast("double").alias("lon"))
+
+
+def _mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("doc_id")
+    hits = F.array(*(F.struct(k.alias("k"), F.lit(at).alias("spot")) for k, at in (((d * 7) % 25, 10), ((d * 3 + 1) % 25, 40), ((d * 7) % 25, 90))))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(hits).alias("h")).select("doc_id", "h.k", "h.spot")
+    return rows.join(_places(spark, sf_dir), "k").drop("k")
+
+
+def _published(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 25).alias("k")).join(_places(spark, sf_dir), "k").select("doc_id", "place")
+
+
+def _years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dated(spark, sf_dir).select("doc_id", F.year("doc_date").alias("year"))
+
+
+@query("geo_mentions", f"WITH {MENTIONS} SELECT doc_id, place, lat, lon, spot FROM men")
+def geo_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mentions(spark, sf_dir)
+
+
+@query("geo_export", rf"WITH {MENTIONS} SELECT place AS name, lat, lon AS lng, 'geo/' || place AS uri, doc_id, regexp_replace(substr(text, greatest(spot - 15, 0) + 1, least(spot + 25, length(text)) - greatest(spot - 15, 0)), '[^\p{{L}}\p{{N}}_ ]', ' ', 'g') AS context FROM men JOIN documents USING (doc_id) WHERE spot + 10 <= length(text)")
+def geo_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _mentions(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").where(F.col("spot") + 10 <= F.length("text"))
+    return rows.select(F.col("place").alias("name"), "lat", F.col("lon").alias("lng"), F.concat(F.lit("geo/"), "place").alias("uri"), "doc_id", texts.context(F.col("text"), F.col("spot"), F.col("spot") + 10).alias("context"))
+
+
+@query("geo_heatmap", f"WITH {MENTIONS} SELECT lat, lon, count(*) AS n FROM men GROUP BY ALL")
+def geo_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geo.heatmap(_mentions(spark, sf_dir))
+
+
+@query("flight_paths", f"WITH {MENTIONS} SELECT * FROM link")
+def flight_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = geo.flights(_mentions(spark, sf_dir), _published(spark, sf_dir), _years(spark, sf_dir), _places(spark, sf_dir))
+    return found.withColumn("docs", F.array_join(F.transform("docs", lambda d: d.cast("string")), ","))
+
+
+@query("flight_years", f"WITH {MENTIONS} SELECT min(year) AS first_year, max(year) AS last_year FROM link")
+def flight_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flight_paths(spark, sf_dir).agg(F.min("year").alias("first_year"), F.max("year").alias("last_year"))
+
+
+@query("flight_sources", f"WITH {MENTIONS} SELECT target, source, sum(weight)::BIGINT AS weight FROM link WHERE year = 1997 GROUP BY ALL")
+def flight_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flight_paths(spark, sf_dir).where("year = 1997").groupBy("target", "source").agg(F.sum("weight").alias("weight"))
+
+
+@query("place_year_counts", f"WITH {MENTIONS} SELECT place, year, count(*) AS docs FROM (SELECT DISTINCT doc_id, place FROM men) JOIN yr USING (doc_id) GROUP BY ALL")
+def place_year_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geo.place_years(_mentions(spark, sf_dir), _years(spark, sf_dir))
+
+
+@query("place_counts", f"WITH {MENTIONS} SELECT place, year, count(*) AS n FROM men JOIN yr USING (doc_id) GROUP BY ALL")
+def place_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geo.mention_years(_mentions(spark, sf_dir), _years(spark, sf_dir))
+
+
+@query("place_contexts", f"WITH {MENTIONS} SELECT place, doc_id, string_agg(spot::VARCHAR, ',' ORDER BY spot) AS spots FROM men GROUP BY ALL")
+def place_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spots = F.array_join(F.transform(F.sort_array(F.collect_list("spot")), lambda x: x.cast("string")), ",")
+    return _mentions(spark, sf_dir).groupBy("place", "doc_id").agg(spots.alias("spots"))
+
+
+@query("place_lookup", f"WITH {MENTIONS} SELECT doc_id, doc_id % 30 AS asked, place FROM documents LEFT JOIN place ON k = doc_id % 30")
+def place_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 30).alias("asked"))
+    return asked.join(_places(spark, sf_dir).select(F.col("k").alias("asked"), "place"), "asked", "left").select("doc_id", "asked", "place")
+
+
+@query("geoparse")
+def geoparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grammar over sentences that name nations, with each nation as a country."""
+    places = _places(spark, sf_dir)
+    gazetteer = places.select(F.lit("country").alias("kind"), F.col("place").alias("name"), F.col("place").alias("country"), F.lit(None).cast("string").alias("region"), F.lit(0).cast("bigint").alias("population"), "lat", "lon", F.col("k").alias("geonameid"))
+    named = _mentions(spark, sf_dir).groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list("place")), " then ").alias("route"))
+    docs = named.join(_published(spark, sf_dir), "doc_id").select("doc_id", "place", F.concat(F.lit("They went from "), "route").alias("text"))
+    return geo.geoparse(docs, gazetteer)
+
+
+ENTITIES = f"""{TOKEN_LIST}, ent AS (SELECT 'http://dbpedia.org/resource/' || term AS uri, doc_id, count(*) AS n FROM (SELECT doc_id, unnest(w[1:40]) AS term FROM toks) GROUP BY ALL),
+wei AS (SELECT uri, sum(n)::BIGINT AS weight FROM ent GROUP BY uri)"""
+
+
+def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    uris = F.transform(F.slice(X.tokens(F.col("text")), 1, 40), lambda w: F.struct(F.concat(F.lit("http://dbpedia.org/resource/"), w).alias("@URI")))
+    annotated = table(spark, sf_dir, "documents").select("doc_id", F.to_json(F.struct(uris.alias("Resources"))).alias("annotation"))
+    return geo.entity_counts(annotated)
+
+
+@query("entity_counts", f"WITH {ENTITIES} SELECT uri, doc_id, n FROM ent")
+def entity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _entities(spark, sf_dir)
+
+
+@query("entity_top", f"WITH {ENTITIES} SELECT uri, weight FROM wei WHERE weight > (SELECT min(weight) FROM (SELECT weight FROM wei ORDER BY weight DESC LIMIT 100))")
+def entity_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geo.top_entities(_entities(spark, sf_dir))
+
+
+@query("entity_quantile", f"""WITH {ENTITIES}, node AS (SELECT uri AS id, 'entity' AS kind, weight AS value FROM wei UNION ALL SELECT doc_id::VARCHAR, 'document', sum(n)::BIGINT FROM ent GROUP BY 1)
+    SELECT id, kind, value FROM node WHERE kind = 'document' OR value >= (SELECT quantile_cont(value, 0.75) FROM node)""")
+def entity_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = _entities(spark, sf_dir)
+    entities = counts.groupBy(F.col("uri").alias("id")).agg(F.lit("entity").alias("kind"), F.sum("n").alias("value"))
+    docs = counts.groupBy(F.col("doc_id").cast("string").alias("id")).agg(F.lit("document").alias("kind"), F.sum("n").alias("value"))
+    return geo.over_quantile(entities.unionByName(docs))
+
+
+@query("event_props", "SELECT event_id, json_extract_string(props, '$.' || json_keys(props)[1]) AS first_value FROM events")
+def event_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = F.json_object_keys("props")
+    props = F.from_json("props", "map<string,string>")
+    return table(spark, sf_dir, "events").select("event_id", F.element_at(props, F.get(keys, F.lit(0))).alias("first_value"))
