@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 def tumbling(events: DataFrame, width: str, watermark: str | None = None) -> DataFrame:
     """``(event_type, window_start, n, total)`` of each window; late events go once a watermark has passed them."""
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
     if watermark:
         events = events.withWatermark("ts", watermark)
     sums = events.groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
