@@ -9,8 +9,8 @@ them that still holds the URL's path is the longest match.
 Scale.  Each URL is looked up under as many of its host's suffixes as the
 deepest rule host has labels, and only suffixes that some rule names go on.
 A sweep is per rule host; a host with many URLs is split into salted sweeps
-of about ``rows_per_sweep`` URLs, each with that host's rules, so no task
-holds more.  Counts are pre-aggregated, nothing is broadcast by force.
+of about ``rows_per_sweep`` URLs (or four a rule), each with that host's
+rules, so no task holds more.  Counts are pre-aggregated, nothing is broadcast by force.
 
 Rows.  Null urls and urls without ``://`` have host and path ''.  Such hosts
 match no rule, unless a rule's host is ''.  Repeated rows stay repeated; rows
@@ -66,7 +66,7 @@ def _stacked(rules: DataFrame) -> DataFrame:
     return prefixes.join(one, ["hk", "rpath"]).groupBy("hk", F.col("of").alias("key")).agg(F.sort_array(F.collect_list(F.struct("rpath", "rule", "action"))).alias("stack"))
 
 
-def judge(pages: DataFrame, rules: DataFrame, id_column: str = "page_id", default: str = DEFAULT, rows_per_sweep: int = 10_000) -> DataFrame:
+def judge(pages: DataFrame, rules: DataFrame, id_column: str = "page_id", default: str = DEFAULT, rows_per_sweep: int = 1_000) -> DataFrame:
     """``(id, host, path, rule, verdict)`` of every row of ``pages``."""
     host, path = host_and_path(F.col("url"))
     urls = pages.select(F.col(id_column).alias("id"), host.alias("host"), path.alias("path")).groupBy("id", "host", "path").agg(F.count("*").alias("n"))
@@ -74,8 +74,10 @@ def judge(pages: DataFrame, rules: DataFrame, id_column: str = "page_id", defaul
     depth = rules.agg(F.coalesce(F.max(F.size(F.split("host", r"\."))), F.lit(0)).alias("depth"))
     looked_up = urls.join(F.broadcast(depth), F.lit(True), "inner").where(F.col("depth") > 0)  # one row
     looked_up = looked_up.select("id", "host", "path", F.explode(_suffix_keys(F.col("host"), F.col("depth"))).alias("hk"))
-    hosts = stacks.select("hk").distinct()
-    sweeps = looked_up.join(hosts, "hk").groupBy("hk").agg(F.ceil(F.count("*") / F.lit(rows_per_sweep)).cast("int").alias("sweeps"))
+    hosts = stacks.groupBy("hk").agg(F.count("*").alias("rules"))
+    # a sweep repeats its host's rules, so it takes four URLs for each of them at least
+    loads = looked_up.join(hosts.select("hk"), "hk").groupBy("hk").agg(F.count("*").alias("urls")).join(hosts, "hk")
+    sweeps = loads.select("hk", F.ceil(F.col("urls") / F.greatest(F.lit(rows_per_sweep), 4 * F.col("rules"))).cast("int").alias("sweeps"))
     # the few salts are spread by id, host and path: equal rows were merged above
     salted = looked_up.join(sweeps, "hk").withColumn("salt", F.pmod(F.xxhash64("id", "host", "path"), F.col("sweeps")))
     events = salted.select("hk", "salt", F.col("path").alias("key"), F.lit(1).alias("kind"), "id", "host", F.lit(None).cast(stacks.schema["stack"].dataType).alias("begun"))
