@@ -55,14 +55,14 @@ def extraction_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _RUNS = """run AS (SELECT o_orderkey AS run_id, 'N' || c_nationkey AS collection, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'running' ELSE 'failed' END AS status,
-    CASE o_orderkey % 3 WHEN 0 THEN 'extract' WHEN 1 THEN 'wordcloud' ELSE 'mallet_classifier' END AS processor, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders JOIN customer ON c_custkey = o_custkey)"""
+    CASE o_orderkey % 3 WHEN 0 THEN 'extract' WHEN 1 THEN 'wordcloud' ELSE 'classifier' END AS processor, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders JOIN customer ON c_custkey = o_custkey)"""
 
 
 def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     nations = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.concat(F.lit("N"), F.col("c_nationkey").cast("string")).alias("collection"))
     status = F.when(F.col("o_orderstatus") == "F", "done").when(F.col("o_orderstatus") == "O", "running").otherwise("failed")
     k = F.col("o_orderkey") % 3
-    processor = F.when(k == 0, "extract").when(k == 1, "wordcloud").otherwise("mallet_classifier")
+    processor = F.when(k == 0, "extract").when(k == 1, "wordcloud").otherwise("classifier")
     return table(spark, sf_dir, "orders").join(nations, "o_custkey").select(F.col("o_orderkey").alias("run_id"), "collection", status.alias("status"), processor.alias("processor"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
 
 
@@ -71,9 +71,9 @@ def run_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _runs(spark, sf_dir).where("run_id = 42")
 
 
-@query("finished_classifiers", f"WITH {_RUNS} SELECT run_id, collection FROM run WHERE status = 'done' AND processor = 'mallet_classifier'")
+@query("finished_classifiers", f"WITH {_RUNS} SELECT run_id, collection FROM run WHERE status = 'done' AND processor = 'classifier'")
 def finished_classifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _runs(spark, sf_dir).where("status = 'done' AND processor = 'mallet_classifier'").select("run_id", "collection")
+    return _runs(spark, sf_dir).where("status = 'done' AND processor = 'classifier'").select("run_id", "collection")
 
 
 @query("finished_runs", f"WITH {_RUNS} SELECT run_id, processor, day FROM run WHERE collection = 'N3' AND status = 'done' AND processor <> 'extract'")
