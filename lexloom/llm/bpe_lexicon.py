@@ -14,7 +14,8 @@ library's own normaliser and splitter, word by word the same afterwards.
 Scale.  Word counts are summed in each batch before their shuffle.  The
 lexicon has at most ``lexicon_words`` words, whatever the corpus; it is only a
 store of merges already done, so its size never changes a result.  A worker
-remembers at most ``memory_words`` further words.
+remembers about twice ``memory_words`` further words at most, and those of a
+block.
 
 Rows.  A null or empty text has no ids and decodes to ''.  Special tokens'
 strings in a text are their ids.  Rows come back once each, null ids too; no
@@ -92,12 +93,35 @@ class Vocabulary:
         return [tuple(bytes(self._bytes[ord(c)] for c in w) for w, _ in found)]
 
     def words(self, chunk) -> tuple[bytes, ...]:
-        return chunk if isinstance(chunk, tuple) else tuple(w.encode("utf-8", "surrogatepass") for w in self._split(chunk))
+        if isinstance(chunk, tuple):
+            return chunk
+        if chunk.isalpha():  # letters alone are one word
+            return (chunk.encode("utf-8", "surrogatepass"),)
+        return tuple(w.encode("utf-8", "surrogatepass") for w in self._split(chunk))
 
     def merge(self, word: bytes) -> list[int]:
         """The word's ids: again and again the best-ranked pair, the leftmost of equals, becomes one symbol."""
         symbols = [self._letters[b] for b in word]
         symbols[-1] += self.end
+        symbols = self._merge_short(symbols) if len(symbols) <= 64 else self._merge_long(symbols)
+        return [self.ids[s] for s in symbols if s in self.ids]
+
+    def _merge_short(self, symbols: list[str]) -> list[str]:
+        """The pairs' ranks lie beside the symbols; a merge renews its two neighbours."""
+        rank, none = self.ranks.get, len(self.ranks)
+        ranks = [rank(pair, none) for pair in zip(symbols, symbols[1:])]
+        while ranks and (best := min(ranks)) != none:
+            i = ranks.index(best)
+            symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank((symbols[i - 1], symbols[i]), none)
+            if i < len(ranks):
+                ranks[i] = rank((symbols[i], symbols[i + 1]), none)
+        return symbols
+
+    def _merge_long(self, symbols: list) -> list[str]:
+        """The same by a queue of pairs, for words whose scans would be quadratic."""
         n, ranks = len(symbols), self.ranks
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         queue = [(r, i, symbols[i], symbols[i + 1]) for i in range(n - 1) if (r := ranks.get((symbols[i], symbols[i + 1]))) is not None]
@@ -115,7 +139,7 @@ class Vocabulary:
                 right = after[left] if left >= 0 else n
                 if right < n and (r := ranks.get((symbols[left], symbols[right]))) is not None:
                     heapq.heappush(queue, (r, left, symbols[left], symbols[right]))
-        return [self.ids[s] for s in symbols if s is not None and s in self.ids]
+        return [s for s in symbols if s is not None]
 
     def decode(self, ids: list[int]) -> str:
         """As the library decodes where the file names no decoder: token strings joined by blanks."""
@@ -198,7 +222,8 @@ class Lexicon:
         head = int.from_bytes(bytes(whole[:8]), "little")
         for name, (kind, n, at) in json.loads(bytes(whole[8 : 8 + head])).items():
             kind = np.dtype(kind)
-            setattr(self, name, whole[8 + head + at : 8 + head + at + n * kind.itemsize].view(kind))
+            # a plain view of the mapped pages: slicing a memmap object is slow
+            setattr(self, name, np.asarray(whole[8 + head + at : 8 + head + at + n * kind.itemsize]).view(kind))
 
     def rows(self, words: list[bytes]) -> np.ndarray:
         """The lexicon row of each word, -1 for words it lacks; all words take each step together."""
@@ -230,9 +255,10 @@ class Lexicon:
 class Encoder:
     """Encodes blocks of texts by a lexicon, merging what it lacks."""
 
-    def __init__(self, vocab: Vocabulary, lexicon: Lexicon, memory_words: int = 300_000):
+    def __init__(self, vocab: Vocabulary, lexicon: Lexicon, memory_words: int = 200_000):
         self.vocab, self.lexicon, self.most = vocab, lexicon, memory_words
-        self.memory: dict = {i: array.array("I", [i]).tobytes() for i in vocab.special.values()}
+        self.special = {i: array.array("I", [i]).tobytes() for i in vocab.special.values()}
+        self.memory, self.older = dict(self.special), {}
 
     def _learn(self, chunks: set) -> dict:
         """Ids of chunks not yet remembered."""
@@ -246,11 +272,13 @@ class Encoder:
     def block(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         split = [self.vocab.chunks(t) if t else [] for t in texts]
-        new = set().union(*split) - self.memory.keys()
-        fresh = self._learn(new)
-        if len(self.memory) + len(fresh) > self.most:
-            self.memory = {i: self.memory[i] for i in self.vocab.special.values()}
-        self.memory.update(fresh)
+        needed = set().union(*split)
+        if len(self.memory) > self.most:  # what isn't used again by the next time goes
+            self.memory, self.older = dict(self.special), self.memory
+        new = needed - self.memory.keys()
+        again = new & self.older.keys()
+        self.memory.update((c, self.older[c]) for c in again)
+        self.memory.update(self._learn(new - again))
         return [b"".join(map(self.memory.__getitem__, c)) for c in split]
 
 
@@ -269,19 +297,24 @@ def word_counts(docs: DataFrame, name: str) -> DataFrame:
     """``(word, n)`` over all documents, by the vocabulary's own splitting."""
 
     def count(texts):
-        vocab, found = vocabulary(name), Counter()
-        for part in blocks(texts):
-            own = Counter()
-            for t in texts[part]:
-                if t:
-                    own.update(vocab.chunks(t))
+        vocab, found, own = vocabulary(name), Counter(), Counter()
+
+        def split():
             for c, n in own.items():
                 if not isinstance(c, int):
                     for w in vocab.words(c):
                         found[w] += n
+            own.clear()
+
+        for t in texts:
+            if t:
+                own.update(vocab.chunks(t))
+                if len(own) > 500_000:
+                    split()
+        split()
         return {"word": list(found), "n": list(found.values())}
 
-    return arrow_map(docs, "word binary, n bigint", count, "text").groupBy("word").agg(F.sum("n").alias("n"))
+    return arrow_map(docs, "word binary, n bigint", count, "text", rows=None).groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def build_lexicon(spark: SparkSession, counts: DataFrame, name: str, lexicon_words: int = 65_536) -> str:
