@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -12,16 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Where a word ends: ASCII white space.  ``bytes.split()`` splits on exactly these.
-WORD = r"[^\x20\x09-\x0D]+"
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def words(text: str | None) -> list[bytes]:
-    """The words of a text with A-Z lower-cased, in UTF-8."""
+    """The words of a text with A-Z lower-cased, in UTF-8; ``bytes.split`` splits at ASCII white space only."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
@@ -51,7 +48,7 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def written(df: DataFrame, what: str, keep_rows_together: bool = False) -> DataFrame:
+def written(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     Cuts the lineage: a lost executor re-reads files instead of recomputing.
@@ -82,20 +79,47 @@ def shared_file(spark: SparkSession, data: bytes, name: str) -> str:
     return name
 
 
-def arrow_map(df: DataFrame, schema: str | T.StructType, fn, *columns: str) -> DataFrame:
-    """``fn(lists of the columns' values) -> dict of columns`` over each Arrow batch."""
+def slices(batches: Iterable[pa.RecordBatch], rows: int | None = 1024) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``rows`` rows, so that only so many texts are Python strings at a time.
+
+    Workers live on from task to task, so freed memory is given back at the end.
+    """
+    try:
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows or max(1, batch.num_rows)):
+                yield batch.slice(at, rows)
+    finally:
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
+
+
+def arrow_map(df: DataFrame, schema: str | T.StructType, fn, *columns: str, rows: int | None = 1024) -> DataFrame:
+    """``fn(lists of the columns' values) -> dict of columns`` over slices of at most ``rows`` rows, or whole batches."""
     kind = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     names = [f.name for f in kind]
     types = arrow_schema(kind)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, rows):
             out = fn(*(batch.column(c).to_pylist() for c in columns))
             yield pa.RecordBatch.from_arrays([pa.array(out[n], types.field(n).type) for n in names], schema=types)
 
     return df.select(*columns).mapInArrow(run, kind)
 
 
+def arrow_keep(df: DataFrame, keep) -> DataFrame:
+    """The rows whose text ``keep`` accepts, all columns kept."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            yield batch.filter(pa.array([keep(t) for t in batch.column("text").to_pylist()], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def arrow_schema(kind: T.StructType) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -107,13 +131,6 @@ def held_out(modulus: int) -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == 2, F.lit(False))
 
 
-def partitions_for(spark: SparkSession, rows: int, per_task: int) -> int:
-    """Enough partitions for ``per_task`` rows each, and no fewer than the session's."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_task))
-
-
-
-
 def frequent(counts: DataFrame, most: int, count: str = "n") -> DataFrame:
     """At most ``most`` rows of the largest counts, equal counts together.
 

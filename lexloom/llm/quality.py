@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import arrow_map, written
+from lexloom.llm.common import arrow_keep, arrow_map, written
 
 #: Fixed values.
 SYMBOLS = b"#*$%&|<>"
@@ -108,13 +108,16 @@ def references(docs: DataFrame, common: int = 64, min_share: float = 0.001) -> d
                 raw = text.encode("utf-8", "surrogatepass")
                 by[lang].update(raw.lower().split())
                 classes[lang] += class_counts(raw)
-        rows = [(k, w, n) for k, c in by.items() for w, n in c.items()]
         # a word holds no blank, so keys with one are free for the classes and the total
-        rows += [(k, b"class %d" % i, int(n)) for k, v in classes.items() for i, n in enumerate(v)]
-        rows += [(k, b"total words", sum(c.values())) for k, c in by.items()]
-        return dict(zip(("lang", "word", "n"), zip(*rows) if rows else ((), (), ())))
-
-    counts = written(arrow_map(docs, kind, count, "lang", "text").groupBy("lang", "word").agg(F.sum("n").alias("n")), "word-counts")
+        out = {"lang": [], "word": [], "n": []}
+        for lang, found in by.items():
+            found |= {b"class %d" % i: int(n) for i, n in enumerate(classes[lang])} | {b"total words": found.total()}
+            out["lang"] += [lang] * len(found)
+            out["word"] += found
+            out["n"] += found.values()
+        return out
+
+    counts = written(arrow_map(docs, kind, count, "lang", "text", rows=None).groupBy("lang", "word").agg(F.sum("n").alias("n")), "word-counts")
     special = counts.where(F.instr("word", " ") > 0)
     totals = special.where(F.col("word") == F.lit(b"total words")).select("lang", F.col("n").alias("total"))
     all_words = totals.agg(F.sum("total")).first()[0] or 0
@@ -179,11 +182,4 @@ def reject(docs: DataFrame, refs: dict, **limits) -> DataFrame:
     """``docs`` without the rows that the rules reject, all columns kept."""
     shared = docs.sparkSession.sparkContext.broadcast(_prepared(refs))
 
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            keep = [judged(t, shared.value, **limits)["kept"] for t in batch.column("text").to_pylist()]
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    return arrow_keep(docs, lambda text: judged(text, shared.value, **limits)["kept"])

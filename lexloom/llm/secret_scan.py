@@ -26,7 +26,7 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame
 
-from lexloom.llm.common import arrow_map
+from lexloom.llm.common import arrow_map, slices
 
 #: Fixed values.
 KINDS = ("assign", "access", "hex", "random")
@@ -124,7 +124,7 @@ def redact_frame(docs: DataFrame, **options) -> DataFrame:
     import pyarrow as pa
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             old = batch.column("text").to_pylist()
             new = [redact(t, **options) for t in old]
             at = batch.schema.get_field_index("text")

@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import arrow_map, held_out, written
+from lexloom.llm.common import arrow_keep, arrow_map, held_out, written
 
 #: Groups of terms that can stand for each other.
 IDENTITY = (
@@ -99,7 +99,7 @@ def select_features(rows: DataFrame, most_features: int = 4096, least_g2: float
     n = rows.agg(F.count_if(F.col("toxic") > 0).alias("n1"), F.count_if(F.col("toxic") <= 0).alias("n0")).first()
     if not n["n1"] or not n["n0"]:
         return []
-    found = arrow_map(rows, "feature string, n0 bigint, n1 bigint", count, "text", "toxic").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    found = arrow_map(rows, "feature string, n0 bigint, n1 bigint", count, "text", "toxic", rows=None).groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     n0, n1 = F.col("n0"), F.col("n1")
     both, all_ = n0 + n1, float(n["n0"] + n["n1"])
     part = lambda seen, expected: F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
@@ -123,7 +123,7 @@ class Model:
             own = self.memory.get(w)
             if own is None:
                 own = tuple(i for f in word_features(w) if (i := self.index.get(f)) is not None)
-                if len(self.memory) < 300_000:
+                if len(self.memory) < 100_000:
                     self.memory[w] = own
             out.update(own)
         return out
@@ -202,11 +202,4 @@ def reject(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """``docs`` without the rows that the model calls toxic, all columns kept."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            keep = [shared.value.score(t) < threshold for t in batch.column("text").to_pylist()]
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    return arrow_keep(docs, lambda text: shared.value.score(text) < threshold)
