@@ -26,7 +26,6 @@ from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from lexloom.llm.common import arrow_map
 

@@ -59,7 +59,7 @@ def _labels(name: np.ndarray, heads: np.ndarray) -> np.ndarray:
     left = np.empty_like(name)
     left[1:] = name[:-1]
     left[heads] = ~name[heads]
-    label = _coin(name, left)
+    label = np.minimum(_coin(name, left), 127)  # equal neighbours, a chance of 2^-64, would give 128
     for _ in range(2):
         beside = np.empty_like(label)
         beside[1:] = label[:-1]
@@ -85,7 +85,7 @@ def parse_level(name: np.ndarray, doc: np.ndarray, level: int) -> tuple[np.ndarr
     name, doc = name[runs], doc[runs]
     with np.errstate(over="ignore"):
         long = np.flatnonzero(lengths > 1)
-        name[long] = mix(name[long] + lengths[long] * _M1)
+        name[long] = mix(name[long] ^ mix(lengths[long]))  # not a sum: 'aaabb' must not give equal names
     first = np.r_[True, doc[1:] != doc[:-1]]
     heads = np.flatnonzero(first)
     label = _labels(name, heads)
