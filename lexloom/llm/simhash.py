@@ -180,7 +180,8 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     Rows with null ids can't be told apart by id and stay.
     """
     found = written(components(docs, **options).select("doc_id", "component_id"), "components")
-    kept = docs.join(found.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti")
+    losers = found.where("doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.join(losers.hint("merge"), "doc_id", "left_anti")  # losers grow with the documents: one plan at every size
     again = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if again.isEmpty():
         return kept
