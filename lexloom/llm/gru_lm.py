@@ -201,14 +201,15 @@ class Trainer:
     def __init__(self, net: Net, rate: float, window: int, every: int):
         self.net, self.rate, self.window, self.every = net, rate, window, every
         self.m, self.v = np.zeros_like(net.flat), np.zeros_like(net.flat)
-        self.steps = self.tokens = 0
+        self.windows = self.steps = self.tokens = 0
 
     def documents(self, codes: list[np.ndarray], end: int) -> None:
         docs, net = Lockstep(codes, end), self.net
         h, last = np.zeros((len(codes), HIDDEN), dtype=np.float32), len(docs.live)
-        for w, a in enumerate(range(0, last, self.window)):
+        for a in range(0, last, self.window):
             b, kept, states = min(last, a + self.window), [], []
-            learn = (w + self.steps) % self.every == 0
+            learn = self.windows % self.every == 0  # one count over all documents
+            self.windows += 1
             for t in range(a, b):
                 n = docs.live[t]
                 h[:n] = net.step(docs.inputs(t), h[:n].copy(), kept if learn else None)
@@ -221,8 +222,6 @@ class Trainer:
                 edges = np.r_[0, np.cumsum([len(s) for s in states])]
                 net.backward(kept, [dh[i:j] for i, j in zip(edges, edges[1:])], parts)
                 self.learn(grad / len(y), len(y))
-            else:
-                self.steps += 1
 
     def learn(self, grad: np.ndarray, tokens: int) -> None:
         self.steps += 1

@@ -257,6 +257,20 @@ def test_gradient():
         assert abs((up - down) / (2 * eps) - taken["grad"][i]) < 0.05 * abs(taken["grad"][i]) + 3e-4
 
 
+def test_windows_get_their_share_of_steps():
+    """Blocks of any length: every ``every``-th window of them all is learned from, and no block of ``every`` windows goes without."""
+    for every in (1, 4):
+        for lengths in ([101, 100, 100, 100], [1] + [2] * 20, [7, 4, 5, 4, 4, 9]):
+            net = gru_lm.Net(np.zeros(1 + gru_lm.TAILS), np.zeros((1, gru_lm.CLASS)))
+            trainer, steps = gru_lm.Trainer(net, 0.01, window=2, every=every), []
+            for n in lengths:
+                before = trainer.steps
+                trainer.documents([np.ones(2 * n, dtype=np.int32)], 0)
+                steps.append(trainer.steps - before)
+            assert sum(steps) == -(-sum(lengths) // every)
+            assert all(abs(k - n / every) < 1 for k, n in zip(steps, lengths))
+
+
 def test_state_is_carried_and_sums_to_one():
     rng = np.random.default_rng(2)
     net = gru_lm.Net(np.zeros(1 + gru_lm.TAILS), np.zeros((1, gru_lm.CLASS)))
