@@ -4,7 +4,7 @@ Word counts over all training documents give the base model, the model's
 vocabulary and its word classes.  The recurrent part is trained in numpy by
 truncated backpropagation: each task runs its own training documents from the
 same start, carrying the state through whole documents and taking a gradient
-step on every ``every``-th window; the tasks' weights are averaged by trained
+step on every ``every``-th window (by default on all); the tasks' weights are averaged by trained
 tokens, for ``rounds`` rounds.  The softmax is factored into classes: words of
 the vocabulary in classes of like frequency, and the others in classes by the
 hash of their last bytes, where a word has its add-one share of the class's
@@ -36,7 +36,7 @@ from lexloom.llm.common import arrow_map, frequent, held_out, words, written
 #: The end of a text as a word; no word holds a line end.
 END = b"\n"
 CLASS = 64  # words in a class of the vocabulary
-TAILS = 32  # classes of other words
+TAILS = 64  # classes of other words
 HIDDEN = 16
 
 
@@ -140,17 +140,31 @@ class Net:
 
     def backward(self, kept: list, dh_out: list[np.ndarray], grad: dict) -> None:
         """Truncated backpropagation through one window."""
-        k, carry, recur = HIDDEN, None, self.parts["recur"]
+        k, carry, recur = HIDDEN, None, self.parts["recur"].T.copy()
+        by_input = np.empty((sum(len(x) for x, *_ in kept), 3 * k), dtype=np.float32)
+        by_state = np.empty_like(by_input)
+        at = len(by_input)
         for (x, h, z, r, n, u), own in zip(reversed(kept), reversed(dh_out)):
-            d = own.copy()
+            d = own
             if carry is not None:
                 d[: len(carry)] += carry
-            dn = d * (1 - z) * (1 - n * n)
-            gates = np.concatenate([d * (h - n) * z * (1 - z), dn * u * r * (1 - r)], axis=1)
-            by_state = np.concatenate([gates, dn * r], axis=1)
-            np.add.at(grad["inputs"], x, np.concatenate([gates, dn], axis=1))
-            grad["recur"] += h.T @ by_state
-            carry = d * z + by_state @ recur.T
+            at -= len(x)
+            a, s = by_input[at : at + len(x)], by_state[at : at + len(x)]
+            dn = d * (1 - z)
+            dn *= 1 - n * n
+            a[:, :k] = d * (h - n) * z * (1 - z)
+            a[:, k : 2 * k] = dn * u * r * (1 - r)
+            a[:, 2 * k :] = dn
+            s[:, : 2 * k] = a[:, : 2 * k]
+            s[:, 2 * k :] = dn * r
+            carry = d * z
+            carry += s @ recur
+        grad["recur"] += np.concatenate([h for _, h, *_ in kept]).T @ by_state
+        x = np.concatenate([x for x, *_ in kept])
+        order = np.argsort(x, kind="stable")
+        x = x[order]
+        starts = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
+        grad["inputs"][x[starts]] += np.add.reduceat(by_input[order], starts, axis=0)
 
 
 class Lockstep:
@@ -227,10 +241,19 @@ class Trainer:
         self.steps += 1
         self.tokens += tokens
         grad *= min(1.0, 1.0 / (float(np.sqrt((grad * grad).sum())) + 1e-9))
-        self.m += 0.1 * (grad - self.m)
-        self.v += 0.01 * (grad * grad - self.v)
+        self.m *= 0.9
+        self.m += 0.1 * grad
+        grad *= grad
+        grad *= 0.01
+        self.v *= 0.99
+        self.v += grad
         k = self.steps
-        self.net.flat -= np.float32(self.rate) * (self.m / (1 - 0.9**k)) / (np.sqrt(self.v / (1 - 0.99**k)) + 1e-8)
+        np.multiply(self.v, 1 / (1 - 0.99**k), out=grad)
+        np.sqrt(grad, out=grad)
+        grad += 1e-8
+        np.divide(self.m, grad, out=grad)
+        grad *= self.rate / (1 - 0.9**k)
+        self.net.flat -= grad
 
 
 class Codes(dict):
@@ -282,7 +305,7 @@ class Tables:
         return np.array(own, dtype=np.int32)
 
 
-def tables(counts: DataFrame, vocabulary: int = 2048, table: int = 131_072) -> Tables:
+def tables(counts: DataFrame, vocabulary: int = 4096, table: int = 131_072) -> Tables:
     of = lambda df: sorted(((bytes(r["word"]), r["n"]) for r in df.collect()), key=lambda x: (-x[1], x[0]))
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     known = of(frequent(counts.where(F.col("word") != F.lit(END)), vocabulary - 1))
@@ -309,7 +332,7 @@ def _blocks(codes: list[np.ndarray], most_docs: int, most_tokens: int):
         yield block
 
 
-def train(docs: DataFrame, shared, rounds: int = 1, rate: float = 0.02, window: int = 32, every: int = 4, batch: int = 128, pieces: int = 16) -> np.ndarray:
+def train(docs: DataFrame, shared, rounds: int = 2, rate: float = 0.02, window: int = 32, every: int = 1, batch: int = 128, pieces: int = 16) -> np.ndarray:
     """The flat weights after ``rounds`` rounds over the training documents ``docs``; ``shared``: broadcast Tables."""
     import pyarrow as pa
 
@@ -347,7 +370,7 @@ def train(docs: DataFrame, shared, rounds: int = 1, rate: float = 0.02, window:
     return weights
 
 
-def score(docs: DataFrame, vocabulary: int = 2048, table: int = 131_072, **training) -> DataFrame:
+def score(docs: DataFrame, vocabulary: int = 4096, table: int = 131_072, **training) -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` of each row."""
     import pyarrow as pa
 

@@ -1,6 +1,7 @@
 """Operators on single texts, without a session, against plain versions."""
 
 import hashlib
+import inspect
 import random
 import re
 import zlib
@@ -271,6 +272,16 @@ def test_windows_get_their_share_of_steps():
             assert all(abs(k - n / every) < 1 for k, n in zip(steps, lengths))
 
 
+def test_training_leaves_nothing_out_by_default():
+    """Two rounds, 4096 words, 64 classes of others, and every token of every window learned from."""
+    defaults = {k: p.default for f in (gru_lm.train, gru_lm.score) for k, p in inspect.signature(f).parameters.items()}
+    assert (defaults["rounds"], defaults["vocabulary"], gru_lm.TAILS) == (2, 4096, 64)
+    trainer = gru_lm.Trainer(gru_lm.Net(np.zeros(1 + gru_lm.TAILS), np.zeros((1, gru_lm.CLASS))), 0.01, defaults["window"], defaults["every"])
+    for lengths in ([1], [33, 5], [200, 90, 90], [65]):
+        trainer.documents([np.ones(n, dtype=np.int32) for n in lengths], 0)
+    assert trainer.tokens == 1 + 38 + 380 + 65
+
+
 def test_state_is_carried_and_sums_to_one():
     rng = np.random.default_rng(2)
     net = gru_lm.Net(np.zeros(1 + gru_lm.TAILS), np.zeros((1, gru_lm.CLASS)))
