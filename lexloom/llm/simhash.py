@@ -28,6 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexloom.llm import near_copies
 from lexloom.llm.common import arrow_map, words, written
 from lexloom.llm.components import stars, union_find
 
@@ -175,11 +176,11 @@ def components(docs: DataFrame, radius: int = 3, shingle: int = 3) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one document of each component: that of the smallest id, once.
+    """``docs`` with one document of each component of near copies: that of the smallest id, once.
 
-    Rows with null ids can't be told apart by id and stay.
+    Near copies have at least 0.8 of their five-word shingles in common.  Rows with null ids can't be told apart by id and stay.
     """
-    found = written(components(docs, **options).select("doc_id", "component_id"), "components")
+    found = written(near_copies.components(docs, **options).select("doc_id", "component_id"), "components")
     losers = found.where("doc_id <> component_id").select("doc_id").distinct()
     kept = docs.join(losers.hint("merge"), "doc_id", "left_anti")  # losers grow with the documents: one plan at every size
     again = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")

@@ -112,6 +112,42 @@ def test_simhash(spark, odd, none):
     assert simhash.components(none).count() == 0 and simhash.keep_one(none).count() == 0
 
 
+def plain_near_copies(rows):
+    """The smallest id of each component of the pairs with five-word Jaccard of 0.8 or more, by all pairs."""
+    def grams(text):
+        w = (text or "").encode().lower().split()
+        return set(zip(*(w[i:] for i in range(5)))) if len(w) >= 5 else {tuple(w)} - {()}
+    ids, own = [r[0] for r in rows], [grams(r[1]) for r in rows]
+    near = [(i, j) for i in range(len(own)) for j in range(i + 1) if 5 * len(own[i] & own[j]) >= 4 * len(own[i] | own[j])]
+    return set(components.union_find(np.array([ids[i] for i, _ in near]), np.array([ids[j] for _, j in near]))[1].tolist())
+
+
+@pytest.mark.parametrize("most", [2, 48])
+def test_near_copies_against_all_pairs(spark, most):
+    rng = np.random.default_rng(9)
+    word = lambda k: [f"w{i}" for i in rng.integers(0, 3000, k)]
+    rows, passage = [], word(60)
+    for base in ([word(n) for n in (4, 9, 30, 120, 200, 400)] + [word(25) + passage + word(25) for _ in range(10)] + [passage + word(12) for _ in range(10)]):
+        for k in range(6):
+            new = list(base)
+            for i in rng.integers(0, len(new), k * len(new) // 150 + (k > 3)):
+                new[i] = word(1)[0]
+            rows.append((len(rows), " ".join(new[: len(new) - k])))
+    rows += [(1000, None), (1001, ""), (1002, " "), (1003, rows[7][1]), (1004, rows[7][1].upper())]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    assert {r["doc_id"] for r in simhash.keep_one(docs, most=most).collect()} == plain_near_copies(rows)
+
+
+def test_pipeline_drops_near_copies(spark):
+    """The near-duplicate stage on texts with 4-11 bits between near copies."""
+    import corpus_pipeline
+
+    docs = table(spark, SF, "documents").where("doc_id IN (1, 6, 42, 106, 110, 145, 155, 177, 185, 192)")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    kept = {r["doc_id"] for r in dict(corpus_pipeline.STAGES)["near-duplicates"](spark, docs, SF).collect()}
+    assert kept == plain_near_copies(rows) and {6, 1} < kept and not {145, 177} & kept
+
+
 def test_simhash_against_all_pairs(spark):
     rng = np.random.default_rng(7)
     base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
