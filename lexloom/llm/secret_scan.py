@@ -5,7 +5,9 @@ tiktoken vocabulary needs so many tokens for it that there are at most
 ``most_ratio`` characters to a token: natural words and names are cheaper.
 Known digests (hex of a usual digest length that no pattern claims), UUIDs,
 numbers and identifiers made of words are left out first, as are runs without
-a digit or without a letter.
+a digit or without a letter.  What a run holds is judged part by part: as a
+whole, and then every part between separators and every remainder beside a base
+span, so that words next to a secret don't hide it.
 
 Spans are ``kind:start:end`` in code points, end exclusive, over the whole
 match.  Kinds: assign, access, hex, random.  A random span never overlaps a
@@ -40,6 +42,8 @@ UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 #: A part of an identifier: words in one case or in camel case, then a short number.
 PART = re.compile(r"[a-z]*(?:[A-Z][a-z]+)*[0-9]{0,4}|[A-Z]{0,12}[0-9]{0,4}")
 JOINTS = re.compile(r"[_/+=-]+")
+#: What may lie between the parts of a run, the strongest first: a part without one is split at the next.
+SEPARATORS = ("=", "/", "+", "_", "-")
 
 _HEX_TABLE = bytes(49 if chr(b) in "0123456789abcdef" else 48 for b in range(256))
 _RUN_TABLE = bytes(49 if RUN.fullmatch(chr(b)) and b < 128 else 48 for b in range(256))
@@ -73,6 +77,32 @@ def known(run: str) -> bool:
     return bool(digest or UUID.fullmatch(run) or all(map(PART.fullmatch, JOINTS.split(run)))) or not (re.search("[0-9]", run) and re.search("[A-Za-z]", run))
 
 
+def _free(a: int, b: int, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The stretches of a run that no base span covers."""
+    out = []
+    for s, _, e in taken:
+        if s < b and a < e:
+            if a < s:
+                out.append((a, s))
+            a = max(a, e)
+    return [*out, (a, b)] if a < b else out
+
+
+def _random(text: str, a: int, b: int, encode, least: int, most_ratio: float) -> list[tuple[int, int]]:
+    """The random spans of a stretch: the whole of it, or else those of its parts."""
+    part = text[a:b]
+    if b - a < least or known(part):
+        return []
+    if b - a <= most_ratio * len(encode(part)):
+        return [(a, b)]
+    split = next((c for c in SEPARATORS if c in part), None)
+    found = []
+    if split:
+        for x in re.finditer(f"[^{re.escape(split)}]+", part):
+            found += _random(text, a + x.start(), a + x.end(), encode, least, most_ratio)
+    return found
+
+
 def scan(text: str | None, tokens="byte_bpe_50k.tiktoken", least: int = 16, most_ratio: float = 2.0) -> list[tuple[int, int, int]]:
     """All spans of a text, by start, then kind."""
     if not text:
@@ -83,9 +113,9 @@ def scan(text: str | None, tokens="byte_bpe_50k.tiktoken", least: int = 16, most
         return found
     taken, encode = list(found), vocabulary(tokens).encode_ordinary
     for m in RUN.finditer(text):
-        a, b = m.span()
-        if b - a >= least and not known(m[0]) and not any(s < b and a < e for s, _, e in taken) and b - a <= most_ratio * len(encode(m[0])):
-            found.append((a, 3, b))
+        if m.end() - m.start() >= least:
+            for a, b in _free(*m.span(), taken):
+                found += [(a, 3, b) for a, b in _random(text, a, b, encode, least, most_ratio)]
     return sorted(found)
 
 
