@@ -110,12 +110,13 @@ def arrow_map(df: DataFrame, schema: str | T.StructType, fn, *columns: str, rows
     return df.select(*columns).mapInArrow(run, kind)
 
 
-def arrow_keep(df: DataFrame, keep) -> DataFrame:
-    """The rows whose text ``keep`` accepts, all columns kept."""
+def arrow_keep(df: DataFrame, keep, *columns: str) -> DataFrame:
+    """The rows whose values of ``columns``, by default the text, ``keep`` accepts; all columns kept."""
+    columns = columns or ("text",)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            yield batch.filter(pa.array([keep(t) for t in batch.column("text").to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([keep(*x) for x in zip(*(batch.column(c).to_pylist() for c in columns))], pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
 

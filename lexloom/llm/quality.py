@@ -5,11 +5,13 @@ classes and over its most common words, counted from all documents.  A
 document is compared by Jensen-Shannon distance (square root of the divergence
 in bits, 0 to 1) with every reference, so a wrong language label does no harm;
 it fails if even the nearest one is too far in characters or in words.  Short
-documents are not judged by distance: their histograms say too little.
+documents are not judged by distance: their histograms say too little.  Nor are
+documents of a language without a reference: the base rules alone judge them.
 
 Scale.  Reference counts are summed in each batch before the shuffle.  A
-language must hold ``min_share`` of all words to get a reference, so there are
-at most 1 / min_share of them with ``common`` words each, whatever the input.
+language gets a reference from ``min_words`` words of its own on, whatever the
+other languages hold; references grow with the languages, not with the input,
+and have ``common`` words each.
 
 Rows.  A null text has no words and fails the base rules.  Null languages form
 a reference of their own.  Repeated rows are judged alike and all returned.
@@ -97,7 +99,7 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> float:
     return math.sqrt(min(1.0, max(0.0, d / 2)))
 
 
-def references(docs: DataFrame, common: int = 64, min_share: float = 0.001) -> dict:
+def references(docs: DataFrame, common: int = 64, min_words: int = 1000) -> dict:
     """``{lang: (class counts, {word: count of the common ones}, count of all words)}`` over all documents."""
     kind = "lang string, word binary, n bigint"
 
@@ -120,8 +122,7 @@ def references(docs: DataFrame, common: int = 64, min_share: float = 0.001) -> d
     counts = written(arrow_map(docs, kind, count, "lang", "text", rows=None).groupBy("lang", "word").agg(F.sum("n").alias("n")), "word-counts")
     special = counts.where(F.instr("word", " ") > 0)
     totals = special.where(F.col("word") == F.lit(b"total words")).select("lang", F.col("n").alias("total"))
-    all_words = totals.agg(F.sum("total")).first()[0] or 0
-    big = [(r["lang"], r["total"]) for r in totals.where(F.col("total") >= min_share * all_words).collect()] if all_words else []
+    big = [(r["lang"], r["total"]) for r in totals.where(F.col("total") >= min_words).collect()]
     out = {lang: (np.zeros(len(_USED)), {}, total) for lang, total in big}
     if not out:
         return {}
@@ -144,11 +145,11 @@ def _prepared(refs: dict) -> list:
     return [(classes, list(words), np.array([*words.values(), max(0, total - sum(words.values()))], dtype=float)) for classes, words, total in refs.values()]
 
 
-def judged(text: str | None, prepared: list, most_chars: float = 0.33, most_words: float = 0.5, min_chars: int = 200) -> dict:
-    """The base counts of a text, its distances (None if too short for any) and whether it is kept."""
+def judged(text: str | None, prepared: list, by_distance: bool = True, most_chars: float = 0.33, most_words: float = 0.5, min_chars: int = 200) -> dict:
+    """The base counts of a text, its distances (None if not judged by any) and whether it is kept."""
     row = base_counts(text) | {"char_distance": None, "word_distance": None}
     row["kept"] = not row["base_failed"]
-    if row["kept"] and row["word_chars"] >= min_chars and prepared:
+    if row["kept"] and by_distance and row["word_chars"] >= min_chars and prepared:
         raw = text.encode("utf-8", "surrogatepass")
         classes, words = np.array(class_counts(raw), dtype=float), Counter(raw.lower().split())
         by_words = []
@@ -171,15 +172,18 @@ def judge(docs: DataFrame, refs: dict, **limits) -> DataFrame:
     kind = "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean, char_distance double, word_distance double"
     names = [k.split()[0] for k in kind.split(", ")]
 
-    def run(ids, texts):
-        rows = [judged(t, shared.value, **limits) | {"doc_id": i} for i, t in zip(ids, texts)]
+    langs = set(refs)
+
+    def run(ids, texts, own):
+        rows = [judged(t, shared.value, lang in langs, **limits) | {"doc_id": i} for i, t, lang in zip(ids, texts, own)]
         return {k: [r[k] for r in rows] for k in names}
 
-    return arrow_map(docs, kind, run, "doc_id", "text")
+    return arrow_map(docs, kind, run, "doc_id", "text", "lang")
 
 
 def reject(docs: DataFrame, refs: dict, **limits) -> DataFrame:
     """``docs`` without the rows that the rules reject, all columns kept."""
     shared = docs.sparkSession.sparkContext.broadcast(_prepared(refs))
+    langs = set(refs)
 
-    return arrow_keep(docs, lambda text: judged(text, shared.value, **limits)["kept"])
+    return arrow_keep(docs, lambda text, lang: judged(text, shared.value, lang in langs, **limits)["kept"], "text", "lang")

@@ -265,6 +265,24 @@ def test_quality(spark, odd, none):
     assert missed == 0
 
 
+def test_quality_of_rare_languages(spark):
+    """Clean texts are kept however small their language's share, with a reference of their own or without."""
+    rnd = np.random.default_rng(3)
+    text = lambda letters, n: " ".join("".join(rnd.choice(list(letters), 4)) if k % 3 else letters[k % 5] * 2 for k in range(n))
+    latin = [text("abcdefghij", 5000) for _ in range(10)]
+    rows = [(i, latin[i % 10], "en") for i in range(300)]
+    rows += [(1000 + i, text("абвгдежзик", 200), "ru") for i in range(7)] + [(2000, text("αβγδεζηθικ", 200), "el"), (3000, "#$%& " * 100 + " ".join(f"{k}#|" for k in range(300)), "en")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    refs = quality.references(docs)
+    assert set(refs) == {"en", "ru"} and refs["ru"][2] == 1400
+    found = {r["doc_id"]: r for r in quality.judge(docs, refs).collect()}
+    assert {k for k, r in found.items() if not r["kept"]} == {3000}
+    assert found[1000]["char_distance"] < 0.2 and found[2000]["char_distance"] is None
+    assert {r["doc_id"] for r in quality.reject(docs, refs).collect()} == set(found) - {3000}
+    few = docs.where("doc_id < 10 OR doc_id BETWEEN 1000 AND 2000")  # the same verdicts with less of the other language
+    assert {r["doc_id"]: r["kept"] for r in quality.judge(few, quality.references(few)).collect()} == {r: True for r in [*range(10), *range(1000, 1007), 2000]}
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_same_as_sql(spark, name):
     con = duckdb.connect()
