@@ -109,8 +109,10 @@ ENTITIES = f"""{TOKEN_LIST}, ent AS (SELECT 'http://dbpedia.org/resource/' || te
 wei AS (SELECT uri, sum(n)::BIGINT AS weight FROM ent GROUP BY uri)"""
 
 
-def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    uris = F.transform(F.slice(X.tokens(F.col("text")), 1, 40), lambda w: F.struct(F.concat(F.lit("http://dbpedia.org/resource/"), w).alias("@URI")))
+def _entities(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """Each word of a text as an entity: of the first 40, as the SQL has it, or of ``whole`` texts."""
+    tokens = X.tokens(F.col("text"))
+    uris = F.transform(tokens if whole else F.slice(tokens, 1, 40), lambda w: F.struct(F.concat(F.lit("http://dbpedia.org/resource/"), w).alias("@URI")))
     annotated = table(spark, sf_dir, "documents").select("doc_id", F.to_json(F.struct(uris.alias("Resources"))).alias("annotation"))
     return geo.entity_counts(annotated)
 
@@ -128,12 +130,30 @@ def entity_top(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("entity_quantile", f"""WITH {ENTITIES}, node AS (SELECT uri AS id, 'entity' AS kind, weight AS value FROM wei UNION ALL SELECT doc_id::VARCHAR, 'document', sum(n)::BIGINT FROM ent GROUP BY 1)
     SELECT id, kind, value FROM node WHERE kind = 'document' OR value >= (SELECT quantile_cont(value, 0.75) FROM node)""")
 def entity_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = _entities(spark, sf_dir)
+    return _entity_nodes(_entities(spark, sf_dir))
+
+
+def _entity_nodes(counts: DataFrame) -> DataFrame:
     entities = counts.groupBy(F.col("uri").alias("id")).agg(F.lit("entity").alias("kind"), F.sum("n").alias("value"))
     docs = counts.groupBy(F.col("doc_id").cast("string").alias("id")).agg(F.lit("document").alias("kind"), F.sum("n").alias("value"))
     return geo.over_quantile(entities.unionByName(docs))
 
 
+@query("entity_counts_whole")
+def entity_counts_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _entities(spark, sf_dir, whole=True)
+
+
+@query("entity_top_whole")
+def entity_top_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geo.top_entities(_entities(spark, sf_dir, whole=True))
+
+
+@query("entity_quantile_whole")
+def entity_quantile_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _entity_nodes(_entities(spark, sf_dir, whole=True))
+
+
 @query("event_props", "SELECT event_id, json_extract_string(props, '$.' || json_keys(props)[1]) AS first_value FROM events")
 def event_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = F.json_object_keys("props")

@@ -41,3 +41,27 @@ def test_every_sql_has_a_query():
 @pytest.mark.parametrize("name", ["lda_topics", "geoparse", "stemmed_frequencies"])
 def test_rows_only(spark, name):
     assert queries()[name](spark, SF).count() > 0
+
+
+def test_entities_of_whole_texts(spark):
+    """All words of long texts, against a plain count."""
+    import re
+    from collections import Counter
+
+    import numpy as np
+
+    want = Counter()
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        for w in re.sub(r"[^\w ]+", "", (r["text"] or "").lower()).split(" "):
+            if w:
+                want["http://dbpedia.org/resource/" + w, r["doc_id"]] += 1
+    assert {(r["uri"], r["doc_id"]): r["n"] for r in queries()["entity_counts_whole"](spark, SF).collect()} == want
+    weight, docs = Counter(), Counter()
+    for (uri, doc_id), n in want.items():
+        weight[uri] += n
+        docs[str(doc_id)] += n
+    edge = sorted(weight.values(), reverse=True)[99]
+    assert {r["uri"]: r["weight"] for r in queries()["entity_top_whole"](spark, SF).collect()} == {u: n for u, n in weight.items() if n > edge}
+    least = np.quantile([*weight.values(), *docs.values()], 0.75)
+    found = {(r["id"], r["kind"]): r["value"] for r in queries()["entity_quantile_whole"](spark, SF).collect()}
+    assert found == {(d, "document"): n for d, n in docs.items()} | {(u, "entity"): n for u, n in weight.items() if n >= least}
