@@ -33,6 +33,10 @@ from lexloom.llm.common import arrow_map, words, written
 from lexloom.llm.components import stars, union_find
 
 
+#: A text's hash beside the columns of documents.
+_ROW = "_text_hash"
+
+
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     """The SimHash of a text's word shingles, unsigned."""
     found = words(text)
@@ -178,12 +182,19 @@ def components(docs: DataFrame, radius: int = 3, shingle: int = 3) -> DataFrame:
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one document of each component of near copies: that of the smallest id, once.
 
-    Near copies have at least 0.8 of their five-word shingles in common.  Rows with null ids can't be told apart by id and stay.
+    Near copies have at least 0.8 of their five-word shingles in common.  An id
+    may stand for several texts: rows are told apart by id and text, and of those
+    of the smallest id in a component one stays.  Rows with null ids stay.
     """
-    found = written(near_copies.components(docs, **options).select("doc_id", "component_id"), "components")
-    losers = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(losers.hint("merge"), "doc_id", "left_anti")  # losers grow with the documents: one plan at every size
-    again = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if again.isEmpty():
-        return kept
-    return kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    found = written(near_copies.components(docs, **options).where("doc_id IS NOT NULL"), "components")
+    first = found.groupBy("component").agg(F.min(F.struct("doc_id", "row")).alias("first"))
+    told = found.join(first, "component")
+    losers = told.where("doc_id <> first.doc_id OR row <> first.row").select("doc_id", "row").distinct()
+    rows = docs.withColumn(_ROW, F.xxhash64("text"))
+    same = losers.withColumnRenamed("row", _ROW).hint("merge")  # losers grow with the documents: one plan at every size
+    kept = rows.join(same, ["doc_id", _ROW], "left_anti")
+    again = found.groupBy("doc_id", "row").count().where("count > 1").select("doc_id", F.col("row").alias(_ROW))
+    if not again.isEmpty():
+        once = kept.join(again, ["doc_id", _ROW], "left_semi").dropDuplicates(["doc_id", _ROW])
+        kept = kept.join(again, ["doc_id", _ROW], "left_anti").unionByName(once)
+    return kept.select(*docs.columns)

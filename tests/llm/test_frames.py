@@ -138,6 +138,14 @@ def test_near_copies_against_all_pairs(spark, most):
     assert {r["doc_id"] for r in simhash.keep_one(docs, most=most).collect()} == plain_near_copies(rows)
 
 
+def test_near_copies_of_repeated_ids(spark):
+    """An id with two texts loses only the text that is a near copy, and keeps both if neither is."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(80)) for x in "abcd")
+    rows = [(1, a), (2, a + " end"), (2, b), (3, c), (3, d), (3, d), (4, c + " end"), (5, b), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    assert Counter((r["doc_id"], r["text"]) for r in simhash.keep_one(docs).collect()) == Counter([(1, a), (2, b), (3, c), (3, d), (None, a)])
+
+
 def test_pipeline_drops_near_copies(spark):
     """The near-duplicate stage on texts with 4-11 bits between near copies."""
     import corpus_pipeline
