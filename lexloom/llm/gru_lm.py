@@ -2,19 +2,26 @@
 
 Word counts over all training documents give the base model, the model's
 vocabulary and its word classes.  The recurrent part is trained in numpy by
-truncated backpropagation: each task runs its own training documents from the
-same start, carrying the state through whole documents and taking a gradient
-step on every ``every``-th window (by default on all); the tasks' weights are averaged by trained
-tokens, for ``rounds`` rounds.  The softmax is factored into classes: words of
-the vocabulary in classes of like frequency, and the others in classes by the
-hash of their last bytes, where a word has its add-one share of the class's
-count.  A document is scored with the state carried across windows from its
-first token to its end.
+truncated backpropagation through every window of every training document,
+the state carried from window to window of a document.  The softmax is
+factored into classes: classes of vocabulary words of like frequency, and one
+whose members are the classes of all other words, by the hash of their last
+bytes, where a word has its add-one share of its class's count.  A document is
+scored with the state carried across windows from its first token to its end.
+
+Training is independent of how the table is partitioned.  Texts are encoded
+once; training documents are dealt to blocks of about ``block_tokens`` tokens
+by a hash of their id and codes, as many blocks as the number of training
+tokens asks for.  A round takes each block of its part (one of ``parts``), runs
+its documents in parallel streams from the round's weights, with a gradient
+step on every window, and averages the blocks' weights by their tokens.  There
+are ``epochs`` times ``parts`` rounds.
 
 Scale.  Counts are summed in each batch before their shuffle.  The vocabulary
 and the table of frequent counts that tasks hold have fixed bounds; the other
-words of a document get their counts by a join.  Weights (about 1 MB) are
-averaged by pieces, never gathered task by task on the driver.
+words of a document get their counts by a join.  Blocks have a bounded size
+and are rows of a written table.  Weights (about 1 MB) are averaged by pieces,
+never gathered block by block on the driver.
 
 Rows.  A null or empty text is its end token.  A null id is never held out.
 Without training documents counts are 0 and the model is its start.  Repeated
@@ -23,6 +30,7 @@ rows come back once each.
 
 from __future__ import annotations
 
+import heapq
 import math
 import zlib
 from collections import Counter
@@ -31,12 +39,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import arrow_map, frequent, held_out, words, written
+from lexloom.llm.common import arrow_map, frequent, held_out, slices, words, written
 
 #: The end of a text as a word; no word holds a line end.
 END = b"\n"
 CLASS = 64  # words in a class of the vocabulary
-TAILS = 64  # classes of other words
+TAILS = CLASS  # classes of other words, the members of the last class
 HIDDEN = 16
 
 
@@ -58,11 +66,15 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 class Net:
-    """The network's weights in one flat array, and its forward and backward passes."""
+    """The network's weights in one flat array, and its forward and backward passes.
+
+    All biases are the last rows of their matrices, and states have a last
+    column of ones for them.
+    """
 
     def __init__(self, class_bias: np.ndarray, word_bias: np.ndarray, flat: np.ndarray | None = None):
-        h, c, k = HIDDEN, len(class_bias), len(word_bias)
-        self.shapes = {"inputs": (k * CLASS + TAILS, 3 * h), "recur": (h, 3 * h), "to_class": (h, c), "class_bias": (c,), "to_word": (k, h, CLASS), "word_bias": (k, CLASS)}
+        h, c = HIDDEN, len(class_bias)
+        self.shapes = {"inputs": (c * CLASS, 3 * h), "recur": (h, 3 * h), "to_class": (h + 1, c), "to_word": (c, h + 1, CLASS)}
         size = sum(map(math.prod, self.shapes.values()))
         self.flat = np.zeros(size, dtype=np.float32) if flat is None else flat.astype(np.float32)
         self.parts = self.view(self.flat)
@@ -70,8 +82,8 @@ class Net:
             rng = np.random.default_rng(5)
             self.parts["inputs"][:] = rng.normal(0, 0.3, self.shapes["inputs"])
             self.parts["recur"][:] = rng.normal(0, 0.2, self.shapes["recur"])
-            self.parts["class_bias"][:] = class_bias
-            self.parts["word_bias"][:] = word_bias
+            self.parts["to_class"][h] = class_bias
+            self.parts["to_word"][:, h] = word_bias
 
     def view(self, flat: np.ndarray) -> dict[str, np.ndarray]:
         out, at = {}, 0
@@ -80,174 +92,221 @@ class Net:
             at += math.prod(shape)
         return out
 
-    def step(self, x: np.ndarray, h: np.ndarray, keep: list | None = None) -> np.ndarray:
-        """The next states after inputs ``x``."""
-        a, u, k = self.parts["inputs"][x], h @ self.parts["recur"], HIDDEN
-        gates = a[:, : 2 * k] + u[:, : 2 * k]
-        np.negative(gates, out=gates)
-        np.exp(gates, out=gates)
-        gates += 1
-        np.reciprocal(gates, out=gates)
-        z, r, u = gates[:, :k], gates[:, k:], u[:, 2 * k :]
-        n = r * u
-        n += a[:, 2 * k :]
-        np.tanh(n, out=n)
-        if keep is not None:
-            keep.append((x, h, z, r, n, u))
-        out = h - n
-        out *= z
-        out += n
-        return out
-
-    def outputs(self, h: np.ndarray, y: np.ndarray, grad: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """Natural log of each target's class and in-class share, and the gradient by ``h`` where one is asked for.
+    def forward(self, x: np.ndarray, edges: np.ndarray, fresh: dict[int, np.ndarray], h: np.ndarray, keep: bool = False) -> tuple[np.ndarray, tuple]:
+        """The states after each input, with a column of ones, and what ``backward`` needs if ``keep``.
 
-        A target below the vocabulary's size is a word, one above a class of other words.
+        Step t's inputs are ``x[edges[t]:edges[t + 1]]``, for the first rows of
+        ``h``, which is left at the last states; rows ``fresh[t]`` begin anew.
         """
-        p, vocab = self.parts, len(self.parts["word_bias"]) * CLASS
-        kind = np.where(y < vocab, y // CLASS, y - vocab + vocab // CLASS)
-        out, dh = np.empty(len(y), dtype=np.float64), None if grad is None else np.zeros_like(h)
-        for a in range(0, len(y), 8192):
-            own, k = h[a : a + 8192], kind[a : a + 8192]
-            e = own @ p["to_class"] + p["class_bias"]
-            np.exp(e, out=e)
-            total = e.sum(axis=1)
-            rows = np.arange(len(k))
-            out[a : a + 8192] = np.log(e[rows, k] / total)
-            if grad is not None:
-                e /= total[:, None]
-                e[rows, k] -= 1
-                grad["to_class"] += own.T @ e
-                grad["class_bias"] += e.sum(axis=0)
-                dh[a : a + 8192] += e @ p["to_class"].T
-        order = np.argsort(kind, kind="stable")
-        edges = np.searchsorted(kind[order], np.arange(vocab // CLASS + 1))
-        for k in np.flatnonzero(np.diff(edges)).tolist():
-            at = order[edges[k] : edges[k + 1]]
-            own, word = h[at], y[at] % CLASS
-            e = own @ p["to_word"][k] + p["word_bias"][k]
-            np.exp(e, out=e)
-            total = e.sum(axis=1)
-            rows = np.arange(len(at))
-            out[at] += np.log(e[rows, word] / total)
-            if grad is not None:
-                e /= total[:, None]
-                e[rows, word] -= 1
-                grad["to_word"][k] += own.T @ e
-                grad["word_bias"][k] += e.sum(axis=0)
-                dh[at] += e @ p["to_word"][k].T
-        return out, dh
-
-    def backward(self, kept: list, dh_out: list[np.ndarray], grad: dict) -> None:
-        """Truncated backpropagation through one window."""
+        k, recur = HIDDEN, self.parts["recur"]
+        a = self.parts["inputs"][x]
+        out = np.empty((len(x), k + 1), dtype=np.float32)
+        out[:, k] = 1
+        before, cand = (np.empty((len(x), k), dtype=np.float32) for _ in range(2)) if keep else (None, None)
+        reset = np.empty((len(x), k), dtype=np.float32) if keep else None
+        for t, (i, j) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())):
+            own = h[: j - i]
+            if t in fresh:
+                own[fresh[t]] = 0
+            u, gates = own @ recur, a[i:j, : 2 * k]
+            gates += u[:, : 2 * k]
+            np.negative(gates, out=gates)
+            np.exp(gates, out=gates)
+            gates += 1
+            np.reciprocal(gates, out=gates)
+            z, n, u = gates[:, :k], a[i:j, 2 * k :], u[:, 2 * k :]
+            if keep:
+                before[i:j], reset[i:j] = own, u
+            u = u * gates[:, k:]
+            n += u
+            np.tanh(n, out=n)
+            own -= n
+            own *= z
+            own += n
+            out[i:j, :k] = own
+        return out, (before, a, reset)
+
+    def backward(self, x: np.ndarray, edges: np.ndarray, fresh: dict[int, np.ndarray], kept: tuple, dh: np.ndarray, grad: dict) -> None:
+        """Truncated backpropagation through one window; ``dh``: the gradient by its states, overwritten."""
         k, carry, recur = HIDDEN, None, self.parts["recur"].T.copy()
-        by_input = np.empty((sum(len(x) for x, *_ in kept), 3 * k), dtype=np.float32)
-        by_state = np.empty_like(by_input)
-        at = len(by_input)
-        for (x, h, z, r, n, u), own in zip(reversed(kept), reversed(dh_out)):
-            d = own
+        before, a, u = kept
+        z, r, n = a[:, :k], a[:, k : 2 * k], a[:, 2 * k :]
+        to_z = before - n
+        to_z *= z
+        to_n = 1 - z
+        to_z *= to_n
+        to_n *= 1 - n * n
+        to_r = 1 - r
+        to_r *= r
+        to_r *= u
+        by_state = np.empty((len(x), 3 * k), dtype=np.float32)
+        for t in range(len(edges) - 2, -1, -1):
+            i, j = int(edges[t]), int(edges[t + 1])
+            d, s = dh[i:j], by_state[i:j]
             if carry is not None:
                 d[: len(carry)] += carry
-            at -= len(x)
-            a, s = by_input[at : at + len(x)], by_state[at : at + len(x)]
-            dn = d * (1 - z)
-            dn *= 1 - n * n
-            a[:, :k] = d * (h - n) * z * (1 - z)
-            a[:, k : 2 * k] = dn * u * r * (1 - r)
-            a[:, 2 * k :] = dn
-            s[:, : 2 * k] = a[:, : 2 * k]
-            s[:, 2 * k :] = dn * r
-            carry = d * z
-            carry += s @ recur
-        grad["recur"] += np.concatenate([h for _, h, *_ in kept]).T @ by_state
-        x = np.concatenate([x for x, *_ in kept])
+            np.multiply(d, to_z[i:j], out=s[:, :k])
+            dn = d * to_n[i:j]
+            np.multiply(dn, to_r[i:j], out=s[:, k : 2 * k])
+            np.multiply(dn, r[i:j], out=s[:, 2 * k :])
+            to_n[i:j] = dn
+            if t:
+                carry = s @ recur
+                d *= z[i:j]
+                carry += d
+                if t in fresh:
+                    carry[fresh[t]] = 0
+        grad["recur"] += before.T @ by_state
+        by_state[:, 2 * k :] = to_n
         order = np.argsort(x, kind="stable")
         x = x[order]
         starts = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
-        grad["inputs"][x[starts]] += np.add.reduceat(by_input[order], starts, axis=0)
-
+        grad["inputs"][x[starts]] += np.add.reduceat(by_state[order], starts, axis=0)
 
-class Lockstep:
-    """Documents side by side, longest first, so that the live ones at a step come first."""
-
-    def __init__(self, codes: list[np.ndarray], end: int):
-        self.order = sorted(range(len(codes)), key=lambda i: -len(codes[i]))
-        lengths = np.array([len(codes[i]) for i in self.order])
+    def outputs(self, h: np.ndarray, y: np.ndarray, grad: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+        """Natural log of each target's class and in-class share, and the gradient by ``h`` where one is asked for."""
+        p, kind = self.parts, y // CLASS
+        # rows by class, so that a class's are a slice
+        order = np.argsort(kind.astype(np.uint8) if len(p["to_word"]) < 256 else kind, kind="stable")
+        edges = np.searchsorted(kind[order], np.arange(len(p["to_word"]) + 1)).tolist()
+        own, word = h[order], y[order] % CLASS
+        kind = kind[order]
+        shares = np.empty((2, len(y)), dtype=np.float32)
+        dh = None if grad is None else np.empty((len(y), HIDDEN + 1), dtype=np.float32)
+        self._softmax(own, kind, p["to_class"], shares[0], None if grad is None else grad["to_class"], dh)
+        inner = None if grad is None else np.empty_like(dh)
+        for k, (i, j) in enumerate(zip(edges, edges[1:])):
+            if i < j:
+                self._softmax(own[i:j], word[i:j], p["to_word"][k], shares[1, i:j], None if grad is None else grad["to_word"][k], None if grad is None else inner[i:j])
+        np.log(shares, out=shares)
+        out = np.empty(len(y), dtype=np.float64)
+        out[order] = shares.sum(axis=0, dtype=np.float64)
+        if grad is None:
+            return out, None
+        dh += inner
+        back = np.empty((len(y), HIDDEN), dtype=np.float32)
+        back[order] = dh[:, :HIDDEN]
+        return out, back
+
+    @staticmethod
+    def _softmax(h: np.ndarray, y: np.ndarray, weights: np.ndarray, share: np.ndarray, grad: np.ndarray | None, dh: np.ndarray | None) -> None:
+        """Each target's share; adds to the weights' gradient and sets that by ``h``."""
+        ones = np.ones(weights.shape[1], dtype=np.float32)
+        for a in range(0, len(y), 4096):
+            own, at = h[a : a + 4096], y[a : a + 4096]
+            e = own @ weights
+            np.exp(e, out=e)
+            total = e @ ones
+            at = np.arange(0, e.size, e.shape[1]) + at
+            e = e.reshape(-1)
+            hit = e[at]
+            np.divide(hit, total, out=share[a : a + 4096])
+            if grad is not None:
+                e[at] = hit - total
+                e = e.reshape(len(own), -1)
+                total = total[:, None]
+                grad += (own / total).T @ e
+                np.divide(e @ weights.T, total, out=dh[a : a + 4096])
+
+
+class Streams:
+    """Documents one after another in up to ``most`` parallel streams, longest first into the shortest stream.
+
+    Streams are in order of length, so that the live ones at a step come first.
+    A document's first input is the end token, which is what its stream's last
+    one ended with.  With a ``seed`` a stream's documents are shuffled.
+    """
+
+    def __init__(self, codes: list[np.ndarray], end: int, most: int, seed: int | None = None):
+        heap = [(0, k) for k in range(min(most, len(codes)))]
+        self.streams: list[list[int]] = [[] for _ in heap]
+        for i in sorted(range(len(codes)), key=lambda i: -len(codes[i])):
+            size, k = heap[0]
+            heapq.heapreplace(heap, (size + len(codes[i]), k))
+            self.streams[k].append(i)
+        if seed is not None:
+            rng = np.random.default_rng(seed)
+            self.streams = [rng.permutation(own).tolist() for own in self.streams]
+        sizes = dict((k, size) for size, k in heap)
+        self.streams.sort(key=lambda s: -sum(len(codes[i]) for i in s))
+        lengths = np.array(sorted(sizes.values(), reverse=True))
         self.live = len(lengths) - np.searchsorted(lengths[::-1], np.arange(lengths[0]), side="right")
-        self.starts = np.r_[0, np.cumsum(self.live)]
-        self.y = np.empty(self.starts[-1], dtype=np.int32)
-        for d, i in enumerate(self.order):
-            self.y[self.starts[: len(codes[i])] + d] = codes[i]
-        self.end = end
-
-    def inputs(self, t: int) -> np.ndarray:
-        n = self.live[t]
-        return np.full(n, self.end, dtype=np.int32) if t == 0 else self.y[self.starts[t - 1] : self.starts[t - 1] + n]
-
-    def targets(self, a: int, b: int) -> np.ndarray:
-        return self.y[self.starts[a] : self.starts[b]]
-
-
-def log_likelihoods(net: Net, codes: list[np.ndarray], end: int, window_tokens: int = 32_768) -> np.ndarray:
+        self.edges = np.r_[0, np.cumsum(self.live)]
+        self.y = np.empty(self.edges[-1], dtype=np.int32)
+        self.x = np.empty(self.edges[-1], dtype=np.int32)
+        begun: dict[int, list[int]] = {}
+        for d, own in enumerate(self.streams):
+            whole = np.concatenate([codes[i] for i in own])
+            at = self.edges[: len(whole)] + d
+            self.y[at] = whole
+            self.x[at[0]] = end
+            self.x[at[1:]] = whole[:-1]
+            t = 0
+            for i in own:
+                begun.setdefault(t, []).append(d)
+                t += len(codes[i])
+        self.begun = {t: np.array(d) for t, d in begun.items()}
+
+    def windows(self, steps: int | None = None, most_tokens: int | None = None):
+        """(inputs, targets, edges within, rows that begin anew by step) of ``steps`` steps, or as many as ``most_tokens`` allow, one at least."""
+        a, last = 0, len(self.live)
+        while a < last:
+            b = a + steps if steps else max(a + 1, int(np.searchsorted(self.edges, self.edges[a] + most_tokens, side="right")) - 1)
+            b = min(b, last)
+            i, j = self.edges[a], self.edges[b]
+            yield a, b, self.x[i:j], self.y[i:j], self.edges[a : b + 1] - i, {t - a: self.begun[t] for t in range(a, b) if t in self.begun}
+            a = b
+
+
+def log_likelihoods(net: Net, codes: list[np.ndarray], end: int, most: int = 512, window_tokens: int = 32_768) -> np.ndarray:
     """Natural log probability of each document's classes and words, the state carried from window to window."""
-    docs = Lockstep(codes, end)
-    h, total = np.zeros((len(codes), HIDDEN), dtype=np.float32), np.zeros(len(codes))
-    a, last = 0, len(docs.live)
-    while a < last:
-        b, states = a, []
-        while b < last and (b == a or docs.starts[b + 1] - docs.starts[a] <= window_tokens):
-            n = docs.live[b]
-            h[:n] = net.step(docs.inputs(b), h[:n])
-            states.append(h[:n].copy())
-            b += 1
-        own, _ = net.outputs(np.concatenate(states), docs.targets(a, b))
-        which = np.concatenate([np.arange(n) for n in docs.live[a:b]])
-        total += np.bincount(which, weights=own, minlength=len(total))
-        a = b
+    docs = Streams(codes, end, most)
+    h, flat = np.zeros((len(docs.streams), HIDDEN), dtype=np.float32), np.empty(len(docs.y))
+    for a, b, x, y, edges, fresh in docs.windows(most_tokens=window_tokens):
+        states, _ = net.forward(x, edges, fresh, h)
+        flat[docs.edges[a] : docs.edges[b]] = net.outputs(states, y)[0]
     out = np.empty(len(codes))
-    out[docs.order] = total
+    for d, own in enumerate(docs.streams):
+        t = 0
+        for i in own:
+            out[i] = flat[docs.edges[t : t + len(codes[i])] + d].sum()
+            t += len(codes[i])
     return out
 
 
 class Trainer:
     """Adam over windows; keeps how many tokens it has learned from."""
 
-    def __init__(self, net: Net, rate: float, window: int, every: int):
-        self.net, self.rate, self.window, self.every = net, rate, window, every
-        self.m, self.v = np.zeros_like(net.flat), np.zeros_like(net.flat)
-        self.windows = self.steps = self.tokens = 0
-
-    def documents(self, codes: list[np.ndarray], end: int) -> None:
-        docs, net = Lockstep(codes, end), self.net
-        h, last = np.zeros((len(codes), HIDDEN), dtype=np.float32), len(docs.live)
-        for a in range(0, last, self.window):
-            b, kept, states = min(last, a + self.window), [], []
-            learn = self.windows % self.every == 0  # one count over all documents
-            self.windows += 1
-            for t in range(a, b):
-                n = docs.live[t]
-                h[:n] = net.step(docs.inputs(t), h[:n].copy(), kept if learn else None)
-                if learn:
-                    states.append(h[:n].copy())
-            if learn:
-                grad = np.zeros_like(net.flat)
-                parts, y = net.view(grad), docs.targets(a, b)
-                _, dh = net.outputs(np.concatenate(states), y, parts)
-                edges = np.r_[0, np.cumsum([len(s) for s in states])]
-                net.backward(kept, [dh[i:j] for i, j in zip(edges, edges[1:])], parts)
-                self.learn(grad / len(y), len(y))
-
-    def learn(self, grad: np.ndarray, tokens: int) -> None:
+    def __init__(self, net: Net, rate: float, window: int):
+        self.net, self.rate, self.window = net, rate, window
+        self.m, self.v, self.grad = (np.zeros_like(net.flat) for _ in range(3))
+        self.steps = self.tokens = 0
+
+    def documents(self, codes: list[np.ndarray], end: int, most: int, longest: int = 8192) -> None:
+        """Learns from every window.  Documents of over ``longest`` tokens are run as several, so that streams are of like length."""
+        codes = [own[a : a + longest] for own in codes for a in range(0, len(own), longest)]
+        most = min(most, max(1, sum(map(len, codes)) // max(map(len, codes))))
+        docs, net, parts = Streams(codes, end, most, seed=0), self.net, self.net.view(self.grad)
+        h = np.zeros((len(docs.streams), HIDDEN), dtype=np.float32)
+        for _, _, x, y, edges, fresh in docs.windows(self.window):
+            self.grad[:] = 0
+            states, kept = net.forward(x, edges, fresh, h, keep=True)
+            _, dh = net.outputs(states, y, parts)
+            net.backward(x, edges, fresh, kept, dh, parts)
+            self.learn(len(y))
+
+    def learn(self, tokens: int) -> None:
+        """A step by the mean of the gradient, its length one at most."""
         self.steps += 1
         self.tokens += tokens
-        grad *= min(1.0, 1.0 / (float(np.sqrt((grad * grad).sum())) + 1e-9))
+        grad, k = self.grad, self.steps
+        grad *= min(1.0 / tokens, 1.0 / (math.sqrt(float(grad @ grad)) + 1e-9))
         self.m *= 0.9
-        self.m += 0.1 * grad
+        self.v *= 0.99
+        self.m += np.float32(0.1) * grad
         grad *= grad
         grad *= 0.01
-        self.v *= 0.99
         self.v += grad
-        k = self.steps
         np.multiply(self.v, 1 / (1 - 0.99**k), out=grad)
         np.sqrt(grad, out=grad)
         grad += 1e-8
@@ -277,10 +336,11 @@ class Tables:
         real = np.arange(size) < len(vocabulary)
         by_class = (counts + real).reshape(-1, CLASS)
         self.tail_sizes = np.array([sum(tails.get(k, (0, 0))) + 1 for k in range(TAILS)], dtype=float)
-        mass = np.r_[by_class.sum(axis=1), self.tail_sizes]
+        by_class = np.vstack([by_class, self.tail_sizes])
+        mass = by_class.sum(axis=1)
         self.class_bias = np.log(mass / mass.sum())
         with np.errstate(divide="ignore"):
-            shares = np.log(by_class / by_class.sum(axis=1, keepdims=True))
+            shares = np.log(by_class / mass[:, None])
         self.word_bias = np.where(np.isfinite(shares), shares, -60.0)
         self.code = Codes((w, i) for i, (w, _) in enumerate(vocabulary))
         self.end = self.code[END]
@@ -297,7 +357,7 @@ class Tables:
         self.unknown = self.code.unknown = len(base)
         self.base = np.array(base + [0.0] * TAILS)
         self.tail = np.array(tail + [0.0] * TAILS)
-        self.target = np.array(target + [size + k for k in range(TAILS)], dtype=np.int32)
+        self.target = np.array(target + [size + k for k in range(TAILS)], dtype=np.uint16)
 
     def codes(self, found: list[bytes]) -> np.ndarray:
         own = list(map(self.code.__getitem__, found))
@@ -319,58 +379,113 @@ def tables(counts: DataFrame, vocabulary: int = 4096, table: int = 131_072) -> T
     return Tables(known, of(frequent(rest, table - vocabulary)), tails, sums["n"], sums["v"])
 
 
-def _blocks(codes: list[np.ndarray], most_docs: int, most_tokens: int):
-    """Lists of positions of documents of like length."""
-    order, block, size = sorted(range(len(codes)), key=lambda i: len(codes[i])), [], 0
-    for i in order:
-        if block and (len(block) == most_docs or size + len(codes[i]) > most_tokens):
-            yield block
-            block, size = [], 0
-        block.append(i)
-        size += len(codes[i])
-    if block:
-        yield block
+def encoded(docs: DataFrame, shared) -> DataFrame:
+    """``(key, doc_id, n_tokens, n_known, base, model, tail, codes)`` of each row; ``shared``: broadcast Tables.
+
+    ``tail`` counts the words that tasks know nothing of; ``n_known``, ``base``
+    and ``model``, the shares in their classes of words outside the vocabulary, lack them.
+    """
+    import pyarrow as pa
 
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("tf", pa.int32())])), pa.binary()]
+    names = ["key", "doc_id", "n_tokens", "n_known", "base", "model", "tail", "codes"]
 
-def train(docs: DataFrame, shared, rounds: int = 2, rate: float = 0.02, window: int = 32, every: int = 1, batch: int = 128, pieces: int = 16) -> np.ndarray:
-    """The flat weights after ``rounds`` rounds over the training documents ``docs``; ``shared``: broadcast Tables."""
+    def run(batches):
+        from pyspark import TaskContext
+
+        known: Tables = shared.value
+        key = TaskContext.get().partitionId() << 40
+        for b in slices(batches):
+            rows = [[] for _ in names]
+            for doc_id, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
+                found = words(t)
+                own = known.codes(found)
+                tail = Counter(found[i] for i in np.flatnonzero(own[:-1] >= known.unknown).tolist())
+                row = (key, doc_id, len(own), int(known.seen[own[own < known.unknown]].sum()), float(known.base[own].sum()), float(known.tail[own].sum()), [{"word": w, "tf": n} for w, n in tail.items()], known.target[own].tobytes())
+                for column, value in zip(rows, row):
+                    column.append(value)
+                key += 1
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds)], names=names)
+
+    kind = "key bigint, doc_id bigint, n_tokens bigint, n_known bigint, base double, model double, tail array<struct<word:binary,tf:int>>, codes binary"
+    return docs.select("doc_id", "text").mapInArrow(run, kind)
+
+
+def blocks(coded: DataFrame, parts: int = 2, block_tokens: int = 1 << 21) -> DataFrame:
+    """``(block, part, lengths, codes)``: the training documents of ``coded``, dealt and ordered by hash, some in each part.
+
+    A block holds about ``block_tokens`` tokens; one that hot hashes make larger is cut into several rows.
+    """
     import pyarrow as pa
 
-    spark = docs.sparkSession
+    n = coded.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
+    count = parts * max(1, round(n / (parts * block_tokens)))
+    names = ["block", "part", "lengths", "codes"]
+
+    def row(block, held):
+        return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([block % parts], pa.int32()), pa.array([np.array([len(c) // 2 for c in held], dtype=np.int32).tobytes()], pa.binary()), pa.array([b"".join(held)], pa.binary())], names=names)
+
+    def run(batches):
+        block, held, size = None, [], 0
+        for b in slices(batches):
+            for k, codes in zip(b.column("block").to_pylist(), b.column("codes").to_pylist()):
+                if held and (k != block or size > 3 * block_tokens):  # in bytes, two a token
+                    yield row(block, held)
+                    held, size = [], 0
+                block = k
+                held.append(codes)
+                size += len(codes)
+        if held:
+            yield row(block, held)
+
+    by_hash = coded.select(F.xxhash64("doc_id", "codes").alias("at"), "codes").withColumn("block", F.pmod(F.col("at"), F.lit(count)))
+    dealt = by_hash.repartitionById(count, F.col("block").cast("int")).sortWithinPartitions("block", "at", "codes")
+    return written(dealt.select("block", "codes").mapInArrow(run, "block bigint, part int, lengths binary, codes binary"), "lm-blocks")
+
+
+def train(dealt: DataFrame, shared, epochs: int = 2, parts: int = 2, rate: float = 0.02, window: int = 32, streams: int = 256, pieces: int = 16) -> np.ndarray:
+    """The flat weights after ``epochs`` times ``parts`` rounds over the rows of ``blocks``; ``shared``: broadcast Tables.
+
+    The rate falls evenly from round to round.
+    """
+    import pyarrow as pa
+
+    spark = dealt.sparkSession
     known: Tables = shared.value
     weights = Net(known.class_bias, known.word_bias).flat
-    for r in range(rounds):
+    names, kind = ["block", "piece", "tokens", "data"], "block bigint, piece int, tokens bigint, data binary"
+
+    def average(batches):
+        sums: dict[int, tuple[float, np.ndarray]] = {}
+        for b in batches:  # in order of blocks, so that sums don't depend on tasks
+            for piece, tokens, data in zip(*(b.column(c).to_pylist() for c in names[1:])):
+                at, total = sums.get(piece, (0.0, 0.0))
+                sums[piece] = at + tokens, total + tokens * np.frombuffer(data, dtype=np.float32).astype(np.float64)
+        out = sorted(sums.items())
+        yield pa.RecordBatch.from_arrays([pa.array([0] * len(out), pa.int64()), pa.array([k for k, _ in out], pa.int32()), pa.array([int(n) for _, (n, _) in out], pa.int64()), pa.array([(t / n).astype(np.float32).tobytes() for _, (n, t) in out], pa.binary())], names=names)
+
+    for r in range(epochs * parts):
         start = spark.sparkContext.broadcast(weights)
 
-        def learn(batches, start=start, rate=rate / (r + 1)):
+        def learn(batches, start=start, rate=rate * (1 - r / (epochs * parts))):
             known: Tables = shared.value
-            trainer = Trainer(Net(known.class_bias, known.word_bias, start.value), rate, window, every)
-            for b in batches:
-                codes = [known.target[known.codes(words(t))] for t in b.column("text").to_pylist()]
-                blocks = list(_blocks(codes, batch, 1 << 20))
-                for k in np.random.default_rng(len(blocks)).permutation(len(blocks)).tolist():
-                    trainer.documents([codes[i] for i in blocks[k]], known.end)
-            if trainer.tokens:
-                parts = np.array_split(trainer.net.flat, pieces)
-                yield pa.RecordBatch.from_arrays([pa.array(range(pieces), pa.int32()), pa.array([trainer.tokens] * pieces, pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["piece", "tokens", "data"])
-
-        def average(batches):
-            sums: dict[int, tuple[float, np.ndarray]] = {}
             for b in batches:
-                for piece, tokens, data in zip(*(b.column(c).to_pylist() for c in ("piece", "tokens", "data"))):
-                    at, total = sums.get(piece, (0.0, 0.0))
-                    sums[piece] = at + tokens, total + tokens * np.frombuffer(data, dtype=np.float32).astype(np.float64)
-            out = sorted(sums.items())
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array([int(n) for _, (n, _) in out], pa.int64()), pa.array([(t / n).astype(np.float32).tobytes() for _, (n, t) in out], pa.binary())], names=["piece", "tokens", "data"])
-
-        kind = "piece int, tokens bigint, data binary"
-        found = docs.select("text").mapInArrow(learn, kind).repartition(pieces, "piece").mapInArrow(average, kind).collect()  # ``pieces`` rows
+                for block, lengths, codes in zip(*(b.column(c) for c in ("block", "lengths", "codes"))):
+                    trainer = Trainer(Net(known.class_bias, known.word_bias, start.value), rate, window)
+                    edges = np.cumsum(np.frombuffer(lengths.as_py(), dtype=np.int32))
+                    trainer.documents(np.split(np.frombuffer(codes.as_py(), dtype=np.uint16), edges[:-1]), known.end, streams)
+                    data = [p.tobytes() for p in np.array_split(trainer.net.flat, pieces)]
+                    yield pa.RecordBatch.from_arrays([pa.array([block.as_py()] * pieces), pa.array(range(pieces), pa.int32()), pa.array([trainer.tokens] * pieces, pa.int64()), pa.array(data, pa.binary())], names=names)
+
+        learned = dealt.where(F.col("part") == r % parts).select("block", "lengths", "codes").mapInArrow(learn, kind)
+        found = learned.repartition(pieces, "piece").sortWithinPartitions("piece", "block", "tokens", "data").mapInArrow(average, kind).collect()  # ``pieces`` rows
         if found:
             weights = np.concatenate([np.frombuffer(bytes(x["data"]), dtype=np.float32) for x in sorted(found, key=lambda x: x["piece"])])
+        start.unpersist()
     return weights
 
 
-def score(docs: DataFrame, vocabulary: int = 4096, table: int = 131_072, **training) -> DataFrame:
+def score(docs: DataFrame, vocabulary: int = 4096, table: int = 131_072, parts: int = 2, block_tokens: int = 1 << 21, **training) -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` of each row."""
     import pyarrow as pa
 
@@ -378,33 +493,25 @@ def score(docs: DataFrame, vocabulary: int = 4096, table: int = 131_072, **train
     counts = written(word_counts(docs.where(~held_out(7)).select("text")), "lm-counts")
     known = tables(counts, vocabulary, table)
     shared = spark.sparkContext.broadcast(known)
-    weights = spark.sparkContext.broadcast(train(docs.where(~held_out(7)).select("text"), shared, **training))
+    coded = written(encoded(docs, shared), "lm-codes")
+    weights = spark.sparkContext.broadcast(train(blocks(coded.where(~held_out(7)), parts, block_tokens), shared, parts=parts, **training))
+    names = ["key", "doc_id", "n_tokens", "n_known", "base", "model"]
 
     def run(batches):
-        from pyspark import TaskContext
-
         known: Tables = shared.value
-        net, key = Net(known.class_bias, known.word_bias, weights.value), TaskContext.get().partitionId() << 40
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("tf", pa.int32())]))]
-        names = ["key", "doc_id", "n_tokens", "n_known", "base", "model", "tail"]
+        net = Net(known.class_bias, known.word_bias, weights.value)
         for b in batches:
-            codes, tails = [], []
-            for t in b.column("text").to_pylist():
-                found = words(t)
-                own = known.codes(found)
-                codes.append(own)
-                tails.append(Counter(found[i] for i in np.flatnonzero(own[:-1] >= known.unknown).tolist()))
-            model = np.empty(len(codes))
-            for block in _blocks(codes, 1024, 1 << 19):
-                model[block] = log_likelihoods(net, [known.target[codes[i]] for i in block], known.end)
-            n_known = [int((known.seen[c[c < known.unknown]]).sum()) for c in codes]
-            rows = [range(key, key + len(codes)), b.column("doc_id").to_pylist(), list(map(len, codes)), n_known, [float(known.base[c].sum()) for c in codes], [float(m) / math.log(10) + float(known.tail[c].sum()) for m, c in zip(model, codes)], [[{"word": w, "tf": n} for w, n in t.items()] for t in tails]]
-            key += len(codes)
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds)], names=names)
-
-    kind = "key bigint, doc_id bigint, n_tokens bigint, n_known bigint, base double, model double, tail array<struct<word:binary,tf:int>>"
-    part = written(docs.select("doc_id", "text").mapInArrow(run, kind), "lm-scores")
-    rare = part.select("key", F.explode("tail").alias("x")).select("key", "x.word", "x.tf")
+            codes, model, a = b.column("codes"), np.empty(b.num_rows), 0
+            sizes = np.cumsum(b.column("n_tokens").to_numpy())
+            while a < b.num_rows:
+                e = max(a + 1, int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + (1 << 21), side="right")))
+                model[a:e] = log_likelihoods(net, [np.frombuffer(c, dtype=np.uint16) for c in codes.slice(a, e - a).to_pylist()], known.end)
+                a = e
+            model = b.column("model").to_numpy() + model / math.log(10)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names[:-1]), pa.array(model)], names=names)
+
+    scored = coded.select(*names, "codes").mapInArrow(run, "key bigint, doc_id bigint, n_tokens bigint, n_known bigint, base double, model double")
+    rare = coded.select("key", F.explode("tail").alias("x")).select("key", "x.word", "x.tf")
     sizes = F.array(*map(F.lit, known.tail_sizes.tolist()))
     seen = F.coalesce(F.col("n"), F.lit(0))
     tail_size = F.element_at(sizes, F.pmod(F.crc32(F.substring("word", -3, 3)), F.lit(TAILS)).cast("int") + 1)
@@ -413,6 +520,6 @@ def score(docs: DataFrame, vocabulary: int = 4096, table: int = 131_072, **train
         F.sum(F.col("tf") * F.log10((seen + 1) / F.lit(float(known.n + known.v + 1)))).alias("more_base"),
         F.sum(F.col("tf") * F.log10((seen + 1) / tail_size)).alias("more_model"),
     )
-    all_ = part.drop("tail").join(sums, "key", "left")
+    all_ = scored.join(sums, "key", "left")
     plus = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
     return all_.select("doc_id", held_out(7).alias("held_out"), "n_tokens", plus("n_known", "more_known").alias("n_known"), F.lit(known.n).cast("bigint").alias("train_tokens"), plus("base", "more_base").alias("base_score"), plus("model", "more_model").alias("score"))
