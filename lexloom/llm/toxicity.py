@@ -6,16 +6,18 @@ neutral words.  Features are those that labelled toxic texts have
 significantly more often, and all identity terms.  In training, each labelled
 text with identity terms is paired with its counterfactual, terms swapped
 within their group, and the squared difference of the two scores is added to
-the loss: mentioning one group rather than another cannot carry a score.
+the loss: mentioning one group rather than another cannot carry a score.  The
+penalty's weight is large, since a small one shares a name's weight among the
+names of its group rather than taking it away.
 
 Scale.  The model is fitted on at most about ``most_rows`` labelled rows,
-chosen by a hash of their id; feature counts are summed in each batch.
+chosen by a hash of their id, then of their text; feature counts are summed in each batch.
 Scoring is one pass over the texts without a shuffle, with a model of at most
 ``most_features`` features.
 
 Rows.  A null or empty text has the model's base score.  Labels repeated for
 an id count as toxic if any is; null labels and ids without a text are left
-out.  Without labels of both kinds every score is the share of toxic labels
+out; equal rows of an id train once.  Without labels of both kinds every score is the share of toxic labels
 (0 if there are none).  Repeated rows come back once each, null ids too.
 """
 
@@ -83,7 +85,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000) -
     ours = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out(4)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = min(1.0, most_rows / max(1, ours.count()))
     chosen = ours.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < math.ceil(share * (1 << 20)))
-    return written(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "labelled")  # about most_rows rows
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id", "text"])  # about most_rows ids
+    rows = written(found.select("text", "toxic", F.xxhash64("doc_id", "text").alias("at")), "labelled")
+    share = min(1.0, most_rows / max(1, rows.count()))  # less than 1 if ids have several texts
+    return rows.where(F.pmod(F.xxhash64("at"), F.lit(1 << 20)) < math.ceil(share * (1 << 20))).select("text", "toxic")
 
 
 def select_features(rows: DataFrame, most_features: int = 4096, least_g2: float = 12.0, least_docs: int = 3) -> list[str]:
@@ -136,7 +141,7 @@ class Model:
         return self.__dict__ | {"memory": {}}
 
 
-def fit(active: list, toxic: np.ndarray, pairs: list, n_features: int, l2: float = 1e-4, fairness: float = 1.0, steps: int = 400, rate: float = 0.1) -> tuple[np.ndarray, float]:
+def fit(active: list, toxic: np.ndarray, pairs: list, n_features: int, l2: float = 1e-4, fairness: float = 30.0, steps: int = 400, rate: float = 0.1) -> tuple[np.ndarray, float]:
     """Weights and bias by full-batch Adam.
 
     ``active``: feature numbers of each row; ``pairs``: (row, feature numbers
@@ -167,7 +172,7 @@ def fit(active: list, toxic: np.ndarray, pairs: list, n_features: int, l2: float
     return w[:-1], float(w[-1])
 
 
-def train(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, most_features: int = 4096, fairness: float = 1.0) -> Model:
+def train(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, most_features: int = 4096, fairness: float = 30.0) -> Model:
     rows = training_rows(docs, labels, most_rows)
     names = select_features(rows, most_features)
     if not names:
