@@ -77,15 +77,31 @@ def known(run: str) -> bool:
     return bool(digest or UUID.fullmatch(run) or all(map(PART.fullmatch, JOINTS.split(run)))) or not (re.search("[0-9]", run) and re.search("[A-Za-z]", run))
 
 
-def _free(a: int, b: int, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """The stretches of a run that no base span covers."""
-    out = []
-    for s, _, e in taken:
-        if s < b and a < e:
-            if a < s:
-                out.append((a, s))
-            a = max(a, e)
-    return [*out, (a, b)] if a < b else out
+def _merged(spans: list[tuple[int, int, int]]) -> list[list[int]]:
+    """Sorted spans as stretches that neither touch nor overlap."""
+    out: list[list[int]] = []
+    for a, _, b in spans:
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return out
+
+
+def _free(runs, taken: list[list[int]]):
+    """The stretches of the runs, which come in order, that no stretch of ``taken`` covers: one pass over both."""
+    k = 0
+    for a, b in runs:
+        while k < len(taken) and taken[k][1] <= a:
+            k += 1
+        i = k
+        while i < len(taken) and taken[i][0] < b:
+            if a < taken[i][0]:
+                yield a, taken[i][0]
+            a = max(a, taken[i][1])
+            i += 1
+        if a < b:
+            yield a, b
 
 
 def _random(text: str, a: int, b: int, encode, least: int, most_ratio: float) -> list[tuple[int, int]]:
@@ -111,11 +127,10 @@ def scan(text: str | None, tokens="byte_bpe_50k.tiktoken", least: int = 16, most
     found = base_spans(text, raw)
     if b"1" * least not in raw.translate(_RUN_TABLE):
         return found
-    taken, encode = list(found), vocabulary(tokens).encode_ordinary
-    for m in RUN.finditer(text):
-        if m.end() - m.start() >= least:
-            for a, b in _free(*m.span(), taken):
-                found += [(a, 3, b) for a, b in _random(text, a, b, encode, least, most_ratio)]
+    taken, encode = _merged(found), vocabulary(tokens).encode_ordinary
+    runs = (m.span() for m in RUN.finditer(text) if m.end() - m.start() >= least)
+    for a, b in _free(runs, taken):
+        found += [(a, 3, b) for a, b in _random(text, a, b, encode, least, most_ratio)]
     return sorted(found)
 
 
