@@ -13,7 +13,8 @@ index of two documents' phrase sets, 1 for equal texts.
 
 Scale.  All documents of a block are parsed together in numpy.  To pair each
 document with its successor in descending id order, ids are cut into ranges
-of equal counts, texts are dealt by range, and each range also gets the first
+of equal counts, a frequent id and null ids into several by text hash; texts
+are dealt by range, one to a partition, and each range also gets the first
 document of the next one, so no task sees more than a range and texts are
 shuffled once.
 
@@ -25,6 +26,7 @@ ids come last.  An empty text's phrases are none; two empty texts are alike
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterable
 
 import numpy as np
@@ -151,34 +153,59 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+def _range_number(edges: list[int], pieces: list[int], nulls: int) -> F.Column:
+    """The number of a row's range: ids descend, rows of an edge's id are cut into its ``pieces`` by text hash, null ids into ``nulls``.
+
+    ``edges`` ascend.  They are looked up in two steps, so a row is compared
+    with about twice the root of their number.
+    """
+    share = lambda n: F.floor((F.xxhash64("text").cast("double") / float(1 << 64) + 0.5) * n).cast("int")
+    within = lambda n: F.least(F.greatest(share(n), F.lit(0)), n - 1)
+    if not edges:
+        return F.when(F.col("doc_id").isNull(), 1 + within(F.lit(nulls))).otherwise(0)
+    step = max(1, round(len(edges) ** 0.5))
+    groups = [edges[i : i + step] for i in range(0, len(edges), step)]
+    tops = F.array(*(F.lit(g[-1]) for g in groups))
+    group = F.size(F.filter(tops, lambda e: e < F.col("doc_id")))  # whole groups below the id
+    inner = F.try_element_at(F.array(*(F.array(*map(F.lit, g)) for g in groups)), group + 1)
+    below = group * step + F.coalesce(F.size(F.filter(inner, lambda e: e < F.col("doc_id"))), F.lit(0))
+    # of the edge at or above the id: its place from above, the ranges before its own, and how many rows of its id take
+    up = F.lit(len(edges)) - F.least(below, F.lit(len(edges)))
+    before, own = [0], [0]
+    for n in reversed(pieces):
+        before.append(before[-1] + own[-1] + 1)
+        own.append(n)
+    first, most = (F.element_at(F.array(*map(F.lit, x)), up + 1) for x in (before, own))
+    edge = F.try_element_at(F.array(*map(F.lit, edges)), F.least(below, F.lit(len(edges) - 1)) + 1)
+    at = first + F.when((up > 0) & (F.col("doc_id") == edge), within(most)).otherwise(most)
+    return F.when(F.col("doc_id").isNull(), before[-1] + own[-1] + 1 + within(F.lit(nulls))).otherwise(at).cast("int")
+
+
 def _ranges(docs: DataFrame, per_range: int) -> DataFrame:
-    """``(at, doc_id, text, heads)``: documents by range of descending ids; each range's successor row comes with ``heads`` true."""
+    """``(doc_id, text, heads)``: a partition for each range of descending ids, in order; at its end the successor row with ``heads`` true."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     seen = docs.agg(F.count("*").alias("n"), F.count("doc_id").alias("ids")).first()
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-seen["n"] // per_range))
-    edges = docs.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 100 * n)).first()[0] if seen["ids"] and n > 1 else []
-    edges = sorted(set(edges or []))
-    # ranges descend: 0 holds the largest ids, the last one the null ids
-    steps = F.array(*map(F.lit, edges)) if edges else F.array().cast("array<bigint>")
-    # equal ids stay together and ordered by a hash of their texts
-    at = F.when(F.col("doc_id").isNull(), len(edges) + 1).otherwise(F.size(F.filter(steps, lambda e: e >= F.col("doc_id"))))
-    placed = docs.withColumn("at", at)
-    order = F.struct(F.coalesce(-F.col("doc_id"), F.lit((1 << 63) - 1)).alias("a"), F.xxhash64("text").alias("b"))
-    tops = placed.groupBy("at").agg(F.min(order).alias("top")).collect()
+    cuts = docs.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 100 * n)).first()[0] if seen["ids"] and n > 1 else []
+    pieces = Counter(cuts or [])  # an id that several cuts fall on has that many ranges' rows
+    edges = sorted(pieces)
+    nulls = max(1, -(-(seen["n"] - seen["ids"]) * n // max(1, seen["n"])))
+    order = F.struct(F.col("doc_id").isNull().alias("a"), F.coalesce(F.bitwise_not("doc_id"), F.lit(0)).alias("b"), F.xxhash64("text").alias("c"))
+    placed = docs.select("doc_id", "text", _range_number(edges, [pieces[e] for e in edges], nulls).alias("at"), order.alias("o"))
+    tops = placed.groupBy("at").agg(F.min("o").alias("top")).collect()  # a row for each range
     used = sorted(r["at"] for r in tops)
     if not used:
-        return placed.select("at", "doc_id", "text", F.lit(False).alias("heads"))
+        return docs.withColumn("heads", F.lit(False))
     sends_to = dict(zip(used, [used[-1], *used[:-1]]))
-    firsts = spark.createDataFrame([(r["top"]["a"], r["top"]["b"], sends_to[r["at"]]) for r in tops], "ha bigint, hb bigint, goes bigint")
-    heads = placed.withColumn("o", order).join(F.broadcast(firsts), (F.col("o.a") == F.col("ha")) & (F.col("o.b") == F.col("hb")))  # a row for each range
-    heads = heads.groupBy("goes").agg(F.first(F.struct("doc_id", "text")).alias("x")).select(F.col("goes").cast("int").alias("at"), "x.doc_id", "x.text", F.lit(True).alias("heads"))
-    both = placed.select("at", "doc_id", "text", F.lit(False).alias("heads")).unionByName(heads)
-    own = F.coalesce(-F.col("doc_id"), F.lit((1 << 63) - 1))
-    return both.repartition(n, "at").sortWithinPartitions("at", "heads", own, F.xxhash64("text"))
+    firsts = spark.createDataFrame([(*r["top"], sends_to[r["at"]]) for r in tops], "ha boolean, hb bigint, hc bigint, goes int")
+    heads = placed.join(F.broadcast(firsts), (F.col("o.a") == F.col("ha")) & (F.col("o.b") == F.col("hb")) & (F.col("o.c") == F.col("hc")))  # a row for each range
+    heads = heads.groupBy("goes").agg(F.first(F.struct("doc_id", "text", "o")).alias("x")).select(F.col("goes").alias("at"), "x.doc_id", "x.text", "x.o", F.lit(True).alias("heads"))
+    both = placed.withColumn("heads", F.lit(False)).unionByName(heads)
+    return both.repartitionById(used[-1] + 1, "at").sortWithinPartitions("heads", "o").select("doc_id", "text", "heads")
 
 
-def compare_with_next(docs: DataFrame, levels: tuple[int, ...] = (2, 3, 4), size: int = 64, per_range: int = 20_000, block_chars: int = 150_000) -> DataFrame:
+def compare_with_next(docs: DataFrame, levels: tuple[int, ...] = (2, 3, 4), size: int = 64, per_range: int = 200_000, block_chars: int = 150_000) -> DataFrame:
     """``(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next)`` of each row."""
     import pyarrow as pa
 
@@ -205,7 +232,7 @@ def compare_with_next(docs: DataFrame, levels: tuple[int, ...] = (2, 3, 4), size
         for batch in batches:
             for doc_id, text, head in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "heads"))):
                 text = text or ""
-                if held and (head or chars >= block_chars or len(held) >= 20_000):
+                if held and (head or chars >= block_chars or len(held) >= 4096):
                     yield judged(held, (doc_id, text))
                     held, chars = [], 0
                 if not head:
