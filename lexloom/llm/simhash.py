@@ -187,8 +187,10 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     of the smallest id in a component one stays.  Rows with null ids stay.
     """
     found = written(near_copies.components(docs, **options).where("doc_id IS NOT NULL"), "components")
-    first = found.groupBy("component").agg(F.min(F.struct("doc_id", "row")).alias("first"))
-    told = found.join(first, "component")
+    first = found.groupBy("component").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # a component may hold many rows: they are dealt over salts
+    salted = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    told = found.withColumn("salt", F.pmod(F.xxhash64("doc_id", "row"), F.lit(16)).cast("int")).join(salted, ["component", "salt"])
     losers = told.where("doc_id <> first.doc_id OR row <> first.row").select("doc_id", "row").distinct()
     rows = docs.withColumn(_ROW, F.xxhash64("text"))
     same = losers.withColumnRenamed("row", _ROW).hint("merge")  # losers grow with the documents: one plan at every size
