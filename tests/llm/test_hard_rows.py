@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexloom.llm import phrase_prints, secret_scan, toxicity
+from lexloom.llm import phrase_prints, secret_scan, toxicity, url_rules
 
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
@@ -161,3 +161,26 @@ def test_training_rows_are_bounded(spark):
     rows = toxicity.training_rows(docs, labels, most_rows=1000)
     assert 300 < rows.count() < 1300
     assert toxicity.training_rows(docs.where("text = 'text 0'"), labels).count() == 1
+
+
+@pytest.mark.parametrize("hosts_per_range", [2, 40, 50_000])
+def test_nested_rule_hosts_over_ranges(spark, hosts_per_range):
+    """Rules whose hosts nest, and hosts that only look alike, against every rule tried on every URL."""
+    rng = np.random.default_rng(11)
+    labels = ["a", "a-b", "ab", "b", "c\x01d", "", "é"]
+    host = lambda: ".".join(rng.choice(labels, rng.integers(1, 5)))
+    paths = ["", "/", "/x", "/x/y", "/x/yz", "/é"]
+    rules = sorted({(host(), str(rng.choice(paths))): str(rng.choice(["allow", "block"])) for _ in range(60)}.items())
+    urls = [f"s://{host()}{rng.choice(paths)}{rng.choice(['', '?q', '#f'])}" for _ in range(400)] + ["s://" + "/x" * 20_000, None, "none"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    got = {r["page_id"]: r for r in url_rules.judge(pages, url_rules.rules_frame(spark, [(h, p, a) for (h, p), a in rules]), rows_per_sweep=30, hosts_per_range=hosts_per_range).collect()}
+    for i, url in enumerate(urls):
+        rest = url.split("://", 1)[1] if url and "://" in url else ""
+        own, path = re.fullmatch(r"([^/?#]*)([^?#]*).*", rest, re.S).groups()
+        fits = [len(h + p) for (h, p), _ in rules if (own == h or own.endswith("." + h)) and path.startswith(p)]
+        assert (got[i]["host"], got[i]["path"]) == (own, path)
+        if fits:
+            longest = {(h + p, a) for (h, p), a in rules if (own == h or own.endswith("." + h)) and path.startswith(p) and len(h + p) == max(fits)}
+            assert (got[i]["rule"], got[i]["verdict"]) in longest
+        else:
+            assert got[i]["rule"] is None and got[i]["verdict"] == "allow"
