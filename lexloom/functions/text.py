@@ -36,6 +36,11 @@ def ngrams(words: Column, n: int) -> Column:
     return F.transform(shifted, lambda z: F.array(*(z[str(k)] for k in range(n))))
 
 
+def admissible_word(word: Column, stop_words: tuple[str, ...] = ()) -> Column:
+    """Letters only and not a stop word."""
+    return word.rlike(r"^\p{L}+$") & ~(word.isin(*stop_words) if stop_words else F.lit(False))
+
+
 def admissible(gram: Column, stop_words: tuple[str, ...] = ()) -> Column:
     """All words of a gram are letters only and none is a stop word."""
-    return F.forall(gram, lambda w: w.rlike(r"^\p{L}+$") & ~(w.isin(*stop_words) if stop_words else F.lit(False)))
+    return F.forall(gram, lambda w: admissible_word(w, stop_words))

@@ -2,24 +2,29 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexloom.operators.layout import written
+
 
-def closure(parents: DataFrame, most_depth: int = 100) -> DataFrame:
+def closure(parents: DataFrame) -> DataFrame:
     """``(ancestor, child)`` of every node and all above it, from ``(child, parent)``; roots have a null parent.
 
-    Each round joins the newest pairs with the parents, so there are as many
-    rounds as the tree has levels; cycles end at ``most_depth``.
+    Each round joins the pairs found with themselves, which doubles their
+    reach, and writes them; there are as many rounds as the depth has binary
+    digits.  A node above itself is an error.
     """
-    links = parents.where("parent IS NOT NULL").select("child", "parent").distinct()
-    found = newest = links.select(F.col("parent").alias("ancestor"), "child")
-    for _ in range(most_depth):
-        up = links.select(F.col("child").alias("ancestor"), F.col("parent").alias("above"))
-        newest = newest.join(up, "ancestor").select(F.col("above").alias("ancestor"), "child").join(found, ["ancestor", "child"], "left_anti").distinct()
-        if newest.isEmpty():
-            break
-        found = found.unionByName(newest)
+    links = parents.where("parent IS NOT NULL").select(F.col("parent").alias("ancestor"), "child").distinct()
+    found, n = written(links, "tree"), -1
+    while (size := found.count()) > n:
+        if not found.where("ancestor = child").isEmpty():
+            raise ValueError("the tree has a cycle")
+        n = size
+        further = found.select("ancestor", F.col("child").alias("by")).join(found.select(F.col("ancestor").alias("by"), "child"), "by").select("ancestor", "child")
+        found = written(found.unionByName(further).distinct(), "tree")
     return found
 
 
@@ -71,14 +76,24 @@ def largest_by_name(cities: DataFrame) -> DataFrame:
     return cities.groupBy("name").agg(best.alias("x")).select("name", "x.population", "x.id")
 
 
-def preorder(parents: DataFrame, most_depth: int = 100) -> DataFrame:
-    """``(child, depth, path)`` of the tree, ``path`` sorting it so that parents come before children."""
-    level = parents.where("parent IS NULL").select("child", F.lit(0).alias("depth"), F.col("child").alias("path"))
-    out = level
-    for _ in range(most_depth):
-        above = level.select(F.col("child").alias("parent"), "depth", "path")
-        level = parents.join(above, "parent").select("child", (F.col("depth") + 1).alias("depth"), F.concat_ws("/", "path", "child").alias("path"))
-        if level.isEmpty():
+def preorder(parents: DataFrame) -> DataFrame:
+    """``(child, depth, path)`` of the tree, ``path`` sorting it so that parents come before children.
+
+    Nodes that no root is above are left out.  Each round puts the path of the
+    node above before a path, so paths double in length; a cycle, whose paths
+    never reach a root, is an error.
+    """
+    rows = written(parents.select("child", F.col("parent").alias("top"), F.array("child").alias("steps")), "paths")
+    done = rows.where("top IS NULL")
+    rounds = math.ceil(math.log2(max(2, rows.count()))) + 1
+    for k in range(rounds + 1):
+        waiting = rows.where("top IS NOT NULL")
+        if waiting.isEmpty():
             break
-        out = out.unionByName(level)
-    return out
+        if k == rounds:
+            raise ValueError("the tree has a cycle")
+        above = rows.select(F.col("child").alias("top"), F.col("top").alias("higher"), F.col("steps").alias("before"))
+        longer = waiting.join(above, "top").select("child", F.col("higher").alias("top"), F.concat("before", "steps").alias("steps"))
+        rows = written(rows.where("top IS NULL").unionByName(longer), "paths")
+        done = rows.where("top IS NULL")
+    return done.select("child", (F.size("steps") - 1).alias("depth"), F.array_join("steps", "/").alias("path"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexloom.operators.frequency import most_extreme
+from lexloom.operators.frequency import most_extreme, relative
+from lexloom.operators.layout import written
 
 #: Fixed value: the chi-squared quantile of p < 0.001.
 SIGNIFICANT = 15.13
@@ -21,7 +22,7 @@ def log_likelihood(a: Column, b: Column, c: Column, d: Column) -> Column:
 
 def dunning(bags: DataFrame, label: str, held_out: bool = False) -> DataFrame:
     """``(label, term, freq, g2)`` of every term of each label against the whole corpus, or against the rest of it."""
-    own = bags.groupBy(F.col(label).alias("label"), "term").agg(F.sum("tf").alias("a"))
+    own = written(bags.groupBy(F.col(label).alias("label"), "term").agg(F.sum("tf").alias("a")), "label-counts")
     corpus = own.groupBy("term").agg(F.sum("a").alias("all"))
     totals = own.groupBy("label").agg(F.sum("a").alias("c"))
     everything = totals.agg(F.sum("c").alias("d_all"))
@@ -49,8 +50,7 @@ def mann_whitney(bags: DataFrame, documents: DataFrame, label: str, min_df: int
     """
     sizes = documents.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("na"))
     total = sizes.agg(F.sum("na").alias("n"))
-    lengths = bags.groupBy("doc_id").agg(F.sum("tf").alias("len"))
-    values = bags.join(lengths, "doc_id").select("term", F.col(label).alias("label"), (F.col("tf") / F.col("len")).alias("v"))
+    values = relative(bags).select("term", F.col(label).alias("label"), F.col("rel").alias("v"))
     counted = values.groupBy("term", "label", "v").agg(F.count("*").alias("k"))
     by_value = Window.partitionBy("term", "v")
     up_to = Window.partitionBy("term").orderBy("v").rangeBetween(Window.unboundedPreceding, 0)

@@ -6,24 +6,37 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as X
+from lexloom.operators.layout import by_document, spread, written
+
+
+def _exploded(docs: DataFrame, *keep: str, n: int = 1, stop_words: tuple[str, ...] = (), sep: str = "") -> DataFrame:
+    words = X.tokens(F.col("text"), sep)
+    if n == 1:
+        terms = F.filter(words, lambda w: X.admissible_word(w, stop_words))
+    else:
+        terms = F.transform(F.filter(X.ngrams(words, n), lambda g: X.admissible(g, stop_words)), lambda g: F.array_join(g, " "))
+    return docs.select(*keep, F.explode(terms).alias("term"))
 
 
 def term_rows(docs: DataFrame, *keep: str, n: int = 1, stop_words: tuple[str, ...] = (), sep: str = "") -> DataFrame:
     """One row ``(*keep, term)`` for each admissible n-gram occurrence."""
-    grams = F.filter(X.ngrams(X.tokens(F.col("text"), sep), n), lambda g: X.admissible(g, stop_words))
-    return docs.select(*keep, F.explode(F.transform(grams, lambda g: F.array_join(g, " "))).alias("term"))
+    return _exploded(spread(docs), *keep, n=n, stop_words=stop_words, sep=sep)
 
 
 def term_frequencies(docs: DataFrame, *keep: str, **how) -> DataFrame:
-    """The bag of each document: ``(doc_id, *keep, term, tf)``."""
-    return term_rows(docs, "doc_id", *keep, **how).groupBy("doc_id", *keep, "term").agg(F.count("*").alias("tf"))
+    """The bag of each document: ``(doc_id, *keep, term, tf)``; rows stay dealt by document."""
+    rows = _exploded(by_document(docs, *keep, "text"), "doc_id", *keep, **how)
+    return rows.groupBy("doc_id", *keep, "term").agg(F.count("*").alias("tf"))
+
+
+def relative(bags: DataFrame) -> DataFrame:
+    """Bags with ``rel``, a term's share of its document."""
+    return bags.withColumn("rel", F.col("tf") / F.sum("tf").over(Window.partitionBy("doc_id")))
 
 
 def tfidf(bags: DataFrame, n_documents: int) -> DataFrame:
     """``(term, df, cf, score)``: largest relative frequency times log10 of N / df.  N counts empty documents too."""
-    lengths = bags.groupBy("doc_id").agg(F.sum("tf").alias("len"))
-    rel = bags.join(lengths, "doc_id")
-    stats = rel.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.max(F.col("tf") / F.col("len")).alias("top"))
+    stats = relative(bags).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.max("rel").alias("top"))
     return stats.select("term", "df", "cf", (F.col("top") * F.log10(F.lit(float(n_documents)) / F.col("df"))).alias("score"))
 
 
@@ -59,11 +72,18 @@ def top_with_ties(df: DataFrame, value: str, n: int, *by: str) -> DataFrame:
 
 
 def most_extreme(df: DataFrame, value: str, n: int, *by: str) -> DataFrame:
-    """Values from the n/2-th largest up, or below the (n/2 + 1)-th smallest (the largest, if there are fewer)."""
-    half, own = n // 2, Window.partitionBy(*by)
-    ranked = df.withColumn("_high", F.rank().over(own.orderBy(F.desc(value)))).withColumn("_low", F.row_number().over(own.orderBy(value)))
-    marked = ranked.withColumn("_edge", F.coalesce(F.max(F.when(F.col("_low") == half + 1, F.col(value))).over(own), F.max(value).over(own)))
-    return marked.where((F.col("_high") <= half) | (F.col(value) < F.col("_edge"))).drop("_high", "_low", "_edge")
+    """Values from the n/2-th largest up, or below the (n/2 + 1)-th smallest (the largest, if there are fewer).
+
+    Both edges come from the few most extreme rows of each group, which are
+    cut before the exchange, so that no task sorts a whole group.
+    """
+    half, keys, df = n // 2, list(by), written(df, "ranked")
+    first = lambda order, k: df.select(*keys, value).withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).where(F.col("_n") <= k)
+    high = first(F.desc(value), half).groupBy(*keys).agg(F.min(value).alias("_high"))
+    low = first(F.asc(value), half + 1).groupBy(*keys).agg(F.max(F.when(F.col("_n") == half + 1, F.col(value))).alias("_low"))
+    most = df.groupBy(*keys).agg(F.max(value).alias("_most"))
+    edges = most.join(high, keys).join(low, keys).select(*keys, "_high", F.coalesce("_low", "_most").alias("_low"))
+    return df.join(edges, keys).where((F.col(value) >= F.col("_high")) | (F.col(value) < F.col("_low"))).drop("_high", "_low")
 
 
 def word_cloud(docs: DataFrame, n: int = 50, stop_words: tuple[str, ...] = ()) -> DataFrame:
@@ -73,9 +93,8 @@ def word_cloud(docs: DataFrame, n: int = 50, stop_words: tuple[str, ...] = ()) -
 
 
 def word_cloud_tfidf(docs: DataFrame, n: int = 150, gram: int = 1, stop_words: tuple[str, ...] = ()) -> DataFrame:
-    """The most frequent of the words that tf-idf keeps: ``(term, freq, score)``."""
-    bags = term_frequencies(docs, n=gram, stop_words=stop_words)
-    scored = tfidf(bags, docs.count())
+    """The most frequent of the words that tf-idf keeps: ``(term, freq, score)``.  Texts are read once."""
+    scored = written(tfidf(term_frequencies(docs, n=gram, stop_words=stop_words), docs.count()), "scored")
     kept = above_threshold(scored, score_threshold(scored))
     return top_with_ties(kept.select("term", F.col("cf").alias("freq"), "score"), "freq", n)
 
@@ -87,9 +106,10 @@ def label_clouds(docs: DataFrame, label: str, n: int = 20, stop_words: tuple[str
 
 
 def label_clouds_tfidf(docs: DataFrame, label: str, n: int = 20, gram: int = 1, stop_words: tuple[str, ...] = ()) -> DataFrame:
-    """Of each label's terms that the corpus's tf-idf keeps, those of the largest corpus frequency."""
-    bags = term_frequencies(docs, label, n=gram, stop_words=stop_words)
-    scored = tfidf(bags, docs.count())
+    """Of each label's terms that the corpus's tf-idf keeps, those of the largest corpus frequency.  Texts are read once."""
+    rel = relative(term_frequencies(docs, label, n=gram, stop_words=stop_words))
+    own = written(rel.groupBy(F.col(label).alias("label"), "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.max("rel").alias("top")), "label-terms")
+    stats = own.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"), F.max("top").alias("top"))
+    scored = written(stats.select("term", "df", "cf", (F.col("top") * F.log10(F.lit(float(docs.count())) / F.col("df"))).alias("score")), "scored")
     kept = above_threshold(scored, score_threshold(scored)).select("term", F.col("cf").alias("freq"))
-    own = bags.select(F.col(label).alias("label"), "term").distinct()
-    return top_with_ties(own.join(kept, "term"), "freq", n, "label")
+    return top_with_ties(own.select("label", "term").join(kept, "term"), "freq", n, "label")

@@ -141,12 +141,16 @@ def mention_years(mentions: DataFrame, years: DataFrame) -> DataFrame:
 
 
 def flights(mentions: DataFrame, published: DataFrame, years: DataFrame, places: DataFrame) -> DataFrame:
-    """``(year, source, target, weight, docs)``: from where documents appeared to the places they mention, known places only."""
+    """``(doc_id, year, source, target)``: from where documents appeared to the places they mention, known places only, a row each."""
     known = places.select("place")
     links = mentions.select("doc_id", F.col("place").alias("target")).join(known.withColumnRenamed("place", "target"), "target", "left_semi").distinct()
     own = published.select("doc_id", F.col("place").alias("source")).join(known.withColumnRenamed("place", "source"), "source", "left_semi")
-    rows = links.join(own, "doc_id").join(years, "doc_id")
-    return rows.groupBy("year", "source", "target").agg(F.count("*").alias("weight"), F.sort_array(F.collect_set("doc_id")).alias("docs"))
+    return links.join(own, "doc_id").join(years, "doc_id").select("doc_id", "year", "source", "target")
+
+
+def flight_paths(flights_: DataFrame) -> DataFrame:
+    """``(year, source, target, weight)``."""
+    return flights_.groupBy("year", "source", "target").agg(F.count("*").alias("weight"))
 
 
 def entity_counts(annotations: DataFrame, default: str = "unknown") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as X
+from lexloom.operators.layout import spread, written
 
 #: A word, by the same class in every engine.
 WORD = r"([\p{L}\p{N}_]+)"
@@ -25,7 +26,7 @@ def compile_pattern(pattern: str) -> str:
 def matches(docs: DataFrame, pattern: str, stop_words: tuple[str, ...] = ()) -> DataFrame:
     """``(a, b)`` of every match in the raw text, lower-cased after matching; matches with a stop word go."""
     regex = compile_pattern(pattern)
-    found = docs.select(F.explode(F.regexp_extract_all(F.col("text"), F.lit(regex), F.lit(0))).alias("m"))
+    found = spread(docs).select(F.explode(F.regexp_extract_all(F.col("text"), F.lit(regex), F.lit(0))).alias("m"))
     pairs = found.select(F.lower(F.regexp_extract("m", regex, 1)).alias("a"), F.lower(F.regexp_extract("m", regex, 2)).alias("b"))
     return pairs.where(~F.col("a").isin(*stop_words) & ~F.col("b").isin(*stop_words)) if stop_words else pairs
 
@@ -52,11 +53,13 @@ def indexed(nodes_: DataFrame, edges_: DataFrame) -> DataFrame:
     return edges_.join(a, "source").join(b, "target").select("source_index", "target_index", "weight")
 
 
-def line_grams(docs: DataFrame, n: int) -> DataFrame:
-    """``(gram, f)``: counts of the n-grams of white-space words within lines."""
-    lines = docs.select(F.explode(F.split(F.col("text"), "\n")).alias("line"))
+def line_grams(docs: DataFrame, most: int) -> DataFrame:
+    """``(n, gram, f)``: counts of the n-grams of white-space words within lines, of all sizes to ``most`` in one pass; words of a gram are joined by blanks."""
+    lines = spread(docs).select(F.explode(F.split(F.col("text"), "\n")).alias("line"))
     words = F.filter(F.split(F.col("line"), r"[ \t\r\f\x0B]+"), lambda w: w != "")
-    return lines.select(F.explode(X.ngrams(words, n)).alias("gram")).groupBy("gram").agg(F.count("*").alias("f"))
+    joined = lambda n: F.transform(X.ngrams(F.col("w"), n), lambda g: F.struct(F.lit(n).alias("n"), F.array_join(g, " ").alias("gram")))
+    grams = F.concat(*(joined(n) for n in range(1, most + 1)))
+    return lines.select(words.alias("w")).select(F.explode(grams).alias("g")).groupBy("g.n", "g.gram").agg(F.count("*").alias("f"))
 
 
 def glue(freq: Column, products: Column, prefix: Column, suffix: Column, kind: str) -> Column:
@@ -66,39 +69,52 @@ def glue(freq: Column, products: Column, prefix: Column, suffix: Column, kind: s
     return 2 * freq / (prefix + suffix)
 
 
+def _key(gram: Column) -> Column:
+    """Two hashes, 128 bits together: what grams are joined by."""
+    return F.struct(F.xxhash64(gram).alias("a"), F.xxhash64(F.lit("gram"), gram).alias("b"))
+
+
+def _cut(gram: Column, size: int, side: str) -> Column:
+    """The first or the last ``size`` words of a gram."""
+    return F.substring_index(gram, " ", size if side == "first" else -size)
+
+
 def multi_word_units(docs: DataFrame, max_n: int = 3, kind: str = "scp", min_freq: int = 2) -> DataFrame:
     """``(n, unit, freq, glue)`` of the n-grams that stick together better than what they hold and what holds them.
 
     A gram is kept if its glue exceeds the mean of the largest glue of its
     (n-1)-grams and of the (n+1)-grams around it.  Bigrams hold none, and the
     largest glue of none is 0.  ``min_freq`` applies to the units shown.
+
+    All sizes are counted in one pass over the texts.  What a gram holds is at
+    least as frequent as the gram, so glue is needed of grams of ``min_freq``
+    and of those that hold one.  These ask for the counts of all their
+    beginnings and ends in one join, by 128-bit keys rather than by words.
     """
-    counts = {n: line_grams(docs, n) for n in range(1, max_n + 2)}
-    glued = {}
+    counts = written(line_grams(docs, max_n + 1).withColumn("key", _key(F.col("gram"))), "grams")
+    often = counts.where(F.col("f") >= min_freq)
+    halves = lambda size: (_cut(F.col("gram"), size, "first"), _cut(F.col("gram"), size, "last"))
+    held = F.explode(F.array(*(F.when(F.col("n") == n, F.array(*map(_key, halves(n - 1)))) for n in range(3, max_n + 2)))).alias("h")
+    holders = counts.where("n > 2").select("n", "key", "f", held).where("h IS NOT NULL").select("n", "key", "f", F.explode("h").alias("part"))
+    # (holder, part) where the part is a candidate
+    near = written(holders.join(often.where((F.col("n") > 1) & (F.col("n") <= max_n)).select(F.col("key").alias("part")), "part").select("key", "part"), "holders")
+    needed = often.where("n > 1").select("key").unionByName(near.select("key")).distinct()
+    sizes = range(1, max_n + 1)
+    ask = lambda k, side: F.when(F.col("n") > k, F.struct(F.lit(k).alias("k"), F.lit(side).alias("side"), _key(_cut(F.col("gram"), k, side)).alias("part")))
+    asked = counts.join(needed, "key", "left_semi").select("n", "key", "f", F.explode(F.array_compact(F.array(*(ask(k, side) for k in sizes for side in ("first", "last"))))).alias("x"))
+    met = asked.select("n", "key", "f", "x.k", "x.side", "x.part").join(counts.where(F.col("n") <= max_n).select(F.col("key").alias("part"), F.col("f").cast("double").alias("c")), "part")
+    of = lambda k, side: F.max(F.when((F.col("k") == k) & (F.col("side") == side), F.col("c")))
+    wide = met.groupBy("key").agg(F.max("n").alias("n"), F.max("f").alias("f"), *(of(k, side).alias(f"{side}{k}") for k in sizes for side in ("first", "last")))
+    found = None
     for n in range(2, max_n + 2):
-        rows = counts[n]
-        for k in range(1, n):
-            size_of = counts[k].select(F.col("gram").alias(f"g{k}"), F.col("f").alias("c"))
-            rows = rows.withColumn(f"g{k}", F.slice("gram", 1, k)).join(size_of, f"g{k}", "left").withColumn(f"p{k}", F.coalesce("c", F.lit(1))).drop("c", f"g{k}")
-            rows = rows.withColumn(f"g{k}", F.slice("gram", n - k + 1, k)).join(size_of, f"g{k}", "left").withColumn(f"s{k}", F.coalesce("c", F.lit(1))).drop("c", f"g{k}")
+        p, s = [F.col(f"first{k}") for k in range(1, n)], [F.col(f"last{k}") for k in range(1, n)]
         mean = lambda cols: sum(cols[1:], cols[0]) / (n - 1)  # noqa: E731, B023
-        p, s = [F.col(f"p{k}").cast("double") for k in range(1, n)], [F.col(f"s{k}").cast("double") for k in range(1, n)]
-        products = mean([a * b for a, b in zip(p, reversed(s))])
-        glued[n] = rows.select("gram", "f", glue(F.col("f").cast("double"), products, mean(p), mean(s), kind).alias("glue"))
-    out = None
-    for n in range(2, max_n + 1):
-        both = lambda df, size: df.select(F.slice("gram", 1, size).alias("gram"), "glue").union(df.select(F.slice("gram", 2, size).alias("gram"), "glue"))
-        above = both(glued[n + 1], n).groupBy("gram").agg(F.max("glue").alias("above"))
-        rows = glued[n].join(above, "gram", "left").withColumn("above", F.coalesce("above", F.lit(0.0)))
-        if n > 2:
-            below = glued[n - 1].select("gram", F.col("glue").alias("x"))
-            for k, start in (("left_", 1), ("right_", 2)):
-                rows = rows.withColumn("part", F.slice("gram", start, n - 1)).join(below.withColumnsRenamed({"gram": "part", "x": k}), "part", "left").drop("part")
-            rows = rows.withColumn("below", F.greatest("left_", "right_"))
-        else:
-            rows = rows.withColumn("below", F.lit(0.0))
-        kept = rows.where((F.col("glue") > (F.col("below") + F.col("above")) / 2) & (F.col("f") >= min_freq))
-        kept = kept.select(F.lit(n).alias("n"), F.array_join("gram", " ").alias("unit"), F.col("f").alias("freq"), "glue")
-        out = kept if out is None else out.unionByName(kept)
-    return out
-
+        value = glue(F.col("f").cast("double"), mean([a * b for a, b in zip(p, reversed(s))]), mean(p), mean(s), kind)
+        found = F.when(F.col("n") == n, value) if found is None else found.when(F.col("n") == n, value)
+    glued = written(wide.select("key", "n", found.alias("glue")), "glue")
+    meets = near.join(glued.select("key", F.col("glue").alias("of_holder")), "key").join(glued.select(F.col("key").alias("part"), F.col("glue").alias("of_part")), "part")
+    above = meets.groupBy(F.col("part").alias("key")).agg(F.max("of_holder").alias("above"))
+    below = meets.groupBy("key").agg(F.max("of_part").alias("below"))
+    rows = often.where((F.col("n") > 1) & (F.col("n") <= max_n)).join(glued.select("key", "glue"), "key").join(above, "key", "left").join(below, "key", "left")
+    edge = (F.coalesce("below", F.lit(0.0)) + F.coalesce("above", F.lit(0.0))) / 2
+    return rows.where(F.col("glue") > edge).select("n", F.col("gram").alias("unit"), F.col("f").alias("freq"), "glue")

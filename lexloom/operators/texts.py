@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as X
 from lexloom.functions.stem import porter2
 from lexloom.operators import frequency
+from lexloom.operators.layout import by_document, written
 
 
 def strip_html(html: Column) -> Column:
@@ -61,17 +64,17 @@ def topic_prefilter(docs: DataFrame, min_df: int = 5, min_length: int = 3, min_t
     threshold; then documents of ``min_tokens`` tokens or fewer go.
     """
     words = F.filter(X.tokens(F.col("text"), " "), lambda w: (F.length(w) >= min_length) & (~w.isin(*stop_words) if stop_words else F.lit(True)))
-    bags = docs.select("doc_id", F.explode(words).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    scored = frequency.tfidf(bags, docs.count())
+    rows = by_document(docs, "text").select("doc_id", F.explode(words).alias("term"))
+    bags = written(rows.groupBy("doc_id", "term").agg(F.count("*").alias("tf")), "bags")
+    scored = written(frequency.tfidf(bags, docs.count()), "scored")
     kept = frequency.above_threshold(scored, frequency.score_threshold(scored), min_df, strict=False)
-    rest = bags.join(kept.select("term"), "term", "left_semi")
-    full = rest.groupBy("doc_id").agg(F.sum("tf").alias("n")).where(F.col("n") > min_tokens)
-    return rest.join(full.select("doc_id"), "doc_id", "left_semi").select("doc_id", "term", "tf")
+    rest = bags.join(kept.select("term"), "term", "left_semi").withColumn("n", F.sum("tf").over(Window.partitionBy("doc_id")))
+    return rest.where(F.col("n") > min_tokens).select("doc_id", "term", "tf")
 
 
 def inverted_index(bags: DataFrame) -> DataFrame:
-    """``(term, docs)``, documents sorted."""
-    return bags.groupBy("term").agg(F.sort_array(F.collect_set("doc_id")).alias("docs"))
+    """``(term, doc_id)`` postings, a row each: a frequent term's documents are no single value."""
+    return bags.select("term", "doc_id").distinct()
 
 
 def search(bags: DataFrame, terms: tuple[str, ...]) -> DataFrame:
@@ -82,14 +85,23 @@ def search(bags: DataFrame, terms: tuple[str, ...]) -> DataFrame:
     return bags.where(hit).select("doc_id").distinct()
 
 
-def library_search(df: DataFrame, query: str, *columns: str) -> DataFrame:
-    """Rows with the query, in either case, in any of the columns."""
+def library_search(df: DataFrame, wanted: dict[str, str]) -> DataFrame:
+    """Rows with, in either case, a column's text of ``wanted`` in any of these columns."""
     hit = F.lit(False)
-    for c in columns:
+    for c, query in wanted.items():
         hit |= F.coalesce(F.contains(F.lower(F.col(c).cast("string")), F.lit(query.lower())), F.lit(False))
     return df.where(hit)
 
 
+def spans(docs: DataFrame, word: str) -> DataFrame:
+    """``(doc_id, text, a, b)``: every occurrence of ``word`` between blanks, from its first to past its last character."""
+    parts = F.split("text", f" (?={re.escape(word)} )")  # each part but the first begins with the word
+    rows = docs.select("doc_id", "text", parts.alias("parts")).where(F.size("parts") > 1)
+    ends = F.transform(F.slice("parts", 1, F.size("parts") - 1), lambda x: F.length(x) + 1)
+    at = F.aggregate(ends, F.array().cast("array<int>"), lambda out, n: F.concat(out, F.array(n + F.when(F.size(out) > 0, F.element_at(out, -1)).otherwise(0))))
+    return rows.select("doc_id", "text", F.explode(at).alias("a")).withColumn("b", F.col("a") + len(word))
+
+
 def context(text: Column, start: Column, end: Column, around: int = 15) -> Column:
     """The text from ``around`` characters before a span to as many after it, signs as blanks."""
     a = F.greatest(start - around, F.lit(0))

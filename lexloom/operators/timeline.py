@@ -2,21 +2,40 @@
 
 from __future__ import annotations
 
+import re
+from datetime import datetime
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions import dates as D
 from lexloom.operators import frequency
+from lexloom.operators.layout import written
 
 
 def span(dated: DataFrame, start: str | None = None, end: str | None = None) -> tuple[str, str] | None:
     """First and last day, as given or found; None without dates."""
     found = dated.agg(F.min("doc_date").cast("string").alias("a"), F.max("doc_date").cast("string").alias("b")).first()
-    return None if found["a"] is None else (start or found["a"], end or found["b"])
+    return None if found["a"] is None else (day(start) or found["a"], day(end) or found["b"])
+
+
+def day(text: str | None) -> str | None:
+    """A parameter ``YYYY-MM-DD``; None for anything else, so that a bad one doesn't restrict."""
+    try:
+        return datetime.strptime(text or "", "%Y-%m-%d").strftime("%Y-%m-%d")
+    except ValueError:
+        return None
+
+
+def years(text: str) -> tuple[int, int] | None:
+    """The ends of ``YYYY-YYYY`` or of one year; None for anything else."""
+    found = re.fullmatch(r"\s*(\d{1,4})\s*(?:-\s*(\d{1,4})\s*)?", text)
+    return (int(found[1]), int(found[2] or found[1])) if found else None
 
 
 def in_range(dated: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
-    """Both ends inclusive; rows without a date go."""
+    """Both ends inclusive; rows without a date go, and ends that are no days don't count."""
+    start, end = day(start), day(end)
     kept = dated.where(F.col("doc_date").isNotNull())
     if start:
         kept = kept.where(F.col("doc_date") >= F.lit(start).cast("date"))
@@ -46,16 +65,16 @@ def sliced(dated: DataFrame, days: int, start: str | None = None, end: str | Non
     return kept.select("*", index.alias("interval"), D.interval_start(index, first, days).cast("string").alias("label"))
 
 
-def ngram_series(dated: DataFrame, days: int, n: int = 1, top: int = 100, min_df: int = 1, stop_words: tuple[str, ...] = ()) -> DataFrame:
+def ngram_series(dated: DataFrame, days: int, n: int = 1, top: int = 100, min_df: int = 1, stop_words: tuple[str, ...] = (), start: str | None = None, end: str | None = None) -> DataFrame:
     """``(term, interval, interval_start, value)``: dense series of the terms of the largest mean share.
 
     A term's value is its share of the interval's n-grams, taken before the
     document-frequency filter; the mean counts empty intervals.
     """
-    cut = sliced(dated, days).select("doc_id", "text", "interval")
-    slots = grid(dated, days)
+    cut = sliced(dated, days, start, end).select("doc_id", "text", "interval")
+    slots = grid(dated, days, start, end)
     bags = frequency.term_frequencies(cut, "interval", n=n, stop_words=stop_words)
-    by_slot = bags.groupBy("interval", "term").agg(F.sum("tf").alias("tf"), F.count("*").alias("df"))
+    by_slot = written(bags.groupBy("interval", "term").agg(F.sum("tf").alias("tf"), F.count("*").alias("df")), "slots")
     totals = by_slot.groupBy("interval").agg(F.sum("tf").alias("total"))
     shares = by_slot.join(totals, "interval").select("interval", "term", "df", (F.col("tf") / F.col("total")).alias("value"))
     count = slots.count()
@@ -65,11 +84,11 @@ def ngram_series(dated: DataFrame, days: int, n: int = 1, top: int = 100, min_df
     return dense.join(shares.select("interval", "term", "value"), ["interval", "term"], "left").select("term", "interval", "interval_start", F.coalesce("value", F.lit(0.0)).alias("value"))
 
 
-def postings(dated: DataFrame, days: int, terms: DataFrame, n: int = 1, stop_words: tuple[str, ...] = ()) -> DataFrame:
-    """``(term, interval, docs)``: the sorted documents behind each point of the series of ``terms``."""
-    cut = sliced(dated, days).select("doc_id", "text", "interval")
+def postings(dated: DataFrame, days: int, terms: DataFrame, n: int = 1, stop_words: tuple[str, ...] = (), start: str | None = None, end: str | None = None) -> DataFrame:
+    """``(term, interval, doc_id)``: the documents behind each point of the series of ``terms``, a row each."""
+    cut = sliced(dated, days, start, end).select("doc_id", "text", "interval")
     bags = frequency.term_frequencies(cut, "interval", n=n, stop_words=stop_words)
-    return bags.join(terms, "term", "left_semi").groupBy("term", "interval").agg(F.sort_array(F.collect_list("doc_id")).alias("docs"))
+    return bags.join(terms, "term", "left_semi").select("term", "interval", "doc_id")
 
 
 def moving(series: DataFrame, value: str, w: int, order: str, *by: str, median: bool = False) -> DataFrame:

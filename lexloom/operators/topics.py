@@ -7,7 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from lexloom.operators.layout import written
 from lexloom.operators.timeline import moving
 
 
@@ -15,19 +17,24 @@ def fit_lda(bags: DataFrame, k: int = 50, alpha_sum: float = 50.0, beta: float =
     """LDA over ``(doc_id, term, tf)`` bags by online variational inference: ``(model, terms, doc_topics)``.
 
     ``alpha_sum`` is the prior over all topics together.  Bags become sparse
-    vectors over the corpus's most frequent terms.
+    vectors over the corpus's most frequent terms, ``vocabulary`` at most, since
+    the model holds a weight for each of them and topic.
     """
     from pyspark.ml.clustering import LDA
-    from pyspark.ml.feature import CountVectorizer
     from pyspark.ml.functions import vector_to_array
-
-    texts = bags.groupBy("doc_id").agg(F.flatten(F.collect_list(F.expr("array_repeat(term, cast(tf as int))"))).alias("words"))
-    counter = CountVectorizer(inputCol="words", outputCol="features", vocabSize=vocabulary).fit(texts)
-    vectors = counter.transform(texts).select("doc_id", "features")
+    from pyspark.ml.linalg import VectorUDT
+
+    counts = bags.groupBy("term").agg(F.sum("tf").alias("n"))
+    terms = [r["term"] for r in counts.orderBy(F.desc("n"), "term").limit(vocabulary).collect()]  # ``vocabulary`` words at most
+    numbers = bags.sparkSession.createDataFrame(list(enumerate(terms)), "i int, term string")
+    placed = bags.join(numbers, "term").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("i", F.col("tf").cast("double").alias("x")))).alias("p"))
+    parts = placed.select("doc_id", F.struct(F.lit(0).cast("byte").alias("type"), F.lit(len(terms)).alias("size"), F.col("p.i").alias("indices"), F.col("p.x").alias("values")).alias("features"))
+    kinds = T.StructType([T.StructField("doc_id", parts.schema["doc_id"].dataType), T.StructField("features", VectorUDT())])
+    vectors = written(parts, "vectors", kinds)  # read back as vectors
     lda = LDA(k=k, maxIter=iterations, seed=seed, optimizer="online", docConcentration=[alpha_sum / k], topicConcentration=beta, optimizeDocConcentration=True)
     model = lda.fit(vectors)
     rows = model.transform(vectors).select("doc_id", F.posexplode(vector_to_array("topicDistribution")).alias("topic", "prop"))
-    return model, counter.vocabulary, rows
+    return model, terms, rows
 
 
 def topic_words(model, terms: list[str], top: int = 20) -> DataFrame:
@@ -41,9 +48,10 @@ def topic_words(model, terms: list[str], top: int = 20) -> DataFrame:
 def word_shares(state: DataFrame, top: int = 20) -> DataFrame:
     """``(topic, rank, term, prob)`` from ``(doc_id, topic, term, n)`` counts: each topic's heaviest words."""
     counts = state.groupBy("topic", "term").agg(F.sum("n").alias("n"))
-    shares = counts.withColumn("prob", F.col("n") / F.sum("n").over(Window.partitionBy("topic")))
-    ranked = shares.withColumn("rank", F.row_number().over(Window.partitionBy("topic").orderBy(F.desc("n"), "term")))
-    return ranked.where(F.col("rank") <= top).select("topic", "rank", "term", "prob")
+    total = state.groupBy("topic").agg(F.sum("n").alias("total"))
+    # ranks over the limit are cut before the exchange, so no task sorts a topic's whole vocabulary
+    ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy("topic").orderBy(F.desc("n"), "term"))).where(F.col("rank") <= top)
+    return ranked.join(total, "topic").select("topic", "rank", "term", (F.col("n") / F.col("total")).alias("prob"))
 
 
 def doc_shares(state: DataFrame, alpha: float = 0.0, topics: int = 1) -> DataFrame:
@@ -55,14 +63,16 @@ def doc_shares(state: DataFrame, alpha: float = 0.0, topics: int = 1) -> DataFra
 
 def coherence(words: DataFrame, bags: DataFrame) -> DataFrame:
     """``(topic, coherence)``: over pairs of a topic's top words, the log of (documents with both + 1) to documents with the better-ranked one."""
-    tops = words.select("topic", "rank", "term")
-    found = bags.select("doc_id", "term").distinct().join(tops.select("term").distinct(), "term", "left_semi")
-    df = found.groupBy("term").agg(F.count("*").alias("df"))
-    placed = found.join(tops, "term")
-    a, b = placed.select("doc_id", "topic", F.col("rank").alias("ra")), placed.select("doc_id", "topic", F.col("rank").alias("rb"))
-    both = a.join(b, ["doc_id", "topic"]).where("ra < rb").groupBy("topic", "ra", "rb").agg(F.count("*").alias("both"))  # top words of a document only
-    pairs = tops.select("topic", F.col("rank").alias("ra"), "term").join(tops.select("topic", F.col("rank").alias("rb")), "topic").where("ra < rb")
-    rows = pairs.join(df, "term").join(both, ["topic", "ra", "rb"], "left")
+    tops = written(words.select("topic", "rank", "term"), "top-words")  # a few words a topic
+    # of each document its top words only; a word's topics and ranks come with it
+    found = bags.select("doc_id", "term").join(tops, "term")
+    own = found.groupBy("doc_id", "topic").agg(F.collect_set("rank").alias("ranks"))  # top words of a topic at most
+    one = own.select("topic", F.explode("ranks").alias("ra"), "ranks")
+    both = one.select("topic", "ra", F.explode(F.filter("ranks", lambda r: r >= F.col("ra"))).alias("rb")).groupBy("topic", "ra", "rb").agg(F.count("*").alias("both"))
+    both = written(both, "co-counts")  # with ra = rb a word's documents
+    df = both.where("ra = rb").select("topic", "ra", F.col("both").alias("df"))
+    pairs = tops.select("topic", F.col("rank").alias("ra")).join(tops.select("topic", F.col("rank").alias("rb")), "topic").where("ra < rb")
+    rows = pairs.join(df, ["topic", "ra"]).join(both, ["topic", "ra", "rb"], "left")
     return rows.groupBy("topic").agg(F.sum(F.log((F.coalesce("both", F.lit(0)) + 1) / F.col("df"))).alias("coherence"))
 
 
@@ -184,15 +194,17 @@ def naive_bayes(bags: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFram
 def classify(bags: DataFrame, classes: DataFrame, words: DataFrame) -> DataFrame:
     """``(doc_id, label, score)`` of each document's best class, ties to the smallest label; unknown words don't count.
 
-    A class that lacks a word gives it the smoothing share, which all of a
-    document's words get first; only words that a class has are joined.
+    A word comes with one array of its classes' gains, so a bag meets the model
+    in one join.  A class that lacks a word gives it the smoothing share, which
+    all of a document's words get first.
     """
     total = classes.agg(F.sum("docs").alias("all_docs"))
-    known = bags.join(words.select("term").distinct(), "term", "left_semi")
-    lengths = bags.select("doc_id").distinct().join(known.groupBy("doc_id").agg(F.sum("tf").alias("len")), "doc_id", "left")
-    base = lengths.join(F.broadcast(classes.join(F.broadcast(total))))  # a row a class
-    start = F.log(F.col("docs") / F.col("all_docs")) - F.coalesce("len", F.lit(0)) * F.log(F.col("tokens") + F.col("terms"))
-    gains = known.join(words, "term").groupBy("doc_id", "label").agg(F.sum(F.col("tf") * F.log(F.col("n") + 1.0)).alias("gain"))
-    scores = base.select("doc_id", "label", start.alias("start")).join(gains, ["doc_id", "label"], "left").select("doc_id", "label", F.round(F.col("start") + F.coalesce("gain", F.lit(0.0)), 6).alias("score"))
-    best = F.max(F.struct("score", (-F.col("label")).alias("least")))
-    return scores.groupBy("doc_id").agg(best.alias("b")).select("doc_id", (-F.col("b.least")).alias("label"), F.col("b.score").alias("score"))
+    model = words.groupBy("term").agg(F.collect_list(F.struct("label", F.log(F.col("n") + 1.0).alias("gain"))).alias("gains"))  # a class each
+    met = bags.join(model, "term", "left")
+    own = F.aggregate(F.coalesce("gains", F.array().cast(model.schema["gains"].dataType)), F.lit(0.0), lambda a, g: a + F.when(g["label"] == F.col("label"), g["gain"]).otherwise(0.0))
+    known = F.when(F.col("gains").isNotNull(), F.col("tf")).otherwise(0)
+    sums = met.join(F.broadcast(classes.select("label"))).groupBy("doc_id", "label").agg(F.sum(known).alias("len"), F.sum(F.col("tf") * own).alias("gain"))  # a row a class
+    start = F.log(F.col("docs") / F.col("all_docs")) - F.col("len") * F.log(F.col("tokens") + F.col("terms"))
+    scores = sums.join(F.broadcast(classes.join(F.broadcast(total))), "label").select("doc_id", "label", F.round(start + F.col("gain"), 6).alias("score"))
+    best = scores.groupBy("doc_id").agg(F.max("score").alias("score"), F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("below"), "label")))[0].alias("b"))
+    return best.select("doc_id", F.col("b.label").alias("label"), "score")

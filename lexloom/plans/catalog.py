@@ -107,10 +107,9 @@ def tag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.tag_counts(tagged.select("doc_id", F.md5("tag").alias("tag_id")), names)
 
 
-@query("tag_items", f"WITH {_TAGS} SELECT tag, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS docs FROM tag WHERE tag IN ('quality0', 'toxic1') GROUP BY tag")
+@query("tag_items", f"WITH {_TAGS} SELECT tag, doc_id FROM tag WHERE tag IN ('quality0', 'toxic1')")
 def tag_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chosen = _tagged(spark, sf_dir).where(F.col("tag").isin("quality0", "toxic1"))
-    return chosen.groupBy("tag").agg(F.array_join(F.transform(F.sort_array(F.collect_list("doc_id")), lambda d: d.cast("string")), ",").alias("docs"))
+    return _tagged(spark, sf_dir).where(F.col("tag").isin("quality0", "toxic1")).select("tag", "doc_id")
 
 
 @query("tag_filter", f"WITH {_TAGS} SELECT doc_id, source, min(tag) AS label FROM documents JOIN tag USING (doc_id) WHERE tag IN ('quality0', 'toxic1') GROUP BY ALL")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions import text as X
 from lexloom.operators import geo, texts
+from lexloom.operators.layout import spread
 from lexloom.plans.registry import DATED, TOKEN_LIST, query
 from lexloom.plans.timeline import dated
 from lexloom.sources.tables import table
@@ -17,8 +18,8 @@ from lexloom.sources.tables import table
 MENTIONS = f"""{DATED}, place AS (SELECT n_nationkey AS k, n_name AS place, (n_nationkey * 3 - 30)::DOUBLE AS lat, (n_nationkey * 10 - 120)::DOUBLE AS lon FROM nation),
 men AS (SELECT doc_id, place, lat, lon, spot FROM (SELECT doc_id, unnest([(doc_id * 7) % 25, (doc_id * 3 + 1) % 25, (doc_id * 7) % 25]) AS k, unnest([10, 40, 90]) AS spot FROM documents) JOIN place USING (k)),
 pub AS (SELECT doc_id, place FROM documents JOIN place ON k = doc_id % 25), yr AS (SELECT doc_id, year(doc_date)::INT AS year FROM dated),
-link AS (SELECT year, pub.place AS source, m.place AS target, count(*) AS weight, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS docs
-    FROM (SELECT DISTINCT doc_id, place FROM men) m JOIN pub USING (doc_id) JOIN yr USING (doc_id) GROUP BY ALL)"""
+fl AS (SELECT doc_id, year, pub.place AS source, m.place AS target FROM (SELECT DISTINCT doc_id, place FROM men) m JOIN pub USING (doc_id) JOIN yr USING (doc_id)),
+link AS (SELECT year, source, target, count(*) AS weight FROM fl GROUP BY ALL)"""
 
 
 def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,8 +60,12 @@ def geo_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("flight_paths", f"WITH {MENTIONS} SELECT * FROM link")
 def flight_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = geo.flights(_mentions(spark, sf_dir), _published(spark, sf_dir), _years(spark, sf_dir), _places(spark, sf_dir))
-    return found.withColumn("docs", F.array_join(F.transform("docs", lambda d: d.cast("string")), ","))
+    return geo.flight_paths(flight_docs(spark, sf_dir))
+
+
+@query("flight_docs", f"WITH {MENTIONS} SELECT * FROM fl")
+def flight_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geo.flights(_mentions(spark, sf_dir), _published(spark, sf_dir), _years(spark, sf_dir), _places(spark, sf_dir))
 
 
 @query("flight_years", f"WITH {MENTIONS} SELECT min(year) AS first_year, max(year) AS last_year FROM link")
@@ -105,15 +110,14 @@ def geoparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geo.geoparse(docs, gazetteer)
 
 
-ENTITIES = f"""{TOKEN_LIST}, ent AS (SELECT 'http://dbpedia.org/resource/' || term AS uri, doc_id, count(*) AS n FROM (SELECT doc_id, unnest(w[1:40]) AS term FROM toks) GROUP BY ALL),
+ENTITIES = f"""{TOKEN_LIST}, ent AS (SELECT 'http://dbpedia.org/resource/' || term AS uri, doc_id, count(*) AS n FROM (SELECT doc_id, unnest(w) AS term FROM toks) GROUP BY ALL),
 wei AS (SELECT uri, sum(n)::BIGINT AS weight FROM ent GROUP BY uri)"""
 
 
-def _entities(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """Each word of a text as an entity: of the first 40, as the SQL has it, or of ``whole`` texts."""
-    tokens = X.tokens(F.col("text"))
-    uris = F.transform(tokens if whole else F.slice(tokens, 1, 40), lambda w: F.struct(F.concat(F.lit("http://dbpedia.org/resource/"), w).alias("@URI")))
-    annotated = table(spark, sf_dir, "documents").select("doc_id", F.to_json(F.struct(uris.alias("Resources"))).alias("annotation"))
+def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each word of a text as an entity."""
+    uris = F.transform(X.tokens(F.col("text")), lambda w: F.struct(F.concat(F.lit("http://dbpedia.org/resource/"), w).alias("@URI")))
+    annotated = spread(table(spark, sf_dir, "documents")).select("doc_id", F.to_json(F.struct(uris.alias("Resources"))).alias("annotation"))
     return geo.entity_counts(annotated)
 
 
@@ -141,17 +145,17 @@ def _entity_nodes(counts: DataFrame) -> DataFrame:
 
 @query("entity_counts_whole")
 def entity_counts_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _entities(spark, sf_dir, whole=True)
+    return _entities(spark, sf_dir)
 
 
 @query("entity_top_whole")
 def entity_top_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return geo.top_entities(_entities(spark, sf_dir, whole=True))
+    return geo.top_entities(_entities(spark, sf_dir))
 
 
 @query("entity_quantile_whole")
 def entity_quantile_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _entity_nodes(_entities(spark, sf_dir, whole=True))
+    return _entity_nodes(_entities(spark, sf_dir))
 
 
 @query("event_props", "SELECT event_id, json_extract_string(props, '$.' || json_keys(props)[1]) AS first_value FROM events")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions import text as X
 from lexloom.operators import frequency, texts
+from lexloom.operators.layout import spread
 from lexloom.plans.registry import DATED, STOP_LIST, STOP_WORDS, TERMS, TOKEN_LIST, query
 from lexloom.plans.timeline import dated
 from lexloom.sources.tables import table
@@ -24,7 +25,7 @@ def _bags(spark: SparkSession, sf_dir: str) -> DataFrame:
     '(?s)<!--.*?-->', '', 'g'), '<[!?/]?[A-Za-z][^>]*>', '', 'g'), '&#?[A-Za-z0-9]+;?', '', 'g') AS t FROM pages)""")
 def html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     plain = texts.strip_html(F.col("html"))
-    return table(spark, sf_dir, "pages").select("page_id", plain.alias("t")).select("page_id", F.length("t").cast("bigint").alias("chars"), F.md5("t").alias("text_md5"))
+    return spread(table(spark, sf_dir, "pages")).select("page_id", plain.alias("t")).select("page_id", F.length("t").cast("bigint").alias("chars"), F.md5("t").alias("text_md5"))
 
 
 @query("concat_parts", "SELECT conv_id, md5(string_agg(coalesce(text, ''), chr(10) ORDER BY turn, text)) AS text_md5, count(*) AS n_parts FROM conversations GROUP BY conv_id")
@@ -72,9 +73,9 @@ def topic_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.topic_prefilter(_docs(spark, sf_dir), stop_words=STOP_WORDS)
 
 
-@query("inverted_index", f"WITH {TERMS} SELECT term, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS docs FROM bag GROUP BY term")
+@query("inverted_index", f"WITH {TERMS} SELECT DISTINCT term, doc_id FROM bag")
 def inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return texts.inverted_index(_bags(spark, sf_dir)).select("term", F.array_join(F.transform("docs", lambda d: d.cast("string")), ",").alias("docs"))
+    return texts.inverted_index(_bags(spark, sf_dir))
 
 
 @query("index_search", f"WITH {TERMS} SELECT DISTINCT doc_id FROM bag WHERE term = 'with' OR regexp_matches(term, '^than.*ing$')")
@@ -84,15 +85,16 @@ def index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("library_search", "SELECT doc_id, lang FROM documents WHERE contains(lower(text), 'tion the') OR contains(lower(source), 'src1')")
 def library_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return texts.library_search(_docs(spark, sf_dir), "tion THE", "text").select("doc_id", "lang").union(texts.library_search(_docs(spark, sf_dir), "SRC1", "source").select("doc_id", "lang")).distinct()
+    return texts.library_search(_docs(spark, sf_dir), {"text": "tion THE", "source": "SRC1"}).select("doc_id", "lang")
 
 
-_SPAN_SQL = "s AS (SELECT doc_id, text, instr(text, ' and ') AS p FROM documents), h AS (SELECT doc_id, text, p AS a, p + 3 AS b FROM s WHERE p > 0)"
+#: SQL: every ' and ', also where two share a blank; a is where the word begins, b is past it.
+_SPAN_SQL = """i AS (SELECT doc_id, text, unnest(range(1, length(text) - 3)) AS a FROM documents WHERE contains(text, ' and ')),
+h AS (SELECT doc_id, text, a, a + 3 AS b FROM i WHERE substr(text, a, 5) = ' and ')"""
 
 
 def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = F.instr("text", " and ")
-    return _docs(spark, sf_dir).select("doc_id", "text", at.alias("a"), (at + 3).alias("b")).where("a > 0")
+    return texts.spans(spread(_docs(spark, sf_dir)), "and")
 
 
 @query("context_window", rf"WITH {_SPAN_SQL} SELECT doc_id, regexp_replace(substr(text, greatest(a - 15, 0) + 1, least(b + 15, length(text)) - greatest(a - 15, 0)), '[^\p{{L}}\p{{N}}_ ]', ' ', 'g') AS context FROM h")
@@ -107,6 +109,7 @@ def context_paragraph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("stemmed_frequencies")
 def stemmed_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of English documents: the stemmer is for English."""
     english = _docs(spark, sf_dir).where("lang = 'en'")
     return texts.stemmed_frequencies(frequency.term_frequencies(english, stop_words=STOP_WORDS))
 

@@ -48,8 +48,8 @@ def interval_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slots.select("interval", F.date_format("interval_start", "yyyy-MM-dd").alias("interval_start"), "interval_name", F.coalesce("docs", F.lit(0)).alias("docs"))
 
 
-def _sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return timeline.sliced(dated(spark, sf_dir), DAYS).select("doc_id", "text", "label")
+def _sliced(spark: SparkSession, sf_dir: str, days: int = DAYS, start: str | None = None, end: str | None = None) -> DataFrame:
+    return timeline.sliced(dated(spark, sf_dir), days, start, end).select("doc_id", "text", "label")
 
 
 def _bags(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,16 +58,13 @@ def _bags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("wordcloud_chrono", f"""WITH {CHRONO}, f AS (SELECT source AS label, term, count(*) AS freq FROM term GROUP BY ALL)
     SELECT label, term, freq FROM (SELECT *, rank() OVER (PARTITION BY label ORDER BY freq DESC) AS r FROM f) WHERE r <= 20""")
-def wordcloud_chrono(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frequency.label_clouds(_sliced(spark, sf_dir), "label", 20, STOP_WORDS)
+def wordcloud_chrono(spark: SparkSession, sf_dir: str, n: int = 20, days: int = DAYS, start: str | None = None, end: str | None = None) -> DataFrame:
+    return frequency.label_clouds(_sliced(spark, sf_dir, days, start, end), "label", n, STOP_WORDS)
 
 
-@query("wordcloud_chrono_tfidf", f"WITH {CHRONO}, {TFIDF}, {words.BY_LABEL_TFIDF.format(label='source')}")
+@query("wordcloud_chrono_tfidf", f"WITH {CHRONO}, {TFIDF.replace('FROM documents', 'FROM idoc')}, {words.BY_LABEL_TFIDF.format(label='source')}")
 def wordcloud_chrono_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bags = _bags(spark, sf_dir)
-    scored = frequency.tfidf(bags, table(spark, sf_dir, "documents").count())
-    kept = frequency.above_threshold(scored, frequency.score_threshold(scored)).select("term", F.col("cf").alias("freq"))
-    return frequency.top_with_ties(bags.select("label", "term").distinct().join(kept, "term"), "freq", 20, "label")
+    return frequency.label_clouds_tfidf(_sliced(spark, sf_dir), "label", 20, stop_words=STOP_WORDS)
 
 
 @query("wordcloud_chrono_dunning", words.dunning_sql("source", prefix=CHRONO))
@@ -88,13 +85,14 @@ best AS (SELECT term FROM (SELECT term, rank() OVER (ORDER BY mean DESC) AS r FR
 series AS (SELECT term, interval, begin, coalesce(value, 0.0) AS value FROM best CROSS JOIN slots LEFT JOIN share USING (term, interval))"""
 
 
-def _series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return timeline.ngram_series(dated(spark, sf_dir), DAYS, top=100, min_df=3, stop_words=STOP_WORDS)
+def _series(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
+    return timeline.ngram_series(dated(spark, sf_dir), **({"days": DAYS, "top": 100, "min_df": 3, "stop_words": STOP_WORDS} | how))
 
 
 @query("ngrams_timeseries", f"WITH {SERIES} SELECT term, strftime(begin, '%Y-%m-%d') AS interval_start, round(value, 9) AS value FROM series")
-def ngrams_timeseries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _series(spark, sf_dir).select("term", F.date_format("interval_start", "yyyy-MM-dd").alias("interval_start"), F.round("value", 9).alias("value"))
+def ngrams_timeseries(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
+    """``how``: days, n, top, min_df, stop_words, start and end of the series."""
+    return _series(spark, sf_dir, **how).select("term", F.date_format("interval_start", "yyyy-MM-dd").alias("interval_start"), F.round("value", 9).alias("value"))
 
 
 @query("ngrams_max", f"WITH {SERIES} SELECT round(max(value), 9) AS max_value, count(DISTINCT term) AS terms FROM series")
@@ -115,12 +113,10 @@ def ngrams_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeline.moving(_series(spark, sf_dir), "value", 1, "interval", "term", median=True).select("term", "interval", F.round("smoothed", 9).alias("smoothed"))
 
 
-@query("ngrams_docs", f"""WITH {SERIES}, p AS (SELECT b.term, i.interval, string_agg(b.doc_id::VARCHAR, ',' ORDER BY b.doc_id) AS docs
-    FROM bag b JOIN idoc i USING (doc_id) WHERE b.term IN (SELECT term FROM best) GROUP BY ALL) SELECT * FROM p""")
+@query("ngrams_docs", f"""WITH {SERIES} SELECT b.term, i.interval, b.doc_id FROM bag b JOIN idoc i USING (doc_id) WHERE b.term IN (SELECT term FROM best)""")
 def ngrams_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = _series(spark, sf_dir).select("term").distinct()
-    found = timeline.postings(dated(spark, sf_dir), DAYS, terms, stop_words=STOP_WORDS)
-    return found.select("term", "interval", F.array_join(F.transform("docs", lambda d: d.cast("string")), ",").alias("docs"))
+    return timeline.postings(dated(spark, sf_dir), DAYS, terms, stop_words=STOP_WORDS)
 
 
 @query("year_repair", """SELECT doc_id, raw, CASE WHEN regexp_full_match(raw, '[0-9]+') THEN

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.operators import frequency, texts, topics
+from lexloom.operators.layout import written
 from lexloom.plans.registry import DATED, STOP_WORDS, TERMS, query
 from lexloom.plans.timeline import dated
 from lexloom.sources.tables import table
@@ -27,8 +28,12 @@ def _bags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frequency.term_frequencies(table(spark, sf_dir, "documents"), stop_words=STOP_WORDS)
 
 
+def _states(bags: DataFrame) -> DataFrame:
+    return bags.select("doc_id", (F.ascii("term") % 10).alias("topic"), "term", F.col("tf").alias("n"))
+
+
 def _state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _bags(spark, sf_dir).select("doc_id", (F.ascii("term") % 10).alias("topic"), "term", F.col("tf").alias("n"))
+    return _states(_bags(spark, sf_dir))
 
 
 def _doc_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,8 +68,8 @@ def topic_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT a.topic, round(sum(ln((coalesce(j.n, 0) + 1) / df)), 6) AS coherence FROM top a JOIN top b ON a.topic = b.topic AND a.rank < b.rank JOIN d ON d.term = a.term
     LEFT JOIN j ON j.topic = a.topic AND j.ra = a.rank AND j.rb = b.rank GROUP BY a.topic""")
 def topic_coherence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = topics.word_shares(_state(spark, sf_dir), 10)
-    return topics.coherence(words, _bags(spark, sf_dir)).withColumn("coherence", F.round("coherence", 6))
+    bags = written(_bags(spark, sf_dir), "bags")
+    return topics.coherence(topics.word_shares(_states(bags), 10), bags).withColumn("coherence", F.round("coherence", 6))
 
 
 @query("allocation_ratio", f"""WITH {STATE}, p AS (SELECT topic, (n + 0.1) / (len + 1.0) AS prop FROM (SELECT doc_id, topic, sum(n) AS n, sum(sum(n)) OVER (PARTITION BY doc_id) AS len FROM state GROUP BY doc_id, topic))
@@ -193,14 +198,15 @@ nc AS (SELECT label, count(*) AS docs FROM lab GROUP BY label), nt AS (SELECT la
 cls AS (SELECT label, docs, coalesce(tokens, 0) AS tokens, (SELECT count(DISTINCT term) FROM nw) AS terms FROM nc LEFT JOIN nt USING (label))"""
 
 
-def _trained(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _trained(spark: SparkSession, sf_dir: str, bags: DataFrame) -> tuple[DataFrame, DataFrame]:
     labels = table(spark, sf_dir, "labels").where("doc_id % 3 <> 0").select("doc_id", F.col("quality").alias("label"))
-    return topics.naive_bayes(_bags(spark, sf_dir), labels)
+    classes, words = topics.naive_bayes(bags, labels)
+    return written(classes, "classes"), written(words, "class-words")
 
 
 @query("nb_train", f"WITH {_NB} SELECT label, term, n, round(ln((n + 1) / (tokens + terms)), 9) AS log_share FROM nw JOIN cls USING (label)")
 def nb_train(spark: SparkSession, sf_dir: str) -> DataFrame:
-    classes, words = _trained(spark, sf_dir)
+    classes, words = _trained(spark, sf_dir, _bags(spark, sf_dir))
     return words.join(F.broadcast(classes), "label").select("label", "term", "n", F.round(F.log((F.col("n") + 1) / (F.col("tokens") + F.col("terms"))), 9).alias("log_share"))  # a row a class
 
 
@@ -209,7 +215,8 @@ def nb_train(spark: SparkSession, sf_dir: str) -> DataFrame:
     sc AS (SELECT doc_id, label, round(ln(docs / (SELECT sum(docs) FROM cls)) - len * ln(tokens + terms) + coalesce(gain, 0), 6) AS score FROM ln CROSS JOIN cls LEFT JOIN gain USING (doc_id, label))
     SELECT doc_id, label, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, label) AS r FROM sc) WHERE r = 1""")
 def nb_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topics.classify(_bags(spark, sf_dir), *_trained(spark, sf_dir))
+    bags = written(_bags(spark, sf_dir), "bags")
+    return topics.classify(bags, *_trained(spark, sf_dir, bags))
 
 
 def _lda(spark: SparkSession, sf_dir: str):
@@ -246,7 +253,7 @@ def lda_union_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     other = table(spark, sf_dir, "benchmark").select((-1 - F.col("item_id")).alias("doc_id"), "text")
     both = docs.unionByName(other)
-    bags = frequency.term_frequencies(both, stop_words=STOP_WORDS)
+    bags = written(frequency.term_frequencies(both, stop_words=STOP_WORDS), "bags")
     kept = texts.prune(bags, both.count())
     return topics.fit_lda(bags.join(kept.select("term"), "term", "left_semi"), k=10, iterations=10)[2]
 

@@ -60,8 +60,8 @@ def doc_length(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("wordcloud", f"""WITH {TERMS}, f AS (SELECT term, count(*) AS freq FROM term GROUP BY term)
     SELECT term, freq FROM (SELECT *, rank() OVER (ORDER BY freq DESC) AS r FROM f) WHERE r <= 50""")
-def wordcloud(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frequency.word_cloud(_docs(spark, sf_dir), 50, STOP_WORDS)
+def wordcloud(spark: SparkSession, sf_dir: str, n: int = 50, stop_words: tuple[str, ...] = STOP_WORDS) -> DataFrame:
+    return frequency.word_cloud(_docs(spark, sf_dir), n, stop_words)
 
 
 @query("tfidf_scores", f"WITH {TERMS}, {TFIDF} SELECT term, df, cf, round(score, 6) AS score FROM stats")
@@ -71,14 +71,16 @@ def tfidf_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("wordcloud_tfidf", f"""WITH {TERMS}, {TFIDF}, kept AS (SELECT * FROM stats, cut WHERE score > least AND df > 3)
     SELECT term, cf AS freq, round(score, 6) AS score FROM (SELECT *, rank() OVER (ORDER BY cf DESC) AS r FROM kept) WHERE r <= 150""")
-def wordcloud_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frequency.word_cloud_tfidf(_docs(spark, sf_dir), 150, stop_words=STOP_WORDS).withColumn("score", F.round("score", 6))
+def wordcloud_tfidf(spark: SparkSession, sf_dir: str, n: int = 150, gram: int = 1, stop_words: tuple[str, ...] = STOP_WORDS) -> DataFrame:
+    return frequency.word_cloud_tfidf(_docs(spark, sf_dir), n, gram, stop_words).withColumn("score", F.round("score", 6))
 
 
 @query("wordcloud_by_label", f"""WITH {TERMS}, f AS (SELECT source AS label, term, count(*) AS freq FROM term GROUP BY ALL)
     SELECT label, term, freq FROM (SELECT *, rank() OVER (PARTITION BY label ORDER BY freq DESC) AS r FROM f) WHERE r <= 20""")
-def wordcloud_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frequency.label_clouds(_docs(spark, sf_dir), "source", 20, STOP_WORDS)
+def wordcloud_by_label(spark: SparkSession, sf_dir: str, n: int = 20, label: str = "source", labels: tuple[str, ...] = ()) -> DataFrame:
+    """``labels``: the chosen ones, all by default."""
+    docs = _docs(spark, sf_dir)
+    return frequency.label_clouds(docs.where(F.col(label).isin(*labels)) if labels else docs, label, n, STOP_WORDS)
 
 
 BY_LABEL_TFIDF = """kept AS (SELECT term, cf AS freq FROM stats, cut WHERE score > least AND df > 3),
@@ -87,8 +89,8 @@ SELECT label, term, freq FROM (SELECT *, rank() OVER (PARTITION BY label ORDER B
 
 
 @query("wordcloud_by_label_tfidf", f"WITH {TERMS}, {TFIDF}, {BY_LABEL_TFIDF.format(label='source')}")
-def wordcloud_by_label_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frequency.label_clouds_tfidf(_docs(spark, sf_dir), "source", 20, stop_words=STOP_WORDS)
+def wordcloud_by_label_tfidf(spark: SparkSession, sf_dir: str, n: int = 20, gram: int = 1, label: str = "source") -> DataFrame:
+    return frequency.label_clouds_tfidf(_docs(spark, sf_dir), label, n, gram, STOP_WORDS)
 
 
 #: SQL: signed log-likelihood of (label, term) rows, from bag.

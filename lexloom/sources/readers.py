@@ -5,12 +5,10 @@ from __future__ import annotations
 import zipfile
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The columns of a document metadata file.
-METADATA = ("filename", "itemID", "title", "label", "key", "libraryKey", "year", "date", "place")
-
 
 def metadata(spark: SparkSession, path: str) -> DataFrame:
     """A header-driven CSV, all strings; empty rows go."""
@@ -73,11 +71,17 @@ def extract(spark: SparkSession, path: str, hooks: dict[str, Callable[[bytes], s
     files = files.withColumn("ending", F.lower(F.substring_index("path", ".", -1)))
     plain = F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("\ufffd"), F.lit(""))
     text = F.when(F.col("ending") == "txt", plain).when(F.col("ending").isin("html", "htm"), strip_html(plain))
-    for ending, hook in (hooks or {}).items():
-        mine = F.col("ending") == ending
-        # engines may call a function on all rows, so others' bytes are taken away
-        text = text.when(mine, F.udf(lambda b, hook=hook: None if b is None else hook(bytes(b)), "string")(F.when(mine, F.col("content"))))
-    return files.select("path", text.alias("text"))
+    known = dict(hooks or {})
+    rows = files.where(~F.col("ending").isin(*known)).select("path", text.alias("text")) if known else files.select("path", text.alias("text"))
+    if not known:
+        return rows
+
+    def run(batches):  # whole batches of files of the hooks' endings only
+        for b in batches:
+            out = [known[e](bytes(c)) for e, c in zip(b.column("ending").to_pylist(), b.column("content").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(out, pa.string())], names=["path", "text"])
+
+    return rows.unionByName(files.where(F.col("ending").isin(*known)).select("path", "ending", "content").mapInArrow(run, "path string, text string"))
 
 
 def imported_issues(spark: SparkSession, path: str, pattern: str) -> DataFrame:
