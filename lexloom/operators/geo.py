@@ -9,6 +9,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexloom.functions.text import ngrams
+from lexloom.operators.layout import spread, written
+
 #: Words between blanks and these signs.
 TOKEN = re.compile(r"""[^\s'",.\-/<>]+""")
 #: Words that vouch for a region after them, and the longest name.
@@ -101,26 +104,56 @@ def find_places(text: str | None, g: Gazetteer) -> list[dict]:
 MENTION = "array<struct<geonameid:bigint,name:string,kind:string,lat:double,lon:double,start:int,`end`:int>>"
 
 
-def geoparse(docs: DataFrame, gazetteer: DataFrame) -> DataFrame:
-    """``(doc_id, place, mention)`` rows; a match inside the leading ``place`` text is the publication place.
-
-    ``docs`` have ``place`` and ``text``.  The gazetteer is collected and
-    sent to the tasks: it is a reference table of places, not of documents.
-    """
+def _parsed(b, names, gazetteer_of, kind):
+    """A batch's rows with their mentions; ``gazetteer_of``: the places that row i may name."""
     import pyarrow as pa
 
-    from lexloom.sources.arrow import arrow_type
+    texts = zip(b.column("place").to_pylist(), b.column("text").to_pylist())
+    found = [find_places((p + ". " if p else "") + (t or ""), gazetteer_of(i)) for i, (p, t) in enumerate(texts)]
+    return pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("place"), pa.array(found, kind)], names=names)
+
 
-    known = docs.sparkSession.sparkContext.broadcast(Gazetteer.of([r.asDict() for r in gazetteer.collect()]))
-    kind = arrow_type(MENTION)
+def possible_names(text: F.Column) -> F.Column:
+    """All names of 1 to 3 words of a text that begin with no lower-case letter, lower-cased."""
+    words = F.filter(F.split(text, r"""[\s'",.\-/<>]+"""), lambda w: w != "")
+    begins = lambda g: ~g[0].rlike(r"^\p{Ll}")
+    grams = [F.transform(F.filter(ngrams(words, n), begins), lambda g: F.lower(F.array_join(g, " "))) for n in range(1, MOST_WORDS + 1)]
+    return F.array_distinct(F.concat(*grams))
 
-    def run(batches):
-        for b in batches:
-            found = [find_places((p + ". " if p else "") + (t or ""), known.value) for p, t in zip(b.column("place").to_pylist(), b.column("text").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("place"), pa.array(found, kind)], names=["doc_id", "place", "mentions"])
 
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "place", "text").mapInArrow(run, f"doc_id {id_type}, place string, mentions {MENTION}")
+def geoparse(docs: DataFrame, gazetteer: DataFrame, most_rows: int = 200_000) -> DataFrame:
+    """``(doc_id, geonameid, name, kind, lat, lon, is_publication, start, end)`` of each mention.
+
+    ``docs`` have ``place`` and ``text``; a match inside the leading ``place``
+    is the publication place, before the text's beginning.  A gazetteer of
+    ``most_rows`` rows or fewer is sent to the tasks.  Of a larger one each
+    document gets the places whose names its text has, by a join.
+    """
+    from lexloom.sources.arrow import arrow_type
+
+    kind, names = arrow_type(MENTION), ["doc_id", "place", "mentions"]
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, place string, mentions {MENTION}"
+    docs = docs.select("doc_id", "place", "text")
+    if gazetteer.limit(most_rows + 1).count() <= most_rows:
+        known = docs.sparkSession.sparkContext.broadcast(Gazetteer.of([r.asDict() for r in gazetteer.collect()]))
+
+        def run(batches):
+            for b in batches:
+                yield _parsed(b, names, lambda i: known.value, kind)
+
+        rows = spread(docs).mapInArrow(run, schema)
+    else:
+        columns = ["kind", "name", "country", "region", "population", "lat", "lon", "geonameid"]
+        keyed = written(docs.withColumn("row", F.monotonically_increasing_id()), "places-of")
+        named = keyed.select("row", F.explode(possible_names(F.concat_ws(". ", "place", "text"))).alias("low"))
+        met = named.join(gazetteer.select(F.lower("name").alias("low"), F.struct(*columns).alias("g")), "low").groupBy("row").agg(F.collect_list("g").alias("own"))  # a text's own names
+
+        def run(batches):
+            for b in batches:
+                own = b.column("own").to_pylist()
+                yield _parsed(b, names, lambda i, own=own: Gazetteer.of(own[i] or []), kind)
+
+        rows = keyed.join(met, "row", "left").select("doc_id", "place", "text", "own").mapInArrow(run, schema)
     shift = F.when(F.coalesce(F.length("place"), F.lit(0)) > 0, F.length("place") + 2).otherwise(0)
     m = rows.select("doc_id", F.coalesce(F.length("place"), F.lit(0)).alias("own"), shift.alias("shift"), F.explode("mentions").alias("m"))
     return m.select("doc_id", "m.geonameid", "m.name", "m.kind", "m.lat", "m.lon", (F.col("m.start") < F.col("own")).alias("is_publication"), (F.col("m.start") - F.col("shift")).alias("start"), (F.col("m.end") - F.col("shift")).alias("end"))

@@ -1,6 +1,9 @@
 """Queries over places and entities.
 
-The texts name no places, so mentions are made from document ids and nations.
+The texts name no places.  So that the parser meets countries, regions and
+cities in whole texts, a sentence made from the document's id is put after each
+text; what it must find there is known.  The gazetteer has each nation as a
+country, a region in it and two cities of a name that other nations share.
 """
 
 from __future__ import annotations
@@ -10,14 +13,23 @@ from pyspark.sql import functions as F
 
 from lexloom.functions import text as X
 from lexloom.operators import geo, texts
-from lexloom.operators.layout import spread
-from lexloom.plans.registry import DATED, TOKEN_LIST, query
+from lexloom.operators.layout import spread, written
+from lexloom.plans.registry import DATED, SQL, TOKEN_LIST, query
 from lexloom.plans.timeline import dated
 from lexloom.sources.tables import table
 
-MENTIONS = f"""{DATED}, place AS (SELECT n_nationkey AS k, n_name AS place, (n_nationkey * 3 - 30)::DOUBLE AS lat, (n_nationkey * 10 - 120)::DOUBLE AS lon FROM nation),
-men AS (SELECT doc_id, place, lat, lon, spot FROM (SELECT doc_id, unnest([(doc_id * 7) % 25, (doc_id * 3 + 1) % 25, (doc_id * 7) % 25]) AS k, unnest([10, 40, 90]) AS spot FROM documents) JOIN place USING (k)),
-pub AS (SELECT doc_id, place FROM documents JOIN place ON k = doc_id % 25), yr AS (SELECT doc_id, year(doc_date)::INT AS year FROM dated),
+#: SQL: the texts with their sentence, the mentions in them, publication places, years and flights.
+MENTIONS = f"""{DATED}, place AS (SELECT n_nationkey::BIGINT AS k, n_name AS place, (n_nationkey * 3 - 30)::DOUBLE AS lat, (n_nationkey * 10 - 120)::DOUBLE AS lon FROM nation),
+said AS (SELECT doc_id, doc_id % 5 AS t, p.k AS kp, p.place AS own, a.k AS k1, a.place AS c1, b.k AS k2, b.place AS c2, coalesce(text, '') AS body, length(coalesce(text, '')) + 6 AS s1
+    FROM documents JOIN place p ON p.k = doc_id % 25 JOIN place a ON a.k = (doc_id * 7) % 25 JOIN place b ON b.k = (doc_id * 3 + 1) % 25),
+spot AS (SELECT *, body || chr(10) || 'From ' || c1 || ' to Town' || t || ', ' || c2 || ' then in Shire' || kp AS text, s1 + length(c1) + 4 AS st, s1 + length(c1) + 4 + 7 AS s2, s1 + length(c1) + 11 + length(c2) + 9 AS s3 FROM said),
+geo AS (SELECT doc_id, kp AS geonameid, own AS name, 'country' AS kind, true AS is_publication, (-length(own) - 2)::BIGINT AS start, -2::BIGINT AS "end", kp AS k, 0.0::DOUBLE AS away FROM spot
+    UNION ALL SELECT doc_id, k1, c1, 'country', false, s1, s1 + length(c1), k1, 0.0 FROM spot
+    UNION ALL SELECT doc_id, CASE WHEN k2 % 5 = t THEN 1001 + 2 * k2 ELSE k2 END, CASE WHEN k2 % 5 = t THEN 'Town' || t ELSE c2 END, CASE WHEN k2 % 5 = t THEN 'city' ELSE 'country' END, false, CASE WHEN k2 % 5 = t THEN st ELSE s2 END, s2 + length(c2), k2, CASE WHEN k2 % 5 = t THEN 0.25 ELSE 0.0 END FROM spot
+    UNION ALL SELECT doc_id, 2000 + kp, 'Shire' || kp, 'region', false, s3, s3 + length('Shire' || kp), kp, 1.0 FROM spot),
+parsed AS (SELECT doc_id, geonameid, name, kind, lat + away AS lat, lon, is_publication, start, "end" FROM geo JOIN place USING (k)),
+men AS (SELECT doc_id, name AS place, lat, lon, start AS spot, "end" AS past FROM parsed WHERE NOT is_publication),
+pub AS (SELECT doc_id, name AS place FROM parsed WHERE is_publication), yr AS (SELECT doc_id, year(doc_date)::INT AS year FROM dated),
 fl AS (SELECT doc_id, year, pub.place AS source, m.place AS target FROM (SELECT DISTINCT doc_id, place FROM men) m JOIN pub USING (doc_id) JOIN yr USING (doc_id)),
 link AS (SELECT year, source, target, count(*) AS weight FROM fl GROUP BY ALL)"""
 
@@ -27,30 +39,60 @@ def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select(k.cast("bigint").alias("k"), F.col("n_name").alias("place"), (k * 3 - 30).cast("double").alias("lat"), (k * 10 - 120).cast("double").alias("lon"))
 
 
-def _mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(kind, name, country, region, population, lat, lon, geonameid)``."""
+    k, place = F.col("k"), F.col("place")
+
+    def row(kind: str, name: F.Column, population: int, away: float, geonameid: F.Column) -> F.Column:
+        return F.struct(F.lit(kind).alias("kind"), name.alias("name"), place.alias("country"), F.concat(F.lit("Shire"), k.cast("string")).alias("region"), F.lit(population).cast("bigint").alias("population"), (F.col("lat") + away).alias("lat"), F.col("lon"), geonameid.cast("bigint").alias("geonameid"))
+
+    town = F.concat(F.lit("Town"), (k % 5).cast("string"))
+    rows = F.array(row("country", place, 0, 0.0, k), row("city", town, 10, 0.5, 1000 + 2 * k), row("city", town, 20, 0.25, 1001 + 2 * k), row("region", F.concat(F.lit("Shire"), k.cast("string")), 0, 1.0, 2000 + k))
+    return _places(spark, sf_dir).select(F.explode(rows).alias("r")).select("r.*")
+
+
+def _told(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(doc_id, place, text)``: whole texts with their sentence, and where they appeared."""
     d = F.col("doc_id")
-    hits = F.array(*(F.struct(k.alias("k"), F.lit(at).alias("spot")) for k, at in (((d * 7) % 25, 10), ((d * 3 + 1) % 25, 40), ((d * 7) % 25, 90))))
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(hits).alias("h")).select("doc_id", "h.k", "h.spot")
-    return rows.join(_places(spark, sf_dir), "k").drop("k")
+    nation = lambda k: F.concat(F.lit("NATION_"), (k % 25).cast("string"))
+    sentence = F.concat(F.lit("\nFrom "), nation(d * 7), F.lit(" to Town"), (d % 5).cast("string"), F.lit(", "), nation(d * 3 + 1), F.lit(" then in Shire"), (d % 25).cast("string"))
+    return table(spark, sf_dir, "documents").select("doc_id", nation(d).alias("place"), F.concat(F.coalesce("text", F.lit("")), sentence).alias("text"))
+
+
+def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geo.geoparse(_told(spark, sf_dir), _gazetteer(spark, sf_dir))
 
 
-def _published(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 25).alias("k")).join(_places(spark, sf_dir), "k").select("doc_id", "place")
+def _both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Mentions ``(doc_id, place, lat, lon, spot, past)`` and publication places ``(doc_id, place)``: texts are parsed once."""
+    found = written(_parsed(spark, sf_dir), "mentions")
+    mentions = found.where("NOT is_publication").select("doc_id", F.col("name").alias("place"), "lat", "lon", F.col("start").cast("bigint").alias("spot"), F.col("end").cast("bigint").alias("past"))
+    return mentions, found.where("is_publication").select("doc_id", F.col("name").alias("place"))
+
+
+def _mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _both(spark, sf_dir)[0]
 
 
 def _years(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dated(spark, sf_dir).select("doc_id", F.year("doc_date").alias("year"))
 
 
-@query("geo_mentions", f"WITH {MENTIONS} SELECT doc_id, place, lat, lon, spot FROM men")
+@query("geo_mentions", f"WITH {MENTIONS} SELECT doc_id, place, lat, lon, spot, past FROM men")
 def geo_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mentions(spark, sf_dir)
 
 
-@query("geo_export", rf"WITH {MENTIONS} SELECT place AS name, lat, lon AS lng, 'geo/' || place AS uri, doc_id, regexp_replace(substr(text, greatest(spot - 15, 0) + 1, least(spot + 25, length(text)) - greatest(spot - 15, 0)), '[^\p{{L}}\p{{N}}_ ]', ' ', 'g') AS context FROM men JOIN documents USING (doc_id) WHERE spot + 10 <= length(text)")
+@query("geo_export", rf"WITH {MENTIONS} SELECT place AS name, lat, lon AS lng, 'geo/' || place AS uri, doc_id, regexp_replace(substr(text, greatest(men.spot - 15, 0) + 1, least(past + 15, length(text)) - greatest(men.spot - 15, 0)), '[^\p{{L}}\p{{N}}_ ]', ' ', 'g') AS context FROM men JOIN spot USING (doc_id)")
 def geo_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _mentions(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").where(F.col("spot") + 10 <= F.length("text"))
-    return rows.select(F.col("place").alias("name"), "lat", F.col("lon").alias("lng"), F.concat(F.lit("geo/"), "place").alias("uri"), "doc_id", texts.context(F.col("text"), F.col("spot"), F.col("spot") + 10).alias("context"))
+    rows = _mentions(spark, sf_dir).join(_told(spark, sf_dir).select("doc_id", "text"), "doc_id")
+    return rows.select(F.col("place").alias("name"), "lat", F.col("lon").alias("lng"), F.concat(F.lit("geo/"), "place").alias("uri"), "doc_id", texts.context(F.col("text"), F.col("spot").cast("int"), F.col("past").cast("int")).alias("context"))
+
+
+@query("publication_places", f"WITH {MENTIONS} SELECT doc_id, source AS label, place FROM documents LEFT JOIN pub USING (doc_id)")
+def publication_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each item with the place it appeared in, read from what the parser found."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("label")).join(_both(spark, sf_dir)[1], "doc_id", "left")
 
 
 @query("geo_heatmap", f"WITH {MENTIONS} SELECT lat, lon, count(*) AS n FROM men GROUP BY ALL")
@@ -65,7 +107,8 @@ def flight_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("flight_docs", f"WITH {MENTIONS} SELECT * FROM fl")
 def flight_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return geo.flights(_mentions(spark, sf_dir), _published(spark, sf_dir), _years(spark, sf_dir), _places(spark, sf_dir))
+    mentions, published = _both(spark, sf_dir)
+    return geo.flights(mentions, published, _years(spark, sf_dir), _gazetteer(spark, sf_dir).select(F.col("name").alias("place")).distinct())
 
 
 @query("flight_years", f"WITH {MENTIONS} SELECT min(year) AS first_year, max(year) AS last_year FROM link")
@@ -100,14 +143,16 @@ def place_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked.join(_places(spark, sf_dir).select(F.col("k").alias("asked"), "place"), "asked", "left").select("doc_id", "asked", "place")
 
 
-@query("geoparse")
+@query("geoparse", f'WITH {MENTIONS} SELECT doc_id, geonameid, name, kind, lat, lon, is_publication, start::BIGINT AS start, "end"::BIGINT AS "end" FROM parsed')
 def geoparse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The grammar over sentences that name nations, with each nation as a country."""
-    places = _places(spark, sf_dir)
-    gazetteer = places.select(F.lit("country").alias("kind"), F.col("place").alias("name"), F.col("place").alias("country"), F.lit(None).cast("string").alias("region"), F.lit(0).cast("bigint").alias("population"), "lat", "lon", F.col("k").alias("geonameid"))
-    named = _mentions(spark, sf_dir).groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list("place")), " then ").alias("route"))
-    docs = named.join(_published(spark, sf_dir), "doc_id").select("doc_id", "place", F.concat(F.lit("They went from "), "route").alias("text"))
-    return geo.geoparse(docs, gazetteer)
+    """The grammar over whole texts."""
+    return _parsed(spark, sf_dir).withColumns({"start": F.col("start").cast("bigint"), "end": F.col("end").cast("bigint")})
+
+
+@query("geoparse_by_join", f'WITH {MENTIONS} SELECT doc_id, geonameid, name, is_publication FROM parsed')
+def geoparse_by_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with a gazetteer too large to be sent to tasks."""
+    return geo.geoparse(_told(spark, sf_dir), _gazetteer(spark, sf_dir), most_rows=10).select("doc_id", "geonameid", "name", "is_publication")
 
 
 ENTITIES = f"""{TOKEN_LIST}, ent AS (SELECT 'http://dbpedia.org/resource/' || term AS uri, doc_id, count(*) AS n FROM (SELECT doc_id, unnest(w) AS term FROM toks) GROUP BY ALL),
@@ -143,17 +188,17 @@ def _entity_nodes(counts: DataFrame) -> DataFrame:
     return geo.over_quantile(entities.unionByName(docs))
 
 
-@query("entity_counts_whole")
+@query("entity_counts_whole", SQL["entity_counts"])
 def entity_counts_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _entities(spark, sf_dir)
 
 
-@query("entity_top_whole")
+@query("entity_top_whole", SQL["entity_top"])
 def entity_top_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geo.top_entities(_entities(spark, sf_dir))
 
 
-@query("entity_quantile_whole")
+@query("entity_quantile_whole", SQL["entity_quantile"])
 def entity_quantile_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _entity_nodes(_entities(spark, sf_dir))
 
