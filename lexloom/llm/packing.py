@@ -26,6 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lexloom.llm.common import arrow_map
 
@@ -159,11 +160,17 @@ def pack_group(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarr
     return bins, offsets
 
 
-def assign(pieces: DataFrame, n_documents: int, capacity: int = 2048, per_group: int = 50_000) -> DataFrame:
-    """``pieces`` with ``sequence_id`` and ``offset``."""
+def expected(docs: DataFrame, capacity: int = 2048) -> int:
+    """About how many pieces the documents have: one each, and one more for every ``4 * capacity`` characters."""
+    longer = F.floor(F.coalesce(F.length("text"), F.lit(0)) / (4 * capacity))
+    return docs.agg((F.count("*") + F.coalesce(F.sum(longer), F.lit(0))).cast("bigint")).first()[0]
+
+
+def assign(pieces: DataFrame, n_pieces: int, capacity: int = 2048, per_group: int = 50_000) -> DataFrame:
+    """``pieces`` with ``sequence_id`` and ``offset``; ``n_pieces``, their number or so, says how many tasks share them."""
     import pyarrow as pa
 
-    groups = max(1, -(-n_documents // per_group))
+    groups = max(1, -(-n_pieces // per_group))
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
     def run(batches):

@@ -14,15 +14,32 @@ URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net"
 
 
 def op1_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded text of every document.
+
+    Null and empty texts have no ids; very long ones are merged word by word; repeated rows and null ids
+    come back once each; other columns are ignored; an empty table gives no rows.
+    """
     return bpe_lexicon.round_trip(table(spark, sf_dir, "documents"))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score of every document.
+
+    Null and empty texts have the base score; ties at the threshold are toxic; repeated rows come back once
+    each, a null id is never held out; without labels of both kinds every score is the share of toxic ones;
+    other columns are ignored; an empty table gives no rows.
+    """
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
 def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict on every page.
+
+    Null urls and those without :// have empty host and path; the longest rule wins, of equal ones block;
+    repeated rows stay repeated, null ids stay; long urls are whole; other columns are ignored; an empty
+    table gives no rows.
+    """
     return url_rules.judge(table(spark, sf_dir, "pages"), url_rules.rules_frame(spark, URL_RULES))
 
 
@@ -39,6 +56,11 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM s L
 
 
 def op5_gru_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Likelihoods of every document.
+
+    A null or empty text is its end token; long texts are scored whole; repeated rows come back once each, a
+    null id trains; other columns are ignored; an empty table gives no rows.
+    """
     return gru_lm.score(table(spark, sf_dir, "documents"))
 
 
@@ -47,6 +69,11 @@ MARKED = r"\### Assistant: </turn> ok"
 
 
 def op6_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation and one of marks, read back from its formatted text.
+
+    Null roles and texts are empty; equal turns go by role, then text; repeated rows are turns of their own;
+    null conversations are one; other columns are ignored; an empty table gives the marked conversation.
+    """
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     marked = spark.createDataFrame([(-7, 0, "user", MARKED), (-7, 1, "assistant", MARKED)], rows.schema)
     return reply_trees.digests(reply_trees.format_trees(reply_trees.chain_nodes(rows.unionByName(marked))))
@@ -65,25 +92,53 @@ FROM n GROUP BY conv_id"""
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document.
+
+    A null or empty text has no words and fails; a null or rare language is judged by the base rules; long
+    texts are judged whole; distances at the limit pass; repeated rows and null ids come back once each;
+    other columns are ignored; an empty table gives no rows.
+    """
     docs = table(spark, sf_dir, "documents")
     return quality.judge(docs, quality.references(docs))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document.
+
+    Null, empty and blank texts have fingerprint zero and are linked; repeated rows come back once each; a
+    null id gets its group's component, null if the group has no other; other columns are ignored; an empty
+    table gives no rows.
+    """
     return simhash.components(table(spark, sf_dir, "documents"))
 
 
 def op7_phrase_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text.
+
+    A null text is empty; equal ids go by text hash, null ids come last, the first follows the last;
+    repeated rows come back once each; other columns are ignored; an empty table gives no rows.
+    """
     return phrase_prints.compare_with_next(table(spark, sf_dir, "documents"))
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document.
+
+    A null or empty text has none; spans that begin together go by kind; long texts are scanned whole;
+    repeated rows and null ids come back once each; other columns are ignored; an empty table gives no rows.
+    """
     return secret_scan.scan_frame(table(spark, sf_dir, "documents"))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces in sequences.
+
+    A null or empty text is its end token; long documents are cut, the first piece shorter; equal lengths go
+    by id; repeated rows and null ids are packed once each; other columns are ignored; an empty table gives
+    no rows.
+    """
     docs = table(spark, sf_dir, "documents")
-    return packing.assign(packing.pieces(docs), docs.count())
+    return packing.assign(packing.pieces(docs), packing.expected(docs))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
