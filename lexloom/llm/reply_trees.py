@@ -61,43 +61,64 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return turns
 
 
-def paths(nodes: DataFrame) -> DataFrame:
-    """``(tree_id, leaf, node_id, up)``: every node of each root-to-leaf path, ``up`` links above its leaf."""
-    same = lambda a, b, *pairs: [a["tree_id"].eqNullSafe(b["tree_id"]), *(a[x] == b[y] for x, y in pairs)]
-    links = nodes.select("tree_id", "node_id", "parent_id")
-    known = links.select(F.col("tree_id").alias("t"), F.col("node_id").alias("p"))
-    linked = links.join(known, [links["tree_id"].eqNullSafe(known["t"]), links["parent_id"] == known["p"]])
-    jump = written(linked.select("tree_id", "node_id", F.col("parent_id").alias("above")), "jump")
-    parents = jump.select(F.col("tree_id").alias("t"), F.col("above").alias("p")).distinct()
-    leaves = links.join(parents, [links["tree_id"].eqNullSafe(parents["t"]), links["node_id"] == parents["p"]], "left_anti")
-    roots = links.join(jump.select(F.col("tree_id").alias("t"), F.col("node_id").alias("c")), [F.col("tree_id").eqNullSafe(F.col("t")), F.col("node_id") == F.col("c")], "left_anti")
-    reach = written(leaves.select("tree_id", F.col("node_id").alias("leaf"), "node_id", F.lit(0).cast("bigint").alias("up")), "reach")
-    step, most = 1, nodes.count()
-    while step <= most and not jump.isEmpty():
-        j = jump.select(F.col("tree_id").alias("t"), F.col("node_id").alias("n"), "above")
-        on = [F.col("tree_id").eqNullSafe(F.col("t")), F.col("node_id") == F.col("n")]
-        grown = reach.join(j, on).select("tree_id", "leaf", F.col("above").alias("node_id"), (F.col("up") + step).alias("up"))
-        further = jump.withColumnRenamed("above", "mid").join(j, [F.col("tree_id").eqNullSafe(F.col("t")), F.col("mid") == F.col("n")])
+def _linked(nodes: DataFrame) -> DataFrame:
+    """``(tree_id, node_id, above)``: the links to parents that exist."""
+    known = nodes.select(F.col("tree_id").alias("t"), F.col("node_id").alias("p"))
+    on = [F.col("tree_id").eqNullSafe(F.col("t")), F.col("parent_id") == F.col("p")]
+    return nodes.select("tree_id", "node_id", "parent_id").join(known, on).select("tree_id", "node_id", F.col("parent_id").alias("above"))
+
+
+def branch_scores(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """``(tree_id, leaf, branch_score)``: the mean score from each leaf up to its root; branches without a root go.
+
+    Every node keeps the sum and the number of scores up to a node above it, and
+    each round joins that node's own, so that there is one row a node and the
+    reach doubles.
+    """
+    above = links.select(F.col("tree_id").alias("t"), F.col("node_id").alias("c"), "above")
+    on = [F.col("tree_id").eqNullSafe(F.col("t")), F.col("node_id") == F.col("c")]
+    rows = written(nodes.join(above, on, "left").select("tree_id", "node_id", F.col("above").alias("top"), F.col("score").alias("total"), F.lit(1).cast("bigint").alias("n")), "sums")
+    step, most = 1, rows.count()
+    while step <= most and not rows.where("top IS NOT NULL").isEmpty():
+        higher = rows.select(F.col("tree_id").alias("t"), F.col("node_id").alias("c"), F.col("top").alias("next"), F.col("total").alias("more"), F.col("n").alias("m"))
+        met = rows.where("top IS NOT NULL").join(higher, [F.col("tree_id").eqNullSafe(F.col("t")), F.col("top") == F.col("c")])
+        grown = met.select("tree_id", "node_id", F.col("next").alias("top"), (F.col("total") + F.col("more")).alias("total"), (F.col("n") + F.col("m")).alias("n"))
+        rows = written(rows.where("top IS NULL").unionByName(grown), "sums")
+        step *= 2
+    parents = links.select(F.col("tree_id").alias("t"), F.col("above").alias("c")).distinct()
+    leaves = rows.where("top IS NULL").join(parents, on, "left_anti")
+    return leaves.select("tree_id", F.col("node_id").alias("leaf"), (F.col("total") / F.col("n")).alias("branch_score"))
+
+
+def paths(leaves: DataFrame, links: DataFrame) -> DataFrame:
+    """``(tree_id, leaf, node_id, up)``: every node of the path from each of ``leaves`` to its root, ``up`` links above the leaf."""
+    jump = links
+    reach = written(leaves.select("tree_id", "leaf", F.col("leaf").alias("node_id"), F.lit(0).cast("bigint").alias("up")), "reach")
+    step = 1
+    while not jump.isEmpty():
+        j = jump.select(F.col("tree_id").alias("t"), F.col("node_id").alias("c"), "above")
+        grown = reach.join(j, [F.col("tree_id").eqNullSafe(F.col("t")), F.col("node_id") == F.col("c")]).select("tree_id", "leaf", F.col("above").alias("node_id"), (F.col("up") + step).alias("up"))
+        if grown.isEmpty():
+            break  # no path is longer; what is left of the links lies on cycles or other branches
+        further = jump.withColumnRenamed("above", "mid").join(j, [F.col("tree_id").eqNullSafe(F.col("t")), F.col("mid") == F.col("c")])
         reach = written(reach.unionByName(grown), "reach")
         jump = written(further.select("tree_id", "node_id", "above"), "jump")
         step *= 2
-    tops = roots.select(F.col("tree_id").alias("t"), F.col("node_id").alias("r"))
-    rooted = reach.join(tops, [F.col("tree_id").eqNullSafe(F.col("t")), F.col("node_id") == F.col("r")]).select(F.col("tree_id").alias("t"), F.col("leaf").alias("l"), F.col("up").alias("depth"))
-    kept = reach.join(rooted, [F.col("tree_id").eqNullSafe(F.col("t")), F.col("leaf") == F.col("l")])
-    return kept.where("up <= depth").select("tree_id", "leaf", "node_id", "up")
+    return reach
 
 
 def format_trees(nodes: DataFrame, best: int = 1, loss_role: str = "assistant") -> DataFrame:
     """``(tree_id, leaf, rank, score, formatted, loss_mask)`` of each tree's ``best`` branches."""
     one = F.min(F.struct(F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.col("parent_id"), F.coalesce("score", F.lit(0.0)).alias("score")))
     nodes = written(nodes.groupBy("tree_id", "node_id").agg(one.alias("x")).select("tree_id", "node_id", "x.*"), "nodes")
-    members = written(paths(nodes), "paths")
-    named = nodes.select(F.col("tree_id").alias("t"), F.col("node_id").alias("n"), "role", "text", "score")
-    on = [F.col("tree_id").eqNullSafe(F.col("t")), F.col("node_id") == F.col("n")]
-    scores = members.join(named.drop("role", "text"), on).groupBy("tree_id", "leaf").agg(F.avg("score").alias("branch_score"))
-    ranks = scores.withColumn("rank", F.row_number().over(Window.partitionBy("tree_id").orderBy(F.desc("branch_score"), "leaf"))).where(F.col("rank") <= best)
+    links = written(_linked(nodes), "links")
+    scores = branch_scores(nodes, links)
+    ranks = written(scores.withColumn("rank", F.row_number().over(Window.partitionBy("tree_id").orderBy(F.desc("branch_score"), "leaf"))).where(F.col("rank") <= best), "ranks")
+    # only the chosen branches are listed node by node
+    members = paths(ranks, links)
+    named = nodes.select(F.col("tree_id").alias("t"), F.col("node_id").alias("n"), "role", "text")
     chosen = ranks.select(F.col("tree_id").alias("ct"), F.col("leaf").alias("cl"), "rank", "branch_score")
-    turns = members.join(chosen, [F.col("tree_id").eqNullSafe(F.col("ct")), F.col("leaf") == F.col("cl")]).join(named.drop("score"), on)
+    turns = members.join(chosen, [F.col("tree_id").eqNullSafe(F.col("ct")), F.col("leaf") == F.col("cl")]).join(named, [F.col("tree_id").eqNullSafe(F.col("t")), F.col("node_id") == F.col("n")])
     grouped = turns.groupBy("tree_id", "leaf", "rank", "branch_score").agg(F.sort_array(F.collect_list(F.struct((-F.col("up")).alias("at"), "role", "text"))).alias("turns"))
     kind = f"tree_id {grouped.schema['tree_id'].dataType.simpleString()}, leaf {grouped.schema['leaf'].dataType.simpleString()}, rank int, score double, formatted string, loss_mask array<struct<start:bigint,end:bigint>>"
 
