@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -57,7 +58,16 @@ def written(df: DataFrame, what: str) -> DataFrame:
     path = f"{shared_dir(spark)}/lexloom-{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._lexloom_path = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes what ``written`` wrote for ``df``, once nothing reads it any more."""
+    path = getattr(df, "_lexloom_path", None)
+    if path:
+        _remove(df.sparkSession, path)
 
 
 def shared_file(spark: SparkSession, data: bytes, name: str) -> str:

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import written
+from lexloom.llm.common import forget, written
 
 
 def union_find(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -59,7 +59,9 @@ def stars(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
         new = written(small.where("a > b").distinct(), "edges")
         state = [F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))]
         if new.agg(*state).first() == now.agg(*state).first():
+            forget(new)
             break
+        forget(now)
         now = new
     else:
         raise RuntimeError("components did not settle")
