@@ -69,9 +69,9 @@ def glue(freq: Column, products: Column, prefix: Column, suffix: Column, kind: s
     return 2 * freq / (prefix + suffix)
 
 
-def _key(gram: Column) -> Column:
+def _key(gram: Column, name: str = "") -> tuple[Column, Column]:
     """Two hashes, 128 bits together: what grams are joined by."""
-    return F.struct(F.xxhash64(gram).alias("a"), F.xxhash64(F.lit("gram"), gram).alias("b"))
+    return F.xxhash64(gram).alias(name + "a"), F.xxhash64(F.lit("gram"), gram).alias(name + "b")
 
 
 def _cut(gram: Column, size: int, side: str) -> Column:
@@ -91,30 +91,35 @@ def multi_word_units(docs: DataFrame, max_n: int = 3, kind: str = "scp", min_fre
     and of those that hold one.  These ask for the counts of all their
     beginnings and ends in one join, by 128-bit keys rather than by words.
     """
-    counts = written(line_grams(docs, max_n + 1).withColumn("key", _key(F.col("gram"))), "grams")
+    every = line_grams(docs, max_n + 1)
+    counts = written(every.select("n", "gram", "f", *_key(F.col("gram"))), "grams")
     often = counts.where(F.col("f") >= min_freq)
-    halves = lambda size: (_cut(F.col("gram"), size, "first"), _cut(F.col("gram"), size, "last"))
-    held = F.explode(F.array(*(F.when(F.col("n") == n, F.array(*map(_key, halves(n - 1)))) for n in range(3, max_n + 2)))).alias("h")
-    holders = counts.where("n > 2").select("n", "key", "f", held).where("h IS NOT NULL").select("n", "key", "f", F.explode("h").alias("part"))
-    # (holder, part) where the part is a candidate
-    near = written(holders.join(often.where((F.col("n") > 1) & (F.col("n") <= max_n)).select(F.col("key").alias("part")), "part").select("key", "part"), "holders")
-    needed = often.where("n > 1").select("key").unionByName(near.select("key")).distinct()
     sizes = range(1, max_n + 1)
-    ask = lambda k, side: F.when(F.col("n") > k, F.struct(F.lit(k).alias("k"), F.lit(side).alias("side"), _key(_cut(F.col("gram"), k, side)).alias("part")))
-    asked = counts.join(needed, "key", "left_semi").select("n", "key", "f", F.explode(F.array_compact(F.array(*(ask(k, side) for k in sizes for side in ("first", "last"))))).alias("x"))
-    met = asked.select("n", "key", "f", "x.k", "x.side", "x.part").join(counts.where(F.col("n") <= max_n).select(F.col("key").alias("part"), F.col("f").cast("double").alias("c")), "part")
+    part = lambda k, side: F.struct(F.lit(k).alias("k"), F.lit(side).alias("side"), *_key(_cut(F.col("gram"), k, side), "p"))
+    ends = F.array(*(part(n - 1, side) for n in range(3, max_n + 2) for side in ("first", "last")))
+    own = F.filter(ends, lambda e: e["k"] == F.col("n") - 1)
+    holders = counts.where("n > 2").select("a", "b", F.explode(own).alias("x")).select("a", "b", "x.pa", "x.pb")
+    # (holder, part) where the part is a candidate
+    parts = often.where((F.col("n") > 1) & (F.col("n") <= max_n)).select(F.col("a").alias("pa"), F.col("b").alias("pb"))
+    near = written(holders.join(parts, ["pa", "pb"]), "holders")
+    needed = often.where("n > 1").select("a", "b").unionByName(near.select("a", "b")).distinct()
+    asked = F.filter(F.array(*(part(k, side) for k in sizes for side in ("first", "last"))), lambda e: e["k"] < F.col("n"))
+    asks = counts.where("n > 1").join(needed, ["a", "b"], "left_semi").select("n", "a", "b", "f", F.explode(asked).alias("x")).select("n", "a", "b", "f", "x.*")
+    known = counts.where(F.col("n") <= max_n).select(F.col("a").alias("pa"), F.col("b").alias("pb"), F.col("f").cast("double").alias("c"))
     of = lambda k, side: F.max(F.when((F.col("k") == k) & (F.col("side") == side), F.col("c")))
-    wide = met.groupBy("key").agg(F.max("n").alias("n"), F.max("f").alias("f"), *(of(k, side).alias(f"{side}{k}") for k in sizes for side in ("first", "last")))
+    wide = asks.join(known, ["pa", "pb"]).groupBy("a", "b").agg(F.max("n").alias("n"), F.max("f").alias("f"), *(of(k, side).alias(f"{side}{k}") for k in sizes for side in ("first", "last")))
     found = None
     for n in range(2, max_n + 2):
         p, s = [F.col(f"first{k}") for k in range(1, n)], [F.col(f"last{k}") for k in range(1, n)]
         mean = lambda cols: sum(cols[1:], cols[0]) / (n - 1)  # noqa: E731, B023
-        value = glue(F.col("f").cast("double"), mean([a * b for a, b in zip(p, reversed(s))]), mean(p), mean(s), kind)
+        value = glue(F.col("f").cast("double"), mean([x * y for x, y in zip(p, reversed(s))]), mean(p), mean(s), kind)
         found = F.when(F.col("n") == n, value) if found is None else found.when(F.col("n") == n, value)
-    glued = written(wide.select("key", "n", found.alias("glue")), "glue")
-    meets = near.join(glued.select("key", F.col("glue").alias("of_holder")), "key").join(glued.select(F.col("key").alias("part"), F.col("glue").alias("of_part")), "part")
-    above = meets.groupBy(F.col("part").alias("key")).agg(F.max("of_holder").alias("above"))
-    below = meets.groupBy("key").agg(F.max("of_part").alias("below"))
-    rows = often.where((F.col("n") > 1) & (F.col("n") <= max_n)).join(glued.select("key", "glue"), "key").join(above, "key", "left").join(below, "key", "left")
+    glued = written(wide.select("a", "b", found.alias("glue")), "glue")
+    # a holder's glue goes to its parts, a part's to its holders: the latter only where these are shown
+    above = near.join(glued, ["a", "b"]).groupBy("pa", "pb").agg(F.max("glue").alias("above")).withColumnsRenamed({"pa": "a", "pb": "b"})
+    shown = often.where((F.col("n") > 1) & (F.col("n") <= max_n))
+    of_parts = glued.withColumnsRenamed({"a": "pa", "b": "pb"})
+    below = near.join(shown.select("a", "b"), ["a", "b"], "left_semi").join(of_parts, ["pa", "pb"]).groupBy("a", "b").agg(F.max("glue").alias("below"))
+    rows = shown.join(glued, ["a", "b"]).join(above, ["a", "b"], "left").join(below, ["a", "b"], "left")
     edge = (F.coalesce("below", F.lit(0.0)) + F.coalesce("above", F.lit(0.0))) / 2
     return rows.where(F.col("glue") > edge).select("n", F.col("gram").alias("unit"), F.col("f").alias("freq"), "glue")
