@@ -258,8 +258,32 @@ def lda_union_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topics.fit_lda(bags.join(kept.select("term"), "term", "left_semi"), k=10, iterations=10)[2]
 
 
+def _topic_counts(bags: DataFrame, shares: DataFrame) -> DataFrame:
+    """``(doc_id, topic, n)``: a document's words by its shares."""
+    lengths = bags.groupBy("doc_id").agg(F.sum("tf").alias("len"))
+    return shares.join(lengths, "doc_id").select("doc_id", "topic", (F.col("prop") * F.col("len")).alias("n"))
+
+
+def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decade = F.concat(F.lit("decade"), F.round(F.year("doc_date"), -1).cast("string"))
+    return dated(spark, sf_dir).select("doc_id", F.explode(F.array(decade, F.regexp_replace("source", r"[\W_]+", ""), "lang")).alias("feature"))
+
+
 @query("dmr_feature_weights")
 def dmr_feature_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    decade = F.concat(F.lit("decade"), F.round(F.year("doc_date"), -1).cast("string"))
-    features = dated(spark, sf_dir).select("doc_id", F.explode(F.array(decade, F.regexp_replace("source", r"[\W_]+", ""), "lang")).alias("feature"))
-    return topics.feature_weights(_lda(spark, sf_dir)[2], features)
+    """Feature weights fitted to the topics of dated documents."""
+    bags = written(texts.topic_prefilter(table(spark, sf_dir, "documents"), stop_words=STOP_WORDS), "prefiltered")
+    shares = topics.fit_lda(bags, k=10, alpha_sum=50.0, iterations=10)[2]
+    features = written(_features(spark, sf_dir), "features")
+    counts = _topic_counts(bags, shares).join(features.select("doc_id").distinct(), "doc_id", "left_semi")
+    return topics.feature_weights(counts, features, 10)
+
+
+@query("dmr_external_weights")
+def dmr_external_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for a corpus that comes as word counts: of documents with labels, quality as the feature."""
+    counted = frequency.term_frequencies(table(spark, sf_dir, "documents"), stop_words=STOP_WORDS).select("doc_id", F.col("term").alias("word"), F.col("tf").alias("weight"))
+    bags = written(texts.word_count_corpus(counted, STOP_WORDS).select("doc_id", F.col("word").alias("term"), F.col("weight").alias("tf")), "external")
+    shares = topics.fit_lda(bags, k=5, alpha_sum=50.0, iterations=10)[2]
+    features = written(table(spark, sf_dir, "labels").select("doc_id", F.concat(F.lit("quality"), F.col("quality").cast("string")).alias("feature")), "features")
+    return topics.feature_weights(_topic_counts(bags, shares).join(features.select("doc_id"), "doc_id", "left_semi"), features, 5)

@@ -1,7 +1,9 @@
 """Operators on small frames: trees, parameters, classes, extremes, gazetteers, units and layouts."""
 
+import math
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,3 +110,37 @@ def test_coherence_of_zero_comes_last(spark):
 def test_pairs_and_entries(spark):
     row = spark.range(1).select(views.paired(F.array(*map(F.lit, "abcde"))).alias("p"), views.paired(F.array().cast("array<string>")).alias("none"), views.entries(F.create_map(F.lit(2), F.lit("b"), F.lit(1), F.lit("a"))).alias("e")).first()
     assert [tuple(x) for x in row["p"]] == [("a", "b"), ("c", "d")] and row["none"] == [] and [tuple(x) for x in row["e"]] == [(1, "a"), (2, "b")]
+
+
+def test_prior_gradient_against_differences():
+    rng = np.random.default_rng(1)
+    weights, counts = rng.normal(0, 0.5, (3, 4)), rng.integers(0, 9, (5, 4)).astype(float)
+    found = [[0], [0, 1], [0, 2], [0, 1, 2], [0]]
+
+    def likelihood(w):
+        total = 0.0
+        for f, c in zip(found, counts):
+            prior = np.exp(w[f].sum(axis=0))
+            total += math.lgamma(prior.sum()) - math.lgamma(prior.sum() + c.sum()) + sum(math.lgamma(p + n) - math.lgamma(p) for p, n in zip(prior, c))
+        return total
+
+    got = topics.dirichlet_gradient(weights, found, counts)
+    for i in range(3):
+        for t in range(4):
+            up, down = weights.copy(), weights.copy()
+            up[i, t] += 1e-5
+            down[i, t] -= 1e-5
+            assert got[i, t] == pytest.approx((likelihood(up) - likelihood(down)) / 2e-5, rel=1e-4, abs=1e-6)
+
+
+def test_features_raise_their_topics(spark):
+    rng = np.random.default_rng(2)
+    rows, marks = [], []
+    for d in range(200):
+        mark = "ab"[d % 2]
+        marks.append((d, mark))
+        for t, n in enumerate(rng.multinomial(50, rng.dirichlet([4.0, 0.5, 1.0] if mark == "a" else [0.5, 4.0, 1.0]))):
+            rows.append((d, t, float(n)))
+    found = {(r["topic"], r["feature"]): r["weight"] for r in topics.feature_weights(spark.createDataFrame(rows, "doc_id bigint, topic int, n double"), spark.createDataFrame(marks, "doc_id bigint, feature string"), 3).collect()}
+    assert found[0, "a"] - found[0, "b"] > 1 and found[1, "b"] - found[1, "a"] > 1 and abs(found[2, "a"] - found[2, "b"]) < 0.5
+    assert len(found) == 9
