@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions import text as X
 from lexloom.operators import frequency, texts
-from lexloom.operators.layout import spread
+from lexloom.operators.layout import by_document, spread
 from lexloom.plans.registry import DATED, STOP_LIST, STOP_WORDS, TERMS, TOKEN_LIST, query
 from lexloom.plans.timeline import dated
 from lexloom.sources.tables import table
@@ -47,11 +47,11 @@ def corpus_union_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.union_first([first, other], "id", "text").select("id", "src", F.md5("text").alias("text_md5"))
 
 
-@query("word_count_corpus", rf"""WITH t AS (SELECT item_id AS doc_id, unnest(list_filter(string_split_regex(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}_ ]+', '', 'g'), ' +'), lambda w: w <> '')) AS word FROM benchmark),
+@query("word_count_corpus", rf"""WITH t AS (SELECT doc_id, unnest(list_filter(string_split_regex(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}_ ]+', '', 'g'), ' +'), lambda w: w <> '')) AS word FROM documents),
     c AS (SELECT doc_id, word, count(*) AS weight FROM t WHERE word NOT IN ({STOP_LIST}) GROUP BY ALL)
     SELECT * FROM c WHERE doc_id IN (SELECT doc_id FROM c GROUP BY doc_id HAVING sum((length(word) + 1) * weight) >= 20)""")
 def word_count_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), F.explode(X.tokens(F.col("text"))).alias("word"))
+    words = by_document(_docs(spark, sf_dir), "text").select("doc_id", F.explode(X.tokens(F.col("text"))).alias("word"))
     return texts.word_count_corpus(words.groupBy("doc_id", "word").agg(F.count("*").alias("weight")), STOP_WORDS)
 
 
