@@ -12,10 +12,10 @@ scored with the state carried across windows from its first token to its end.
 Training is independent of how the table is partitioned.  Texts are encoded
 once; training documents are dealt to blocks of about ``block_tokens`` tokens
 by a hash of their id and codes, as many blocks as the number of training
-tokens asks for.  A round takes each block of its part (one of ``parts``), runs
-its documents in parallel streams from the round's weights, with a gradient
-step on every window, and averages the blocks' weights by their tokens.  There
-are ``epochs`` times ``parts`` rounds.
+tokens asks for.  Each of ``rounds`` rounds over all of them goes part by part:
+every block of a part runs its documents in parallel streams from the weights so
+far, with a gradient step on every ``every``-th window, by default on all, and the
+blocks' weights are averaged by their tokens.
 
 Scale.  Counts are summed in each batch before their shuffle.  The vocabulary
 and the table of frequent counts that tasks hold have fixed bounds; the other
@@ -73,6 +73,10 @@ class Net:
     """
 
     def __init__(self, class_bias: np.ndarray, word_bias: np.ndarray, flat: np.ndarray | None = None):
+        """``class_bias``: of the classes of ``word_bias``, then of the classes of other words, which become members of one more class."""
+        tails = class_bias[len(word_bias) :]
+        together = np.log(np.exp(tails).sum())
+        class_bias, word_bias = np.r_[class_bias[: len(word_bias)], together], np.vstack([word_bias, tails - together])
         h, c = HIDDEN, len(class_bias)
         self.shapes = {"inputs": (c * CLASS, 3 * h), "recur": (h, 3 * h), "to_class": (h + 1, c), "to_word": (c, h + 1, CLASS)}
         size = sum(map(math.prod, self.shapes.values()))
@@ -213,8 +217,8 @@ class Streams:
     """Documents one after another in up to ``most`` parallel streams, longest first into the shortest stream.
 
     Streams are in order of length, so that the live ones at a step come first.
-    A document's first input is the end token, which is what its stream's last
-    one ended with.  With a ``seed`` a stream's documents are shuffled.
+    A document's first input is the end token.  With a ``seed`` a stream's
+    documents are shuffled.
     """
 
     def __init__(self, codes: list[np.ndarray], end: int, most: int, seed: int | None = None):
@@ -239,11 +243,11 @@ class Streams:
             whole = np.concatenate([codes[i] for i in own])
             at = self.edges[: len(whole)] + d
             self.y[at] = whole
-            self.x[at[0]] = end
             self.x[at[1:]] = whole[:-1]
             t = 0
             for i in own:
                 begun.setdefault(t, []).append(d)
+                self.x[at[t]] = end
                 t += len(codes[i])
         self.begun = {t: np.array(d) for t, d in begun.items()}
 
@@ -277,30 +281,35 @@ def log_likelihoods(net: Net, codes: list[np.ndarray], end: int, most: int = 512
 class Trainer:
     """Adam over windows; keeps how many tokens it has learned from."""
 
-    def __init__(self, net: Net, rate: float, window: int):
-        self.net, self.rate, self.window = net, rate, window
+    def __init__(self, net: Net, rate: float, window: int, every: int = 1):
+        self.net, self.rate, self.window, self.every = net, rate, window, every
         self.m, self.v, self.grad = (np.zeros_like(net.flat) for _ in range(3))
-        self.steps = self.tokens = 0
+        self.windows = self.steps = self.tokens = 0
 
-    def documents(self, codes: list[np.ndarray], end: int, most: int, longest: int = 8192) -> None:
-        """Learns from every window.  Documents of over ``longest`` tokens are run as several, so that streams are of like length."""
+    def documents(self, codes: list[np.ndarray], end: int, most: int = 256, longest: int = 8192) -> None:
+        """Learns from every ``every``-th window of all.  Documents of over ``longest`` tokens are run as several, so that streams are of like length."""
         codes = [own[a : a + longest] for own in codes for a in range(0, len(own), longest)]
         most = min(most, max(1, sum(map(len, codes)) // max(map(len, codes))))
         docs, net, parts = Streams(codes, end, most, seed=0), self.net, self.net.view(self.grad)
         h = np.zeros((len(docs.streams), HIDDEN), dtype=np.float32)
         for _, _, x, y, edges, fresh in docs.windows(self.window):
-            self.grad[:] = 0
-            states, kept = net.forward(x, edges, fresh, h, keep=True)
-            _, dh = net.outputs(states, y, parts)
-            net.backward(x, edges, fresh, kept, dh, parts)
-            self.learn(len(y))
-
-    def learn(self, tokens: int) -> None:
-        """A step by the mean of the gradient, its length one at most."""
+            learn = self.windows % self.every == 0  # one count over all documents
+            self.windows += 1
+            states, kept = net.forward(x, edges, fresh, h, keep=learn)
+            if learn:
+                self.grad[:] = 0
+                _, dh = net.outputs(states, y, parts)
+                net.backward(x, edges, fresh, kept, dh, parts)
+                self.grad *= 1 / len(y)
+                self.learn(self.grad, len(y))
+
+    def learn(self, grad: np.ndarray, tokens: int) -> None:
+        """A step by ``grad``, its length one at most; overwrites it."""
         self.steps += 1
         self.tokens += tokens
-        grad, k = self.grad, self.steps
-        grad *= min(1.0 / tokens, 1.0 / (math.sqrt(float(grad @ grad)) + 1e-9))
+        size, k = math.sqrt(float(grad @ grad)), self.steps
+        if size > 1:
+            grad *= 1 / size
         self.m *= 0.9
         self.v *= 0.99
         self.m += np.float32(0.1) * grad
@@ -336,11 +345,10 @@ class Tables:
         real = np.arange(size) < len(vocabulary)
         by_class = (counts + real).reshape(-1, CLASS)
         self.tail_sizes = np.array([sum(tails.get(k, (0, 0))) + 1 for k in range(TAILS)], dtype=float)
-        by_class = np.vstack([by_class, self.tail_sizes])
-        mass = by_class.sum(axis=1)
+        mass = np.r_[by_class.sum(axis=1), self.tail_sizes]
         self.class_bias = np.log(mass / mass.sum())
         with np.errstate(divide="ignore"):
-            shares = np.log(by_class / mass[:, None])
+            shares = np.log(by_class / by_class.sum(axis=1, keepdims=True))
         self.word_bias = np.where(np.isfinite(shares), shares, -60.0)
         self.code = Codes((w, i) for i, (w, _) in enumerate(vocabulary))
         self.end = self.code[END]
@@ -443,10 +451,10 @@ def blocks(coded: DataFrame, parts: int = 2, block_tokens: int = 1 << 21) -> Dat
     return written(dealt.select("block", "codes").mapInArrow(run, "block bigint, part int, lengths binary, codes binary"), "lm-blocks")
 
 
-def train(dealt: DataFrame, shared, epochs: int = 2, parts: int = 2, rate: float = 0.02, window: int = 32, streams: int = 256, pieces: int = 16) -> np.ndarray:
-    """The flat weights after ``epochs`` times ``parts`` rounds over the rows of ``blocks``; ``shared``: broadcast Tables.
+def train(dealt: DataFrame, shared, rounds: int = 2, parts: int = 2, rate: float = 0.02, window: int = 32, every: int = 1, streams: int = 256, pieces: int = 16) -> np.ndarray:
+    """The flat weights after ``rounds`` rounds over the rows of ``blocks``, averaged after each part; ``shared``: broadcast Tables.
 
-    The rate falls evenly from round to round.
+    The rate falls evenly from part to part.
     """
     import pyarrow as pa
 
@@ -464,14 +472,14 @@ def train(dealt: DataFrame, shared, epochs: int = 2, parts: int = 2, rate: float
         out = sorted(sums.items())
         yield pa.RecordBatch.from_arrays([pa.array([0] * len(out), pa.int64()), pa.array([k for k, _ in out], pa.int32()), pa.array([int(n) for _, (n, _) in out], pa.int64()), pa.array([(t / n).astype(np.float32).tobytes() for _, (n, t) in out], pa.binary())], names=names)
 
-    for r in range(epochs * parts):
+    for r in range(rounds * parts):
         start = spark.sparkContext.broadcast(weights)
 
-        def learn(batches, start=start, rate=rate * (1 - r / (epochs * parts))):
+        def learn(batches, start=start, rate=rate * (1 - r / (rounds * parts))):
             known: Tables = shared.value
             for b in batches:
                 for block, lengths, codes in zip(*(b.column(c) for c in ("block", "lengths", "codes"))):
-                    trainer = Trainer(Net(known.class_bias, known.word_bias, start.value), rate, window)
+                    trainer = Trainer(Net(known.class_bias, known.word_bias, start.value), rate, window, every)
                     edges = np.cumsum(np.frombuffer(lengths.as_py(), dtype=np.int32))
                     trainer.documents(np.split(np.frombuffer(codes.as_py(), dtype=np.uint16), edges[:-1]), known.end, streams)
                     data = [p.tobytes() for p in np.array_split(trainer.net.flat, pieces)]

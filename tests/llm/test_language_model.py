@@ -17,7 +17,7 @@ SF01 = "/root/testdata/sf0.01"
 @pytest.fixture
 def tiny():
     rng = np.random.default_rng(1)
-    net = gru_lm.Net(rng.normal(0, 0.3, 3), rng.normal(0, 0.3, (3, gru_lm.CLASS)))
+    net = gru_lm.Net(rng.normal(0, 0.3, 2 + gru_lm.TAILS), rng.normal(0, 0.3, (2, gru_lm.CLASS)))
     net.flat[:] = rng.normal(0, 0.4, len(net.flat))
     codes = [rng.integers(0, 3 * gru_lm.CLASS, n).astype(np.uint16) for n in (40, 7, 3, 3, 1, 12)]
     for own in codes:
@@ -58,7 +58,7 @@ def test_gradients_against_differences(tiny):
         for change in (0.01, -0.01):
             moved = net.flat.copy()
             moved[i] += change
-            loss.append(-sum(plain(gru_lm.Net(np.zeros(3), np.zeros((3, gru_lm.CLASS)), moved), c) for c in codes))
+            loss.append(-sum(plain(gru_lm.Net(np.zeros(2 + gru_lm.TAILS), np.zeros((2, gru_lm.CLASS)), moved), c) for c in codes))
         assert abs((loss[0] - loss[1]) / 0.02 - grad[i]) < 0.02 * max(1, abs(grad[i]))
 
 
