@@ -14,9 +14,10 @@ Scale.  Chains are first made within a task over ``buffer_chars`` of text at a
 time, so a text of a third of all rows is sent once a task and buffer, and a
 reducer's chain has an entry for each different text.  Rows that a task already
 knows to be copies travel without text, dealt by id.  Labels are joined to rows
-without texts.  A reducer holds the different texts of its partition: more
-partitions (``spark.sql.shuffle.partitions``) make it smaller.  Vectors have
-three counts for each mask; the report has a row for each part, order and step.
+without texts.  A reducer holds the different texts of its partition, so texts are
+measured first and there are as many partitions as keep it near
+``reducer_bytes``.  Vectors have three counts for each mask; the report has a row
+for each part, order and step.
 
 Rows.  A null text is empty, a null or empty ``lang`` is the part of that name.
 A null id is neither smaller nor larger: its row is no copy, makes none and has no labels.  Rows of
@@ -108,14 +109,20 @@ def judged(rows: Iterable[tuple]) -> Iterator[tuple]:
             yield key, part, mask, n
 
 
-def masks(docs: DataFrame, fingerprint: F.Column | None = None, buffer_chars: int = 16_000_000) -> DataFrame:
+def reducers(docs: DataFrame, reducer_bytes: int) -> int:
+    """How many partitions hold about ``reducer_bytes`` of text each, as many as other shuffles have at least."""
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // reducer_bytes))
+
+
+def masks(docs: DataFrame, fingerprint: F.Column | None = None, buffer_chars: int = 16_000_000, reducer_bytes: int = 32 << 20) -> DataFrame:
     """``(doc_id, part, mask, n)``: the failures of ``n`` rows of an id."""
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
     prints = F.xxhash64(text) if fingerprint is None else fingerprint
     rows = docs.select(prints.alias("fingerprint"), "doc_id", own_failures(text).alias("mask"), F.coalesce("lang", F.lit("")).alias("part"), text.alias("text"))
     pairs = rows.rdd.mapPartitions(lambda rows: routed(rows, buffer_chars))
-    found = pairs.partitionBy(int(spark.conf.get("spark.sql.shuffle.partitions")), lambda key: key).mapPartitions(judged)
+    found = pairs.partitionBy(reducers(docs, reducer_bytes), lambda key: key).mapPartitions(judged)
     return spark.createDataFrame(found, "doc_id bigint, part string, mask int, n bigint")
 
 
