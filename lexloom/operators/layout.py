@@ -54,4 +54,13 @@ def written(df: DataFrame, what: str, schema: StructType | None = None) -> DataF
     path = f"{shared_dir(spark)}/lexloom-{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(removed, spark, path)
-    return spark.read.schema(schema or df.schema).parquet(path)
+    out = spark.read.schema(schema or df.schema).parquet(path)
+    out._lexloom_path = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes what ``written`` wrote for ``df``, once nothing reads it any more."""
+    path = getattr(df, "_lexloom_path", None)
+    if path:
+        removed(df.sparkSession, path)

@@ -8,44 +8,12 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from lexloom.operators.gibbs import digamma
 from lexloom.operators.layout import written
 from lexloom.operators.timeline import moving
 
 
-def fit_lda(bags: DataFrame, k: int = 50, alpha_sum: float = 50.0, beta: float = 0.01, iterations: int = 20, seed: int = 7, vocabulary: int = 1 << 16):
-    """LDA over ``(doc_id, term, tf)`` bags by online variational inference: ``(model, terms, doc_topics)``.
-
-    ``alpha_sum`` is the prior over all topics together.  Bags become sparse
-    vectors over the corpus's most frequent terms, ``vocabulary`` at most, since
-    the model holds a weight for each of them and topic.
-    """
-    from pyspark.ml.clustering import LDA
-    from pyspark.ml.functions import vector_to_array
-    from pyspark.ml.linalg import VectorUDT
-
-    counts = bags.groupBy("term").agg(F.sum("tf").alias("n"))
-    terms = [r["term"] for r in counts.orderBy(F.desc("n"), "term").limit(vocabulary).collect()]  # ``vocabulary`` words at most
-    numbers = bags.sparkSession.createDataFrame(list(enumerate(terms)), "i int, term string")
-    placed = bags.join(numbers, "term").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("i", F.col("tf").cast("double").alias("x")))).alias("p"))
-    parts = placed.select("doc_id", F.struct(F.lit(0).cast("byte").alias("type"), F.lit(len(terms)).alias("size"), F.col("p.i").alias("indices"), F.col("p.x").alias("values")).alias("features"))
-    kinds = T.StructType([T.StructField("doc_id", parts.schema["doc_id"].dataType), T.StructField("features", VectorUDT())])
-    vectors = written(parts, "vectors", kinds)  # read back as vectors
-    lda = LDA(k=k, maxIter=iterations, seed=seed, optimizer="online", docConcentration=[alpha_sum / k], topicConcentration=beta, optimizeDocConcentration=True)
-    model = lda.fit(vectors)
-    rows = model.transform(vectors).select("doc_id", F.posexplode(vector_to_array("topicDistribution")).alias("topic", "prop"))
-    return model, terms, rows
-
-
-def topic_words(model, terms: list[str], top: int = 20) -> DataFrame:
-    """``(topic, rank, term, prob)`` of each topic's heaviest words."""
-    spark = model.describeTopics(1).sparkSession
-    named = spark.createDataFrame(list(enumerate(terms)), "i int, term string")
-    rows = model.describeTopics(top).select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("rank", "w"))
-    return rows.join(named, F.col("w.termIndices") == F.col("i")).select("topic", (F.col("rank") + 1).alias("rank"), "term", F.col("w.termWeights").alias("prob"))
-
-
 def word_shares(state: DataFrame, top: int = 20) -> DataFrame:
     """``(topic, rank, term, prob)`` from ``(doc_id, topic, term, n)`` counts: each topic's heaviest words."""
     counts = state.groupBy("topic", "term").agg(F.sum("n").alias("n"))
@@ -171,17 +139,6 @@ def correlations(doc_topics: DataFrame, n_documents: int, top: int = 5) -> DataF
     return rows.select("topic_x", "topic_y", F.round(r, 9).alias("r")).orderBy(F.desc("r"), "topic_x", "topic_y").limit(top)
 
 
-def digamma(x: np.ndarray) -> np.ndarray:
-    """The derivative of log gamma for positive ``x``: raised above 6 by its recurrence, then its asymptotic series."""
-    x, out = np.array(x, dtype=float), np.zeros(np.shape(x))
-    for _ in range(6):
-        low = x < 6
-        out -= np.where(low, 1 / np.where(low, x, 1.0), 0.0)
-        x = np.where(low, x + 1, x)
-    y = 1 / (x * x)
-    return out + np.log(x) - 0.5 / x - y * (1 / 12 - y * (1 / 120 - y / 252))
-
-
 def dirichlet_gradient(weights: np.ndarray, found: list[list[int]], counts: np.ndarray) -> np.ndarray:
     """The gradient by ``weights`` (feature, topic) of the log likelihood of topic ``counts`` under the priors ``exp`` of the summed weights of each document's features."""
     rows = np.repeat(np.arange(len(found)), [len(f) for f in found])

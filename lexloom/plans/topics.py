@@ -6,14 +6,18 @@ first letter of the word, so that what follows a model can be checked exactly.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.operators import frequency, texts, topics
+from lexloom.operators import frequency, gibbs, texts, topics
 from lexloom.operators.layout import written
 from lexloom.plans.registry import DATED, STOP_WORDS, TERMS, query
+from lexloom.plans.texts import PREFILTER
 from lexloom.plans.timeline import dated
 from lexloom.sources.tables import table
+from lexloom.sources.writers import run_key
 
 #: SQL: (doc_id, topic, term, n), (doc_id, topic, prop), years of documents and all year bins.
 STATE = f"""{TERMS}, state AS (SELECT doc_id, (unicode(term) % 10)::INT AS topic, term, tf AS n FROM bag),
@@ -219,49 +223,88 @@ def nb_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topics.classify(bags, *_trained(spark, sf_dir, bags))
 
 
-def _lda(spark: SparkSession, sf_dir: str):
-    return topics.fit_lda(texts.topic_prefilter(table(spark, sf_dir, "documents"), stop_words=STOP_WORDS), k=10, alpha_sum=50.0, iterations=10)
+#: Models of this process by application, tables and parameters: queries of one model fit it once.
+_FITTED: dict[tuple, gibbs.Model] = {}
+
+
+def _fitted(spark: SparkSession, sf_dir: str, name: str, bags: Callable[[], DataFrame], features: Callable[[], DataFrame] | None = None, **how) -> gibbs.Model:
+    """The model ``name`` with these parameters.  Its rows are written, so each query reads them."""
+    key = (spark.sparkContext.applicationId, sf_dir, name, run_key(name, how))
+    if key not in _FITTED:
+        _FITTED[key] = gibbs.fit(bags(), features=features() if features else None, **how)
+    return _FITTED[key]
+
+
+#: The reference's defaults are 50 topics, 1,000 sweeps, 200 of them before the first fit of the priors, one every 10.
+SWEEPS = {"k": 10, "alpha_sum": 50.0, "iterations": 20, "burn_in": 5, "optimize_every": 5}
+
+
+def _lda(spark: SparkSession, sf_dir: str, **how) -> gibbs.Model:
+    return _fitted(spark, sf_dir, "lda", lambda: texts.topic_prefilter(table(spark, sf_dir, "documents"), stop_words=STOP_WORDS), **(SWEEPS | how))
+
+
+def _shown(model: gibbs.Model, top: int = 20) -> DataFrame:
+    return topics.word_shares(model.counts(), top)
 
 
 @query("lda_topics")
-def lda_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model, terms, _ = _lda(spark, sf_dir)
-    return topics.topic_words(model, terms)
+def lda_topics(spark: SparkSession, sf_dir: str, top: int = 20, **how) -> DataFrame:
+    """Each topic's heaviest words."""
+    return _shown(_lda(spark, sf_dir, **how), top)
 
 
 @query("lda_doc_topics")
-def lda_doc_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lda(spark, sf_dir)[2]
+def lda_doc_topics(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
+    return _lda(spark, sf_dir, **how).doc_topics()
+
+
+@query("lda_tokens", f"WITH {PREFILTER} SELECT doc_id, term, tf::BIGINT AS n, tf::BIGINT AS places FROM pre")
+def lda_tokens(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
+    """The state counted by document and word: its tokens are the bags', none lost and none twice."""
+    state = _lda(spark, sf_dir, **how).state()
+    return state.groupBy("doc_id", "term").agg(F.count("*").alias("n"), F.countDistinct("position").alias("places"))
+
+
+@query("lda_counts", f"WITH {PREFILTER} SELECT term, sum(tf)::BIGINT AS n FROM pre GROUP BY term")
+def lda_counts(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
+    """The merged counts by word: every word is in the model as often as in the bags."""
+    return _lda(spark, sf_dir, **how).counts().groupBy("term").agg(F.sum("n").alias("n"))
+
+
+@query("lda_diagnostics")
+def lda_diagnostics(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
+    """Each topic's tokens, coherence of its words and share of documents that it dominates."""
+    model = _lda(spark, sf_dir, **how)
+    tokens = model.counts().groupBy("topic").agg(F.sum("n").alias("tokens"))
+    bags = model.state().groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    coherent = topics.coherence(_shown(model, 10), bags)
+    return tokens.join(coherent, "topic").join(topics.allocation(model.doc_topics()).select("topic", "ratio"), "topic")
 
 
 @query("lda_by_label")
-def lda_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+def lda_by_label(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
     labels = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("label"))
-    return topics.label_means(_lda(spark, sf_dir)[2], labels)
+    return topics.label_means(_lda(spark, sf_dir, **how).doc_topics(), labels)
 
 
 @query("lda_by_tag")
-def lda_by_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
+def lda_by_tag(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
     tags = table(spark, sf_dir, "labels").select("doc_id", F.concat(F.lit("quality"), F.col("quality").cast("string")).alias("label"))
     docs = table(spark, sf_dir, "documents").join(tags.select("doc_id"), "doc_id", "left_semi")
-    rows = topics.fit_lda(texts.topic_prefilter(docs, stop_words=STOP_WORDS), k=10, iterations=10)[2]
-    return topics.label_means(rows, tags)
+    model = _fitted(spark, sf_dir, "lda_by_tag", lambda: texts.topic_prefilter(docs, stop_words=STOP_WORDS), **(SWEEPS | how))
+    return topics.label_means(model.doc_topics(), tags)
 
 
 @query("lda_union_prune")
-def lda_union_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    other = table(spark, sf_dir, "benchmark").select((-1 - F.col("item_id")).alias("doc_id"), "text")
-    both = docs.unionByName(other)
-    bags = written(frequency.term_frequencies(both, stop_words=STOP_WORDS), "bags")
-    kept = texts.prune(bags, both.count())
-    return topics.fit_lda(bags.join(kept.select("term"), "term", "left_semi"), k=10, iterations=10)[2]
-
+def lda_union_prune(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
+    def bags() -> DataFrame:
+        docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+        other = table(spark, sf_dir, "benchmark").select((-1 - F.col("item_id")).alias("doc_id"), "text")
+        both = docs.unionByName(other)
+        found = written(frequency.term_frequencies(both, stop_words=STOP_WORDS), "bags")
+        return found.join(texts.prune(found, both.count()).select("term"), "term", "left_semi")
 
-def _topic_counts(bags: DataFrame, shares: DataFrame) -> DataFrame:
-    """``(doc_id, topic, n)``: a document's words by its shares."""
-    lengths = bags.groupBy("doc_id").agg(F.sum("tf").alias("len"))
-    return shares.join(lengths, "doc_id").select("doc_id", "topic", (F.col("prop") * F.col("len")).alias("n"))
+    return _fitted(spark, sf_dir, "lda_union_prune", bags, **(SWEEPS | how)).doc_topics()
 
 
 def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -269,21 +312,32 @@ def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dated(spark, sf_dir).select("doc_id", F.explode(F.array(decade, F.regexp_replace("source", r"[\W_]+", ""), "lang")).alias("feature"))
 
 
+def _dated_model(spark: SparkSession, sf_dir: str, **how) -> gibbs.Model:
+    """Topics of dated documents under priors from decade, source and language."""
+    own = lambda: texts.topic_prefilter(table(spark, sf_dir, "documents"), stop_words=STOP_WORDS).join(dated(spark, sf_dir).select("doc_id"), "doc_id", "left_semi")
+    return _fitted(spark, sf_dir, "dmr", own, lambda: _features(spark, sf_dir), **(SWEEPS | {"optimize_every": 7} | how))
+
+
 @query("dmr_feature_weights")
-def dmr_feature_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Feature weights fitted to the topics of dated documents."""
-    bags = written(texts.topic_prefilter(table(spark, sf_dir, "documents"), stop_words=STOP_WORDS), "prefiltered")
-    shares = topics.fit_lda(bags, k=10, alpha_sum=50.0, iterations=10)[2]
-    features = written(_features(spark, sf_dir), "features")
-    counts = _topic_counts(bags, shares).join(features.select("doc_id").distinct(), "doc_id", "left_semi")
-    return topics.feature_weights(counts, features, 10)
+def dmr_feature_weights(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
+    """Feature weights, fitted together with the topics."""
+    return _dated_model(spark, sf_dir, **how).feature_weights()
+
+
+@query("dmr_tokens", f"WITH {PREFILTER}, {DATED} SELECT doc_id, sum(tf)::BIGINT AS n FROM pre WHERE doc_id IN (SELECT doc_id FROM dated) GROUP BY doc_id")
+def dmr_tokens(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
+    """The tokens of every dated document in the conditioned model."""
+    return _dated_model(spark, sf_dir, **how).doc_counts().groupBy("doc_id").agg(F.sum("n").alias("n"))
 
 
 @query("dmr_external_weights")
-def dmr_external_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+def dmr_external_weights(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
     """The same for a corpus that comes as word counts: of documents with labels, quality as the feature."""
-    counted = frequency.term_frequencies(table(spark, sf_dir, "documents"), stop_words=STOP_WORDS).select("doc_id", F.col("term").alias("word"), F.col("tf").alias("weight"))
-    bags = written(texts.word_count_corpus(counted, STOP_WORDS).select("doc_id", F.col("word").alias("term"), F.col("weight").alias("tf")), "external")
-    shares = topics.fit_lda(bags, k=5, alpha_sum=50.0, iterations=10)[2]
-    features = written(table(spark, sf_dir, "labels").select("doc_id", F.concat(F.lit("quality"), F.col("quality").cast("string")).alias("feature")), "features")
-    return topics.feature_weights(_topic_counts(bags, shares).join(features.select("doc_id"), "doc_id", "left_semi"), features, 5)
+
+    def bags() -> DataFrame:
+        counted = frequency.term_frequencies(table(spark, sf_dir, "documents"), stop_words=STOP_WORDS).select("doc_id", F.col("term").alias("word"), F.col("tf").alias("weight"))
+        found = texts.word_count_corpus(counted, STOP_WORDS).select("doc_id", F.col("word").alias("term"), F.col("weight").alias("tf"))
+        return found.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
+
+    features = lambda: table(spark, sf_dir, "labels").select("doc_id", F.concat(F.lit("quality"), F.col("quality").cast("string")).alias("feature"))
+    return _fitted(spark, sf_dir, "dmr_external", bags, features, **(SWEEPS | {"k": 5, "optimize_every": 7} | how)).feature_weights()
