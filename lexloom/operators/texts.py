@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as X
-from lexloom.functions.stem import porter2
+from lexloom.functions.snowball import stem
 from lexloom.operators import frequency
 from lexloom.operators.layout import by_document, written
 
@@ -57,15 +57,20 @@ def prune(bags: DataFrame, n_documents: int, min_count: int = 3, max_df: float =
     return stats.where((F.col("cf") >= min_count) & (F.col("df") <= max_df * n_documents))
 
 
-def topic_prefilter(docs: DataFrame, min_df: int = 5, min_length: int = 3, min_tokens: int = 25, stop_words: tuple[str, ...] = ()) -> DataFrame:
+def topic_prefilter(docs: DataFrame, min_df: int = 5, min_length: int = 3, min_tokens: int = 25, stop_words: tuple[str, ...] = (), stemming: bool = False) -> DataFrame:
     """The bags that topic models train on: ``(doc_id, term, tf)``.
 
     Terms pass by length, document frequency and the inclusive tf-idf
-    threshold; then documents of ``min_tokens`` tokens or fewer go.
+    threshold; then documents of ``min_tokens`` tokens or fewer go.  With
+    ``stemming`` terms are the stems of words in the document's ``lang``.
     """
     words = F.filter(X.tokens(F.col("text"), " "), lambda w: (F.length(w) >= min_length) & (~w.isin(*stop_words) if stop_words else F.lit(True)))
-    rows = by_document(docs, "text").select("doc_id", F.explode(words).alias("term"))
-    bags = written(rows.groupBy("doc_id", "term").agg(F.count("*").alias("tf")), "bags")
+    keys = ["doc_id", "lang"] if stemming else ["doc_id"]
+    rows = by_document(docs, *keys[1:], "text").select(*keys, F.explode(words).alias("term"))
+    counts = rows.groupBy(*keys, "term").agg(F.count("*").alias("tf"))
+    if stemming:
+        counts = with_stems(written(counts, "unstemmed")).where(F.length("stem") >= min_length).groupBy("doc_id", F.col("stem").alias("term")).agg(F.sum("tf").alias("tf"))
+    bags = written(counts, "bags")
     scored = written(frequency.tfidf(bags, docs.count()), "scored")
     kept = frequency.above_threshold(scored, frequency.score_threshold(scored), min_df, strict=False)
     rest = bags.join(kept.select("term"), "term", "left_semi").withColumn("n", F.sum("tf").over(Window.partitionBy("doc_id")))
@@ -117,21 +122,28 @@ def paragraph(text: Column, start: Column, end: Column, around: int = 50) -> Col
 
 
 def stems(vocabulary: DataFrame) -> DataFrame:
-    """``(term, stem)``: each distinct word is stemmed once."""
+    """``(lang, term, stem)``: each distinct word of a language is stemmed once, words of languages without a stemmer stay."""
     import pyarrow as pa
 
     def run(batches):
         for b in batches:
-            words = b.column("term").to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([None if w is None else porter2(w) for w in words], pa.string())], names=["term", "stem"])
+            pairs = list(zip(b.column("lang").to_pylist(), b.column("term").to_pylist()))
+            found = [None if w is None else stem(w, lang) for lang, w in pairs]
+            yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("term"), pa.array(found, pa.string())], names=["lang", "term", "stem"])
 
-    return vocabulary.select("term").distinct().mapInArrow(run, "term string, stem string")
+    return vocabulary.select("lang", "term").distinct().mapInArrow(run, "lang string, term string, stem string")
+
+
+def with_stems(counts: DataFrame) -> DataFrame:
+    """``counts`` with the ``stem`` of each row's ``term`` in its ``lang``; the vocabulary is stemmed, not the rows."""
+    table = stems(counts).withColumnRenamed("lang", "_lang").withColumnRenamed("term", "_term")
+    return counts.join(table, F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("term") == F.col("_term"))).drop("_lang", "_term")
 
 
 def stemmed_frequencies(bags: DataFrame, least: int = 4) -> DataFrame:
-    """``(stem, cf)`` over stems of ``least`` letters or more, joined back from the vocabulary."""
-    by_term = bags.groupBy("term").agg(F.sum("tf").alias("cf"))
-    return by_term.join(stems(by_term), "term").where(F.length("stem") >= least).groupBy("stem").agg(F.sum("cf").alias("cf"))
+    """``(lang, stem, cf)`` of ``(lang, term, tf)`` bags over stems of ``least`` letters or more."""
+    by_term = bags.groupBy("lang", "term").agg(F.sum("tf").alias("cf"))
+    return with_stems(by_term).where(F.length("stem") >= least).groupBy("lang", "stem").agg(F.sum("cf").alias("cf"))
 
 
 def file_name(creator: Column, year: Column, title: Column) -> Column:

@@ -108,10 +108,16 @@ def context_paragraph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("stemmed_frequencies")
-def stemmed_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of English documents: the stemmer is for English."""
-    english = _docs(spark, sf_dir).where("lang = 'en'")
-    return texts.stemmed_frequencies(frequency.term_frequencies(english, stop_words=STOP_WORDS))
+def stemmed_frequencies(spark: SparkSession, sf_dir: str, least: int = 4) -> DataFrame:
+    """Stems of all documents, each by the rules of its language."""
+    return texts.stemmed_frequencies(frequency.term_frequencies(_docs(spark, sf_dir), "lang", stop_words=STOP_WORDS), least)
+
+
+@query("stemmed_totals", f"WITH {TERMS} SELECT lang, count(DISTINCT term) AS n_terms, count(*) AS cf FROM term GROUP BY lang")
+def stemmed_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each language its words in the stem table and their number in the texts: stemming loses none and repeats none."""
+    by_term = frequency.term_frequencies(_docs(spark, sf_dir), "lang", stop_words=STOP_WORDS).groupBy("lang", "term").agg(F.sum("tf").alias("cf"))
+    return texts.with_stems(by_term).where("stem IS NOT NULL").groupBy("lang").agg(F.count("*").alias("n_terms"), F.sum("cf").alias("cf"))
 
 
 @query("ris_export", f"""WITH {DATED} SELECT doc_id, 'TY  - GEN' || chr(10) || 'TI  - ' || text[:20] || chr(10) || 'AU  - ' || source || chr(10) || 'PY  - ' || strftime(doc_date, '%Y/%m/%d') || chr(10) || 'ID  - ' || doc_id || chr(10) || 'ER  - ' AS record FROM dated""")

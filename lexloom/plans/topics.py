@@ -239,8 +239,17 @@ def _fitted(spark: SparkSession, sf_dir: str, name: str, bags: Callable[[], Data
 SWEEPS = {"k": 10, "alpha_sum": 50.0, "iterations": 20, "burn_in": 5, "optimize_every": 5}
 
 
-def _lda(spark: SparkSession, sf_dir: str, **how) -> gibbs.Model:
-    return _fitted(spark, sf_dir, "lda", lambda: texts.topic_prefilter(table(spark, sf_dir, "documents"), stop_words=STOP_WORDS), **(SWEEPS | how))
+def _lda(spark: SparkSession, sf_dir: str, min_df: int = 5, stemming: bool = False, segments: bool = False, **how) -> gibbs.Model:
+    """The model of whole documents, or of their paragraphs as documents of their own, of words or of stems."""
+
+    def bags() -> DataFrame:
+        docs = table(spark, sf_dir, "documents")
+        if segments:
+            parts = texts.segments(docs, "\n").join(docs.select("doc_id", "lang"), "doc_id")
+            docs = parts.select(F.concat_ws("#", "doc_id", "segment_id").alias("doc_id"), "lang", F.col("segment").alias("text"))
+        return texts.topic_prefilter(docs, min_df, stop_words=STOP_WORDS, stemming=stemming)
+
+    return _fitted(spark, sf_dir, f"lda {min_df} {stemming} {segments}", bags, **(SWEEPS | how))
 
 
 def _shown(model: gibbs.Model, top: int = 20) -> DataFrame:
@@ -281,6 +290,14 @@ def lda_diagnostics(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
     return tokens.join(coherent, "topic").join(topics.allocation(model.doc_topics()).select("topic", "ratio"), "topic")
 
 
+@query("lda_segments")
+def lda_segments(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
+    """Shares of documents from a model of their paragraphs, of stems."""
+    rows = _lda(spark, sf_dir, segments=True, stemming=True, **how).doc_topics()
+    parts = rows.select(F.substring_index("doc_id", "#", 1).cast("bigint").alias("doc_id"), F.col("doc_id").alias("segment_id"), "topic", "prop")
+    return topics.segments_to_documents(parts)
+
+
 @query("lda_by_label")
 def lda_by_label(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
     labels = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("label"))
