@@ -6,16 +6,18 @@ first letter of the word, so that what follows a model can be checked exactly.
 
 from __future__ import annotations
 
+import atexit
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.operators import frequency, gibbs, texts, topics
-from lexloom.operators.layout import written
+from lexloom.operators.layout import removed, shared_dir, written
 from lexloom.plans.registry import DATED, STOP_WORDS, TERMS, query
 from lexloom.plans.texts import PREFILTER
 from lexloom.plans.timeline import dated
+from lexloom.sources import topic_files
 from lexloom.sources.tables import table
 from lexloom.sources.writers import run_key
 
@@ -280,6 +282,45 @@ def lda_counts(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
     return _lda(spark, sf_dir, **how).counts().groupBy("term").agg(F.sum("n").alias("n"))
 
 
+def _files(spark: SparkSession, sf_dir: str, **how) -> str:
+    """The folder of the model's files, written once."""
+    model = _lda(spark, sf_dir, **how)
+    path = f"{shared_dir(spark)}/lexloom-topic-files-{run_key(sf_dir, how)}-{spark.sparkContext.applicationId}"
+    if path not in _WRITTEN:
+        topic_files.write_state(model, f"{path}/state")
+        topic_files.write_doc_topics(model.doc_topics(), f"{path}/shares")
+        topic_files.write_keys(_shown(model), topic_files.read_priors(spark, f"{path}/state").where("name = 'alpha'"), f"{path}/keys")
+        _WRITTEN.add(path)
+        atexit.register(removed, spark, path)
+    return path
+
+
+_WRITTEN: set[str] = set()
+
+
+@query("topic_files_tokens", f"WITH {PREFILTER} SELECT doc_id, term, tf::BIGINT AS n FROM pre")
+def topic_files_tokens(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
+    """The tokens of the model's state file."""
+    return topic_files.read_state(spark, _files(spark, sf_dir, **how) + "/state").groupBy("doc_id", "term").agg(F.count("*").alias("n"))
+
+
+@query("topic_files_shares", f"WITH {PREFILTER} SELECT DISTINCT doc_id, 10::BIGINT AS topics, 1.0::DOUBLE AS total FROM pre")
+def topic_files_shares(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
+    """The shares of the model's file of shares: all topics of a document add up to one."""
+    rows = topic_files.read_doc_topics(spark, _files(spark, sf_dir, **how) + "/shares")
+    return rows.groupBy("doc_id").agg(F.countDistinct("topic").alias("topics"), F.round(F.sum("prop"), 6).alias("total"))
+
+
+@query("topic_files_keys", "SELECT unnest(range(0, 10))::INT AS topic, 20::BIGINT AS n_words, true AS same")
+def topic_files_keys(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
+    """The words of the model's file of keys are those counted from its state file."""
+    path = _files(spark, sf_dir, **how)
+    state = topic_files.read_state(spark, path + "/state").groupBy("topic", "term").agg(F.count("*").alias("n"))
+    mine = topics.word_shares(state).select("topic", "rank", F.col("term").alias("counted"))
+    met = topic_files.read_keys(spark, path + "/keys").join(mine, ["topic", "rank"], "full")
+    return met.groupBy("topic").agg(F.count("*").alias("n_words"), F.bool_and(F.col("term").eqNullSafe(F.col("counted"))).alias("same"))
+
+
 @query("lda_diagnostics")
 def lda_diagnostics(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
     """Each topic's tokens, coherence of its words and share of documents that it dominates."""
