@@ -6,7 +6,7 @@ import re
 from collections import defaultdict
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.functions.text import ngrams
@@ -159,6 +159,29 @@ def geoparse(docs: DataFrame, gazetteer: DataFrame, most_rows: int = 200_000) ->
     return m.select("doc_id", "m.geonameid", "m.name", "m.kind", "m.lat", "m.lon", (F.col("m.start") < F.col("own")).alias("is_publication"), (F.col("m.start") - F.col("shift")).alias("start"), (F.col("m.end") - F.col("shift")).alias("end"))
 
 
+def register_parser(spark: SparkSession, gazetteer: DataFrame, name: str = "places_of", most_rows: int = 200_000) -> None:
+    """A table function for SQL: ``FROM docs, LATERAL places_of(place, text)`` gives a row for each mention, as ``geoparse`` does.
+
+    The gazetteer is sent to the tasks; one of more than ``most_rows`` rows is an error, and ``geoparse`` joins it instead.
+    """
+    from pyspark.sql.functions import udtf
+
+    rows = gazetteer.limit(most_rows + 1).collect()  # checked below
+    if len(rows) > most_rows:
+        raise ValueError(f"a gazetteer of more than {most_rows} rows can't be sent to the tasks")
+    known = spark.sparkContext.broadcast(Gazetteer.of([r.asDict() for r in rows]))
+
+    class Places:
+        def eval(self, place: str, text: str):
+            own = len(place) if place else 0
+            shift = own + 2 if own else 0
+            for m in find_places((place + ". " if place else "") + (text or ""), known.value):
+                yield m["geonameid"], m["name"], m["kind"], m["lat"], m["lon"], m["start"] < own, m["start"] - shift, m["end"] - shift
+
+    kind = "geonameid bigint, name string, kind string, lat double, lon double, is_publication boolean, start bigint, `end` bigint"
+    spark.udtf.register(name, udtf(Places, returnType=kind))
+
+
 def heatmap(mentions: DataFrame) -> DataFrame:
     return mentions.groupBy("lat", "lon").agg(F.count("*").alias("n"))
 

@@ -155,6 +155,42 @@ def geoparse_by_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geo.geoparse(_told(spark, sf_dir), _gazetteer(spark, sf_dir), most_rows=10).select("doc_id", "geonameid", "name", "is_publication")
 
 
+@query("geoparse_sql", f'WITH {MENTIONS} SELECT doc_id, geonameid, name, kind, lat, lon, is_publication, start::BIGINT AS start, "end"::BIGINT AS "end" FROM parsed')
+def geoparse_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grammar as a table function of SQL."""
+    geo.register_parser(spark, _gazetteer(spark, sf_dir))
+    return spark.sql("SELECT d.doc_id, p.* FROM {told} d, LATERAL places_of(d.place, d.text) p", told=_told(spark, sf_dir))
+
+
+#: What is said of nation k, with what the grammar must find: kind, added to the id and to the latitude; nothing in the last one.
+RULES = (
+    ("Town# of, Town{t}, NATION_{k}", "city", "1001 + 2 * k", 0.25), ("to Town{t}, Shire{k}", "city", "1001 + 2 * k", 0.25), ("to Shire{k}, NATION_{k}", "region", "2000 + k", 1.0),
+    ("to NATION_{k}", "country", "k", 0.0), ("now in Shire{k}", "region", "2000 + k", 1.0), ("now near Shire{k}", None, None, None),
+)
+
+
+def _rule_case(column: str) -> str:
+    """SQL: the said sentence, or a value of the place, by rule."""
+    if column == "said":
+        part = lambda s: "'" + s.replace("{t}", "' || (k % 5) || '").replace("{k}", "' || k || '") + "'"
+        return "CASE rule " + " ".join(f"WHEN {i} THEN {part(r[0])}" for i, r in enumerate(RULES)) + " END"
+    at = {"kind": 1, "geonameid": 2, "away": 3}[column]
+    return "CASE rule " + " ".join(f"WHEN {i} THEN {repr(r[at]) if column == 'kind' else r[at]}" for i, r in enumerate(RULES) if r[1]) + " END"
+
+
+@query("geo_rules", f"""WITH d AS (SELECT doc_id, (doc_id % 6)::INT AS rule, (doc_id // 6) % 25 AS k, coalesce(text, '') || chr(10) AS body FROM documents),
+    e AS (SELECT *, {_rule_case("said")} AS said FROM d),
+    f AS (SELECT *, {_rule_case("kind")} AS kind, {_rule_case("geonameid")} AS geonameid, {_rule_case("away")} AS away FROM e WHERE rule < 5)
+    SELECT doc_id, kind, geonameid::BIGINT AS geonameid, (k * 3 - 30 + away)::DOUBLE AS lat, (length(body) + CASE rule WHEN 0 THEN 10 WHEN 4 THEN 7 ELSE 3 END)::BIGINT AS start, (length(body) + length(said))::BIGINT AS "end" FROM f""")
+def geo_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each rule of the grammar over whole texts: city and country, city and region, region and country, country, vouched region; and a region that nothing vouches for."""
+    k, t = (F.col("doc_id") / 6).cast("bigint") % 25, ((F.col("doc_id") / 6).cast("bigint") % 25) % 5
+    said = F.element_at(F.array(*(F.replace(F.replace(F.lit(s), F.lit("{k}"), k.cast("string")), F.lit("{t}"), t.cast("string")) for s, *_ in RULES)), (F.col("doc_id") % 6 + 1).cast("int"))
+    told = table(spark, sf_dir, "documents").select("doc_id", F.lit(None).cast("string").alias("place"), F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), said).alias("text"))
+    found = geo.geoparse(told, _gazetteer(spark, sf_dir))
+    return found.select("doc_id", "kind", "geonameid", "lat", F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"))
+
+
 ENTITIES = f"""{TOKEN_LIST}, ent AS (SELECT 'http://dbpedia.org/resource/' || term AS uri, doc_id, count(*) AS n FROM (SELECT doc_id, unnest(w) AS term FROM toks) GROUP BY ALL),
 wei AS (SELECT uri, sum(n)::BIGINT AS weight FROM ent GROUP BY uri)"""
 
@@ -171,7 +207,7 @@ def entity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _entities(spark, sf_dir)
 
 
-@query("entity_top", f"WITH {ENTITIES} SELECT uri, weight FROM wei WHERE weight > (SELECT min(weight) FROM (SELECT weight FROM wei ORDER BY weight DESC LIMIT 100))")
+@query("entity_top", f"WITH {ENTITIES}, placed AS (SELECT uri, weight, row_number() OVER (ORDER BY weight DESC) AS r FROM wei) SELECT uri, weight FROM placed QUALIFY weight > min(weight) FILTER (r <= 100) OVER ()")
 def entity_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geo.top_entities(_entities(spark, sf_dir))
 

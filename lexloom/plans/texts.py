@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as X
-from lexloom.operators import frequency, texts
-from lexloom.operators.layout import by_document, spread
+from lexloom.operators import frequency, incremental, patterns, texts
+from lexloom.operators.layout import by_document, removed, shared_dir, spread, written
 from lexloom.plans.registry import DATED, STOP_LIST, STOP_WORDS, TERMS, TOKEN_LIST, query
 from lexloom.plans.timeline import dated
+from lexloom.sources import runs
 from lexloom.sources.tables import table
 
 
@@ -78,6 +81,47 @@ def inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.inverted_index(_bags(spark, sf_dir))
 
 
+#: Patterns over words.
+PATTERNS = ("^than.*ing$", "ion", "^(un|re)[a-z]+ed$", "e{2}", "(ab)+c?", "^wor(d|ld)", "ment$")
+
+
+@query("pattern_search", f"WITH {TERMS} " + " UNION ALL ".join(f"SELECT {i} AS pattern, term, count(*) AS docs FROM bag WHERE regexp_matches(term, '{p}') GROUP BY term" for i, p in enumerate(PATTERNS)))
+def pattern_search(spark: SparkSession, sf_dir: str, wanted: tuple[str, ...] = PATTERNS) -> DataFrame:
+    """Words of the corpus that match patterns, and how many documents have them; an index of pieces narrows each pattern first."""
+    df = written(_bags(spark, sf_dir).groupBy("term").agg(F.count("*").alias("docs")), "index-terms")
+    index = written(patterns.piece_index(df), "index-pieces")
+    found = None
+    for i, p in enumerate(wanted):
+        rows = patterns.matching_terms(df, index, p).select(F.lit(i).alias("pattern"), "term")
+        found = rows if found is None else found.unionByName(rows)
+    return found.join(df, "term").select("pattern", "term", "docs")
+
+
+@query("incremental_counts", f"WITH {TERMS} SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM bag GROUP BY term")
+def incremental_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of the corpus as it was, made to follow it: a tenth came, a tenth changed and a tenth as many went."""
+    docs = _docs(spark, sf_dir).select("doc_id", F.when(F.col("doc_id") % 10 < 2, 1).otherwise(0).alias("version"), "text")
+    kind = F.col("doc_id") % 10
+    before = docs.where(kind > 0).select("doc_id", F.lit(0).alias("version"), F.when(kind == 1, F.lit("an older text")).otherwise(F.col("text")).alias("text"))
+    gone = docs.where(kind == 2).select((-1 - F.col("doc_id")).alias("doc_id"), F.lit(0).alias("version"), "text")
+    kept = written(incremental.versioned_bags(before.unionByName(gone), stop_words=STOP_WORDS), "kept-bags")
+    return incremental.totals(incremental.updated(kept, docs, stop_words=STOP_WORDS))
+
+
+@query("logged_runs", "SELECT 'languages' AS processor, 'all' AS collection, 'done' AS status, count(DISTINCT lang) AS rows FROM documents UNION ALL SELECT 'sources', 'all', 'done', count(DISTINCT source) FROM documents UNION ALL SELECT 'sources', 'en', 'done', count(DISTINCT source) FROM documents WHERE lang = 'en'")
+def logged_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log of three runs, one of them run twice and one failed before: the newest finished ones."""
+    import uuid
+
+    path = f"{shared_dir(spark)}/lexloom-runs-{uuid.uuid4().hex}"
+    atexit.register(removed, spark, path)
+    docs = _docs(spark, sf_dir)
+    by = lambda c, rows: (lambda: rows.groupBy(c).agg(F.count("*").alias("n")))
+    for k, (name, collection, build) in enumerate((("languages", "all", by("lang", docs)), ("sources", "all", by("source", docs)), ("sources", "all", by("source", docs)), ("sources", "en", by("source", docs.where("lang = 'en'"))))):
+        runs.logged(spark, f"{path}/log", name, collection, build, f"{path}/{k}", least=1)
+    return runs.latest(spark, f"{path}/log").select("processor", "collection", F.lit("done").alias("status"), "rows")
+
+
 @query("index_search", f"WITH {TERMS} SELECT DISTINCT doc_id FROM bag WHERE term = 'with' OR regexp_matches(term, '^than.*ing$')")
 def index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.search(_bags(spark, sf_dir), ("with", "^than.*ing$"))

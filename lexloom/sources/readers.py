@@ -60,6 +60,69 @@ def unpack(archive: str, into: str) -> list[str]:
         return z.namelist()
 
 
+def archive_entries(spark: SparkSession, path: str, pattern: str = ".*") -> DataFrame:
+    """``(archive, entry, content)`` of the files in all zip archives at ``path`` whose names match ``pattern``.
+
+    Archives are opened by the tasks that read them, an entry at a time;
+    nothing is unpacked to a disk.  Entries that can't be read have null content;
+    what is no archive has no entries.
+    """
+    import io
+    import re
+    import zlib
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    wanted = re.compile(pattern)
+
+    def run(batches):
+        for batch in batches:
+            for name, content in zip(batch.column("path").to_pylist(), batch.column("content")):
+                try:
+                    archive = zipfile.ZipFile(io.BytesIO(content.as_buffer()))
+                except zipfile.BadZipFile:
+                    continue
+                for info in archive.infolist():
+                    if not info.is_dir() and wanted.search(info.filename):
+                        try:
+                            data = archive.read(info)
+                        except (zipfile.BadZipFile, RuntimeError, NotImplementedError, zlib.error):  # damaged, locked, or packed in a way unknown here
+                            data = None
+                        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([info.filename]), pa.array([data], pa.binary())], names=["archive", "entry", "content"])
+
+    return files.mapInArrow(run, "archive string, entry string, content binary")
+
+
+def csv_entries(entries: DataFrame) -> DataFrame:
+    """``(archive, entry, line, values)`` of header-driven CSV entries: a map by column name for each record."""
+    import csv as reader
+    import io
+
+    def run(batches):
+        kind = pa.map_(pa.string(), pa.string())
+        for batch in batches:
+            for archive, entry, content in zip(*(batch.column(c).to_pylist() for c in ("archive", "entry", "content"))):
+                rows = list(reader.DictReader(io.StringIO((content or b"").decode("utf-8", "replace").removeprefix("\ufeff"))))  # of one document or list
+                maps = [[(k, v) for k, v in r.items() if k is not None and isinstance(v, str)] for r in rows]
+                yield pa.RecordBatch.from_arrays([pa.array([archive] * len(rows), pa.string()), pa.array([entry] * len(rows), pa.string()), pa.array(range(len(rows)), pa.int32()), pa.array(maps, kind)], names=["archive", "entry", "line", "values"])
+
+    return entries.mapInArrow(run, "archive string, entry string, line int, values map<string,string>")
+
+
+def data_sets(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Metadata and ``(doc_id, word, weight)`` of all archived data sets at ``path``, as ``word_counts`` gives them for files.
+
+    Each holds a list of citations and a file of counts for each document; a document in several has the counts of one.
+    """
+    rows = csv_entries(archive_entries(spark, path, r"(?i)\.csv$"))
+    value = lambda c: F.col("values")[c]
+    cited = rows.where("entry rlike '(?i)(^|/)citations\\.csv$'")
+    meta = cited.select(value("id").alias("doc_id"), value("title").alias("title"), F.substring(value("pubdate"), 1, 4).alias("year"), F.lit("external").alias("label")).dropDuplicates(["doc_id"])
+    doc = F.regexp_replace(F.substring_index("entry", "/", -1), r"^wordcounts_|\.[^.]*$", "")
+    counts = rows.where("entry rlike '(^|/)wordcounts'").select(doc.alias("doc_id"), "archive", value("WORDCOUNTS").alias("word"), value("WEIGHT").try_cast("bigint").alias("weight"))
+    first = counts.groupBy("doc_id").agg(F.min("archive").alias("archive"))
+    return meta, counts.join(first, ["doc_id", "archive"]).select("doc_id", "word", "weight")
+
+
 def extract(spark: SparkSession, path: str, hooks: dict[str, Callable[[bytes], str]] | None = None) -> DataFrame:
     """``(path, text)`` of files by extension: text, pages, and others by ``hooks``; unknown ones give null.
 
@@ -84,6 +147,18 @@ def extract(spark: SparkSession, path: str, hooks: dict[str, Callable[[bytes], s
     return rows.unionByName(files.where(F.col("ending").isin(*known)).select("path", "ending", "content").mapInArrow(run, "path string, text string"))
 
 
+def imported_by_date(files: DataFrame, pattern: str) -> DataFrame:
+    """``(day, number, path, issue)`` of ``(path, created)``: files of each day of creation numbered by name, with the issue found in the name.
+
+    Files without a date are of the day of null.
+    """
+    from pyspark.sql import Window
+
+    rows = files.select(F.to_date("created").alias("day"), "path")
+    number = F.row_number().over(Window.partitionBy("day").orderBy("path"))
+    return rows.select("day", number.alias("number"), "path", F.regexp_extract(F.substring_index("path", "/", -1), pattern, 1).alias("issue"))
+
+
 def imported_issues(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     """``(folder, number, path, issue)``: files of each folder numbered by name, with the issue found in the name."""
     from pyspark.sql import Window
