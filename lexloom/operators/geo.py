@@ -101,15 +101,24 @@ def find_places(text: str | None, g: Gazetteer) -> list[dict]:
     return out[::-1]
 
 
-MENTION = "array<struct<geonameid:bigint,name:string,kind:string,lat:double,lon:double,start:int,`end`:int>>"
+MENTION = "array<struct<geonameid:bigint,name:string,kind:string,lat:double,lon:double,start:int,`end`:int,context:string>>"
 
 
-def _parsed(b, names, gazetteer_of, kind):
-    """A batch's rows with their mentions; ``gazetteer_of``: the places that row i may name."""
+def _parsed(b, names, gazetteer_of, kind, around):
+    """A batch's rows with their mentions; ``gazetteer_of``: the places that row i may name.
+
+    With ``around`` a mention carries its text and as many characters on each side.
+    """
     import pyarrow as pa
 
-    texts = zip(b.column("place").to_pylist(), b.column("text").to_pylist())
-    found = [find_places((p + ". " if p else "") + (t or ""), gazetteer_of(i)) for i, (p, t) in enumerate(texts)]
+    found = []
+    for i, (p, t) in enumerate(zip(b.column("place").to_pylist(), b.column("text").to_pylist())):
+        lead = p + ". " if p else ""
+        mentions = find_places(lead + (t or ""), gazetteer_of(i))
+        for m in mentions if around is not None else ():
+            a, z = m["start"] - len(lead), m["end"] - len(lead)
+            m["context"] = (t or "")[max(a - around, 0) : max(z + around, 0)]
+        found.append(mentions)
     return pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("place"), pa.array(found, kind)], names=names)
 
 
@@ -121,13 +130,15 @@ def possible_names(text: F.Column) -> F.Column:
     return F.array_distinct(F.concat(*grams))
 
 
-def geoparse(docs: DataFrame, gazetteer: DataFrame, most_rows: int = 200_000) -> DataFrame:
+def geoparse(docs: DataFrame, gazetteer: DataFrame, most_rows: int = 200_000, around: int | None = None) -> DataFrame:
     """``(doc_id, geonameid, name, kind, lat, lon, is_publication, start, end)`` of each mention.
 
     ``docs`` have ``place`` and ``text``; a match inside the leading ``place``
     is the publication place, before the text's beginning.  A gazetteer of
     ``most_rows`` rows or fewer is sent to the tasks.  Of a larger one each
-    document gets the places whose names its text has, by a join.
+    document gets the places whose names its text has, by a join.  With
+    ``around`` a last column ``context`` has the mention's text and as many
+    characters on each side.
     """
     from lexloom.sources.arrow import arrow_type
 
@@ -139,7 +150,7 @@ def geoparse(docs: DataFrame, gazetteer: DataFrame, most_rows: int = 200_000) ->
 
         def run(batches):
             for b in batches:
-                yield _parsed(b, names, lambda i: known.value, kind)
+                yield _parsed(b, names, lambda i: known.value, kind, around)
 
         rows = spread(docs).mapInArrow(run, schema)
     else:
@@ -151,12 +162,12 @@ def geoparse(docs: DataFrame, gazetteer: DataFrame, most_rows: int = 200_000) ->
         def run(batches):
             for b in batches:
                 own = b.column("own").to_pylist()
-                yield _parsed(b, names, lambda i, own=own: Gazetteer.of(own[i] or []), kind)
+                yield _parsed(b, names, lambda i, own=own: Gazetteer.of(own[i] or []), kind, around)
 
         rows = keyed.join(met, "row", "left").select("doc_id", "place", "text", "own").mapInArrow(run, schema)
     shift = F.when(F.coalesce(F.length("place"), F.lit(0)) > 0, F.length("place") + 2).otherwise(0)
     m = rows.select("doc_id", F.coalesce(F.length("place"), F.lit(0)).alias("own"), shift.alias("shift"), F.explode("mentions").alias("m"))
-    return m.select("doc_id", "m.geonameid", "m.name", "m.kind", "m.lat", "m.lon", (F.col("m.start") < F.col("own")).alias("is_publication"), (F.col("m.start") - F.col("shift")).alias("start"), (F.col("m.end") - F.col("shift")).alias("end"))
+    return m.select("doc_id", "m.geonameid", "m.name", "m.kind", "m.lat", "m.lon", (F.col("m.start") < F.col("own")).alias("is_publication"), (F.col("m.start") - F.col("shift")).alias("start"), (F.col("m.end") - F.col("shift")).alias("end"), *([F.col("m.context").alias("context")] if around is not None else []))
 
 
 def register_parser(spark: SparkSession, gazetteer: DataFrame, name: str = "places_of", most_rows: int = 200_000) -> None:

@@ -107,18 +107,31 @@ def spans(docs: DataFrame, word: str) -> DataFrame:
     return rows.select("doc_id", "text", F.explode(at).alias("a")).withColumn("b", F.col("a") + len(word))
 
 
-def context(text: Column, start: Column, end: Column, around: int = 15) -> Column:
-    """The text from ``around`` characters before a span to as many after it, signs as blanks."""
-    a = F.greatest(start - around, F.lit(0))
-    cut = F.substring(text, a + 1, F.least(end + around, F.length(text)) - a)
-    return F.regexp_replace(cut, r"[^\p{L}\p{N}_ ]", " ")
+def surroundings(docs: DataFrame, word: str, around: int) -> DataFrame:
+    """``(doc_id, left, word, right)`` of every occurrence of ``word`` between blanks, with up to ``around`` characters on each side.
+
+    Cut from the neighbouring parts of the text, so no occurrence carries the whole text.
+    """
+    parts = F.split("text", f" (?={re.escape(word)} )")  # each part but the first begins with the word
+    n = len(word)
+    ends = F.transform(parts, lambda x: F.right(x, F.lit(around)))
+    begins = F.transform(parts, lambda x: F.substring(x, 1, n + around))
+    rows = docs.select("doc_id", ends.alias("ends"), begins.alias("begins")).where(F.size("begins") > 1)
 
+    def one(i: Column) -> Column:
+        # a part and its blank are a character at least, so ``around`` parts are enough
+        first = F.greatest(i - around, F.lit(1))
+        left = F.right(F.concat(F.array_join(F.slice("ends", first, i - first), " "), F.lit(" ")), F.lit(around))
+        right = F.substring(F.array_join(F.slice("begins", i, around + 1), " "), n + 1, around)
+        return F.struct(left.alias("left"), right.alias("right"))
 
-def paragraph(text: Column, start: Column, end: Column, around: int = 50) -> Column:
-    """The span with up to ``around`` characters on each side, but no further than a line end."""
-    left = F.regexp_extract(F.substring(text, F.lit(1), start), rf"([^\n]{{0,{around}}})$", 1)
-    right = F.regexp_extract(F.substring(text, end + 1, F.lit(around)), r"^([^\n]*)", 1)
-    return F.concat(left, F.substring(text, start + 1, end - start), right)
+    found = rows.select("doc_id", F.explode(F.transform(F.sequence(F.lit(2), F.size("begins")), one)).alias("s"))
+    return found.select("doc_id", "s.left", F.lit(word).alias("word"), "s.right")
+
+
+def signless(cut: Column) -> Column:
+    """A context with signs as blanks."""
+    return F.regexp_replace(cut, r"[^\p{L}\p{N}_ ]", " ")
 
 
 def stems(vocabulary: DataFrame) -> DataFrame:

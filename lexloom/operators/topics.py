@@ -212,20 +212,26 @@ def naive_bayes(bags: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFram
     return classes.select("label", "docs", F.coalesce("tokens", F.lit(0)).alias("tokens")).join(F.broadcast(terms)), words  # one row
 
 
-def classify(bags: DataFrame, classes: DataFrame, words: DataFrame) -> DataFrame:
+def classify(bags: DataFrame, classes: DataFrame, words: DataFrame, most_classes: int = 10_000) -> DataFrame:
     """``(doc_id, label, score)`` of each document's best class, ties to the smallest label; unknown words don't count.
 
-    A word comes with one array of its classes' gains, so a bag meets the model
-    in one join.  A class that lacks a word gives it the smoothing share, which
-    all of a document's words get first.
+    A word comes with the gains of the classes that have it; these are summed by
+    document and class, and a document's best class is looked for within its row,
+    so no bag meets a class that lacks its word.  More than ``most_classes`` classes are an error.
     """
-    total = classes.agg(F.sum("docs").alias("all_docs"))
+    if classes.limit(most_classes + 1).count() > most_classes:
+        raise ValueError(f"more than {most_classes} classes")
     model = words.groupBy("term").agg(F.collect_list(F.struct("label", F.log(F.col("n") + 1.0).alias("gain"))).alias("gains"))  # a class each
+    kind = words.schema["label"].dataType
     met = bags.join(model, "term", "left")
-    own = F.aggregate(F.coalesce("gains", F.array().cast(model.schema["gains"].dataType)), F.lit(0.0), lambda a, g: a + F.when(g["label"] == F.col("label"), g["gain"]).otherwise(0.0))
-    known = F.when(F.col("gains").isNotNull(), F.col("tf")).otherwise(0)
-    sums = met.join(F.broadcast(classes.select("label"))).groupBy("doc_id", "label").agg(F.sum(known).alias("len"), F.sum(F.col("tf") * own).alias("gain"))  # a row a class
-    start = F.log(F.col("docs") / F.col("all_docs")) - F.col("len") * F.log(F.col("tokens") + F.col("terms"))
-    scores = sums.join(F.broadcast(classes.join(F.broadcast(total))), "label").select("doc_id", "label", F.round(start + F.col("gain"), 6).alias("score"))
-    best = scores.groupBy("doc_id").agg(F.max("score").alias("score"), F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("below"), "label")))[0].alias("b"))
-    return best.select("doc_id", F.col("b.label").alias("label"), "score")
+    length = F.struct(F.lit(None).cast(kind).alias("label"), F.when(F.col("gains").isNotNull(), F.col("tf")).otherwise(0).cast("double").alias("gain"))
+    own = F.transform(F.coalesce("gains", F.array().cast(model.schema["gains"].dataType)), lambda g: F.struct(g["label"].alias("label"), (F.col("tf") * g["gain"]).alias("gain")))
+    sums = met.select("doc_id", F.explode(F.array_append(own, length)).alias("g")).groupBy("doc_id", "g.label").agg(F.sum("g.gain").alias("gain"))
+    held = F.collect_list(F.when(F.col("label").isNotNull(), F.struct("label", "gain")))
+    rows = sums.groupBy("doc_id").agg(F.max(F.when(F.col("label").isNull(), F.col("gain"))).alias("len"), F.map_from_entries(held).alias("gains"))  # a class each
+    every = classes.agg(F.sum("docs").alias("all_docs"), F.collect_list(F.struct("label", "docs", "tokens", "terms")).alias("classes"))  # checked above
+    start = lambda c: F.log(c["docs"] / F.col("all_docs")) - F.col("len") * F.log(c["tokens"] + c["terms"])
+    score = lambda c: F.round(start(c) + F.coalesce(F.try_element_at("gains", c["label"]), F.lit(0.0)), 6)
+    best = F.array_min(F.transform("classes", lambda c: F.struct((-score(c)).alias("below"), c["label"].alias("label"))))
+    found = rows.join(F.broadcast(every)).select("doc_id", best.alias("b"))  # one row
+    return found.select("doc_id", F.col("b.label").alias("label"), (-F.col("b.below")).alias("score"))

@@ -84,9 +84,10 @@ def geo_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("geo_export", rf"WITH {MENTIONS} SELECT place AS name, lat, lon AS lng, 'geo/' || place AS uri, doc_id, regexp_replace(substr(text, greatest(men.spot - 15, 0) + 1, least(past + 15, length(text)) - greatest(men.spot - 15, 0)), '[^\p{{L}}\p{{N}}_ ]', ' ', 'g') AS context FROM men JOIN spot USING (doc_id)")
-def geo_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _mentions(spark, sf_dir).join(_told(spark, sf_dir).select("doc_id", "text"), "doc_id")
-    return rows.select(F.col("place").alias("name"), "lat", F.col("lon").alias("lng"), F.concat(F.lit("geo/"), "place").alias("uri"), "doc_id", texts.context(F.col("text"), F.col("spot").cast("int"), F.col("past").cast("int")).alias("context"))
+def geo_export(spark: SparkSession, sf_dir: str, around: int = 15) -> DataFrame:
+    """Mentions with their surroundings, cut while a text is parsed."""
+    rows = geo.geoparse(_told(spark, sf_dir), _gazetteer(spark, sf_dir), around=around).where("NOT is_publication")
+    return rows.select("name", "lat", F.col("lon").alias("lng"), F.concat(F.lit("geo/"), "name").alias("uri"), "doc_id", texts.signless(F.col("context")).alias("context"))
 
 
 @query("publication_places", f"WITH {MENTIONS} SELECT doc_id, source AS label, place FROM documents LEFT JOIN pub USING (doc_id)")

@@ -137,18 +137,16 @@ _SPAN_SQL = """i AS (SELECT doc_id, text, unnest(range(1, length(text) - 3)) AS
 h AS (SELECT doc_id, text, a, a + 3 AS b FROM i WHERE substr(text, a, 5) = ' and ')"""
 
 
-def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return texts.spans(spread(_docs(spark, sf_dir)), "and")
-
-
 @query("context_window", rf"WITH {_SPAN_SQL} SELECT doc_id, regexp_replace(substr(text, greatest(a - 15, 0) + 1, least(b + 15, length(text)) - greatest(a - 15, 0)), '[^\p{{L}}\p{{N}}_ ]', ' ', 'g') AS context FROM h")
-def context_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _spans(spark, sf_dir).select("doc_id", texts.context(F.col("text"), F.col("a"), F.col("b")).alias("context"))
+def context_window(spark: SparkSession, sf_dir: str, word: str = "and", around: int = 15) -> DataFrame:
+    rows = texts.surroundings(spread(_docs(spark, sf_dir)), word, around)
+    return rows.select("doc_id", texts.signless(F.concat("left", "word", "right")).alias("context"))
 
 
 @query("context_paragraph", rf"WITH {_SPAN_SQL} SELECT doc_id, regexp_extract(substr(text, 1, a), '([^\n]{{0,50}})$', 1) || substr(text, a + 1, b - a) || regexp_extract(substr(text, b + 1, 50), '^([^\n]*)', 1) AS context FROM h")
-def context_paragraph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _spans(spark, sf_dir).select("doc_id", texts.paragraph(F.col("text"), F.col("a"), F.col("b")).alias("context"))
+def context_paragraph(spark: SparkSession, sf_dir: str, word: str = "and", around: int = 50) -> DataFrame:
+    rows = texts.surroundings(spread(_docs(spark, sf_dir)), word, around)
+    return rows.select("doc_id", F.concat(F.substring_index("left", "\n", -1), "word", F.substring_index("right", "\n", 1)).alias("context"))
 
 
 @query("stemmed_frequencies")

@@ -42,18 +42,23 @@ def _state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _states(_bags(spark, sf_dir))
 
 
+def _shares(state: DataFrame) -> DataFrame:
+    return written(topics.doc_shares(state), "shares")
+
+
 def _doc_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topics.doc_shares(_state(spark, sf_dir))
+    """A document's shares, a row a topic: texts are read once a query, whatever it then does with them."""
+    return _shares(_state(spark, sf_dir))
 
 
 def _bins(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    own = dated(spark, sf_dir).select("doc_id", F.year("doc_date").alias("bin"))
+    own = written(dated(spark, sf_dir).select("doc_id", F.year("doc_date").alias("bin")), "bins")
     ends = own.agg(F.min("bin").alias("a"), F.max("bin").alias("b")).where("a IS NOT NULL")
     return own, ends.select(F.explode(F.sequence("a", "b")).alias("bin"))
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topics.stream(_doc_topics(spark, sf_dir), *_bins(spark, sf_dir))
+    return written(topics.stream(_doc_topics(spark, sf_dir), *_bins(spark, sf_dir)), "stream")  # bins by topics
 
 
 @query("doc_topics", f"WITH {STATE} SELECT doc_id, topic, round(prop, 9) AS prop FROM dt")
@@ -136,21 +141,26 @@ def _search_sql(search_id: int, terms: str) -> str:
     return f"SELECT {search_id} AS search_id, bin, topic, round(sum(prop), 6) AS total, count(*) AS docs FROM dt JOIN db USING (doc_id) WHERE bin BETWEEN 1996 AND 1999 AND doc_id IN (SELECT doc_id FROM bag WHERE {terms}) GROUP BY ALL"
 
 
-def _search(spark: SparkSession, sf_dir: str, search_id: int, terms: tuple[str, ...]) -> DataFrame:
-    hits = texts.search(_bags(spark, sf_dir), terms)
+def _search(spark: SparkSession, sf_dir: str, *searches: tuple[str, ...], first: int = 1996, last: int = 1999) -> DataFrame:
+    """The stream of documents that have any of a search's terms, a part for each search; bags, shares and bins are made once for all."""
+    bags = written(_bags(spark, sf_dir), "bags")
     own, _ = _bins(spark, sf_dir)
-    rows = _doc_topics(spark, sf_dir).join(hits, "doc_id", "left_semi").join(own.where("bin BETWEEN 1996 AND 1999"), "doc_id")
-    return rows.groupBy(F.lit(search_id).alias("search_id"), "bin", "topic").agg(F.round(F.sum("prop"), 6).alias("total"), F.count("*").alias("docs"))
+    shares = written(_shares(_states(bags)).join(own.where(F.col("bin").between(first, last)), "doc_id"), "binned")
+    found = None
+    for i, terms in enumerate(searches, 1):
+        rows = shares.join(texts.search(bags, terms), "doc_id", "left_semi").groupBy(F.lit(i).alias("search_id"), "bin", "topic").agg(F.round(F.sum("prop"), 6).alias("total"), F.count("*").alias("docs"))
+        found = rows if found is None else found.unionByName(rows)
+    return found
 
 
 @query("topic_search", f"""WITH {STREAM} {_search_sql(1, "term IN ('with', 'that')")}""")
 def topic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _search(spark, sf_dir, 1, ("with", "that"))
+    return _search(spark, sf_dir, ("with", "that"))
 
 
 @query("topic_search_compare", f"""WITH {STREAM} {_search_sql(1, "term IN ('with', 'that')")} UNION ALL {_search_sql(2, "regexp_matches(term, '^ou.*')")}""")
 def topic_search_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _search(spark, sf_dir, 1, ("with", "that")).unionByName(_search(spark, sf_dir, 2, ("^ou.*",)))
+    return _search(spark, sf_dir, ("with", "that"), ("^ou.*",))
 
 
 @query("search_support", f"WITH {STREAM} SELECT bin, count(DISTINCT doc_id) AS docs FROM db WHERE doc_id IN (SELECT doc_id FROM bag WHERE term = 'with' UNION SELECT doc_id FROM bag WHERE term = 'para') GROUP BY bin")
