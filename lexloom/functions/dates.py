@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,17 +46,22 @@ DIRECTIVES = {"Y": "yyyy", "y": "yy", "m": "MM", "d": "dd", "e": "d", "H": "HH",
 
 
 def strptime_format(fmt: str) -> str:
-    """A strptime format in this engine's pattern letters, other letters quoted."""
-    out, i = [], 0
-    while i < len(fmt):
-        if fmt[i] == "%" and i + 1 < len(fmt):
-            out.append("'%'" if fmt[i + 1] == "%" else DIRECTIVES[fmt[i + 1]])
-            i += 2
-        else:
-            out.append(f"'{fmt[i]}'" if fmt[i].isalpha() else fmt[i])
-            i += 1
+    """A strptime format in this engine's pattern letters, runs of other letters quoted."""
+    out = []
+    for directive, letters, other in re.findall(r"%(.)|([A-Za-z]+|')|(.)", fmt, re.DOTALL):
+        out.append("%" if directive == "%" else DIRECTIVES[directive] if directive else "''" if letters == "'" else f"'{letters}'" if letters else other)
     return "".join(out)
 
 
+#: Names of days, which tell nothing beside a date and aren't read.
+_DAY_NAMES = r"(?i)\b(mon|tues?|wed(nes)?|thu(rs)?|fri|sat(ur)?|sun)(day)?\b"
+
+
 def strptime(text: Column, fmt: str) -> Column:
-    return F.try_to_timestamp(text, F.lit(strptime_format(fmt)))
+    """The time that a text in a strptime format tells; two-digit years lie from 1969 to 2068."""
+    if "%a" in fmt.lower().replace("%%", ""):
+        text, fmt = F.regexp_replace(text, _DAY_NAMES, ""), fmt.replace("%a", "").replace("%A", "")
+    found = F.try_to_timestamp(text, F.lit(strptime_format(fmt)))
+    if "%y" in fmt.replace("%%", ""):
+        found = F.when(F.year(found) >= 2069, F.timestamp_add("YEAR", F.lit(-100), found)).otherwise(found)
+    return found

@@ -97,3 +97,9 @@ def preorder(parents: DataFrame) -> DataFrame:
         rows = written(rows.where("top IS NULL").unionByName(longer), "paths")
         done = rows.where("top IS NULL")
     return done.select("child", (F.size("steps") - 1).alias("depth"), F.array_join("steps", "/").alias("path"))
+
+
+def with_outfiles(files: DataFrame, folder: str) -> DataFrame:
+    """A manifest ``(filename, itemID, collection)`` with ``outfile``, where a file's text goes: its own path below ``folder`` with the ending txt."""
+    stem = F.regexp_replace("filename", r"\.[^./]*$", "")
+    return files.withColumn("outfile", F.concat(F.lit(folder.rstrip("/") + "/"), stem, F.lit(".txt")))

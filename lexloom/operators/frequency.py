@@ -113,3 +113,17 @@ def label_clouds_tfidf(docs: DataFrame, label: str, n: int = 20, gram: int = 1,
     scored = written(stats.select("term", "df", "cf", (F.col("top") * F.log10(F.lit(float(docs.count())) / F.col("df"))).alias("score")), "scored")
     kept = above_threshold(scored, score_threshold(scored)).select("term", F.col("cf").alias("freq"))
     return top_with_ties(own.select("label", "term").join(kept, "term"), "freq", n, "label")
+
+
+def label_stats(docs: DataFrame, label: str, stop_words: tuple[str, ...] = ()) -> DataFrame:
+    """``(label, term, freq, docs, top)``: occurrences and documents of each label's words, and the largest share that a word has of one."""
+    rel = relative(term_frequencies(docs, label, stop_words=stop_words))
+    return rel.groupBy(F.col(label).alias("label"), "term").agg(F.sum("tf").alias("freq"), F.count("*").alias("docs"), F.max("rel").alias("top"))
+
+
+def scaled(df: DataFrame, value: str, low: float, high: float) -> DataFrame:
+    """``df`` with ``linear``, ``log`` and ``power``: ``value`` between ``low``, for the least, and ``high`` on each scale."""
+    ends = df.agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    x = (F.col(value) - F.col("_lo")) / F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1))
+    rows = df.join(F.broadcast(ends))  # one row
+    return rows.withColumns({"linear": low + (high - low) * x, "log": low + (high - low) * F.log2(1 + x), "power": low + (high - low) * F.sqrt(x)}).drop("_lo", "_hi")

@@ -68,6 +68,15 @@ def segments_to_documents(segment_topics: DataFrame) -> DataFrame:
     return sums.select("doc_id", "topic", (F.col("p") / F.sum("p").over(Window.partitionBy("doc_id"))).alias("prop"))
 
 
+def year_bins(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(doc_id, bin)`` and all ``bin`` from ``(doc_id, date)`` of dates as text: the year of the repaired date, without gaps; what is no date has no bin."""
+    from lexloom.functions.dates import parse_date
+
+    own = written(docs.select("doc_id", F.year(parse_date(F.col("date"))).alias("bin")).where("bin IS NOT NULL"), "bins")
+    ends = own.agg(F.min("bin").alias("a"), F.max("bin").alias("b")).where("a IS NOT NULL")
+    return own, ends.select(F.explode(F.sequence("a", "b")).alias("bin"))
+
+
 def stream(doc_topics: DataFrame, doc_bins: DataFrame, bins: DataFrame) -> DataFrame:
     """``(bin, topic, value, docs)``: each bin's summed shares over its documents, empty bins as 0."""
     counts = doc_bins.groupBy("bin").agg(F.count("*").alias("docs"))

@@ -104,7 +104,7 @@ def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     tagged = _tagged(spark, sf_dir)
     names = tagged.select("tag").distinct().withColumn("tag_id", F.md5("tag"))
-    return catalog.tag_counts(tagged.select("doc_id", F.md5("tag").alias("tag_id")), names)
+    return catalog.tag_counts(tagged.select("doc_id", F.md5("tag").alias("tag_id")), names).orderBy(F.desc("n"), "tag")
 
 
 @query("tag_items", f"WITH {_TAGS} SELECT tag, doc_id FROM tag WHERE tag IN ('quality0', 'toxic1')")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexloom.plans import catalog, geo, phrases, registry, texts, timeline, topics, views, words  # noqa: F401
+from lexloom.plans import catalog, geo, phrases, registry, texts, timeline, topics, variants, views, words  # noqa: F401
 
 
 def queries() -> dict[str, registry.Query]:

@@ -45,7 +45,7 @@ def interval_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = dated(spark, sf_dir)
     counts = timeline.sliced(docs, DAYS).groupBy("interval").agg(F.count("*").alias("docs"))
     slots = timeline.grid(docs, DAYS).join(counts, "interval", "left")
-    return slots.select("interval", F.date_format("interval_start", "yyyy-MM-dd").alias("interval_start"), "interval_name", F.coalesce("docs", F.lit(0)).alias("docs"))
+    return slots.select("interval", F.date_format("interval_start", "yyyy-MM-dd").alias("interval_start"), "interval_name", F.coalesce("docs", F.lit(0)).alias("docs")).orderBy("interval")
 
 
 def _sliced(spark: SparkSession, sf_dir: str, days: int = DAYS, start: str | None = None, end: str | None = None) -> DataFrame:
