@@ -28,6 +28,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexloom.llm.common import written
+
 #: What a URL gets that no rule covers.
 DEFAULT = "allow"
 
@@ -99,15 +101,17 @@ def _stacked(rules: DataFrame) -> DataFrame:
 def judge(pages: DataFrame, rules: DataFrame, id_column: str = "page_id", default: str = DEFAULT, rows_per_sweep: int = 1_000, hosts_per_range: int = 50_000) -> DataFrame:
     """``(id, host, path, rule, verdict)`` of every row of ``pages``."""
     host, path = host_and_path(F.col("url"))
-    urls = pages.select(F.col(id_column).alias("id"), host.alias("host"), path.alias("path")).groupBy("id", "host", "path").agg(F.count("*").alias("n"))
-    stacks = _stacked(rules)
-    found = _enclosing_hosts(pages.select(host_key(host).alias("hk")).distinct(), stacks.select("hk").distinct(), hosts_per_range)
+    # what several steps read is written once
+    urls = written(pages.select(F.col(id_column).alias("id"), host.alias("host"), path.alias("path")).groupBy("id", "host", "path").agg(F.count("*").alias("n")), "url-rows")
+    stacks = written(_stacked(rules), "url-stacks")
+    distinct = written(urls.select(host_key(F.col("host")).alias("hk")).distinct(), "url-hosts")
+    found = _enclosing_hosts(distinct, stacks.select("hk").distinct(), hosts_per_range)
     keyed = urls.select("id", "host", "path", host_key(F.col("host")).alias("own"))
-    looked_up = keyed.join(found.withColumnRenamed("hk", "own"), "own").select("id", "host", "path", F.explode("enclosing").alias("hk"))
+    looked_up = written(keyed.join(found.withColumnRenamed("hk", "own"), "own").select("id", "host", "path", F.explode("enclosing").alias("hk")), "url-rule-hosts")
     hosts = stacks.groupBy("hk").agg(F.count("*").alias("rules"))
     # a sweep repeats its host's rules, so it takes four URLs for each of them at least
     loads = looked_up.join(hosts.select("hk"), "hk").groupBy("hk").agg(F.count("*").alias("urls")).join(hosts, "hk")
-    sweeps = loads.select("hk", F.ceil(F.col("urls") / F.greatest(F.lit(rows_per_sweep), 4 * F.col("rules"))).cast("int").alias("sweeps"))
+    sweeps = written(loads.select("hk", F.ceil(F.col("urls") / F.greatest(F.lit(rows_per_sweep), 4 * F.col("rules"))).cast("int").alias("sweeps")), "url-sweeps")
     # the few salts are spread by id, host and path: equal rows were merged above
     salted = looked_up.join(sweeps, "hk").withColumn("salt", F.pmod(F.xxhash64("id", "host", "path"), F.col("sweeps")))
     events = salted.select("hk", "salt", F.col("path").alias("key"), F.lit(1).alias("kind"), "id", "host", F.lit(None).cast(stacks.schema["stack"].dataType).alias("begun"))
