@@ -23,6 +23,23 @@ def word_shares(state: DataFrame, top: int = 20) -> DataFrame:
     return ranked.join(total, "topic").select("topic", "rank", "term", (F.col("n") / F.col("total")).alias("prob"))
 
 
+def smoothed_words(counts: DataFrame, k: int, beta: float, top: int = 20) -> DataFrame:
+    """``(topic, rank, term, prob)`` of each topic's heaviest words from ``(topic, term, n)``: ``beta`` more of every word of the corpus.
+
+    A topic of fewer than ``top`` words goes on with words it lacks, in their
+    order: they are among the vocabulary's first ``2 * top``.
+    """
+    counts = written(counts, "topic-words")
+    vocabulary = counts.select("term").distinct()
+    n_words = vocabulary.count()
+    every = F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("topic")
+    lacking = vocabulary.orderBy("term").limit(2 * top).select("term", every).join(counts, ["topic", "term"], "left_anti").select("topic", "term", F.lit(0).cast("bigint").alias("n"))
+    rows = counts.select("topic", "term", "n").unionByName(lacking)
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("topic").orderBy(F.desc("n"), "term"))).where(F.col("rank") <= top)
+    total = counts.groupBy("topic").agg(F.sum("n").alias("total"))
+    return ranked.join(total, "topic", "left").select("topic", "rank", "term", ((F.col("n") + beta) / (F.coalesce("total", F.lit(0)) + n_words * beta)).alias("prob"))
+
+
 def doc_shares(state: DataFrame, alpha: float = 0.0, topics: int = 1) -> DataFrame:
     """``(doc_id, topic, prop)`` of the topics a document has: ``(alpha + n) / (topics * alpha + length)``."""
     counts = state.groupBy("doc_id", "topic").agg(F.sum("n").alias("n"))

@@ -265,7 +265,7 @@ def _lda(spark: SparkSession, sf_dir: str, min_df: int = 5, stemming: bool = Fal
 
 
 def _shown(model: gibbs.Model, top: int = 20) -> DataFrame:
-    return topics.word_shares(model.counts(), top)
+    return topics.smoothed_words(model.counts(), model.k, float(model.beta), top)
 
 
 @query("lda_topics")
@@ -323,10 +323,11 @@ def topic_files_shares(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
 
 @query("topic_files_keys", "SELECT unnest(range(0, 10))::INT AS topic, 20::BIGINT AS n_words, true AS same")
 def topic_files_keys(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
-    """The words of the model's file of keys are those counted from its state file."""
+    """The words of the model's file of keys are those of its state file and priors."""
     path = _files(spark, sf_dir, **how)
+    priors = {(r["name"], r["topic"]): r["prior"] for r in topic_files.read_priors(spark, path + "/state").collect()}  # a row a topic
     state = topic_files.read_state(spark, path + "/state").groupBy("topic", "term").agg(F.count("*").alias("n"))
-    mine = topics.word_shares(state).select("topic", "rank", F.col("term").alias("counted"))
+    mine = topics.smoothed_words(state, len(priors) - 1, priors["beta", None]).select("topic", "rank", F.col("term").alias("counted"))
     met = topic_files.read_keys(spark, path + "/keys").join(mine, ["topic", "rank"], "full")
     return met.groupBy("topic").agg(F.count("*").alias("n_words"), F.bool_and(F.col("term").eqNullSafe(F.col("counted"))).alias("same"))
 

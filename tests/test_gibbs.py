@@ -225,3 +225,14 @@ def test_too_many_features_are_an_error(spark):
     features = spark.createDataFrame([(1, "a"), (1, "b")], "doc_id bigint, feature string")
     with pytest.raises(ValueError, match="more than 1"):
         gibbs.fit(spark.createDataFrame([(1, "x", 2)], BAGS), k=2, iterations=1, features=features, most_features=1)
+
+
+def test_words_of_topics_are_smoothed(spark):
+    """Topics of fewer words than are shown go on with words they lack; one without any has the vocabulary's first."""
+    counts = spark.createDataFrame([(0, "b", 3), (0, "d", 1), (1, "a", 2), (1, "b", 2), (1, "c", 1), (1, "e", 1)], "topic int, term string, n bigint")
+    found = {(r["topic"], r["rank"]): (r["term"], round(r["prob"], 9)) for r in topics.smoothed_words(counts, 3, 0.5, 3).collect()}
+    share = lambda n, total: round((n + 0.5) / (total + 2.5), 9)
+    assert found == {
+        (0, 1): ("b", share(3, 4)), (0, 2): ("d", share(1, 4)), (0, 3): ("a", share(0, 4)), (1, 1): ("a", share(2, 6)), (1, 2): ("b", share(2, 6)), (1, 3): ("c", share(1, 6)),
+        (2, 1): ("a", 0.2), (2, 2): ("b", 0.2), (2, 3): ("c", 0.2),
+    }
