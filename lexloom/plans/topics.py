@@ -356,6 +356,12 @@ def lda_by_label(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
     return topics.label_means(_lda(spark, sf_dir, **how).doc_topics(), labels)
 
 
+@query("lda_label_sums", f"WITH {PREFILTER} SELECT source AS label, round(count(DISTINCT p.doc_id) / count(DISTINCT d.doc_id), 6) AS total FROM documents d LEFT JOIN pre p USING (doc_id) GROUP BY source")
+def lda_label_sums(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
+    """The means of a label over all topics: the share of its documents that are in the model."""
+    return lda_by_label(spark, sf_dir, **how).groupBy("label").agg(F.round(F.sum("mean"), 6).alias("total"))
+
+
 @query("lda_by_tag")
 def lda_by_tag(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
     tags = table(spark, sf_dir, "labels").select("doc_id", F.concat(F.lit("quality"), F.col("quality").cast("string")).alias("label"))
@@ -364,8 +370,18 @@ def lda_by_tag(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
     return topics.label_means(model.doc_topics(), tags)
 
 
-@query("lda_union_prune")
-def lda_union_prune(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
+_TAGGED = f"tagged AS (SELECT * FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)), {PREFILTER.replace('FROM documents', 'FROM tagged')}"
+
+
+@query("lda_tag_sums", f"WITH {_TAGGED}, tag AS (SELECT DISTINCT doc_id, 'quality' || quality AS label FROM labels) SELECT label, round(count(DISTINCT p.doc_id) / count(DISTINCT t.doc_id), 6) AS total FROM tag t LEFT JOIN pre p USING (doc_id) GROUP BY label")
+def lda_tag_sums(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
+    """The same of tags, in the model of tagged documents."""
+    return lda_by_tag(spark, sf_dir, **how).groupBy("label").agg(F.round(F.sum("mean"), 6).alias("total"))
+
+
+def _union_model(spark: SparkSession, sf_dir: str, **how) -> gibbs.Model:
+    """Two corpora in one model, of words that are neither rare nor everywhere."""
+
     def bags() -> DataFrame:
         docs = table(spark, sf_dir, "documents").select("doc_id", "text")
         other = table(spark, sf_dir, "benchmark").select((-1 - F.col("item_id")).alias("doc_id"), "text")
@@ -373,7 +389,22 @@ def lda_union_prune(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
         found = written(frequency.term_frequencies(both, stop_words=STOP_WORDS), "bags")
         return found.join(texts.prune(found, both.count()).select("term"), "term", "left_semi")
 
-    return _fitted(spark, sf_dir, "lda_union_prune", bags, **(SWEEPS | how)).doc_topics()
+    return _fitted(spark, sf_dir, "lda_union_prune", bags, **(SWEEPS | how))
+
+
+@query("lda_union_prune")
+def lda_union_prune(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
+    return _union_model(spark, sf_dir, **how).doc_topics()
+
+
+_UNION = f"""two AS (SELECT doc_id, text, NULL AS lang, NULL AS source FROM documents UNION ALL SELECT -1 - item_id, text, NULL, NULL FROM benchmark), {TERMS.replace('FROM documents', 'FROM two')},
+kept AS (SELECT term FROM bag GROUP BY term HAVING sum(tf) >= 3 AND count(*) <= 0.3 * (SELECT count(*) FROM two))"""
+
+
+@query("lda_union_tokens", f"WITH {_UNION} SELECT doc_id, sum(tf)::BIGINT AS n FROM bag JOIN kept USING (term) GROUP BY doc_id")
+def lda_union_tokens(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
+    """The tokens of each document of both corpora in the model."""
+    return _union_model(spark, sf_dir, **how).doc_counts().groupBy("doc_id").agg(F.sum("n").alias("n"))
 
 
 def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -393,6 +424,13 @@ def dmr_feature_weights(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
     return _dated_model(spark, sf_dir, **how).feature_weights()
 
 
+@query("dmr_features", f"""WITH {DATED}, f AS (SELECT unnest(['decade' || round(year(doc_date), -1)::INT, regexp_replace(source, '[^A-Za-z0-9]+', '', 'g'), lang]) AS feature FROM dated UNION SELECT 'default')
+    SELECT unnest(range(0, 10))::INT AS topic, feature FROM (SELECT DISTINCT feature FROM f WHERE feature IS NOT NULL)""")
+def dmr_features(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
+    """Each feature has a weight for each topic, a finite number."""
+    return _dated_model(spark, sf_dir, **how).feature_weights().where("abs(weight) < 1e6").select("topic", "feature")
+
+
 @query("dmr_tokens", f"WITH {PREFILTER}, {DATED} SELECT doc_id, sum(tf)::BIGINT AS n FROM pre WHERE doc_id IN (SELECT doc_id FROM dated) GROUP BY doc_id")
 def dmr_tokens(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
     """The tokens of every dated document in the conditioned model."""

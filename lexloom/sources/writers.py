@@ -47,3 +47,24 @@ def cached(spark: SparkSession, path: str, build) -> DataFrame:
     if not jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jpath):
         build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def view_state(query: str, params: dict) -> str:
+    """What a view shows as text that a link can hold: the query and its parameters, in a stated order."""
+    from urllib.parse import quote, urlencode
+
+    return quote(query, safe="") + "?" + urlencode([(k, json.dumps(v, sort_keys=True)) for k, v in sorted(params.items())])
+
+
+def from_view_state(text: str) -> tuple[str, dict]:
+    """The query and the parameters of ``view_state``."""
+    from urllib.parse import parse_qsl, unquote
+
+    query, _, rest = text.partition("?")
+    return unquote(query), {k: json.loads(v) for k, v in parse_qsl(rest, keep_blank_values=True)}
+
+
+def view(spark: SparkSession, sf_dir: str, text: str, queries: dict) -> DataFrame:
+    """The rows of a saved view: its query run with its parameters; lists stand for tuples."""
+    name, params = from_view_state(text)
+    return queries[name](spark, sf_dir, **{k: tuple(v) if isinstance(v, list) else v for k, v in params.items()})

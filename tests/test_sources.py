@@ -42,3 +42,14 @@ def test_writers(spark, tmp_path):
     assert "<\\/b>" in writers.page("t<", {"a": "</b>"}) and "t&lt;" in writers.page("t<", {})
     assert writers.cached(spark, str(tmp_path / "k"), lambda: df).count() == writers.cached(spark, str(tmp_path / "k"), lambda: 1 / 0).count() == 1
     assert writers.run_key("q", {"a": 1}) != writers.run_key("q", {"a": 2})
+
+
+def test_views_are_saved_as_text(spark):
+    from lexloom.plans.queries import queries
+
+    state = writers.view_state("wordcloud_by_label", {"n": 3, "label": "lang", "labels": ["de", "fr"]})
+    assert writers.from_view_state(state) == ("wordcloud_by_label", {"n": 3, "label": "lang", "labels": ["de", "fr"]})
+    odd = {"a&b": "x=1?&é", "none": None, "list": [], "": 0.5}
+    assert writers.from_view_state(writers.view_state("q?/&", odd)) == ("q?/&", odd)
+    rows = writers.view(spark, "/root/testdata/sf0.001", state, queries()).collect()
+    assert {r["label"] for r in rows} == {"de", "fr"} and len(rows) >= 6
