@@ -21,11 +21,12 @@ MOST_WORDS = 3
 
 @dataclass
 class Gazetteer:
-    """Places by lower-case name: countries and regions one each, cities all of a name."""
+    """Places by lower-case name: countries and regions one each, cities all of a name; and the last words of countries' and regions' names."""
 
     countries: dict[str, dict]
     regions: dict[str, list[dict]]
     cities: dict[str, list[dict]]
+    ends: frozenset[str]
 
     @staticmethod
     def of(rows: list[dict]) -> Gazetteer:
@@ -37,7 +38,7 @@ class Gazetteer:
                 countries.setdefault(name, r)
             else:
                 (regions if r["kind"] == "region" else cities)[name].append(r)
-        return Gazetteer(countries, dict(regions), dict(cities))
+        return Gazetteer(countries, dict(regions), dict(cities), frozenset(n.rsplit(" ", 1)[-1] for n in (*countries, *regions)))
 
 
 def _names_ending_at(words: list[re.Match], i: int):
@@ -76,10 +77,15 @@ def find_places(text: str | None, g: Gazetteer) -> list[dict]:
     what may come before it: a city of the country, a city of the region, a
     region of the country; a country stands alone, a region only after a
     vouching word.  The first that fits wins and reading goes on before it.
+    Every match ends with the last word of a country's or a region's name, so
+    words that are none are passed over.
     """
-    words, out = list(TOKEN.finditer(text or "")), []
+    words, out, ends = list(TOKEN.finditer(text or "")), [], g.ends
     i = len(words) - 1
     while i >= 0:
+        if words[i][0].lower() not in ends:
+            i -= 1
+            continue
         country, region = _country(g, words, i), _region(g, words, i)
         found = None
         if country and (city := _city(g, words, country[0] - 1, country[1]) if country[0] else None):
