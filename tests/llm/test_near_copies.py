@@ -64,6 +64,41 @@ def test_balls_of_near_copies_against_all_pairs(spark, most, tile_rows):
     assert {r["doc_id"] for r in simhash.keep_one(docs, most=most, tile_rows=tile_rows).collect()} == plain(rows)
 
 
+def test_frequent_shingles_and_copies_are_many_tasks(spark):
+    """A third of the rows copies, a shingle of all other texts among their first: no task has much more than the others."""
+    rng = np.random.default_rng(8)
+    common = " ".join(f"c{i}" for i in range(12))
+    texts = [common + " " + " ".join(f"w{v}" for v in rng.integers(0, 25, 2)) for _ in range(600)] + [f"{common} tail"] * 300
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(5)
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = near_copies.prefixes(docs, near_copies.common_shingles(docs, 900, 5), 5, 0.8)
+        sets = rows.select("key", "sig").distinct().groupBy("key").count()
+        assert sets.agg({"count": "max"}).first()[0] > 300  # a shingle that most sets have among their first
+        for dealt in (rows, near_copies.components(docs)):
+            sizes = sorted(dealt.rdd.mapPartitions(lambda x: [sum(1 for _ in x)]).collect())
+            assert len(sizes) == 16 and sizes[-1] <= 3 * sizes[8]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    rows = list(enumerate(texts))
+    assert {r["doc_id"] for r in simhash.keep_one(docs).collect()} == plain(rows)
+
+
+def test_no_shingle_is_lost_by_its_salt(spark):
+    """Salted and unsalted prefixes give the same keys for sets that have neighbours, and salted ones all of theirs."""
+    rng = np.random.default_rng(9)
+    texts = [*ball(rng, 80), *ball(rng, 40, 30, 3), "only once in this table of texts"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    common = near_copies.common_shingles(docs, len(texts), 5)
+    told = lambda hot: {(r["key"], r["sig"]) for r in near_copies.shared_prefixes(near_copies.prefixes(docs, common, 5, 0.8, hot), 0.8).collect()}
+    salted, plainly = told(4), told(1 << 30)
+    assert plainly <= salted and len(told(0)) >= len(salted)
+
+
 def test_empty_table_and_clashing_columns(spark):
     none = spark.createDataFrame([], "doc_id bigint, text string, row string, sig int, component string, key string")
     assert simhash.keep_one(none).count() == 0 and simhash.keep_one(none).columns == none.columns
