@@ -102,6 +102,15 @@ def test_spread_only_few_partitions(spark):
     assert layout.spread(few).rdd.getNumPartitions() == 4 and layout.spread(spark.range(100, numPartitions=9)).rdd.getNumPartitions() == 9
 
 
+def test_tasks_that_count_words_follow_the_texts(spark):
+    """Tasks hold about 4 MB of text each, however many partitions a shuffle has by default."""
+    from lexloom.operators.layout import by_document
+
+    docs = spark.range(400).selectExpr("id AS doc_id", "repeat('word ', 20000) AS text")
+    assert by_document(docs, "text").rdd.getNumPartitions() == 10
+    assert by_document(docs.limit(0), "text").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
 def test_coherence_of_zero_comes_last(spark):
     rows = spark.createDataFrame([(0, 0.0), (1, -3.0), (2, -1.0), (3, -1.0)], "topic int, coherence double")
     assert [r["topic"] for r in views.by_coherence(rows, 4).collect()] == [2, 3, 1, 0]
