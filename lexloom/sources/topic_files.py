@@ -32,7 +32,7 @@ def _write(lines: DataFrame, path: str, **options) -> None:
 def write_state(model: Model, path: str) -> None:
     """Every token with its topic; the priors in comments of a file of their own."""
     spark = model.rows.sparkSession
-    numbers = model.places.select("term", F.col("w").alias("number")).distinct()
+    numbers = model.words.withColumnRenamed("w", "number")
     rows = model.state().join(numbers, "term")
     _write(rows.select(F.concat_ws(" ", "doc_id", F.lit("NA"), "position", "number", "term", "topic").alias("value")), path, compression="gzip")
     priors = ["#doc source pos typeindex type topic", "#alpha : " + " ".join(map(repr, map(float, model.alpha))), f"#beta : {float(model.beta)!r}"]

@@ -78,6 +78,25 @@ def test_models_do_not_depend_on_partitions(spark):
     assert found[0][0] == found[1][0] and found[0][1] == pytest.approx(found[1][1]) and found[0][2] == pytest.approx(found[1][2])
 
 
+def test_sweeps_move_packed_rows(spark):
+    """A block gives a row of topics and one a chunk of words, not one a word and topic; many chunks keep every token."""
+    rows, _ = planted(60, 30, 3, 4)
+    model = gibbs.fit(spark.createDataFrame(rows, BAGS), k=3, iterations=2, burn_in=5, block_tokens=400, chunk_tokens=300)
+    kinds = Counter(r["kind"] for r in model.rows.select("kind").collect())
+    blocks = model.docs.select("block").distinct().count()
+    assert kinds[gibbs.TOPICS] == blocks == 5 and kinds[gibbs.COUNTS] <= blocks * 6 and sum(kinds.values()) == 5 + kinds[gibbs.COUNTS] + 5 * 3
+    state = [tuple(r) for r in model.state().collect()]
+    assert Counter((d, w) for d, _, w, _ in state) == Counter({(d, w): n for d, w, n in rows})
+    assert Counter({(r["topic"], r["term"]): r["n"] for r in model.counts().collect()}) == Counter((t, w) for _, _, w, t in state)
+
+
+def test_packing_is_reversible():
+    arrays = [np.array([], dtype=np.int64), np.array([0, 255, 3]), np.array([70_000, 1 << 40, 2]), np.array([5])]
+    assert all((a == b).all() and len(a) == len(b) for a, b in zip(arrays, gibbs.unpacked(gibbs.packed(*arrays))))
+    values, sizes = np.array([3, 3, 9, 0, 7, 2]), np.array([3, 0, 2, 1])
+    assert (gibbs.walked(gibbs.steps(values, sizes), sizes) == values).all() and gibbs.steps(values, sizes).min() >= 0
+
+
 def test_draws_follow_the_conditional_distribution():
     """One token beside fixed others: how often each topic is drawn, against the formula."""
     word_counts, totals, alpha, beta, n_words = np.array([[5.0, 1.0, 0.0], [2.0, 2.0, 6.0]]), np.array([40.0, 30.0, 20.0]), np.array([0.5, 0.3, 0.2]), 0.1, 9
