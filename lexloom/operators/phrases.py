@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import re
+import zlib
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as X
+from lexloom.operators.gibbs import packed, unpacked
 from lexloom.operators.layout import spread, written
 
 #: A word, by the same class in every engine.
@@ -62,64 +68,164 @@ def line_grams(docs: DataFrame, most: int) -> DataFrame:
     return lines.select(words.alias("w")).select(F.explode(grams).alias("g")).groupBy("g.n", "g.gram").agg(F.count("*").alias("f"))
 
 
-def glue(freq: Column, products: Column, prefix: Column, suffix: Column, kind: str) -> Column:
-    """SCP: f^2 over the mean product of prefix and suffix counts; Dice: 2f over the sum of their means."""
-    if kind == "scp":
-        return freq * freq / products
-    return 2 * freq / (prefix + suffix)
-
-
-def _key(gram: Column, name: str = "") -> tuple[Column, Column]:
-    """Two hashes, 128 bits together: what grams are joined by."""
-    return F.xxhash64(gram).alias(name + "a"), F.xxhash64(F.lit("gram"), gram).alias(name + "b")
-
-
-def _cut(gram: Column, size: int, side: str) -> Column:
-    """The first or the last ``size`` words of a gram."""
-    return F.substring_index(gram, " ", size if side == "first" else -size)
-
-
-def multi_word_units(docs: DataFrame, max_n: int = 3, kind: str = "scp", min_freq: int = 2) -> DataFrame:
+def glue(freq, before: list, after: list, kind: str):
+    """Of the counts of a gram, its beginnings and its ends, shortest first.  SCP: f^2 over the mean product of both parts; Dice: 2f over the sum of their means."""
+    mean = lambda x: sum(x[1:], x[0]) / len(x)
+    return freq * freq / mean([p * s for p, s in zip(before, reversed(after))]) if kind == "scp" else 2 * freq / (mean(before) + mean(after))
+
+
+#: Kinds of rows: a block's lines, and the counts of its grams of one size by chunk.
+LINES, FOUND = range(2)
+_BLANKS = str.maketrans("\t\r\f\x0b", "    ")
+
+
+def _packed_lines(rows):
+    """The words of a block's lines, one packed row."""
+    numbers, ids, sizes = {}, [], []
+    for text in rows.column("text").to_pylist():
+        for line in (text or "").translate(_BLANKS).split("\n"):
+            found = [numbers.setdefault(w, len(numbers)) for w in line.split(" ") if w]
+            if found:
+                ids += found
+                sizes.append(len(found))
+    data = packed(np.array(ids, dtype=np.int64), np.array(sizes, dtype=np.int64))
+    return pa.table({"block": pa.array([rows.column("block")[0].as_py()], pa.int32()), "kind": pa.array([LINES], pa.int32()), "n": pa.array([0], pa.int32()), "chunk": pa.array([0], pa.int32()),
+                     "data": pa.array([data], pa.binary()), "words": pa.array([zlib.compress("\n".join(numbers).encode())], pa.binary())})
+
+
+def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each different key (a, b), and each key's number among them."""
+    order = np.lexsort((b, a))
+    new = np.r_[True, (a[order[1:]] != a[order[:-1]]) | (b[order[1:]] != b[order[:-1]])] if len(a) else np.empty(0, dtype=bool)
+    number = np.empty(len(a), dtype=np.int64)
+    number[order] = np.cumsum(new) - 1
+    return order[new], number
+
+
+class _Block:
+    """A block's lines with the corpus's counts of the grams that start at each word, as far as they are known."""
+
+    def __init__(self, rows, chunks: int, known: int):
+        found = [dict(zip(rows.column_names, r)) for r in zip(*(c.to_pylist() for c in rows.columns))]
+        lines = next(r for r in found if r["kind"] == LINES)
+        self.ids, sizes = unpacked(lines["data"])
+        self.words = zlib.decompress(lines["words"]).decode().split("\n")
+        self.block, self.chunks = lines["block"], chunks
+        self.left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(self.ids))  # words to the line's end
+        hashes = [np.array([xxhash.xxh64_intdigest(w, seed) for w in self.words], dtype=np.uint64)[self.ids] if len(self.ids) else np.empty(0, dtype=np.uint64) for seed in (3, 5)]
+        self.hashes, self.keys, self.counts = hashes, [], []
+        for n in range(1, known + 1):
+            at, _, number, order, _ = self.asked(n)
+            told = np.concatenate([unpacked(r["data"])[0] for r in sorted((r for r in found if r["n"] == n), key=lambda r: r["chunk"])] or [np.empty(0, dtype=np.int64)])
+            own = np.empty(len(order), dtype=np.int64)
+            own[order] = told
+            counts = (self.left >= n).astype(np.int64)  # what isn't asked for comes once
+            counts[at] = own[number]
+            self.counts.append(counts)
+
+    def asked(self, n: int):
+        """Where grams of ``n`` words start that may come more than once, whose parts all do; a place of each, their numbers, and these by chunk."""
+        lanes = []
+        for h, times in zip(self.hashes, (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)):
+            before = self.keys[n - 2][len(lanes)] if n > 1 else np.zeros(len(h), dtype=np.uint64)
+            key = (before ^ (before >> np.uint64(29))) * np.uint64(times) + np.r_[h[n - 1 :], np.zeros(min(n - 1, len(h)), dtype=np.uint64)]
+            lanes.append(key ^ (key >> np.uint64(32)))
+        self.keys.append(lanes)
+        may = self.left >= n
+        if n > 1:
+            often = self.counts[n - 2] > 1
+            may &= often & np.r_[often[1:], np.zeros(min(1, len(often)), dtype=bool)]
+        at = np.flatnonzero(may)
+        a, b = lanes[0][at], lanes[1][at] & np.uint64(0xFFFFFFFF)
+        first, number = _distinct(a, b)
+        chunk = (a[first] % np.uint64(self.chunks)).astype(np.int64)
+        order = np.argsort(chunk, kind="stable")
+        return at, (a[first], b[first]), number, order, chunk[order]
+
+
+def _asks(n: int, chunks: int) -> Callable:
+    """A block's different grams of ``n`` words with its own counts, a row a chunk."""
+
+    def ask(rows):
+        block = _Block(rows, chunks, n - 1)
+        _, (a, b), number, order, chunk = block.asked(n)
+        counts = np.bincount(number, minlength=len(order))
+        names, starts = np.unique(chunk, return_index=True)
+        data = [packed(a[x], b[x], counts[x]) for x in np.split(order, starts[1:])] if len(names) else []
+        return pa.table({"chunk": pa.array(names, pa.int32()), "block": pa.array([block.block] * len(names), pa.int32()), "data": pa.array(data, pa.binary())})
+
+    return ask
+
+
+def _sums(n: int) -> Callable:
+    """The counts of a chunk's grams over all blocks, back to each block."""
+
+    def total(rows):
+        found = [unpacked(d) for d in rows.column("data").to_pylist()]
+        a, b, own = (np.concatenate(x) for x in zip(*found))
+        _, number = _distinct(a, b)
+        sums = np.bincount(number, weights=own)[number].astype(np.int64)
+        ends = np.cumsum([len(x[0]) for x in found])
+        many = len(found)
+        return pa.table({"block": rows.column("block"), "kind": pa.array([FOUND] * many, pa.int32()), "n": pa.array([n] * many, pa.int32()), "chunk": rows.column("chunk"),
+                         "data": pa.array([packed(x) for x in np.split(sums, ends[:-1])], pa.binary()), "words": pa.nulls(many, pa.binary())})
+
+    return total
+
+
+def _candidates(max_n: int, kind: str, min_freq: int, chunks: int) -> Callable:
+    """Of a block's grams those that stick together better wherever the block has them, and how often it does."""
+
+    def tell(rows):
+        block = _Block(rows, chunks, max_n + 1)
+        many = len(block.ids)
+        later = lambda x, by: np.r_[x[by:], np.zeros(min(by, many), dtype=x.dtype)]
+        counts, values = [c.astype(float) for c in block.counts], {1: np.zeros(many)}
+        for n in range(2, max_n + 2):
+            with np.errstate(divide="ignore", invalid="ignore"):
+                value = glue(counts[n - 1], [counts[k - 1] for k in range(1, n)], [later(counts[k - 1], n - k) for k in range(1, n)], kind)
+            values[n] = np.where(block.left >= n, value, 0.0)
+        inner = np.r_[np.zeros(min(1, many), dtype=bool), block.left[1:] == block.left[:-1] - 1]  # not a line's first word
+        out = []
+        for n in range(2, max_n + 1):
+            below = np.maximum(values[n - 1], later(values[n - 1], 1)) if n > 2 else 0.0
+            above = np.maximum(values[n + 1], np.where(inner, np.r_[np.zeros(min(1, many)), values[n + 1][:-1]], 0.0))
+            at = np.flatnonzero(block.counts[n - 1] >= max(1, min_freq))
+            ok = (values[n] > (below + above) / 2)[at]
+            first, number = _distinct(block.keys[n - 1][0][at], block.keys[n - 1][1][at])
+            own = np.bincount(number, minlength=len(first))
+            first, own = (x[np.bincount(number, weights=ok, minlength=len(first)) == own] for x in (first, own))
+            at = at[first]
+            units = [" ".join([block.words[w] for w in g]) for g in np.stack([block.ids[at + k] for k in range(n)], axis=1).tolist()]
+            out.append(pa.table({"n": pa.array([n] * len(at), pa.int32()), "unit": pa.array(units, pa.string()), "freq": pa.array(block.counts[n - 1][at], pa.int64()), "glue": pa.array(values[n][at], pa.float64()), "own": pa.array(own, pa.int64())}))
+        return pa.concat_tables(out)
+
+    return tell
+
+
+def multi_word_units(docs: DataFrame, max_n: int = 3, kind: str = "scp", min_freq: int = 2, block_bytes: int = 1 << 22, chunk_bytes: int = 1 << 24) -> DataFrame:
     """``(n, unit, freq, glue)`` of the n-grams that stick together better than what they hold and what holds them.
 
     A gram is kept if its glue exceeds the mean of the largest glue of its
     (n-1)-grams and of the (n+1)-grams around it.  Bigrams hold none, and the
     largest glue of none is 0.  ``min_freq`` applies to the units shown.
 
-    All sizes are counted in one pass over the texts.  What a gram holds is at
-    least as frequent as the gram, so glue is needed of grams of ``min_freq``
-    and of those that hold one.  These ask for the counts of all their
-    beginnings and ends in one join, by 128-bit keys rather than by words.
+    Lines lie in blocks.  Size by size each block asks for the counts of its
+    grams over the corpus: by 96-bit keys, packed in a row for each chunk of
+    keys, and only of grams all of whose parts come more than once, since any
+    other comes once.  With them a block knows the glue of all its grams and of
+    what is around them.  A unit has to stand the comparison at each of its
+    occurrences, so blocks tell where it does, and these have to be ``freq`` in all.
     """
-    every = line_grams(docs, max_n + 1)
-    counts = written(every.select("n", "gram", "f", *_key(F.col("gram"))), "grams")
-    often = counts.where(F.col("f") >= min_freq)
-    sizes = range(1, max_n + 1)
-    part = lambda k, side: F.struct(F.lit(k).alias("k"), F.lit(side).alias("side"), *_key(_cut(F.col("gram"), k, side), "p"))
-    ends = F.array(*(part(n - 1, side) for n in range(3, max_n + 2) for side in ("first", "last")))
-    own = F.filter(ends, lambda e: e["k"] == F.col("n") - 1)
-    holders = counts.where("n > 2").select("a", "b", F.explode(own).alias("x")).select("a", "b", "x.pa", "x.pb")
-    # (holder, part) where the part is a candidate
-    parts = often.where((F.col("n") > 1) & (F.col("n") <= max_n)).select(F.col("a").alias("pa"), F.col("b").alias("pb"))
-    near = written(holders.join(parts, ["pa", "pb"]), "holders")
-    needed = often.where("n > 1").select("a", "b").unionByName(near.select("a", "b")).distinct()
-    asked = F.filter(F.array(*(part(k, side) for k in sizes for side in ("first", "last"))), lambda e: e["k"] < F.col("n"))
-    asks = counts.where("n > 1").join(needed, ["a", "b"], "left_semi").select("n", "a", "b", "f", F.explode(asked).alias("x")).select("n", "a", "b", "f", "x.*")
-    known = counts.where(F.col("n") <= max_n).select(F.col("a").alias("pa"), F.col("b").alias("pb"), F.col("f").cast("double").alias("c"))
-    of = lambda k, side: F.max(F.when((F.col("k") == k) & (F.col("side") == side), F.col("c")))
-    wide = asks.join(known, ["pa", "pb"]).groupBy("a", "b").agg(F.max("n").alias("n"), F.max("f").alias("f"), *(of(k, side).alias(f"{side}{k}") for k in sizes for side in ("first", "last")))
-    found = None
-    for n in range(2, max_n + 2):
-        p, s = [F.col(f"first{k}") for k in range(1, n)], [F.col(f"last{k}") for k in range(1, n)]
-        mean = lambda cols: sum(cols[1:], cols[0]) / (n - 1)  # noqa: E731, B023
-        value = glue(F.col("f").cast("double"), mean([x * y for x, y in zip(p, reversed(s))]), mean(p), mean(s), kind)
-        found = F.when(F.col("n") == n, value) if found is None else found.when(F.col("n") == n, value)
-    glued = written(wide.select("a", "b", found.alias("glue")), "glue")
-    # a holder's glue goes to its parts, a part's to its holders: the latter only where these are shown
-    above = near.join(glued, ["a", "b"]).groupBy("pa", "pb").agg(F.max("glue").alias("above")).withColumnsRenamed({"pa": "a", "pb": "b"})
-    shown = often.where((F.col("n") > 1) & (F.col("n") <= max_n))
-    of_parts = glued.withColumnsRenamed({"a": "pa", "b": "pb"})
-    below = near.join(shown.select("a", "b"), ["a", "b"], "left_semi").join(of_parts, ["pa", "pb"]).groupBy("a", "b").agg(F.max("glue").alias("below"))
-    rows = shown.join(glued, ["a", "b"]).join(above, ["a", "b"], "left").join(below, ["a", "b"], "left")
-    edge = (F.coalesce("below", F.lit(0.0)) + F.coalesce("above", F.lit(0.0))) / 2
-    return rows.where(F.col("glue") > edge).select("n", F.col("gram").alias("unit"), F.col("f").alias("freq"), "glue")
+    size = docs.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
+    blocks, chunks = max(1, -(-size // block_bytes)), max(1, -(-size // chunk_bytes))
+    schema = "block int, kind int, n int, chunk int, data binary, words binary"
+    tasks = min(blocks, max(docs.sparkSession.sparkContext.defaultParallelism, blocks // 4))
+    dealt = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"), "text").where("text IS NOT NULL").repartition(tasks, "block")
+    known = written(dealt.groupBy("block").applyInArrow(_packed_lines, schema), "lines")
+    by_block = lambda: known.repartition(tasks, "block").groupBy("block")
+    for n in range(1, max_n + 2):
+        asks = by_block().applyInArrow(_asks(n, chunks), "chunk int, block int, data binary")
+        known = known.unionByName(written(asks.repartition(chunks, "chunk").groupBy("chunk").applyInArrow(_sums(n), schema), "gram-counts"))
+    found = by_block().applyInArrow(_candidates(max_n, kind, min_freq, chunks), "n int, unit string, freq bigint, glue double, own bigint")
+    return found.groupBy("n", "unit").agg(F.max("freq").alias("freq"), F.max("glue").alias("glue"), F.sum("own").alias("own")).where("own = freq").drop("own")

@@ -97,6 +97,17 @@ def test_units_by_the_definition(spark, min_freq):
     assert got == slow_units(lines, 3, min_freq)
 
 
+@pytest.mark.parametrize("kind", ["scp", "dice"])
+def test_units_over_blocks_and_chunks(spark, kind):
+    """Many blocks and chunks give the units of one, and texts that nothing repeats in send no grams beyond pairs of frequent words."""
+    lines = ["new york city is big", "new york is not new", "the city of new york", "a b a b a b", "one", "", "new york city", "a b a"]
+    docs = spark.createDataFrame([(i, line) for i, line in enumerate(lines)] + [(8, None)], "doc_id bigint, text string")
+    one, many = ({tuple(r) for r in phrases.multi_word_units(docs, 3, kind, 1, block_bytes=b, chunk_bytes=b).collect()} for b in (1 << 22, 12))
+    assert one == many and len(one) > 3
+    if kind == "scp":
+        assert {(n, u, f, round(g, 9)) for n, u, f, g in many} == slow_units(lines, 3, 1)
+
+
 def test_spread_only_few_partitions(spark):
     few = spark.range(100).coalesce(1)
     assert layout.spread(few).rdd.getNumPartitions() == 4 and layout.spread(spark.range(100, numPartitions=9)).rdd.getNumPartitions() == 9
