@@ -136,7 +136,7 @@ class _Block:
             often = self.counts[n - 2] > 1
             may &= often & np.r_[often[1:], np.zeros(min(1, len(often)), dtype=bool)]
         at = np.flatnonzero(may)
-        a, b = lanes[0][at], lanes[1][at] & np.uint64(0xFFFFFFFF)
+        a, b = lanes[0][at], lanes[1][at] & np.uint64(0xFFFFFF)
         first, number = _distinct(a, b)
         chunk = (a[first] % np.uint64(self.chunks)).astype(np.int64)
         order = np.argsort(chunk, kind="stable")
@@ -151,7 +151,7 @@ def _asks(n: int, chunks: int) -> Callable:
         _, (a, b), number, order, chunk = block.asked(n)
         counts = np.bincount(number, minlength=len(order))
         names, starts = np.unique(chunk, return_index=True)
-        data = [packed(a[x], b[x], counts[x]) for x in np.split(order, starts[1:])] if len(names) else []
+        data = [packed(np.diff(a[x], prepend=np.uint64(0)), b[x], counts[x]) for x in np.split(order, starts[1:])] if len(names) else []  # keys ascend
         return pa.table({"chunk": pa.array(names, pa.int32()), "block": pa.array([block.block] * len(names), pa.int32()), "data": pa.array(data, pa.binary())})
 
     return ask
@@ -162,7 +162,7 @@ def _sums(n: int) -> Callable:
 
     def total(rows):
         found = [unpacked(d) for d in rows.column("data").to_pylist()]
-        a, b, own = (np.concatenate(x) for x in zip(*found))
+        a, b, own = (np.concatenate(x) for x in zip(*((np.cumsum(a.view(np.uint64)), b, own) for a, b, own in found)))
         _, number = _distinct(a, b)
         sums = np.bincount(number, weights=own)[number].astype(np.int64)
         ends = np.cumsum([len(x[0]) for x in found])
@@ -211,7 +211,7 @@ def multi_word_units(docs: DataFrame, max_n: int = 3, kind: str = "scp", min_fre
     largest glue of none is 0.  ``min_freq`` applies to the units shown.
 
     Lines lie in blocks.  Size by size each block asks for the counts of its
-    grams over the corpus: by 96-bit keys, packed in a row for each chunk of
+    grams over the corpus: by 88-bit keys, packed in a row for each chunk of
     keys, and only of grams all of whose parts come more than once, since any
     other comes once.  With them a block knows the glue of all its grams and of
     what is around them.  A unit has to stand the comparison at each of its
