@@ -12,7 +12,6 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.functions import text as X
 from lexloom.operators.gibbs import packed, unpacked
 from lexloom.operators.layout import spread, written
 
@@ -59,15 +58,6 @@ def indexed(nodes_: DataFrame, edges_: DataFrame) -> DataFrame:
     return edges_.join(a, "source").join(b, "target").select("source_index", "target_index", "weight")
 
 
-def line_grams(docs: DataFrame, most: int) -> DataFrame:
-    """``(n, gram, f)``: counts of the n-grams of white-space words within lines, of all sizes to ``most`` in one pass; words of a gram are joined by blanks."""
-    lines = spread(docs).select(F.explode(F.split(F.col("text"), "\n")).alias("line"))
-    words = F.filter(F.split(F.col("line"), r"[ \t\r\f\x0B]+"), lambda w: w != "")
-    joined = lambda n: F.transform(X.ngrams(F.col("w"), n), lambda g: F.struct(F.lit(n).alias("n"), F.array_join(g, " ").alias("gram")))
-    grams = F.concat(*(joined(n) for n in range(1, most + 1)))
-    return lines.select(words.alias("w")).select(F.explode(grams).alias("g")).groupBy("g.n", "g.gram").agg(F.count("*").alias("f"))
-
-
 def glue(freq, before: list, after: list, kind: str):
     """Of the counts of a gram, its beginnings and its ends, shortest first.  SCP: f^2 over the mean product of both parts; Dice: 2f over the sum of their means."""
     mean = lambda x: sum(x[1:], x[0]) / len(x)
