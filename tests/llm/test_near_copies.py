@@ -104,3 +104,22 @@ def test_empty_table_and_clashing_columns(spark):
     assert simhash.keep_one(none).count() == 0 and simhash.keep_one(none).columns == none.columns
     some = spark.createDataFrame([(1, "a b c d e f", "r", 1, "c", "k"), (2, "A b c d e f", "s", 2, "d", "l"), (None, "a b c d e f", "t", 3, None, None)], none.schema)
     assert sorted(map(str, simhash.keep_one(some).collect())) == sorted(map(str, some.where("doc_id = 1 OR doc_id IS NULL").collect()))
+
+
+def test_later_rounds_read_the_written_rows_of_large_groups(spark, monkeypatch):
+    """No round joins all members with the large groups again."""
+    read = []
+
+    def pairs(members, *how):
+        read.append(" ".join(members.inputFiles()))
+        return plain_pairs(members, *how)
+
+    plain_pairs = near_copies._pairs
+    monkeypatch.setattr(near_copies, "_pairs", pairs)
+    rows = list(enumerate(ball(np.random.default_rng(9), 90)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    found = near_copies.components(docs, most=4).collect()
+    assert {r["doc_id"]: r["component"] for r in found}.keys() == dict(rows).keys()
+    assert len(read) > 1 and "lexloom-shared" in read[0]
+    for later in read[1:]:
+        assert "lexloom-large-groups" in later and "lexloom-shared" not in later and "lexloom-copies" not in later
