@@ -193,7 +193,7 @@ def _candidates(max_n: int, kind: str, min_freq: int, chunks: int) -> Callable:
     return tell
 
 
-def multi_word_units(docs: DataFrame, max_n: int = 3, kind: str = "scp", min_freq: int = 2, block_bytes: int = 1 << 22, chunk_bytes: int = 1 << 24) -> DataFrame:
+def multi_word_units(docs: DataFrame, max_n: int = 3, kind: str = "scp", min_freq: int = 2, block_bytes: int = 1 << 24, chunk_bytes: int = 1 << 24) -> DataFrame:
     """``(n, unit, freq, glue)`` of the n-grams that stick together better than what they hold and what holds them.
 
     A gram is kept if its glue exceeds the mean of the largest glue of its
@@ -206,9 +206,12 @@ def multi_word_units(docs: DataFrame, max_n: int = 3, kind: str = "scp", min_fre
     other comes once.  With them a block knows the glue of all its grams and of
     what is around them.  A unit has to stand the comparison at each of its
     occurrences, so blocks tell where it does, and these have to be ``freq`` in all.
+    A block asks once for a gram that it has often, so large blocks send less; a
+    corpus of few blocks is cut into one a core.
     """
     size = docs.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
     blocks, chunks = max(1, -(-size // block_bytes)), max(1, -(-size // chunk_bytes))
+    blocks = max(blocks, min(docs.sparkSession.sparkContext.defaultParallelism, -(-size // (1 << 22))))
     schema = "block int, kind int, n int, chunk int, data binary, words binary"
     tasks = min(blocks, max(docs.sparkSession.sparkContext.defaultParallelism, blocks // 4))
     dealt = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"), "text").where("text IS NOT NULL").repartition(tasks, "block")

@@ -164,3 +164,21 @@ def test_features_raise_their_topics(spark):
     found = {(r["topic"], r["feature"]): r["weight"] for r in topics.feature_weights(spark.createDataFrame(rows, "doc_id bigint, topic int, n double"), spark.createDataFrame(marks, "doc_id bigint, feature string"), 3).collect()}
     assert found[0, "a"] - found[0, "b"] > 1 and found[1, "b"] - found[1, "a"] > 1 and abs(found[2, "a"] - found[2, "b"]) < 0.5
     assert len(found) == 9
+
+
+def test_large_texts_lie_in_few_blocks_that_ask_for_counts(spark, monkeypatch):
+    lines = []
+
+    def written(df, what):
+        out = plain_written(df, what)
+        if what == "lines":
+            lines.append(out.where(f"kind = {phrases.LINES}").count())
+        return out
+
+    plain_written = phrases.written
+    monkeypatch.setattr(phrases, "written", written)
+    text = "\n".join(f"{'a' * 5000} {'b' * 5000}" for _ in range(100))
+    docs = spark.createDataFrame([(i, text) for i in range(36)], "doc_id bigint, text string")
+    found = [(r["n"], r["freq"], r["glue"]) for r in phrases.multi_word_units(docs).collect()]
+    assert found == [(2, 3600, 1.0)]
+    assert lines[0] <= 4  # 36 MB on 4 cores
