@@ -122,6 +122,24 @@ def test_tasks_that_count_words_follow_the_texts(spark):
     assert by_document(docs.limit(0), "text").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
 
 
+def test_bags_of_topic_models_are_not_shuffled_again(spark, monkeypatch):
+    """Scores need one exchange, by term, and of many words the few that pass are sent to the bags."""
+    from lexloom.operators import texts
+
+    exchanges = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    seen, write = {}, texts.written
+    monkeypatch.setattr(texts, "written", lambda df, what: (seen.setdefault(what, exchanges(df)), write(df, what))[1])
+    docs = spark.range(40).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 400), i -> translate(concat('w', id * 1000 + i), '0123456789', 'abcdefghij'))) || repeat(' common', 30) AS text")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20k")
+    try:
+        found = texts.topic_prefilter(docs.where("doc_id > 0").unionByName(spark.createDataFrame([(0, "other")], "doc_id bigint, text string")))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert seen["bags"] == seen["scored"] == 1 and "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
 def test_coherence_of_zero_comes_last(spark):
     rows = spark.createDataFrame([(0, 0.0), (1, -3.0), (2, -1.0), (3, -1.0)], "topic int, coherence double")
     assert [r["topic"] for r in views.by_coherence(rows, 4).collect()] == [2, 3, 1, 0]
