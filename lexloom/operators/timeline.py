@@ -85,10 +85,13 @@ def ngram_series(dated: DataFrame, days: int, n: int = 1, top: int = 100, min_df
 
 
 def postings(dated: DataFrame, days: int, terms: DataFrame, n: int = 1, stop_words: tuple[str, ...] = (), start: str | None = None, end: str | None = None) -> DataFrame:
-    """``(term, interval, doc_id)``: the documents behind each point of the series of ``terms``, a row each."""
+    """``(term, interval, doc_id)``: the documents behind each point of the series of ``terms``, a row each.
+
+    Terms are written, so that their size is known before the join: few enough are sent to the bags, which then stay where they are.
+    """
     cut = sliced(dated, days, start, end).select("doc_id", "text", "interval")
     bags = frequency.term_frequencies(cut, "interval", n=n, stop_words=stop_words)
-    return bags.join(terms, "term", "left_semi").select("term", "interval", "doc_id")
+    return bags.join(written(terms, "terms"), "term", "left_semi").select("term", "interval", "doc_id")
 
 
 def moving(series: DataFrame, value: str, w: int, order: str, *by: str, median: bool = False) -> DataFrame:

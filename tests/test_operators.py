@@ -140,6 +140,16 @@ def test_bags_of_topic_models_are_not_shuffled_again(spark, monkeypatch):
     assert seen["bags"] == seen["scored"] == 1 and "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") == 1
 
 
+def test_postings_send_their_few_terms_to_the_bags(spark):
+    """Even where the terms' plan can't tell that they are few."""
+    dated = spark.range(20).selectExpr("id AS doc_id", "concat('red ', IF(id % 2 = 0, 'blue', 'green')) AS text", "DATE '2000-01-01' AS doc_date")
+    terms = spark.range(1 << 20).where("id % 7 = 0").select(F.lit("blue").alias("term")).distinct()
+    found = timeline.postings(dated, 90, terms)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert sorted(r["doc_id"] for r in found.collect()) == list(range(0, 20, 2))
+
+
 def test_coherence_of_zero_comes_last(spark):
     rows = spark.createDataFrame([(0, 0.0), (1, -3.0), (2, -1.0), (3, -1.0)], "topic int, coherence double")
     assert [r["topic"] for r in views.by_coherence(rows, 4).collect()] == [2, 3, 1, 0]
