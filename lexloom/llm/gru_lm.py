@@ -9,8 +9,8 @@ whose members are the classes of all other words, by the hash of their last
 bytes, where a word has its add-one share of its class's count.  A document is
 scored with the state carried across windows from its first token to its end.
 
-Training is independent of how the table is partitioned.  Texts are encoded
-once; training documents are dealt to blocks of about ``block_tokens`` tokens
+Training is independent of how the table is partitioned.  Texts are split into
+words once, some at a time, and a word is looked up once for all of these; training documents are dealt to blocks of about ``block_tokens`` tokens
 by a hash of their id and codes, as many blocks as the number of training
 tokens asks for.  Each of ``rounds`` rounds over all of them goes part by part:
 every block of a part runs its documents in parallel streams from the weights so
@@ -31,45 +31,89 @@ rows come back once each.
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
 import zlib
-from collections import Counter
+from collections import defaultdict
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import arrow_map, frequent, held_out, slices, words, written
+from lexloom.llm.common import arrow_map, forget, frequent, held_out, slices, words, written
 
 #: The end of a text as a word; no word holds a line end.
 END = b"\n"
 CLASS = 64  # words in a class of the vocabulary
 TAILS = CLASS  # classes of other words, the members of the last class
 HIDDEN = 16
+ROWS = 4096  # tokens whose shares are computed together
 
 
 def tail_class(word: bytes) -> int:
     return zlib.crc32(word[-3:]) % TAILS
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """``(word, n)`` over the texts of ``docs``, one end each."""
+def split(docs: DataFrame, chunk_tokens: int = 1 << 20) -> DataFrame:
+    """``(doc_ids, lengths, codes, words, counts)``: some rows' texts at a time, of about ``chunk_tokens`` tokens, split into words once.
+
+    ``codes`` are places among the chunk's own words, 0 the end of a text and 1 the first of ``words``; ``counts`` are
+    those in training documents.
+    """
+    import pyarrow as pa
+
+    names = ["doc_ids", "lengths", "codes", "words", "counts"]
+    kinds = [pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+
+    def row(doc_ids, train, held, own):
+        lengths, codes = np.array([len(c) for c in held], dtype=np.int32), np.concatenate(held)
+        counts = np.bincount(codes[np.repeat(np.array(train, dtype=bool), lengths)], minlength=len(own))
+        found = b"\n".join(list(own)[1:])
+        return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((doc_ids, lengths.tobytes(), codes.tobytes(), found, counts.tobytes()), kinds)], names=names)
+
+    def run(batches):
+        doc_ids, train, held, size, own = [], [], [], 0, None
+        for b in slices(batches):
+            for doc_id, learned, t in zip(*(b.column(c).to_pylist() for c in ("doc_id", "train", "text"))):
+                if own is None:
+                    own = defaultdict(itertools.count().__next__)
+                    own[END]  # the end comes first
+                found = words(t)
+                found.append(END)
+                held.append(np.fromiter(map(own.__getitem__, found), np.int32, len(found)))
+                doc_ids.append(doc_id)
+                train.append(learned)
+                size += len(found)
+                if size >= chunk_tokens:
+                    yield row(doc_ids, train, held, own)
+                    doc_ids, train, held, size, own = [], [], [], 0, None
+        if held:
+            yield row(doc_ids, train, held, own)
+
+    return docs.select("doc_id", (~held_out(7)).alias("train"), "text").mapInArrow(run, "doc_ids array<bigint>, lengths binary, codes binary, words binary, counts binary")
 
-    def count(texts):
-        found = Counter()
-        for t in texts:
-            found.update(words(t))
-        found[END] += len(texts)
-        return {"word": list(found), "n": list(found.values())}
 
-    return arrow_map(docs, "word binary, n bigint", count, "text", rows=None).where("n > 0").groupBy("word").agg(F.sum("n").alias("n"))
+def chunk_words(found: bytes) -> list[bytes]:
+    """The words of a chunk of ``split`` by code."""
+    return [END, *found.split(b"\n")] if found else [END]
+
+
+def word_counts(chunks: DataFrame) -> DataFrame:
+    """``(word, n)`` over the training texts of ``split``, one end each."""
+
+    def count(found, counts):
+        found, counts = [w for x in found for w in chunk_words(x)], np.concatenate([np.frombuffer(c, dtype=np.int64) for c in counts])
+        return {"word": found, "n": counts}
+
+    return arrow_map(chunks, "word binary, n bigint", count, "words", "counts", rows=1).where("n > 0").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 class Net:
     """The network's weights in one flat array, and its forward and backward passes.
 
     All biases are the last rows of their matrices, and states have a last
-    column of ones for them.
+    column of ones for them.  In the recurrence each step's states and gates
+    lie together, a row a unit; the softmax has a row a token.
     """
 
     def __init__(self, class_bias: np.ndarray, word_bias: np.ndarray, flat: np.ndarray | None = None):
@@ -82,6 +126,7 @@ class Net:
         size = sum(map(math.prod, self.shapes.values()))
         self.flat = np.zeros(size, dtype=np.float32) if flat is None else flat.astype(np.float32)
         self.parts = self.view(self.flat)
+        self.rooms: dict[str, np.ndarray] = {}
         if flat is None:
             rng = np.random.default_rng(5)
             self.parts["inputs"][:] = rng.normal(0, 0.3, self.shapes["inputs"])
@@ -96,121 +141,153 @@ class Net:
             at += math.prod(shape)
         return out
 
+    def room(self, name: str, *shape: int) -> np.ndarray:
+        """An array with any content that the next call by this name takes over, so that windows need no new memory."""
+        size = math.prod(shape)
+        if len(self.rooms.get(name, ())) < size:
+            self.rooms[name] = np.empty(size, dtype=np.float32)
+        return self.rooms[name][:size].reshape(shape)
+
     def forward(self, x: np.ndarray, edges: np.ndarray, fresh: dict[int, np.ndarray], h: np.ndarray, keep: bool = False) -> tuple[np.ndarray, tuple]:
         """The states after each input, with a column of ones, and what ``backward`` needs if ``keep``.
 
         Step t's inputs are ``x[edges[t]:edges[t + 1]]``, for the first rows of
-        ``h``, which is left at the last states; rows ``fresh[t]`` begin anew.
+        ``h``, whose live rows are left at the last states; rows ``fresh[t]`` begin anew.
+        Results hold until the next call.
         """
-        k, recur = HIDDEN, self.parts["recur"]
-        a = self.parts["inputs"][x]
-        out = np.empty((len(x), k + 1), dtype=np.float32)
-        out[:, k] = 1
-        before, cand = (np.empty((len(x), k), dtype=np.float32) for _ in range(2)) if keep else (None, None)
-        reset = np.empty((len(x), k), dtype=np.float32) if keep else None
+        k, size = HIDDEN, len(x)
+        recur = self.parts["recur"].T.copy()
+        recur[: 2 * k] *= -1  # exp takes the gates' negated sums
+        inputs = np.take(self.parts["inputs"], x, axis=0, out=self.room("inputs", size, 3 * k), mode="clip")
+        states = self.room("states", size, k + 1)
+        states[:, k] = 1
+        # of each step, one after another
+        past, gate = self.room("past", 3 * k * size), self.room("gate", 2 * k * len(h))
+        z, r, n, less, new = (self.room(name, k * size) for name in ("z", "r", "n", "less", "new"))
+        own, before = h[: edges[1] - edges[0]].T.copy(), []
         for t, (i, j) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())):
-            own = h[: j - i]
+            shape, at = (k, j - i), slice(k * i, k * j)
+            if own.shape[1] > j - i:
+                own = own[:, : j - i].copy()
             if t in fresh:
-                own[fresh[t]] = 0
-            u, gates = own @ recur, a[i:j, : 2 * k]
-            gates += u[:, : 2 * k]
-            np.negative(gates, out=gates)
+                own = own.copy()
+                own[:, fresh[t]] = 0
+            before.append(own)
+            u, a, gates = past[3 * k * i : 3 * k * j].reshape(3 * k, j - i), inputs[i:j].T, gate[: 2 * k * (j - i)].reshape(2 * k, j - i)
+            zt, rt, nt, lt = z[at].reshape(shape), r[at].reshape(shape), n[at].reshape(shape), less[at].reshape(shape)
+            np.matmul(recur, own, out=u)
+            gates[:] = a[: 2 * k]
+            np.subtract(u[: 2 * k], gates, out=gates)
             np.exp(gates, out=gates)
             gates += 1
-            np.reciprocal(gates, out=gates)
-            z, n, u = gates[:, :k], a[i:j, 2 * k :], u[:, 2 * k :]
-            if keep:
-                before[i:j], reset[i:j] = own, u
-            u = u * gates[:, k:]
-            n += u
-            np.tanh(n, out=n)
-            own -= n
-            own *= z
-            own += n
-            out[i:j, :k] = own
-        return out, (before, a, reset)
+            np.reciprocal(gates[:k], out=zt)
+            np.reciprocal(gates[k:], out=rt)
+            np.multiply(u[2 * k :], rt, out=nt)
+            nt += a[2 * k :]
+            np.tanh(nt, out=nt)
+            np.subtract(own, nt, out=lt)
+            own = np.multiply(lt, zt, out=new[at].reshape(shape))
+            own += nt
+            states[i:j, :k] = own.T
+        h[: own.shape[1]] = own.T
+        return states, (before, past, z, r, n, less)
 
     def backward(self, x: np.ndarray, edges: np.ndarray, fresh: dict[int, np.ndarray], kept: tuple, dh: np.ndarray, grad: dict) -> None:
-        """Truncated backpropagation through one window; ``dh``: the gradient by its states, overwritten."""
-        k, carry, recur = HIDDEN, None, self.parts["recur"].T.copy()
-        before, a, u = kept
-        z, r, n = a[:, :k], a[:, k : 2 * k], a[:, 2 * k :]
-        to_z = before - n
-        to_z *= z
-        to_n = 1 - z
-        to_z *= to_n
-        to_n *= 1 - n * n
-        to_r = 1 - r
-        to_r *= r
-        to_r *= u
-        by_state = np.empty((len(x), 3 * k), dtype=np.float32)
+        """Truncated backpropagation through one window; ``dh``: the gradient by its states."""
+        k, size, carry, recur = HIDDEN, len(x), None, self.parts["recur"]
+        before, past, z, r, n, less = kept
+        by_state, inner = self.room("by state", 3 * k, size), self.room("inner", k, size)
+        step = self.room("step", 3 * k * int(np.diff(edges).max()))
         for t in range(len(edges) - 2, -1, -1):
             i, j = int(edges[t]), int(edges[t + 1])
-            d, s = dh[i:j], by_state[i:j]
+            shape, at = (k, j - i), slice(k * i, k * j)
+            zt, rt, dn, s = z[at].reshape(shape), r[at].reshape(shape), n[at].reshape(shape), step[: 3 * k * (j - i)].reshape(3 * k, j - i)
+            d, dz, dr, rest = dh[i:j].T.copy(), s[:k], s[k : 2 * k], s[2 * k :]
             if carry is not None:
-                d[: len(carry)] += carry
-            np.multiply(d, to_z[i:j], out=s[:, :k])
-            dn = d * to_n[i:j]
-            np.multiply(dn, to_r[i:j], out=s[:, k : 2 * k])
-            np.multiply(dn, r[i:j], out=s[:, 2 * k :])
-            to_n[i:j] = dn
+                if carry.shape == d.shape:
+                    d += carry
+                else:
+                    d[:, : carry.shape[1]] += carry
+            np.multiply(d, zt, out=rest)  # what passes on to the state before
+            np.multiply(less[at].reshape(shape), rest, out=dz)
+            passed = rest.copy() if t else None
+            np.subtract(d, rest, out=rest)  # and to the new part
+            np.subtract(1, zt, out=zt)
+            dz *= zt
+            dn *= dn
+            np.subtract(1, dn, out=dn)
+            dn *= rest
+            np.multiply(dn, rt, out=rest)
+            np.subtract(1, rt, out=rt)
+            np.multiply(rest, rt, out=dr)
+            dr *= past[3 * k * i : 3 * k * j].reshape(3 * k, j - i)[2 * k :]
+            by_state[:, i:j], inner[:, i:j] = s, dn
             if t:
-                carry = s @ recur
-                d *= z[i:j]
-                carry += d
+                carry = recur @ s
+                carry += passed
                 if t in fresh:
-                    carry[fresh[t]] = 0
-        grad["recur"] += before.T @ by_state
-        by_state[:, 2 * k :] = to_n
-        order = np.argsort(x, kind="stable")
-        x = x[order]
-        starts = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
-        grad["inputs"][x[starts]] += np.add.reduceat(by_state[order], starts, axis=0)
+                    carry[:, fresh[t]] = 0
+        grad["recur"] += np.concatenate(before, axis=1) @ by_state.T
+        by_state[2 * k :] = inner
+        x = x.astype(np.intp)
+        words = self.room("words", 3 * k, len(self.parts["inputs"]))
+        for of, own in zip(words, by_state):
+            of[:] = np.bincount(x, own, len(of))
+        grad["inputs"] += words.T
 
     def outputs(self, h: np.ndarray, y: np.ndarray, grad: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log of each target's class and in-class share, and the gradient by ``h`` where one is asked for."""
-        p, kind = self.parts, y // CLASS
+        size, kind, classes = len(y), y // CLASS, len(self.parts["to_word"])
         # rows by class, so that a class's are a slice
-        order = np.argsort(kind.astype(np.uint8) if len(p["to_word"]) < 256 else kind, kind="stable")
-        edges = np.searchsorted(kind[order], np.arange(len(p["to_word"]) + 1)).tolist()
-        own, word = h[order], y[order] % CLASS
-        kind = kind[order]
-        shares = np.empty((2, len(y)), dtype=np.float32)
-        dh = None if grad is None else np.empty((len(y), HIDDEN + 1), dtype=np.float32)
-        self._softmax(own, kind, p["to_class"], shares[0], None if grad is None else grad["to_class"], dh)
-        inner = None if grad is None else np.empty_like(dh)
-        for k, (i, j) in enumerate(zip(edges, edges[1:])):
-            if i < j:
-                self._softmax(own[i:j], word[i:j], p["to_word"][k], shares[1, i:j], None if grad is None else grad["to_word"][k], None if grad is None else inner[i:j])
+        order = np.argsort(kind.astype(np.uint8) if classes < 256 else kind, kind="stable")
+        own, word, kind = np.take(h, order, axis=0, out=self.room("own", *h.shape), mode="clip"), y[order] % CLASS, kind[order]
+        edges = np.searchsorted(kind, np.arange(classes + 1)).tolist()
+        shares = np.empty((2, size), dtype=np.float32)
+        dh = None if grad is None else self.room("dh", 2, size, HIDDEN)
+        for a in range(0, size, ROWS):
+            self._softmax(own[a : a + ROWS], kind[a : a + ROWS], [(None, 0, min(ROWS, size - a))], "to_class", shares[0, a : a + ROWS], grad, None if grad is None else dh[0, a : a + ROWS])
+        first = 0
+        while first < classes:  # classes of together about that many rows
+            last = first + 1
+            while last < classes and edges[last + 1] - edges[first] <= ROWS:
+                last += 1
+            a, b = edges[first], edges[last]
+            if a < b:
+                found = [(k, edges[k] - a, edges[k + 1] - a) for k in range(first, last) if edges[k] < edges[k + 1]]
+                self._softmax(own[a:b], word[a:b], found, "to_word", shares[1, a:b], grad, None if grad is None else dh[1, a:b])
+            first = last
         np.log(shares, out=shares)
-        out = np.empty(len(y), dtype=np.float64)
+        out = np.empty(size, dtype=np.float64)
         out[order] = shares.sum(axis=0, dtype=np.float64)
         if grad is None:
             return out, None
-        dh += inner
-        back = np.empty((len(y), HIDDEN), dtype=np.float32)
-        back[order] = dh[:, :HIDDEN]
-        return out, back
-
-    @staticmethod
-    def _softmax(h: np.ndarray, y: np.ndarray, weights: np.ndarray, share: np.ndarray, grad: np.ndarray | None, dh: np.ndarray | None) -> None:
-        """Each target's share; adds to the weights' gradient and sets that by ``h``."""
-        ones = np.ones(weights.shape[1], dtype=np.float32)
-        for a in range(0, len(y), 4096):
-            own, at = h[a : a + 4096], y[a : a + 4096]
-            e = own @ weights
-            np.exp(e, out=e)
-            total = e @ ones
-            at = np.arange(0, e.size, e.shape[1]) + at
-            e = e.reshape(-1)
-            hit = e[at]
-            np.divide(hit, total, out=share[a : a + 4096])
-            if grad is not None:
-                e[at] = hit - total
-                e = e.reshape(len(own), -1)
-                total = total[:, None]
-                grad += (own / total).T @ e
-                np.divide(e @ weights.T, total, out=dh[a : a + 4096])
+        dh[0] += dh[1]
+        dh[1, order] = dh[0]
+        return out, dh[1]
+
+    def _softmax(self, h: np.ndarray, y: np.ndarray, groups: list[tuple[int | None, int, int]], name: str, share: np.ndarray, grad: dict | None, dh: np.ndarray | None) -> None:
+        """Each target's share; adds to the weights' gradient and sets that by ``h``.
+
+        Rows i to j of each (k, i, j) of ``groups`` have the weights ``parts[name][k]``, or all of them.
+        """
+        weights = self.parts[name]
+        e = self.room("e", len(y), weights.shape[-1])
+        for k, i, j in groups:
+            np.matmul(h[i:j], weights if k is None else weights[k], out=e[i:j])
+        np.exp(e, out=e)
+        total = e @ np.ones(e.shape[1], dtype=np.float32)
+        at = np.arange(0, e.size, e.shape[1]) + y
+        hit = e.reshape(-1)[at]
+        np.divide(hit, total, out=share)
+        if grad is not None:
+            e.reshape(-1)[at] = hit - total
+            total = total[:, None]
+            h, by_weight = h / total, grad[name]
+            for k, i, j in groups:
+                own, of = (weights, by_weight) if k is None else (weights[k], by_weight[k])
+                of += (e[i:j].T @ h[i:j]).T
+                np.matmul(e[i:j], own[:HIDDEN].T, out=dh[i:j])
+            dh /= total
 
 
 class Streams:
@@ -308,20 +385,23 @@ class Trainer:
         self.steps += 1
         self.tokens += tokens
         size, k = math.sqrt(float(grad @ grad)), self.steps
-        if size > 1:
-            grad *= 1 / size
-        self.m *= 0.9
-        self.v *= 0.99
-        self.m += np.float32(0.1) * grad
-        grad *= grad
-        grad *= 0.01
-        self.v += grad
-        np.multiply(self.v, 1 / (1 - 0.99**k), out=grad)
-        np.sqrt(grad, out=grad)
-        grad += 1e-8
-        np.divide(self.m, grad, out=grad)
-        grad *= self.rate / (1 - 0.9**k)
-        self.net.flat -= grad
+        # m and v are kept without their factors of 0.1 and 0.01
+        root = math.sqrt(0.01 / (1 - 0.99**k))
+        rate, least = self.rate * 0.1 / (1 - 0.9**k) / root, 1e-8 / root
+        for a in range(0, len(grad), 1 << 14):  # pieces that stay in cache
+            g, m, v, flat = (x[a : a + (1 << 14)] for x in (grad, self.m, self.v, self.net.flat))
+            if size > 1:
+                g *= 1 / size
+            m *= 0.9
+            m += g
+            g *= g
+            v *= 0.99
+            v += g
+            np.sqrt(v, out=g)
+            g += least
+            np.divide(m, g, out=g)
+            g *= rate
+            flat -= g
 
 
 class Codes(dict):
@@ -360,18 +440,13 @@ class Tables:
                 base.append(math.log10((c + 1) / (n + v + 1)))
                 tail.append(math.log10((c + 1) / self.tail_sizes[k]))
                 target.append(size + k)
-        self.seen = np.array([c > 0 for _, c in vocabulary] + [True] * (len(base) - len(vocabulary)))
+        self.seen = np.array([c > 0 for _, c in vocabulary] + [True] * (len(base) - len(vocabulary)) + [False] * TAILS)
         # the last rows stand for the classes of words that tasks know nothing of
         self.unknown = self.code.unknown = len(base)
         self.base = np.array(base + [0.0] * TAILS)
         self.tail = np.array(tail + [0.0] * TAILS)
         self.target = np.array(target + [size + k for k in range(TAILS)], dtype=np.uint16)
 
-    def codes(self, found: list[bytes]) -> np.ndarray:
-        own = list(map(self.code.__getitem__, found))
-        own.append(self.end)
-        return np.array(own, dtype=np.int32)
-
 
 def tables(counts: DataFrame, vocabulary: int = 4096, table: int = 131_072) -> Tables:
     of = lambda df: sorted(((bytes(r["word"]), r["n"]) for r in df.collect()), key=lambda x: (-x[1], x[0]))
@@ -387,15 +462,14 @@ def tables(counts: DataFrame, vocabulary: int = 4096, table: int = 131_072) -> T
     return Tables(known, of(frequent(rest, table - vocabulary)), tails, sums["n"], sums["v"])
 
 
-def encoded(docs: DataFrame, shared) -> DataFrame:
-    """``(key, doc_id, n_tokens, n_known, base, model, tail, codes)`` of each row; ``shared``: broadcast Tables.
+def encoded(chunks: DataFrame, shared) -> DataFrame:
+    """``(key, doc_id, n_tokens, n_known, base, model, tail, codes)`` of each row of ``split``; ``shared``: broadcast Tables.
 
     ``tail`` counts the words that tasks know nothing of; ``n_known``, ``base``
     and ``model``, the shares in their classes of words outside the vocabulary, lack them.
     """
     import pyarrow as pa
 
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("tf", pa.int32())])), pa.binary()]
     names = ["key", "doc_id", "n_tokens", "n_known", "base", "model", "tail", "codes"]
 
     def run(batches):
@@ -403,20 +477,24 @@ def encoded(docs: DataFrame, shared) -> DataFrame:
 
         known: Tables = shared.value
         key = TaskContext.get().partitionId() << 40
-        for b in slices(batches):
-            rows = [[] for _ in names]
-            for doc_id, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                found = words(t)
-                own = known.codes(found)
-                tail = Counter(found[i] for i in np.flatnonzero(own[:-1] >= known.unknown).tolist())
-                row = (key, doc_id, len(own), int(known.seen[own[own < known.unknown]].sum()), float(known.base[own].sum()), float(known.tail[own].sum()), [{"word": w, "tf": n} for w, n in tail.items()], known.target[own].tobytes())
-                for column, value in zip(rows, row):
-                    column.append(value)
-                key += 1
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds)], names=names)
+        for b in slices(batches, 1):  # a word of a chunk is looked up once
+            doc_ids = b.column("doc_ids").flatten()
+            lengths, local = (np.frombuffer(b.column(c)[0].as_py(), dtype=np.int32) for c in ("lengths", "codes"))
+            found, n = chunk_words(b.column("words")[0].as_py()), len(lengths)
+            own = np.fromiter(map(known.code.__getitem__, found), np.int32, len(found))[local]
+            edges = np.r_[0, np.cumsum(lengths)]
+            sums = lambda x: np.add.reduceat(x[own], edges[:-1], dtype=np.int64 if x.dtype == bool else x.dtype)  # noqa: B023, E731
+            rare = np.flatnonzero(own >= known.unknown)
+            pairs, tf = np.unique(np.repeat(np.arange(n), lengths)[rare] * len(found) + local[rare], return_counts=True)
+            counted = pa.StructArray.from_arrays([pa.array(found, pa.binary()).take(pa.array(pairs % len(found))), pa.array(tf.astype(np.int32))], names=["word", "tf"])
+            tail = pa.ListArray.from_arrays(pa.array(np.searchsorted(pairs, np.arange(n + 1) * len(found)).astype(np.int32)), counted)
+            codes = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((2 * edges).astype(np.int32)), pa.py_buffer(known.target[own])])
+            columns = [np.arange(key, key + n), doc_ids, lengths.astype(np.int64), sums(known.seen), sums(known.base), sums(known.tail)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), tail, codes], names=names)
+            key += n
 
     kind = "key bigint, doc_id bigint, n_tokens bigint, n_known bigint, base double, model double, tail array<struct<word:binary,tf:int>>, codes binary"
-    return docs.select("doc_id", "text").mapInArrow(run, kind)
+    return chunks.select("doc_ids", "lengths", "codes", "words").mapInArrow(run, kind)
 
 
 def blocks(coded: DataFrame, parts: int = 2, block_tokens: int = 1 << 21) -> DataFrame:
@@ -498,10 +576,12 @@ def score(docs: DataFrame, vocabulary: int = 4096, table: int = 131_072, parts:
     import pyarrow as pa
 
     spark = docs.sparkSession
-    counts = written(word_counts(docs.where(~held_out(7)).select("text")), "lm-counts")
+    chunks = written(split(docs), "lm-words")
+    counts = written(word_counts(chunks), "lm-counts")
     known = tables(counts, vocabulary, table)
     shared = spark.sparkContext.broadcast(known)
-    coded = written(encoded(docs, shared), "lm-codes")
+    coded = written(encoded(chunks, shared), "lm-codes")
+    forget(chunks)
     weights = spark.sparkContext.broadcast(train(blocks(coded.where(~held_out(7)), parts, block_tokens), shared, parts=parts, **training))
     names = ["key", "doc_id", "n_tokens", "n_known", "base", "model"]
 

@@ -100,3 +100,29 @@ def test_several_blocks_a_part_and_long_texts(spark):
     coded = spark.createDataFrame([(i, 3, bytes(6)) for i in range(100)], "doc_id bigint, n_tokens bigint, codes binary")
     dealt = gru_lm.blocks(coded, parts=2, block_tokens=30).select(F.sum(F.length("codes")), F.sum(F.length("lengths")), F.countDistinct("part"), F.count("*")).first()
     assert tuple(dealt)[:3] == (600, 400, 2) and dealt[3] >= 10
+
+
+def test_texts_are_split_once(spark):
+    """Chunks of any size give back all words of all rows, and count those of training documents only."""
+    texts = {i: " ".join(f"W{i * k % 13}" for k in range(i % 9)) for i in range(60)} | {100: None, 101: "", None: "no id"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(3)
+    for size in (1, 40, 1 << 20):
+        chunks, got = gru_lm.split(docs, size), {}
+        for r in chunks.collect():
+            found, codes = gru_lm.chunk_words(bytes(r["words"])), np.frombuffer(r["codes"], dtype=np.int32)
+            for doc_id, own in zip(r["doc_ids"], np.split(codes, np.cumsum(np.frombuffer(r["lengths"], dtype=np.int32))[:-1])):
+                got[doc_id] = [found[i] for i in own]
+        wanted = {i: (t or "").lower().encode().split() + [gru_lm.END] for i, t in texts.items()}
+        assert got == wanted
+        learned = Counter(w for i, own in wanted.items() if i is None or zlib.crc32(str(i).encode()) % 7 != 2 for w in own)
+        assert {bytes(r["word"]): r["n"] for r in gru_lm.word_counts(chunks).collect()} == learned
+
+
+def test_windows_reuse_memory(tiny):
+    """Later windows take over the arrays of the first."""
+    net, codes = tiny
+    docs, h, seen = gru_lm.Streams(codes, 5, 2), np.zeros((2, gru_lm.HIDDEN), dtype=np.float32), set()
+    for _, _, x, y, edges, fresh in docs.windows(4):
+        states, _ = net.forward(x, edges, fresh, h, keep=True)
+        seen.add((states.__array_interface__["data"][0], net.outputs(states, y, net.view(np.zeros_like(net.flat)))[1].base.__array_interface__["data"][0]))
+    assert len(seen) <= 2
