@@ -90,6 +90,42 @@ def test_sweeps_move_packed_rows(spark):
     assert Counter({(r["topic"], r["term"]): r["n"] for r in model.counts().collect()}) == Counter((t, w) for _, _, w, t in state)
 
 
+def test_parts_of_several_blocks_send_their_counts_once(spark):
+    """A part's blocks are drawn each for itself, so parts don't change the model; their counts move once a part and chunk."""
+    rows, _ = planted(60, 30, 3, 4)
+    found = []
+    for part_tokens in (500, 10**6):
+        model = gibbs.fit(spark.createDataFrame(rows, BAGS), k=3, iterations=3, burn_in=1, optimize_every=2, block_tokens=100, chunk_tokens=900, part_tokens=part_tokens)
+        kinds = Counter(r["kind"] for r in model.rows.select("kind").collect())
+        cores = spark.sparkContext.defaultParallelism
+        assert model.n_parts == min(18, -(-1800 // (part_tokens * cores)) * cores) and kinds[gibbs.COUNTS] <= 2 * model.n_parts < 2 * kinds[gibbs.TOPICS]
+        found.append(sorted(map(tuple, model.state().collect())))
+    assert found[0] == found[1] and len(found[0]) == 1800
+
+
+def test_sweeps_do_not_shuffle_bags(spark):
+    """Shares and counts of documents need no join by document either."""
+    rows, _ = planted(60, 30, 3, 4)
+    before = spark.sparkContext._jsc.sc().getPersistentRDDs().size()
+    model = gibbs.fit(spark.createDataFrame(rows, BAGS), k=3, iterations=1, burn_in=5, block_tokens=400)
+    assert spark.sparkContext._jsc.sc().getPersistentRDDs().size() == before
+    for df in (model.doc_topics(), model.doc_counts()):
+        assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
+    held = model.packs.select("part", "data").repartition(model.n_parts, "part").persist()
+    plan = model._met(held, model.rows.select("part", "data"), lambda a, b: a, "part int, data binary")._jdf.queryExecution().executedPlan().toString()
+    held.unpersist()
+    cogrouped, kept = plan.split("InMemoryRelation")[0], plan
+    assert "InMemoryTableScan" in kept and cogrouped.count("Exchange") <= 1
+
+
+def test_only_given_terms_are_in_the_model(spark):
+    rows = [(1, "a", 2), (1, "b", 1), (None, "a", 1), (2, "c", 4)]
+    bags = spark.createDataFrame(rows, BAGS)
+    model = gibbs.fit(bags, k=2, iterations=2, burn_in=5, terms=bags.where("term <> 'c'").groupBy("term").agg({"tf": "sum"}).toDF("term", "cf"))
+    assert Counter((r["doc_id"], r["term"]) for r in model.state().collect()) == {(1, "a"): 2, (1, "b"): 1, (None, "a"): 1}
+    assert model.n_words == 2
+
+
 def test_packing_is_reversible():
     arrays = [np.array([], dtype=np.int64), np.array([0, 255, 3]), np.array([70_000, 1 << 40, 2]), np.array([5])]
     assert all((a == b).all() and len(a) == len(b) for a, b in zip(arrays, gibbs.unpacked(gibbs.packed(*arrays))))
