@@ -118,6 +118,26 @@ def test_sweeps_do_not_shuffle_bags(spark):
     assert "InMemoryTableScan" in kept and cogrouped.count("Exchange") <= 1
 
 
+def test_written_rows_leave_no_shuffle_files(spark, tmp_path):
+    """A sweep's shuffles would else lie on disk until the driver's garbage is collected."""
+    import time
+
+    from lexloom.operators.layout import forget, written
+
+    before = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    status = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {b.name() for b in (found.apply(i) for i in range(found.size())) if b.name().startswith("shuffle_")} if (found := status.getAllBlocks()) else set()
+    old = shuffles()
+    out = written(spark.range(1000).repartition(3, "id").groupBy("id").count(), "shuffled")
+    for _ in range(50):
+        if not (left := shuffles() - old):
+            break
+        time.sleep(0.1)
+    assert not left and out.count() == 1000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == before
+    forget(out)
+
+
 def test_only_given_terms_are_in_the_model(spark):
     rows = [(1, "a", 2), (1, "b", 1), (None, "a", 1), (2, "c", 4)]
     bags = spark.createDataFrame(rows, BAGS)
