@@ -210,3 +210,21 @@ def test_large_texts_lie_in_few_blocks_that_ask_for_counts(spark, monkeypatch):
     found = [(r["n"], r["freq"], r["glue"]) for r in phrases.multi_word_units(docs).collect()]
     assert found == [(2, 3600, 1.0)]
     assert lines[0] <= 4  # 36 MB on 4 cores
+
+
+def test_segments_keep_columns_without_a_join(spark):
+    docs = spark.createDataFrame([(1, "en", "a b c d e f g\nshort one\nh i j k l m n"), (1, "de", "o p q r s t u"), (2, None, None)], "doc_id bigint, lang string, text string")
+    found = texts.segments(docs, "\n", keep=("lang",))
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == [(1, "1.0", "de", "o p q r s t u"), (1, "1.0", "en", "a b c d e f g"), (1, "1.1", "en", "h i j k l m n")]
+
+
+def test_stemmed_bags_are_dealt_by_document_once(spark, monkeypatch):
+    """The plan of the bags of stems, as they are written: one exchange for their sums and their documents' lengths, none to meet the stems."""
+    plans, plain = {}, texts.written
+    monkeypatch.setattr(texts, "written", lambda df, what: (plans.setdefault(what, df._jdf.queryExecution().executedPlan().toString()), plain(df, what))[1])
+    docs = spark.createDataFrame([(d, "en", "walking walks walked houses " * 10) for d in range(8)], "doc_id bigint, lang string, text string")
+    found = texts.topic_prefilter(docs, 1, stemming=True).collect()
+    assert {(r["doc_id"], r["term"], r["tf"]) for r in found} <= {(d, t, n) for d in range(8) for t, n in (("walk", 30), ("hous", 10))}
+    assert plans["bags"].count("Exchange hashpartitioning") == 1
+    assert "REPARTITION_BY_NUM" in plans["bags"]  # as many tasks as count words, whatever their bytes
